@@ -48,6 +48,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its partitions and their order kept, in the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; it should be cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
