@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import chat, decontaminate, licenses, packing, quality, sharding, sstable
+from skysift.llm import chat, decontaminate, licenses, lm, neardup, packing, quality, sharding, sstable
 from skysift.llm.common import shared_dir, table
 
 
@@ -36,11 +36,20 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "reasons").alias("reasons"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -59,7 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_prefix_tree": op1_chat_prefix_tree,
         "op2_decontamination": op2_decontamination,
         "op3_token_shards": op3_token_shards,
+        "op4_near_duplicates": op4_near_duplicates,
         "op6_quality_rules": op6_quality_rules,
+        "op7_lm_score": op7_lm_score,
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
