@@ -88,3 +88,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
     return own.join(per, "_row", "left").select(
         "doc_id", *keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", F.array().cast("array<string>"))).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
+
+
+def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without those in which hits() found a window, by doc_id; all rows of such a doc_id go."""
+    bad = small(written(found.where("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct(), "contaminated"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import chat, decontaminate, licenses, lm, neardup, packing, quality, sharding, sstable
+from skysift.llm import chat, decontaminate, licenses, lm, neardup, packing, quality, sharding, sstable, toxicity
 from skysift.llm.common import shared_dir, table
 
 
@@ -41,6 +41,13 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), folds=5)
+    found = toxicity.scored(docs.select("doc_id", "text", "lang"), classifier, folds=5)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "reasons").alias("reasons"))
@@ -69,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_token_shards": op3_token_shards,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
         "op7_lm_score": op7_lm_score,
         "op8_license_scan": op8_license_scan,
