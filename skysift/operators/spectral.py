@@ -10,11 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from skysift.plans.grids import K_CHIRP
 
-_PAIR = "struct<re:array<double>,im:array<double>>"
+_PAIR = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("re", "im")])
 
 
 @pandas_udf(_PAIR)

@@ -1,0 +1,34 @@
+"""Every query against its SQL in DuckDB, on the smallest tables."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from skysift.plans.oracles import oracle_sql
+from skysift.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+SQL = oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        c.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    return c
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda v: tuple((x is None, str(x)) for x in v))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_sql(spark, con, name):
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    assert name in SQL
+    want = con.sql(f"select {', '.join(f'\"{c}\"' for c in cols)} from ({SQL[name]}) q").fetchall()
+    assert in_order(tuple(r) for r in df.select(cols).collect()) == in_order(want)
