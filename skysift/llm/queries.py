@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skysift.llm import chat, decontaminate, licenses, lm, neardup, packing, quality, sharding, sstable, toxicity
 from skysift.llm.common import shared_dir, table
+from skysift.llm.oracles import oracle_sql  # noqa: F401  registered beside queries()
 
 
 def vocabulary(name: str) -> str:
@@ -83,7 +84,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
