@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Channels whose variance lies further than this from the mean variance, in its standard deviations, are excised.
@@ -15,22 +15,29 @@ def row_stats(w: DataFrame) -> DataFrame:
     return w.groupBy("chan").agg(n.alias("n"), s.alias("s"), q.alias("q")).select("chan", (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))).alias("var"))
 
 
+def _global() -> list[Column]:
+    m = F.avg("mean")
+    return [m.alias("g_mean"), F.sqrt(F.avg(F.col("var") + F.col("mean") * F.col("mean")) - m * m).alias("g_std")]
+
+
+def _variances() -> list[Column]:
+    return [F.avg("var").alias("mean_var"), F.stddev_pop("var").alias("std_var")]
+
+
 def global_stats(rows: DataFrame) -> DataFrame:
     """One row (mean, std) of the whole waterfall from its row statistics; rows are equally long."""
-    m = F.avg("mean")
-    return rows.agg(m.alias("mean"), F.sqrt(F.avg(F.col("var") + F.col("mean") * F.col("mean")) - m * m).alias("std"))
+    return rows.agg(*_global()).toDF("mean", "std")
 
 
 def variance_stats(rows: DataFrame) -> DataFrame:
     """One row (mean_var, std_var) of the row variances."""
-    return rows.agg(F.avg("var").alias("mean_var"), F.stddev_pop("var").alias("std_var"))
+    return rows.agg(*_variances())
 
 
 def row_table(w: DataFrame) -> DataFrame:
     """Row statistics beside the global ones: as many rows as channels."""
     rows = row_stats(w)
-    one = global_stats(rows).toDF("g_mean", "g_std").crossJoin(F.broadcast(variance_stats(rows)))  # one row each
-    return rows.crossJoin(F.broadcast(one))
+    return rows.crossJoin(F.broadcast(rows.agg(*_global(), *_variances())))  # one row
 
 
 def _bad():
