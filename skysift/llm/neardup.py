@@ -6,11 +6,12 @@ all signatures, each beginning at another four of the minima and going on with
 the next ones; classes that stand near one another in an order share its longest
 prefixes, so the depth at which they meet adapts to how crowded a region is.
 
-Candidates come in two passes over the orders.  The first takes direct
-neighbours; each class checks one of them, and the links found make components.
-The second takes all neighbours within a window that are in different
-components, so that large groups of copies cost no pairs among themselves.
-Every link is confirmed on full shingle sets (of 64-bit hashes).
+Candidates come in passes over the orders.  In the first ones each class checks
+only the likeliest of its direct neighbours, and the links found make
+components, which the later passes join to one another.  The last one takes all
+neighbours within a window that are in different components, so that large
+groups of copies cost no pairs among themselves.  Every link is confirmed on
+full shingle sets (of 64-bit hashes).
 
 At least four equal minima are asked for.  At a similarity of 0.8, two classes
 meet in one order with probability 0.4, so all 24 orders miss them with 4e-6; in
@@ -33,9 +34,9 @@ from skysift.llm.hashing import mixed, word_hashes
 
 ORDERS, LEAST, DEPTH = 24, 4, 16
 MINIMA = ORDERS * LEAST
-#: Neighbours in an order that the second pass compares.
-WINDOW = 24
-#: Of the minima after the first four in a key, so many must agree in the second pass (at 0.8, one order in fifty fails this).
+#: Neighbours in an order that the last pass compares, those of the passes before it, and how many of these there are.
+WINDOW, NEAR, ROUNDS = 24, 6, 2
+#: Of the minima after the first four in a key, so many must agree from the second pass on (at 0.8, one order in fifty fails this).
 AGREE = 7
 #: Least share of equal minima for a full check: five standard deviations below 0.8.
 ESTIMATE = 0.6
@@ -110,10 +111,13 @@ def order_keys(classes: DataFrame) -> DataFrame:
 
 
 def neighbours(keys: DataFrame, window: int, agree: int) -> DataFrame:
-    """Pairs (a < b) of classes within the window of an order that share its first minima and are in different components."""
+    """Pairs (a < b) of classes within the window of an order that share its first minima and are in different components.
+
+    seen: in how many orders; weight: how many further minima agree there.
+    """
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     head = 1 + 2 * LEAST
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (np.empty((0, 1 + 2 * DEPTH), np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))
@@ -129,17 +133,22 @@ def neighbours(keys: DataFrame, window: int, agree: int) -> DataFrame:
                 first = max(0, old - s)  # pairs within the rows kept are known
                 i = first + np.flatnonzero((comp[first:-s] != comp[first + s :]) & (key[first:-s, head - 1] == key[first + s :, head - 1]))
                 i = i[(key[i, :head] == key[i + s, :head]).all(axis=1)]
-                if agree and len(i):
-                    i = i[(minima[i, LEAST:] == minima[i + s, LEAST:]).sum(axis=1) >= agree]
-                found.append(np.stack([node[i], node[i + s]], axis=1))
+                equal = (minima[i, LEAST:] == minima[i + s, LEAST:]).sum(axis=1)
+                i, equal = i[equal >= agree], equal[equal >= agree]
+                found.append((np.minimum(node[i], node[i + s]), np.maximum(node[i], node[i + s]), equal))
             if found:
-                pairs = np.concatenate(found)
-                pairs = np.unique(np.stack([pairs.min(axis=1), pairs.max(axis=1)], axis=1), axis=0) if len(pairs) else pairs
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], schema=schema)
             kept = (key[-window:], node[-window:], comp[-window:])
 
     ordered = keys.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("seen"))
+    return ordered.mapInArrow(run, "a long, b long, equal long").groupBy("a", "b").agg(F.count("*").alias("seen"), F.sum("equal").alias("weight"))
+
+
+def best_each(pairs: DataFrame) -> DataFrame:
+    """Of each class's pairs the one with the largest weight."""
+    both = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight"))
+    one = both.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b"))
+    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -228,16 +237,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = rows.where("set_hash is not null").groupBy("set_hash").agg(F.min(best).alias("rep"), F.first("sig").alias("sig"))
     classes = written(named.select("set_hash", F.monotonically_increasing_id().alias("node"), "rep", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"), "sig"), "classes")
 
-    alone = classes.withColumn("comp", F.col("node"))
-    near = neighbours(order_keys(alone), 2, 0)
-    one = near.groupBy("b").agg(F.max_by("a", F.struct("seen", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(confirmed(written(one, "first"), classes, docs, k, percent), "links")
-    stars = written(components(links), "stars")
-
-    merged = written(with_components(classes.select("node", "sig"), stars), "merged")
-    rest = written(likely(neighbours(order_keys(merged), WINDOW, AGREE), classes), "second")
-    more = written(confirmed(rest, classes, docs, k, percent), "links")
-    comps = components(more.union(stars.select(F.col("node").alias("a"), F.col("comp").alias("b")))) if more.limit(1).count() else stars
+    stars = None
+    for window, agree in [(2, 0), *[(NEAR, AGREE)] * ROUNDS, (WINDOW, AGREE)]:
+        merged = classes.select("node", "sig", F.col("node").alias("comp")) if stars is None else written(with_components(classes.select("node", "sig"), stars), "merged")
+        pairs = neighbours(order_keys(merged), window, agree)
+        chosen = written(likely(pairs, classes) if window == WINDOW else best_each(pairs), "chosen")
+        links = written(confirmed(chosen, classes, docs, k, percent), "links")
+        if stars is None:
+            stars = written(components(links), "stars")
+        elif links.limit(1).count():
+            stars = written(components(links.union(stars.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "stars")
+    comps = stars
 
     named = written(with_components(classes.select("set_hash", "node", "rep"), comps), "named")
     top = named.groupBy("comp").agg(F.min("rep").alias("top"))
