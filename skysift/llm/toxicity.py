@@ -190,10 +190,15 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int) -> list:
     """Labelled texts to learn from: of each class up to SAMPLE / 2 by the hash of their id, none from fold 0."""
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).withColumnRenamed("doc_id", "_id")
     short = SAMPLE_BYTES // SAMPLE * 4
-    rows = docs.where(F.octet_length("text") <= short).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).where(crc_mod(F.col("doc_id"), folds) != 0)
-    rows = rows.join(marks, F.col("doc_id") == F.col("_id")).withColumn("h", F.xxhash64("doc_id", "text"))
-    take = [rows.where(F.col("_toxic") == t).orderBy("h", "doc_id").limit(SAMPLE // 2).collect() for t in (0, 1)]
-    return sorted(take[0] + take[1], key=lambda r: (r.h, r.doc_id))
+    texts = docs.where(F.octet_length("text") <= short).where(crc_mod(F.col("doc_id"), folds) != 0)
+    texts = texts.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("h"))
+    # Chosen without their texts, which then come for the chosen alone.
+    ids = texts.select("doc_id", "h").join(marks, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "h").agg(F.max("_toxic").alias("_toxic")).withColumn("o", F.xxhash64("doc_id", "h"))
+    take = [tuple(r) for t in (0, 1) for r in ids.where(F.col("_toxic") == t).orderBy("o", "doc_id").limit(SAMPLE // 2).collect()]
+    chosen = docs.sparkSession.createDataFrame(take, "_id long, _h long, _toxic int, o long")  # SAMPLE rows
+    rows = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
+    rows = rows.groupBy("o", "doc_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("t")).select("o", "doc_id", "_toxic", "t.text", "t.lang").collect()
+    return sorted(rows, key=lambda r: (r.o, r.doc_id))
 
 
 class Classifier:
