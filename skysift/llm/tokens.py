@@ -3,8 +3,8 @@
 Running text repeats its words, and a pre-tokenizer never merges across certain
 places.  Texts are therefore cut there into pieces, each distinct piece is
 encoded once per worker by the library itself, and a document is the
-concatenation of its pieces' ids.  Texts with characters for which a cut is not
-proven safe go to the library whole, so ids always equal a direct encoding.
+concatenation of its pieces' ids.  Texts in which a cut is not proven safe go to
+the library whole, so ids always equal a direct encoding.
 """
 
 from __future__ import annotations
@@ -17,26 +17,26 @@ import regex
 
 #: Pieces, and parts of pieces, kept per worker; a full cache starts afresh.
 CACHE_PIECES, CACHE_PARTS = 700_000, 900_000
-#: Pieces are encoded in one text of about this many.
+#: Parts are encoded in texts of about so many.
 JOIN = 500
 
 # Latin letters that have no canonical decomposition partner in this set, so
 # that normalisation and lower-casing act on each of them alone.
 _SAFE = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _SAFE_SPACED = regex.compile(r"[\x09\x0a\x0d\x20-\x7eÀ-ÖØ-öø-ÿ]+")
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0]|[^\x00-῿]")
 _WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SPACE_CUT = regex.compile(r" (?=[^\s])")
 _LETTERS = regex.compile(r" ?\p{L}+")
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    kind "word": lower-casing vocabulary that drops white space; kind "byte":
-    byte-level vocabulary in which one space joins the following word.  Control
-    strings of the vocabulary inside a text are ordinary text.
+    Two kinds of vocabulary are known by their normaliser: one that lower-cases
+    and drops white space (texts are cut at white space), and a byte-level one
+    in which a space joins the word after it (texts are cut before each space
+    that no white space follows).  Control strings of the vocabulary inside a
+    text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -45,96 +45,91 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind = "word" if self.tok.normalizer is not None else "byte"
+        self.word = self.tok.normalizer is not None
+        self.lead = "" if self.word else " "
         self.pieces: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        # Where a run of letters begins or ends shows in its tokens.
+        self.edge = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.edge[i] = token.endswith("</w>") if self.word else token.startswith("Ġ")
 
     @staticmethod
-    def _pack(ids) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def _pack(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _cut(self, text: str) -> list[str] | None:
-        """Pieces between which the library never merges; None: encode whole."""
-        if _ODD_SPACE.search(text):
-            return None
-        if self.kind == "word":
-            return text.split()
-        first, *rest = _SPACE_CUT.split(text) if "  " in text else text.split(" ")
-        if not rest:
-            return [first]
-        out = [first] if first else []
-        if rest[-1] == "":
-            # A last lone space stays a piece of its own.
-            return out + [" " + x for x in rest[:-1]] + [" "]
-        if "\n" in text or "\t" in text:
-            return out + _glue(rest)
-        return out + [" " + x for x in rest]
-
     def _encode_parts(self, new: list[str]) -> None:
         plain, other = [], []
         for x in new:
-            (plain if _LETTERS.fullmatch(x) and (self.kind == "word" or x[0] == " ") else other).append(x)
-        glue = " " if self.kind == "word" else ""
+            (plain if _LETTERS.fullmatch(x) and (self.word or x[0] == " ") else other).append(x)
         groups = [plain[i : i + JOIN] for i in range(0, len(plain), JOIN)]
-        for g, e in zip(groups, self.tok.encode_batch([glue.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, dtype="<u4")
-            at = np.asarray(e.word_ids)
-            cuts = np.flatnonzero(np.diff(at)) + 1
-            if len(cuts) + 1 == len(g):
-                for x, part in zip(g, np.split(ids, cuts), strict=True):
-                    self.parts[x] = part.tobytes()
+        glue = " " if self.word else ""
+        for g, e in zip(groups, self.tok.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.edge[ids])
+            cuts = [0, *(at + 1).tolist()] if self.word else [*at.tolist(), len(ids)]
+            if len(cuts) == len(g) + 1 and cuts[0] == 0 and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                for x, i, j in zip(g, cuts, cuts[1:], strict=False):
+                    self.parts[x] = raw[4 * i : 4 * j]
             else:
                 other += g
         for x, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.parts[x] = self._pack(e.ids)
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.pieces) + len(missing) > CACHE_PIECES:
-            self.pieces.clear()
+    def _learn(self, missing: list[str], lead: str, into: dict[str, bytes]) -> None:
+        if len(into) + len(missing) > CACHE_PIECES:
+            into.clear()
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        word = self.kind == "word"
-        safe, find = (_SAFE, _WORD_PARTS) if word else (_SAFE_SPACED, _BYTE_PARTS)
+        safe, find = (_SAFE, _WORD_PARTS) if self.word else (_SAFE_SPACED, _BYTE_PARTS)
         split, need = {}, set()
         for p in missing:
-            if safe.fullmatch(p):
-                split[p] = parts = find.findall(p.lower() if word else p)
+            text = lead + p
+            if safe.fullmatch(text):
+                split[p] = parts = find.findall(text.lower() if self.word else text)
                 need.update(x for x in parts if x not in self.parts)
             else:
-                self.pieces[p] = self.whole(p)
+                into[p] = self.whole(text)
         self._encode_parts(list(need))
         for p, parts in split.items():
-            self.pieces[p] = b"".join([self.parts[x] for x in parts])
+            into[p] = b"".join([self.parts[x] for x in parts])
+
+    def _known(self, wanted: set[str], lead: str, into: dict[str, bytes]) -> None:
+        if missing := [x for x in wanted if x not in into]:
+            self._learn(missing, lead, into)
+            if len(into) < len(wanted) or any(x not in into for x in wanted):  # the cache began afresh
+                self._learn([x for x in wanted if x not in into], lead, into)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes; None: as empty."""
-        cut = [self._cut(t) if t else [] for t in texts]
-        missing = set()
+        cut: list[list[str] | None] = []
+        firsts: list[str] = []
+        for t in texts:
+            if self.word:
+                # split() also cuts at four control characters that are no white space to the library.
+                cut.append([] if not t else None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
+                firsts.append("")
+            else:
+                first, *rest = t.split(" ") if t else [""]
+                cut.append(rest)
+                firsts.append(first)
+        wanted: set[str] = set()
         for c in cut:
             if c:
-                missing.update(c)
-        missing = [x for x in missing if x not in self.pieces]
-        if missing:
-            kept = len(self.pieces)
-            self._learn(missing)
-            if len(self.pieces) < kept + len(missing):  # the cache began afresh
-                self._learn([x for c in cut if c for x in set(c) if x not in self.pieces])
-        get = self.pieces.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
-
-
-def _glue(rest: list[str]) -> list[str]:
-    """Words after single spaces, where a space before other white space opens no piece."""
-    out: list[str] = []
-    for x in rest:
-        if x[:1] in "\n\t\r\x0b\x0c" and out:
-            out[-1] += " " + x
-        else:
-            out.append(" " + x)
-    return out
+                wanted.update(c)
+        if not self.word:
+            if odd := {x for x in wanted if not x or x[0].isspace()}:
+                wanted -= odd
+                cut = [None if c and not odd.isdisjoint(c) else c for c in cut]
+            self._known(set(firsts) - {""}, "", self.firsts)
+        self._known(wanted, self.lead, self.pieces)
+        get, first_of = self.pieces.__getitem__, self.firsts
+        return [self.whole(t) if c is None else (first_of[f] if f else b"") + b"".join(map(get, c)) for t, c, f in zip(texts, cut, firsts, strict=True)]
 
 
 @lru_cache(maxsize=4)
