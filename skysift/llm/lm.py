@@ -3,17 +3,19 @@
 An n-gram's count is quantised to a level on a logarithmic scale, and the n-gram
 is entered once for each level up to its own; a count is read back by probing
 level after level until one is missing.  The filter is built in segments: hashes
-deal the n-grams to buckets, each bucket's segment is made by one task, and the
-segments together are broadcast.  Their total size is bounded by ``FILTER_BITS``:
-if the corpus has more, the least count that is kept doubles until it fits.
+deal the n-grams to buckets and each bucket's segment is made by one task.  All
+n-grams enter, those that occur once too, so the filter grows with their number.
+Up to ``FILTER_BITS`` the segments together are broadcast; beyond it they stay
+where they are, and the n-grams that texts ask for are sent to them.  Scores are
+the same either way.
 
 A word's probability after another is discounted and interpolated::
 
     p(w | h) = max(c(h, w) - D, 0) / c(h) + (1 - m(h) / c(h)) p(w)
 
-where m(h) is the discounted mass of h's bigrams in the filter, entered like a
-count, and p(w) the smoothed unigram probability.  After a history without such
-bigrams the model is the unigram model.
+where m(h) is the discounted mass of h's bigrams, entered like a count in units of
+1 - D, and p(w) the smoothed unigram probability.  After a history that the
+training texts don't have the model is the unigram model.
 
 Exact unigram counts, for the base score, come in two parts: the frequent words
 (at most ``TOP`` of them) are broadcast, all others are joined.
@@ -33,24 +35,27 @@ from pyspark.sql import functions as F
 from skysift.llm.common import ROWS, crc_mod, written
 from skysift.llm.hashing import mixed, word_hashes
 
-#: Scale of the levels, and the discount of a bigram's count.
+#: Scale of the levels, whose first ones are the whole numbers, and the discount of a bigram's count.
 BASE, DISCOUNT = 1.25, 0.75
-#: Bits of the filter at most (64 MB), bits per entry and probes.
+#: Bits of the filter that are broadcast at most (64 MB), bits per entry and probes.
 FILTER_BITS, ENTRY_BITS, PROBES = 1 << 29, 12, 6
 #: Frequent words whose exact count is broadcast, at most (12 bytes each).
 TOP = 2_000_000
 #: Tokens counted in memory at once, and tokens of the corpus per bucket.
 CHUNK, BUCKET = 3_000_000, 500_000
-#: Least counts are 2 to the power of one of these.
+#: Bytes of text whose n-grams are looked up together in segments that are not broadcast, and bytes of such segments in a task.
+ASKED, HELD = 2_000_000, 8_000_000
+#: The least count of a frequent word is 2 to the power of one of these.
 STEPS = 24
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))  # no word has a space
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LEVEL = np.uint64(0xD6E8FEB86659FD93)
 _MASS = np.uint64(xxhash.xxh3_64_intdigest(b" mass"))
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFE)
 
-_COUNTED = "bucket int, uni binary, uni_n binary, bi binary, bi_n binary, tokens long, words long, uni_ge array<long>, entries array<long>"
+_COUNTED = "bucket int, uni binary, uni_n binary, bi binary, bi_n binary, tokens long, words long, uni_ge array<long>, entries long"
 
 
 def unigram_keys(w: np.ndarray) -> np.ndarray:
@@ -69,14 +74,25 @@ def mass_keys(high: np.ndarray) -> np.ndarray:
     return mixed(high ^ _MASS)
 
 
+def _scale() -> np.ndarray:
+    out = [1]
+    while out[-1] < 1 << 50:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * BASE)))
+    return np.array(out, np.float64)
+
+
+_FROM = _scale()
+_MIDDLE = np.concatenate([[0.0], (_FROM + np.append(_FROM[1:] - 1, _FROM[-1])) / 2])
+
+
 def levels(counts: np.ndarray, least: float) -> np.ndarray:
-    """1 for the least count, and 1 more for each factor of BASE."""
-    return np.where(counts >= least, 1 + np.floor(np.log(np.maximum(counts, least) / least) / math.log(BASE) + 1e-9), 0).astype(np.int64)
+    """1 for the least count, and 1 more for each factor of BASE, but never two for a step of the least count."""
+    return np.searchsorted(_FROM, np.asarray(counts) / least, "right")
 
 
 def count_of(level: np.ndarray, least: float) -> np.ndarray:
-    """A count in the middle of the level's range; the least counts are themselves."""
-    return np.where(level == 0, 0.0, np.where(level == 1, least, least * BASE ** (level - 1.0) * (1 + BASE) / 2))
+    """A count in the middle of the level's range; the first few are themselves."""
+    return least * _MIDDLE[level]
 
 
 class Filter:
@@ -88,20 +104,24 @@ class Filter:
     @staticmethod
     def places(keys: np.ndarray, level: int | np.ndarray, size: int) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
-            x = mixed(keys + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            x = mixed(keys + np.asarray(level, np.uint64) * _LEVEL)
             a, b = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
             return [(a + np.uint64(i) * b) % np.uint64(size) for i in range(PROBES)]
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels read back by probing one after the other."""
+    def levels(self, keys: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+        """Levels read back by probing one after the other; by: where the segment's number is, if not in keys."""
+        by = keys if by is None else by
         out, live, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        start = (keys >> self.shift if self.shift < 64 else keys * np.uint64(0)) * np.uint64(self.size)
+        start = (by >> self.shift if self.shift < 64 else by * np.uint64(0)) * np.uint64(self.size)
         while len(live):
-            hit = np.ones(len(live), bool)
-            for place in self.places(keys[live], level, self.size):
-                at = start[live] + place
-                hit &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            live = live[hit]
+            with np.errstate(over="ignore"):
+                x = mixed(keys[live] + np.uint64(level) * _LEVEL)
+            a, b = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
+            for i in range(PROBES):
+                with np.errstate(over="ignore"):
+                    at = start[live] + (a + np.uint64(i) * b) % np.uint64(self.size)
+                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                live, a, b = live[hit], a[hit], b[hit]
             out[live] = level
             level += 1
         return out
@@ -115,7 +135,7 @@ def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 
 
 def counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Counts of all unigrams, and of the bigrams that occur twice or more, a row per bucket.
+    """Counts of all unigrams and bigrams, a row per bucket.
 
     Tasks count in memory first, so that a common n-gram is sent once by each.
     """
@@ -149,17 +169,16 @@ def counts(docs: DataFrame, buckets: int) -> DataFrame:
         keys, at = np.unique(keys, return_inverse=True)
         n = np.bincount(at, n).astype(np.int64)
         uni = keys & np.uint64(1) == 0
-        bi = ~uni & (n >= 2)
+        bi = ~uni
         steps = [1 << i for i in range(STEPS)]
         row = {
             "bucket": group.column("bucket")[0].as_py(),
             "uni": keys[uni].tobytes(), "uni_n": n[uni].tobytes(), "bi": keys[bi].tobytes(), "bi_n": n[bi].tobytes(),
             "tokens": int(n[uni].sum()), "words": int(uni.sum()),
             "uni_ge": [int((n[uni] >= s).sum()) for s in steps],
-            # A bigram may bring its history's mass, of no more levels than its count.
-            "entries": [int(levels(n[uni], s)[n[uni] >= s].sum() + 2 * levels(n[bi], max(2, s)).sum()) for s in steps],
+            "entries": int(levels(n, 1).sum()),
         }
-        return pa.Table.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("uni", "uni_n", "bi", "bi_n")], ("tokens", pa.int64()), ("words", pa.int64()), ("uni_ge", pa.list_(pa.int64())), ("entries", pa.list_(pa.int64()))]))
+        return pa.Table.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("uni", "uni_n", "bi", "bi_n")], ("tokens", pa.int64()), ("words", pa.int64()), ("uni_ge", pa.list_(pa.int64())), ("entries", pa.int64())]))
 
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(merge, _COUNTED)
 
@@ -169,48 +188,131 @@ def _arrays(batch: pa.RecordBatch, keys: str, n: str) -> Iterator[tuple[int, np.
         yield r["bucket"], np.frombuffer(r[keys], np.uint64), np.frombuffer(r[n], np.int64)
 
 
-def build(counted: DataFrame, buckets: int, size: int, least: int) -> DataFrame:
-    """Segments (bucket, bits) of the filter: unigrams from ``least`` on, bigrams from 2 or least on, and histories' masses."""
-    pair = max(2, least)
-    entry = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("levels", pa.binary())])
+def masses(counted: DataFrame, buckets: int) -> DataFrame:
+    """A row per bucket: keys of histories, levels of their masses, and how many levels these are together."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            high, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held]), len(high))
+            keys = mass_keys(high)
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            return pa.RecordBatch.from_pylist([{"bucket": b, "keys": keys[i:j].tobytes(), "n": n[i:j].tobytes()} for b, i, j in _slices(keys, buckets)], schema=schema)
 
-    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, keys, n in _arrays(batch, "bi", "bi_n"):
-                keys, n = keys[n >= pair], n[n >= pair]
                 with np.errstate(over="ignore"):
-                    high, at = np.unique(keys * _BACK & _HIGH, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(np.bincount(at, n - DISCOUNT, len(high)))], names=["high", "mass"])
+                    held.append((keys * _BACK & _HIGH, n - DISCOUNT))
+                size += len(keys)
+                if size >= CHUNK:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-    def of_masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = mass_keys(batch.column("high").to_numpy().view(np.uint64))
-            order = np.argsort(keys)
-            keys, n = keys[order], levels(batch.column("mass").to_numpy()[order], 1.0).astype(np.uint8)
-            yield pa.RecordBatch.from_pylist([{"bucket": b, "keys": keys[i:j].tobytes(), "levels": n[i:j].tobytes()} for b, i, j in _slices(keys, buckets)], schema=entry)
+    def merge(group: pa.Table) -> pa.Table:
+        keys, at = np.unique(np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64), return_inverse=True)
+        top = levels(np.bincount(at, np.frombuffer(b"".join(group.column("n").to_pylist()), np.float64), len(keys)), 1 - DISCOUNT)
+        row = {"bucket": group.column("bucket")[0].as_py(), "keys": keys.tobytes(), "levels": top.astype(np.uint8).tobytes(), "entries": int(top.sum())}
+        return pa.Table.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("levels", pa.binary()), ("entries", pa.int64())]))
+
+    return counted.select("bucket", "bi", "bi_n").mapInArrow(run, "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, levels binary, entries long")
+
+
+def build(counted: DataFrame, mass: DataFrame, size: int) -> DataFrame:
+    """Segments (bucket, bits) of the filter: all unigrams, bigrams and histories' masses."""
+    entry = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("levels", pa.binary())])
 
     def of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, low in ((("uni", "uni_n"), least), (("bi", "bi_n"), pair)):
+            for names in (("uni", "uni_n"), ("bi", "bi_n")):
                 for bucket, keys, n in _arrays(batch, *names):
-                    keys, n = keys[n >= low], n[n >= low]
-                    yield pa.RecordBatch.from_pylist([{"bucket": bucket, "keys": keys.tobytes(), "levels": levels(n, low).astype(np.uint8).tobytes()}], schema=entry)
+                    yield pa.RecordBatch.from_pylist([{"bucket": bucket, "keys": keys.tobytes(), "levels": levels(n, 1).astype(np.uint8).tobytes()}], schema=entry)
 
     def segment(group: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
         top = np.frombuffer(b"".join(group.column("levels").to_pylist()), np.uint8)
-        bits = np.zeros(size // 8, np.uint8)
+        on = np.zeros(size, bool)
         for level in range(1, int(top.max(initial=0)) + 1):
             for at in Filter.places(keys[top >= level], level, size):
-                np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+                on[at] = True
+        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
-    mass = counted.select("bucket", "bi", "bi_n").mapInArrow(masses, "high long, mass double").groupBy("high").agg(F.sum("mass").alias("mass"))
-    ddl = "bucket int, keys binary, levels binary"
-    entries = mass.mapInArrow(of_masses, ddl).union(counted.select("bucket", "uni", "uni_n", "bi", "bi_n").mapInArrow(of_counts, ddl))
+    entries = mass.select("bucket", "keys", "levels").union(counted.select("bucket", "uni", "uni_n", "bi", "bi_n").mapInArrow(of_counts, "bucket int, keys binary, levels binary"))
     return entries.groupBy("bucket").applyInArrow(segment, "bucket int, bits binary")
 
 
+def asked(kinds: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What texts need of the filter, from their distinct words and each token's number among these.
+
+    The number of the word before each token, that of its bigram, and the keys of
+    all words, of their masses as histories, and of all bigrams.
+    """
+    before = np.concatenate([[np.searchsorted(kinds, END)], of[:-1]])
+    pairs, of_pair = np.unique(before * len(kinds) + of, return_inverse=True)
+    keys = [unigram_keys(kinds), mass_keys(mixed(kinds) & _HIGH), bigram_keys(kinds[pairs // len(kinds)], kinds[pairs % len(kinds)])]
+    return before, of_pair, np.concatenate(keys)
+
+
+def logs(level: np.ndarray, kinds: int, before: np.ndarray, of: np.ndarray, of_pair: np.ndarray, whole: float) -> np.ndarray:
+    """Each token's log10 probability, from the levels of what ``asked`` gave."""
+    c, mass, both = count_of(level[:kinds], 1), count_of(level[kinds : 2 * kinds], 1 - DISCOUNT), count_of(level[2 * kinds :], 1)[of_pair]
+    p = (c + 0.1)[of] / whole
+    seen = np.maximum(c[before], np.maximum(mass[before] + DISCOUNT, both))
+    follows = (mass[before] > 0) & (c[before] > 0)
+    return np.log10(np.where(follows, np.maximum(both - DISCOUNT, 0) / seen + (1 - mass[before] / seen) * p, p))
+
+
+def looked_up(held: DataFrame, segments: DataFrame, buckets: int, size: int, whole: float) -> DataFrame:
+    """(row, score) of all texts, with a filter in segments that meet only the n-grams looked up in them.
+
+    held: chunks of texts (chunk, rows, sizes, kinds, of).
+    """
+    each = 1 << max(0, int(math.log2(max(1, HELD * 8 // size))))
+    groups = max(1, buckets // each)
+    each = buckets // groups
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = np.unique(asked(np.frombuffer(r["kinds"], np.uint64), np.frombuffer(r["of"], np.int32).astype(np.int64))[2])
+                found = list(_slices(keys, groups)) if groups > 1 else [(0, 0, len(keys))]
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in found], pa.int32()), pa.array([r["chunk"]] * len(found), pa.int64()), pa.array([keys[i:j].tobytes() for _, i, j in found], pa.binary())], names=["part", "chunk", "keys"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = (left if left.num_rows else right).column("part")[0].as_py()
+        bits = np.zeros(each * size // 8, np.uint8)
+        for b, x in zip(right.column("bucket").to_pylist(), right.column("bits"), strict=True):
+            bits[(b - part * each) * size // 8 : (b - part * each + 1) * size // 8] = np.frombuffer(x.as_buffer(), np.uint8)
+        model, got = Filter(bits, each), []
+        for x in left.column("keys"):
+            keys = np.frombuffer(x.as_buffer(), np.uint64)
+            # The group's number goes, so that the segment's is highest.
+            got.append(model.levels(keys, keys << np.uint64(int(math.log2(groups)))).astype(np.uint8).tobytes())
+        return pa.table({"chunk": left.column("chunk"), "part": left.column("part"), "levels": pa.array(got, pa.binary())})
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        r = left.to_pylist()[0]
+        kinds, of = np.frombuffer(r["kinds"], np.uint64), np.frombuffer(r["of"], np.int32).astype(np.int64)
+        before, of_pair, keys = asked(kinds, of)
+        got = sorted(zip(right.column("part").to_pylist(), right.column("levels").to_pylist(), strict=True))
+        level = np.frombuffer(b"".join(x for _, x in got), np.uint8)[np.unique(keys, return_inverse=True)[1]]
+        doc = np.repeat(np.arange(len(r["sizes"])), r["sizes"])
+        return pa.table({"row": pa.array(r["rows"], pa.int64()), "score": pa.array(np.bincount(doc, logs(level, len(kinds), before, of, of_pair, whole), len(r["sizes"])))})
+
+    probes = held.select("chunk", "kinds", "of").mapInArrow(ask, "part int, chunk long, keys binary")
+    parts = segments.withColumn("part", F.floor(F.col("bucket") / each).cast("int"))
+    answers = probes.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(answer, "chunk long, part int, levels binary")
+    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "row long, score double")
+
+
 def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """Scores whole texts by a model of those whose crc32(doc_id as text) mod ``folds`` is not 0.
 
@@ -226,14 +328,17 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     tokens = (train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     buckets = 1 << max(3, math.ceil(math.log2(max(1, tokens / BUCKET))))
     counted = written(counts(train, buckets), "counts")
-    total = counted.agg(F.sum("tokens"), F.sum("words"), *[F.sum(F.col(c)[i]) for c in ("uni_ge", "entries") for i in range(STEPS)]).first()
-    n_all, n_words = total[0] or 0, total[1] or 0
-    uni_ge, entries = [x or 0 for x in total[2 : 2 + STEPS]], [x or 0 for x in total[2 + STEPS :]]
-    step = next((i for i in range(STEPS) if entries[i] * ENTRY_BITS <= FILTER_BITS), STEPS - 1)
-    size = -(-min(FILTER_BITS, max(1024, entries[step] * ENTRY_BITS)) // buckets // 64 + 1) * 64
-    bits = np.zeros(buckets * size // 8, np.uint8)
-    for r in build(counted, buckets, size, 1 << step).toLocalIterator():  # FILTER_BITS in all
-        bits[r.bucket * size // 8 : (r.bucket + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
+    mass = written(masses(counted, buckets), "masses")
+    total = counted.agg(F.sum("tokens"), F.sum("words"), F.sum("entries"), *[F.sum(F.col("uni_ge")[i]) for i in range(STEPS)]).first()
+    n_all, n_words, uni_ge = total[0] or 0, total[1] or 0, [x or 0 for x in total[3:]]
+    entries = (total[2] or 0) + (mass.agg(F.sum("entries")).first()[0] or 0)
+    size = -(-max(1024, entries * ENTRY_BITS) // buckets // 64 + 1) * 64
+    segments = build(counted, mass, size)
+    whole_filter = buckets * size <= FILTER_BITS
+    bits = np.zeros(buckets * size // 8 if whole_filter else 0, np.uint8)
+    if whole_filter:
+        for r in segments.toLocalIterator():  # FILTER_BITS in all
+            bits[r.bucket * size // 8 : (r.bucket + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
 
     often = next((i for i in range(STEPS) if uni_ge[i] <= TOP), STEPS - 1)
 
@@ -246,16 +351,23 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     top_keys = np.frombuffer(b"".join(r["keys"] for r in top), np.uint64)
     top_n = np.frombuffer(b"".join(r["n"] for r in top), np.int64)
     shared = spark.sparkContext.broadcast((bits, top_keys, top_n))
-    least, pair, whole = 1 << step, max(2, 1 << step), n_all + 0.1 * (n_words + 1)
+    whole = n_all + 0.1 * (n_words + 1)
 
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.int64()))])
+    schema = pa.schema([("chunk", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("held_outs", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())), ("rest", pa.list_(pa.list_(pa.int64()))), ("kinds", pa.binary()), ("of", pa.binary())])
+
+    def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if whole_filter:
+            yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+            return
+        ends = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")]) // ASKED
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if i < j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, top_keys, top_n = shared.value
         model = Filter(bits, buckets)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in chunks(batch):
                 hashed = [np.append(word_hashes(t), END) for t in part.column("text").to_pylist()]
                 sizes = np.array([len(x) for x in hashed])
                 w = np.concatenate(hashed)
@@ -267,23 +379,24 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
                 base = np.bincount(doc, np.log10((n + 0.1) / whole)[of], len(sizes))
                 known = np.bincount(doc, (n > 0)[of], len(sizes)).astype(np.int64)
                 # The model's own counts come from the filter.
-                c = count_of(model.levels(keys), least)
-                high = mixed(kinds) & _HIGH
-                mass = count_of(model.levels(mass_keys(high)), 1.0)
-                p = (c + 0.1)[of] / whole
-                before = np.concatenate([[np.searchsorted(kinds, END)], of[:-1]])
-                pairs, of_pair = np.unique(bigram_keys(kinds[before], w), return_inverse=True)
-                both = count_of(model.levels(pairs), pair)[of_pair]
-                seen = np.maximum(c[before], np.maximum(mass[before] + DISCOUNT, both))
-                follows = (mass[before] > 0) & (c[before] > 0)
-                p = np.where(follows, np.maximum(both - DISCOUNT, 0) / seen + (1 - mass[before] / seen) * p, p)
-                scored = np.bincount(doc, np.log10(p), len(sizes))
+                scored = None
+                if whole_filter:
+                    before, of_pair, wanted = asked(kinds, of)
+                    scored = np.bincount(doc, logs(model.levels(wanted), len(kinds), before, of, of_pair, whole), len(sizes)).tolist()
                 rare = keys[of].view(np.int64) if often else np.empty(0, np.int64)
-                rest = [rare[i:j][n[of[i:j]] == 0] for i, j in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)] if often else [[]] * len(sizes)
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("row", "doc_id", "held_out")), pa.array(sizes), pa.array(known), pa.array(base), pa.array(scored), pa.array(rest, pa.list_(pa.int64()))], schema=schema)
-
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
-    scored = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl), "scores")
+                rest = [rare[i:j][n[of[i:j]] == 0].tolist() for i, j in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)] if often else [[]] * len(sizes)
+                row = {"chunk": part.column("row")[0].as_py(), "rows": part.column("row").to_pylist(), "doc_ids": part.column("doc_id").to_pylist(), "held_outs": part.column("held_out").to_pylist(), "sizes": sizes.tolist(), "known": known.tolist(), "base": base.tolist(), "score": scored, "rest": rest}
+                if not whole_filter:
+                    row |= {"kinds": kinds.tobytes(), "of": of.astype(np.int32).tobytes()}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    ddl = "chunk long, rows array<long>, doc_ids array<long>, held_outs array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, rest array<array<long>>, kinds binary, of binary"
+    held = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl), "scores")
+    fields = ["rows", "doc_ids", "held_outs", "sizes", "known", "base", "rest"] + ["score"] * whole_filter
+    scored = held.select(F.explode(F.arrays_zip(*fields)).alias("d")).select(F.col("d.rows").alias("row"), F.col("d.doc_ids").alias("doc_id"), F.col("d.held_outs").alias("held_out"), F.col("d.sizes").alias("n_tokens"), *[f"d.{x}" for x in fields[4:]])
+    if not whole_filter:
+        found = looked_up(held.select("chunk", "rows", "sizes", "kinds", "of"), segments, buckets, size, whole)
+        scored = scored.join(written(found, "found"), "row")
     out = scored.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score")
     if often:
 

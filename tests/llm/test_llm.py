@@ -297,6 +297,36 @@ def test_filter_reads_levels_back():
     assert (f.levels(keys) >= levels).all() and (f.levels(keys) == levels).sum() >= 4
 
 
+def test_lm_scores_do_not_change_with_the_filter_that_is_broadcast(spark, docs, monkeypatch):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: tuple(r) for r in lm.score(df).collect()}
+    monkeypatch.setattr(lm, "FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(lm, "HELD", 1 << 14)
+    monkeypatch.setattr(lm, "ASKED", 100_000)
+    got = {r.doc_id: tuple(r) for r in lm.score(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(a[:6] == b[:6] and math.isclose(a[6], b[6], rel_tol=1e-9) for a, b in ((got[i], want[i]) for i in want))
+
+
+def test_lm_knows_bigrams_that_occur_once(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choices(["a", "b", "c", f"w{i}", f"v{i}"], k=5))) for i in range(60)]
+    train = [t.split() for i, t in texts if zlib.crc32(str(i).encode()) % 10]
+    uni = Counter(w for t in train for w in [*t, ""])
+    bi = Counter(p for t in train for p in zip(["", *t], [*t, ""]))
+    mass = Counter()
+    for (h, _), n in bi.items():
+        mass[h] += n - lm.DISCOUNT
+    total, kinds = sum(uni.values()), len(uni)
+    for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        t = dict(texts)[r.doc_id].split()
+        want = 0.0
+        for h, w in zip(["", *t], [*t, ""]):
+            p = (uni[w] + 0.1) / (total + 0.1 * (kinds + 1))
+            want += math.log10(max(bi[h, w] - lm.DISCOUNT, 0) / uni[h] + (1 - mass[h] / uni[h]) * p if uni[h] else p)
+        assert abs(r.score - want) < 0.12 * r.n_tokens
+
+
 def test_lm_odd_rows(spark, odd, none):
     got = lm.score(odd).collect()
     assert len(got) == odd.count() and all(r.score < 0 or r.n_tokens for r in got)
