@@ -7,8 +7,9 @@ labelled texts.  Because a filter is linear before its maximum, scoring needs
 no embeddings: for every bucket and every place of a filter the product is
 tabled once, and a text's responses are sums of table rows.
 
-Decisions use thresholds by language, chosen on labelled texts that the fit has
-not seen; the score itself knows nothing but the text.
+Decisions use thresholds by language, chosen on all labelled texts that the fit
+has not seen, but for those of fold 0, which are kept for judging; the score
+itself knows nothing but the text.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from skysift.llm.common import ROWS, crc_mod
+from skysift.llm.common import BROADCAST_ROWS, ROWS, crc_mod
 from skysift.llm.licenses import words_of
 
-#: Labelled texts that the model and the thresholds are fitted to, at most; those of each class with the smallest hash of their id.
+#: Labelled texts that the model is fitted to, at most; those of each class with the smallest hash of their id.
 SAMPLE = 6000
 #: Bytes of text in that sample, at most: longer texts than four times the mean that this allows are left out of the sample, never cut.
 SAMPLE_BYTES = 24_000_000
@@ -35,6 +36,8 @@ PARTS = 1 + len(STEMS)
 #: Bucket of words and stems in fewer than this many sampled texts, which say nothing.
 RARE, SEEN_IN = 0, 4
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-4
+#: Thresholds to choose from.
+CUTS = np.round(np.arange(0.2, 0.96, 0.05), 2)
 #: Words whose buckets a worker remembers.
 WORDS = 500_000
 
@@ -171,24 +174,63 @@ class Model:
         return self.ready()
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray, langs: list[str], least: int = 20) -> dict[str, float]:
-    """Per language the threshold with the best F1 on unseen texts, drawn half-way to 0.5; 0.5 for languages with few toxic texts."""
+def calibrate(counted: list, least: int = 20) -> dict[str, float]:
+    """Per language the threshold with the best F1 on unseen texts, drawn half-way to 0.5; 0.5 for languages with few toxic texts.
+
+    counted: rows (lang, toxic, short, bin, unseen, n), where n counts all texts of
+    a language, label and length, and unseen those in the bin that the fit has
+    not seen; these stand for all of theirs.
+    """
     out = {}
-    lang = np.array(langs)
-    for name in sorted(set(langs)):
-        s, t = scores[lang == name], y[lang == name]
-        if t.sum() < least or (1 - t).sum() < least:
+    for name in sorted({r.lang for r in counted}):
+        seen_as = np.zeros((2, len(CUTS) + 1))
+        of = [r for r in counted if r.lang == name]
+        if any(sum(r.unseen for r in of if r.toxic == t) < least for t in (0, 1)):
             continue
-        cuts = np.round(np.arange(0.2, 0.96, 0.05), 2)
-        f1 = [2 * (t * (s >= c)).sum() / max(1, (s >= c).sum() + t.sum()) for c in cuts]
-        best = max(range(len(cuts)), key=lambda i: (f1[i], -abs(cuts[i] - 0.5)))
-        out[name] = float((cuts[best] + 0.5) / 2)
+        for key in {(r.toxic, r.short) for r in of}:
+            rows = [r for r in of if (r.toxic, r.short) == key]
+            unseen = sum(r.unseen for r in rows)
+            for r in rows:
+                if unseen:
+                    seen_as[key[0], r.bin] += r.unseen * r.n / unseen
+        over = seen_as[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]  # texts that reach each cut
+        f1 = 2 * over[1] / np.maximum(1e-9, over.sum(axis=0) + seen_as[1].sum())
+        best = max(range(len(CUTS)), key=lambda i: (f1[i], -abs(CUTS[i] - 0.5)))
+        out[name] = float((CUTS[best] + 0.5) / 2)
     return out
 
 
+def marked(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).withColumnRenamed("doc_id", "_id")
+
+
+def counted(docs: DataFrame, labels: DataFrame, folds: int, model: Model, seen: list[int]) -> list:
+    """Rows for ``calibrate``, of all labelled texts outside fold 0; seen: hashes of id and text that the model was fitted to."""
+    spark = docs.sparkSession
+    marks = marked(labels)
+    short = F.coalesce(F.octet_length("text") <= SAMPLE_BYTES // SAMPLE * 4, F.lit(False))
+    texts = docs.where(crc_mod(F.col("doc_id"), folds) != 0).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), short.alias("short"), F.xxhash64("doc_id", F.xxhash64("text")).alias("o"))
+    few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        texts = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).drop("_id")
+    fitted = spark.createDataFrame([(o,) for o in seen], "_o long").distinct()  # SAMPLE rows
+    texts = texts.join(F.broadcast(fitted), F.col("o") == F.col("_o"), "left").withColumn("fresh", F.col("_o").isNull()).drop("_o", "o")
+    # Without their texts before anything is shuffled.
+    bins = sum((F.col("score") >= float(c)).cast("int") for c in CUTS)
+    found = with_scores(texts, model).withColumn("bin", bins).drop("text", "score")
+    if not few:
+        found = found.join(marks, F.col("doc_id") == F.col("_id")).drop("_id")
+    by = ["lang", F.col("_toxic").alias("toxic"), "short"]
+    rows = found.groupBy(*by, "bin").agg(F.count(F.when(F.col("fresh"), 1)).alias("unseen"), F.count("*").alias("m")).collect()  # a few for each language
+    total: dict[tuple, int] = {}
+    for r in rows:
+        total[r.lang, r.toxic, r.short] = total.get((r.lang, r.toxic, r.short), 0) + r.m
+    return [Row(lang=r.lang, toxic=r.toxic, short=r.short, bin=r.bin, unseen=r.unseen, n=total[r.lang, r.toxic, r.short]) for r in rows]
+
+
 def sample(docs: DataFrame, labels: DataFrame, folds: int) -> list:
     """Labelled texts to learn from: of each class up to SAMPLE / 2 by the hash of their id, none from fold 0."""
-    marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).withColumnRenamed("doc_id", "_id")
+    marks = marked(labels)
     short = SAMPLE_BYTES // SAMPLE * 4
     texts = docs.where(F.octet_length("text") <= short).where(crc_mod(F.col("doc_id"), folds) != 0)
     texts = texts.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("h"))
@@ -213,14 +255,16 @@ class Classifier:
         known = n >= SEEN_IN
         known[RARE] = False
         self.thresholds: dict[str, float] = {}
+        self.trial: Model | None = None
+        self.seen: list[int] = []
         self.model = Model(known)
         if 0 < y.sum() < len(y):
             # The thresholds come from a model that has not seen every fifth text; the scores from one that has seen all.
             seen = np.arange(len(rows)) % 5 != 0
             if 0 < y[seen].sum() < seen.sum():
-                trial = Model(known).fit([t for t, s in zip(texts, seen, strict=True) if s], y[seen])
-                held = [r for r, s in zip(rows, seen, strict=True) if not s]
-                self.thresholds = calibrate(trial.score([r.text for r in held]), y[~seen], [r.lang for r in held])
+                self.trial = Model(known).fit([t for t, s in zip(texts, seen, strict=True) if s], y[seen])
+                self.trial.p["e"] = np.empty((0, WIDE), np.float32)
+                self.seen = [r.o for r, s in zip(rows, seen, strict=True) if s]
             self.model.fit(texts, y)
         else:
             # Nothing to tell the classes apart by: all texts get one score.
@@ -231,7 +275,25 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Classifier:
-    return Classifier(sample(docs, labels, folds))
+    fitted = Classifier(sample(docs, labels, folds))
+    if fitted.trial is not None:
+        fitted.thresholds = calibrate(counted(docs, labels, folds, fitted.trial, fitted.seen))
+    return fitted
+
+
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, which have no such column, with the score of each text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 19 MB, by BUCKETS and FILTERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column("text").to_pylist()))], names=[*batch.schema.names, "score"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, score double")
 
 
 def scored(docs: DataFrame, classifier: Classifier, folds: int = 5) -> DataFrame:
@@ -242,20 +304,9 @@ def scored(docs: DataFrame, classifier: Classifier, folds: int = 5) -> DataFrame
     alike; an empty table gives no row; columns of docs named like the new ones
     are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classifier.model)  # about 19 MB, by BUCKETS and FILTERS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            names = [n for n in batch.schema.names if n != "score"]
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(model.score(part.column("text").to_pylist()))], names=[*names, "score"])
-
     kept = docs.drop("score", "held_out", "threshold", "toxic")
     threshold = F.lit(0.5)
     for lang, cut in classifier.thresholds.items():
         threshold = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(threshold)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    out = kept.mapInArrow(run, f"{fields}, score double")
+    out = with_scores(kept, classifier.model)
     return out.withColumn("held_out", crc_mod(F.col("doc_id"), folds) == 0).withColumn("threshold", threshold).withColumn("toxic", F.col("score") >= F.col("threshold"))

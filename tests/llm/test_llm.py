@@ -297,6 +297,19 @@ def test_filter_reads_levels_back():
     assert (f.levels(keys) >= levels).all() and (f.levels(keys) == levels).sum() >= 4
 
 
+def test_toxicity_thresholds_come_from_all_labelled_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["good", "day", "tea", "walk"], k=6) + rng.choices(["foul", "day"], [4, 1] if i % 5 == 0 else [1, 40])), "ab"[i % 2], int(i % 5 == 0)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert set(model.thresholds) == {"a", "b"}
+    found = toxicity.counted(df.drop("toxic"), df.select("doc_id", "toxic"), 5, model.trial, model.seen)
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert sum(r.unseen for r in found) == len(kept) - len(model.seen) and len(model.seen) < 60
+    assert {(r.lang, r.toxic): r.n for r in found} == Counter((lang, t) for _, _, lang, t in kept)
+
+
 def test_lm_scores_do_not_change_with_the_filter_that_is_broadcast(spark, docs, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     want = {r.doc_id: tuple(r) for r in lm.score(df).collect()}
