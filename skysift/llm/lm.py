@@ -334,6 +334,9 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     entries = (total[2] or 0) + (mass.agg(F.sum("entries")).first()[0] or 0)
     size = -(-max(1024, entries * ENTRY_BITS) // buckets // 64 + 1) * 64
     segments = build(counted, mass, size)
+    if buckets * size > FILTER_BITS:
+        segments = written(segments, "segments")
+    spark._jvm.System.gc()  # lets go of the shuffles behind the tables written
     whole_filter = buckets * size <= FILTER_BITS
     bits = np.zeros(buckets * size // 8 if whole_filter else 0, np.uint8)
     if whole_filter:
