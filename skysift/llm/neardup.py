@@ -1,22 +1,27 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 Documents with the same set of word shingles are one class from the start.  A
-class has a signature of 96 minima.  The forest is a number of sorted orders of
-all signatures, each beginning at another four of the minima and going on with
-the next ones; classes that stand near one another in an order share its longest
-prefixes, so the depth at which they meet adapts to how crowded a region is.
-
-Candidates come in passes over the orders.  In the first ones each class checks
-only the likeliest of its direct neighbours, and the links found make
-components, which the later passes join to one another.  The last one takes all
-neighbours within a window that are in different components, so that large
-groups of copies cost no pairs among themselves.  Every link is confirmed on
-full shingle sets (of 64-bit hashes).
-
-At least four equal minima are asked for.  At a similarity of 0.8, two classes
-meet in one order with probability 0.4, so all 24 orders miss them with 4e-6; in
-a region with more than ``WINDOW`` unrelated classes of nearly the same prefix
-the two must agree deeper, and the others of their order fill the window.
+class has a signature of 96 minima.  The forest is 24 sorted orders of all
+signatures, each beginning at another four of the minima and going on with the
+next ones.  Only classes that meet another one in an order, on its first four
+minima, go on; most classes never do.
+
+How deep an order is followed depends on how crowded it is there:
+
+* In a region of at most ``RUN`` classes all neighbours are candidates, if
+  their signatures agree enough.
+* In a fuller region the order goes on with the next minima, and a class's
+  candidates are its neighbours with the longest common prefix; the likeliest
+  few of each class are checked.  That joins copies of one another to
+  components in linear work, and copies need no pairs among themselves any more.
+* Full regions may still hide links between components.  Their classes are
+  compared once more by an exact set join with other components: shingles are
+  put in one order, rare ones first, and two classes can only be linked if they
+  share one among the first few of each and have enough shingles left after it.
+
+So nothing is cut off in a crowd.  Every link is confirmed on full shingle sets
+(of 64-bit hashes).  At a similarity of 0.8 two classes meet on four minima of
+one order with probability 0.4, so all 24 orders miss them with 4e-6.
 """
 
 from __future__ import annotations
@@ -26,20 +31,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import map_rows, small, written
+from skysift.llm.common import free, map_rows, small, written
 from skysift.llm.hashing import mixed, word_hashes
 
-ORDERS, LEAST, DEPTH = 24, 4, 16
+ORDERS, LEAST = 24, 4
 MINIMA = ORDERS * LEAST
-#: Neighbours in an order that the last pass compares, those of the passes before it, and how many of these there are.
-WINDOW, NEAR, ROUNDS = 24, 6, 2
-#: Of the minima after the first four in a key, so many must agree from the second pass on (at 0.8, one order in fifty fails this).
-AGREE = 7
+#: Classes of a region all of which are compared with one another.
+RUN = 32
+#: In fuller regions: further minima that order a class, neighbours looked at, the likeliest of a class that are checked.
+DEPTH, NEAR, BEST = 20, 3, 3
 #: Least share of equal minima for a full check: five standard deviations below 0.8.
 ESTIMATE = 0.6
+#: Cells in which shingles are counted to put rare ones first; any counts give the same links.
+CELLS = 1 << 20
+#: Links that one task contracts in memory.
+LINKS = 1_000_000
 _ODD = np.array([xxhash.xxh3_64_intdigest(b"times", seed=i) | 1 for i in range(MINIMA)], np.uint64)
 _XOR = np.array([xxhash.xxh3_64_intdigest(b"xor", seed=i) for i in range(MINIMA)], np.uint64)
 _PLACE = np.array([xxhash.xxh3_64_intdigest(b"place", seed=i) | 1 for i in range(64)], np.uint64)
@@ -59,122 +68,177 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima (low 32 bits) of each non-empty set under every hash function."""
+    """Minima (16 bits of each) of each non-empty set under every hash function."""
     joined = np.concatenate(sets)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), MINIMA), np.uint32)
+    out = np.empty((len(sets), MINIMA), np.uint16)
     buf = np.empty_like(joined)
     with np.errstate(over="ignore"):
         for i in range(MINIMA):
             np.bitwise_xor(joined, _XOR[i], out=buf)
             np.multiply(buf, _ODD[i], out=buf)
-            out[:, i] = (np.minimum.reduceat(buf, at) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            out[:, i] = (np.minimum.reduceat(buf, at) & np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
 
+def heads(sig: np.ndarray) -> np.ndarray:
+    """For each signature and order a number made of the order and its first minima."""
+    first = np.ascontiguousarray(sig.reshape(len(sig), ORDERS, LEAST)).view(np.uint64)[:, :, 0]
+    with np.errstate(over="ignore"):
+        return mixed(first + np.arange(ORDERS, dtype=np.uint64) * _PLACE[0]).view(np.int64)
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_hash (null without words), sig."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sig", pa.binary())])
+    """doc_id, text_hash, n_shingles; set_hash, heads and sig (8 bits of each minimum), null without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("heads", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         sets = [shingle_set(t, k) for t in rows["text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
-        sig: list[bytes | None] = [None] * len(sets)
+        hashes, tops, sigs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
         if full:
-            for i, s in zip(full, signatures([sets[i] for i in full]), strict=True):
-                sig[i] = s.tobytes()
-        hashes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "n_shingles": [len(s) for s in sets], "set_hash": hashes, "sig": sig}
+            sig = signatures([sets[i] for i in full])
+            for i, top, low in zip(full, heads(sig), sig.astype(np.uint8), strict=True):
+                hashes[i], tops[i], sigs[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), top, low.tobytes()
+        return {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "n_shingles": [len(s) for s in sets], "set_hash": hashes, "heads": tops, "sig": sigs}
 
-    return map_rows(docs.select(docs["doc_id"].cast("long"), F.xxhash64("text").alias("text_hash"), "text"), run, schema, "doc_id long, text_hash long, n_shingles long, set_hash binary, sig binary")
+    return map_rows(docs.select(docs["doc_id"].cast("long"), F.xxhash64("text").alias("text_hash"), "text"), run, schema, "doc_id long, text_hash long, n_shingles long, set_hash binary, heads array<long>, sig binary")
 
 
-def order_keys(classes: DataFrame) -> DataFrame:
-    """A row per class and order: key (the order, then 16 bits of each minimum in turn), node."""
-    columns = (np.arange(DEPTH)[None, :] + LEAST * np.arange(ORDERS)[:, None]) % MINIMA
-    width = 1 + 2 * DEPTH
+def met(classes: DataFrame) -> DataFrame:
+    """(o, h, node, size): classes in the regions of each order that hold more than one, with the region's size."""
+    each = classes.select("node", F.posexplode("heads").alias("o", "h"))
+    regions = written(each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "regions")
+    return written(each.join(small(regions), "h").select("o", "h", "node", "size"), "met")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                n = part.num_rows
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u4").reshape(n, MINIMA).astype(">u2")
-                full = np.empty((n, ORDERS, width), np.uint8)
-                full[:, :, 0] = np.arange(ORDERS)
-                full[:, :, 1:] = np.ascontiguousarray(sig[:, columns]).view(np.uint8).reshape(n, ORDERS, 2 * DEPTH)
-                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n * ORDERS, [None, pa.py_buffer(full.tobytes())]).cast(pa.binary())
-                rest = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), ORDERS) for c in ("node", "comp")]
-                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, rest)], names=["key", "node", "comp"])
 
-    return classes.select("sig", "node", "comp").mapInArrow(run, "key binary, node long, comp long")
+def agreeing(sigs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of signatures, a row each, of which at least such a share is equal."""
+    i, j = np.triu_indices(len(sigs), 1)
+    good = (sigs[i] == sigs[j]).mean(axis=1) >= least
+    return i[good], j[good]
 
 
-def neighbours(keys: DataFrame, window: int, agree: int) -> DataFrame:
-    """Pairs (a < b) of classes within the window of an order that share its first minima and are in different components.
+def near(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of classes that meet in a region of at most ``RUN`` and agree enough."""
+    rows = found.where(F.col("size") <= RUN).join(classes.select("node", "sig"), "node")
+    regions = rows.groupBy("h").agg(F.collect_list("node").alias("nodes"), F.collect_list("sig").alias("sigs"))  # at most RUN of each
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    seen: in how many orders; weight: how many further minima agree there.
-    """
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    head = 1 + 2 * LEAST
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+            for nodes, sigs in zip(batch.column("nodes"), batch.column("sigs"), strict=True):
+                node = nodes.values.to_numpy()
+                i, j = agreeing(np.frombuffer(b"".join(sigs.as_py()), np.uint8).reshape(len(node), MINIMA), ESTIMATE)
+                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return regions.select("nodes", "sigs").mapInArrow(run, "a long, b long").distinct()
+
+
+def deeper(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a < b) in fuller regions: of each class's neighbours by longest common prefix the likeliest few."""
+    key = F.expr(f"substring(concat(sig, sig), {LEAST} * (o + 1) + 1, {DEPTH})")
+    rows = found.where(F.col("size") > RUN).join(classes.select("node", "sig"), "node").select("h", key.alias("key"), "node", "sig")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (np.empty((0, 1 + 2 * DEPTH), np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))
+        h, node, sig = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, MINIMA), np.uint8)
         for batch in batches:
-            key = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, 1 + 2 * DEPTH)
-            old = len(kept[0])
-            key = np.concatenate([kept[0], key])
-            node = np.concatenate([kept[1], batch.column("node").to_numpy()])
-            comp = np.concatenate([kept[2], batch.column("comp").to_numpy()])
-            minima = np.ascontiguousarray(key[:, 1:]).view(">u2")
-            found = []
-            for s in range(1, min(window, len(key) - 1) + 1):
+            old = len(h)
+            h = np.concatenate([h, batch.column("h").to_numpy()])
+            node = np.concatenate([node, batch.column("node").to_numpy()])
+            sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, MINIMA)])
+            out = []
+            for s in range(1, min(NEAR, len(h) - 1) + 1):
                 first = max(0, old - s)  # pairs within the rows kept are known
-                i = first + np.flatnonzero((comp[first:-s] != comp[first + s :]) & (key[first:-s, head - 1] == key[first + s :, head - 1]))
-                i = i[(key[i, :head] == key[i + s, :head]).all(axis=1)]
-                equal = (minima[i, LEAST:] == minima[i + s, LEAST:]).sum(axis=1)
-                i, equal = i[equal >= agree], equal[equal >= agree]
-                found.append((np.minimum(node[i], node[i + s]), np.maximum(node[i], node[i + s]), equal))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], schema=schema)
-            kept = (key[-window:], node[-window:], comp[-window:])
-
-    ordered = keys.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "a long, b long, equal long").groupBy("a", "b").agg(F.count("*").alias("seen"), F.sum("equal").alias("weight"))
-
-
-def best_each(pairs: DataFrame) -> DataFrame:
-    """Of each class's pairs the one with the largest weight."""
-    both = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight"))
-    one = both.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b"))
-    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree enough for a full check."""
-    sig = classes.select("node", "sig")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+                i = first + np.flatnonzero(h[first:-s] == h[first + s :])
+                equal = (sig[i] == sig[i + s]).sum(axis=1)
+                i, equal = i[equal >= ESTIMATE * MINIMA], equal[equal >= ESTIMATE * MINIMA]
+                out.append((np.minimum(node[i], node[i + s]), np.maximum(node[i], node[i + s]), equal.astype(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+            h, node, sig = h[-NEAR:], node[-NEAR:], sig[-NEAR:]
+
+    ordered = rows.repartitionByRange(parts, "h", "key", "node").sortWithinPartitions("h", "key", "node")
+    pairs = ordered.mapInArrow(run, "a long, b long, equal long").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    # A class has at most 2 NEAR ORDERS of them.
+    both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    best = pairs.select("equal", both.alias("p")).groupBy("p.x").agg(F.sort_array(F.collect_list(F.struct("equal", "p.y")), asc=False).alias("all"))
+    best = best.select("x", F.explode(F.slice("all", 1, BEST)).alias("p"))
+    return best.select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
+
+
+def needed(p: int, x: Column, y: Column) -> Column:
+    """Least common shingles of linked sets of x and y."""
+    return F.ceil(p * (x + y) / (100.0 + p) - 1e-9)
+
+
+def crowded(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of classes of different components that can be linked, by a set join with prefix, length and positional bounds.
+
+    sets: (node, items); comps: (node, comp) of those in a component of more than one.
+    Shingles stand in one order, by how full their cell is, then by hash.  The first
+    common one of two linked sets stands among the first few of each, and enough
+    of both must follow it.
+    """
+    spark, shift = sets.sparkSession, np.uint64(64 - int(np.log2(CELLS)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, MINIMA) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((sa == sb).mean(axis=1) >= ESTIMATE))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of their full sets."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
-    need = written(need, "need").withColumnRenamed("doc_id", "_id")
-    need = need.withColumnRenamed("text_hash", "_hash")
+            for x in batch.column("items"):
+                np.add.at(n, (np.frombuffer(x.as_buffer(), np.uint64) >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    counted = sets.select("items").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # at most CELLS rows
+    often = np.ones(CELLS, np.int64)
+    often[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("first", pa.bool_())])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for node, x in zip(batch.column("node").to_pylist(), batch.column("items"), strict=True):
+                items = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(items)
+                # Against a set that is not smaller, and against one that is.
+                short, long = n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+                items = items[np.lexsort((items, often[(items >> shift).astype(np.int64)]))[:long]]
+                at = np.arange(long)
+                yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(np.full(long, node)), pa.array(np.full(long, n)), pa.array(at), pa.array(at < short)], schema=schema)
+
+    rows = written(sets.select("node", "items").mapInArrow(prefixes, "token long, node long, n long, at long, first boolean").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "prefixes")
+    # Only shingles of several components matter; of each, pairs within its largest component are not looked at.
+    kinds = rows.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "most")
+    mixed_rows = rows.join(kinds, "token").withColumn("minor", F.col("comp") != F.col("most"))
+    left = mixed_rows.where("first").select("token", F.when(F.col("minor"), 0).otherwise(1).alias("side"), *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "at")])
+    right = mixed_rows.select("token", F.explode(F.when(F.col("minor"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"), *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "at")])
+    x, y = F.col("n_a"), F.col("n_b")
+    same = (left["token"] == right["token"]) & (left["side"] == right["side"]) & (F.col("comp_a") != F.col("comp_b"))
+    same &= ((x < y) | ((x == y) & (F.col("node_a") < F.col("node_b")))) & (100 * x >= percent * y)
+    same &= F.least(x - F.col("at_a"), y - F.col("at_b")) >= needed(percent, x, y)
+    return left.join(right, same).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, items): the full sets of some classes."""
+    need = written(nodes.join(classes.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "node"), "need")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(small(need), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
 
     def sets(rows: dict[str, list]) -> dict[str, list]:
         return {"node": rows["node"], "items": [shingle_set(t, k).tobytes() for t in rows["text"]]}
 
-    items = written(map_rows(texts.select("node", "text"), sets, pa.schema([("node", pa.int64()), ("items", pa.binary())]), "node long, items binary").dropDuplicates(["node"]), "sets")
+    return written(map_rows(texts.select("node", "text"), sets, pa.schema([("node", pa.int64()), ("items", pa.binary())]), "node long, items binary").dropDuplicates(["node"]), "sets")
+
+
+def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union of their full sets."""
     both = pairs.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +253,38 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return both.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
 
 
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links as links (u, v) of each node to the smallest that it reaches within the task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    found = [(x, r) for x in parent if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that links reach from it, for every node that has a link.
 
-    Large and small stars in turn: each round hangs a node's neighbours on their
-    smallest, until nothing changes; the rounds grow with the logarithm of the
-    longest chain.
+    Tasks of ``LINKS`` links each contract them first; where that takes more than
+    one task, large and small stars in turn hang a node's neighbours on their
+    smallest, until nothing changes, in rounds that grow with the logarithm of
+    the longest chain.
     """
 
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    was = state(edges)
+    parts = -(-links.count() // LINKS) or 1
+    edges = written(links.coalesce(parts).mapInArrow(contracted, "u long, v long"), "edges")
+    was = state(edges) if parts > 1 else (0,)
     while was[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -213,8 +296,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == was:
             break
         was = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots).distinct()
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
 
 
 def with_components(classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -232,22 +315,26 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     doc_ids has a null component_id.  Other columns don't matter; an empty table
     gives no row.
     """
-    rows = written(describe(docs, k), "described")
+    described = written(describe(docs, k), "described")
+    rows = described.drop("heads", "sig")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    named = rows.where("set_hash is not null").groupBy("set_hash").agg(F.min(best).alias("rep"), F.first("sig").alias("sig"))
-    classes = written(named.select("set_hash", F.monotonically_increasing_id().alias("node"), "rep", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"), "sig"), "classes")
-
-    stars = None
-    for window, agree in [(2, 0), *[(NEAR, AGREE)] * ROUNDS, (WINDOW, AGREE)]:
-        merged = classes.select("node", "sig", F.col("node").alias("comp")) if stars is None else written(with_components(classes.select("node", "sig"), stars), "merged")
-        pairs = neighbours(order_keys(merged), window, agree)
-        chosen = written(likely(pairs, classes) if window == WINDOW else best_each(pairs), "chosen")
-        links = written(confirmed(chosen, classes, docs, k, percent), "links")
-        if stars is None:
-            stars = written(components(links), "stars")
-        elif links.limit(1).count():
-            stars = written(components(links.union(stars.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "stars")
-    comps = stars
+    named = described.where("set_hash is not null").groupBy("set_hash").agg(F.min(best).alias("rep"), F.first("heads").alias("heads"), F.first("sig").alias("sig"))
+    classes = written(named.select("set_hash", F.monotonically_increasing_id().alias("node"), "rep", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"), "heads", "sig"), "classes")
+
+    found = met(classes)
+    full = written(found.where(F.col("size") > RUN).select("node").distinct(), "crowd")
+    crowd = full.limit(1).count() > 0
+    pairs = near(found, classes)
+    if crowd:
+        pairs = pairs.union(deeper(found, classes)).distinct()
+    pairs = written(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    items = sets_of((nodes.union(full) if crowd else nodes).distinct(), classes, docs, k)
+    links = written(confirmed(pairs, items, percent), "links")
+    comps = components(links)
+    if crowd:
+        more = written(crowded(items.join(full, "node", "left_semi"), comps, percent), "candidates")
+        comps = components(written(confirmed(more, items, percent), "links").union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     named = written(with_components(classes.select("set_hash", "node", "rep"), comps), "named")
     top = named.groupBy("comp").agg(F.min("rep").alias("top"))
@@ -262,13 +349,18 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with all its columns; of repeated rows of that document, one."""
+    """One document of each group, with all its columns whatever their names; of repeated rows of that document, one.
+
+    Nulls, empty texts and empty tables are as in groups(): a document without words is kept.
+    """
     found = written(groups(docs, k, percent), "groups")
-    out = small(written(found.where("not first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "out"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    i, h = free(docs, "_id"), free(docs, "_hash")
+    key = [F.col("doc_id").alias(i), F.col("text_hash").alias(h)]
+    out = small(written(found.where("not first").select(*key).distinct(), "out"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h))
     left = docs.join(out, same, "left_anti")
-    again = written(found.where("first and n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").drop("count"), "again")
+    again = written(found.where("first and n_shingles > 0").groupBy(*key).count().where("count > 1").drop("count"), "again")
     if not again.limit(1).count():
         return left
     again = small(again)
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h]).drop(h))

@@ -96,3 +96,24 @@ def near(docs, k, percent=80):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def near_dense(docs, k, percent=80):
+    """As near(), from products of a matrix of the shingles that stand in several documents."""
+    import numpy as np
+
+    sets = [shingles(t, k) for _, t in docs]
+    often = collections.Counter(x for s in sets for x in s)
+    place = {x: i for i, x in enumerate(x for x, n in often.items() if n > 1)}
+    m = np.zeros((len(docs), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s if x in place]] = 1
+    n, common = np.array([len(s) for s in sets]), m @ m.T
+    link = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(link, n > 0)
+    comp = np.array([d for d, _ in docs])
+    while True:
+        new = np.array([comp[link[i]].min() if n[i] else comp[i] for i in range(len(docs))])
+        if (new == comp).all():
+            return {d: (int(a), int(c)) for (d, _), a, c in zip(docs, n, comp)}
+        comp = new

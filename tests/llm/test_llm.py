@@ -193,6 +193,36 @@ def test_near_duplicates_in_a_crowd(spark):
     assert got == brute.near(out, 5)
 
 
+@pytest.mark.parametrize("links", [20, 1_000_000])
+def test_near_duplicates_among_many_that_are_nearly_linked(spark, links, monkeypatch):
+    """2,000 texts with a common core, 0.767 alike, of which 200 have a partner at 0.805; and copies with more and more edits."""
+    monkeypatch.setattr(neardup, "LINKS", links)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    core, out = [word() for _ in range(300)], []
+    for i in range(2000):
+        out.append((i, " ".join(core + [word() for _ in range(45)])))
+    for i in range(200):
+        w = out[i][1].split()
+        out.append((3000 + i, " ".join(w[:309] + [word() for _ in range(36)])))
+    base = [word() for _ in range(120)]
+    for i in range(400):
+        w = list(base)
+        for _ in range(i % 9):
+            w[rng.randrange(120)] = word()
+        out.append((5000 + i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(spark.createDataFrame(out, "doc_id long, text string"), 5).collect()}
+    want = brute.near_dense(out, 5)
+    assert sum(c < 2000 <= i < 4000 for i, (_, c) in want.items()) == 200
+    assert got == want
+
+
+def test_helper_named_columns_stay(spark):
+    text = "a b c d e f g h"
+    df = spark.createDataFrame([(1, text, "x", 5, 6), (2, text, "y", 7, 8), (3, "other words", "z", 9, 1)], "doc_id long, text string, _id string, _hash long, node long")
+    assert sorted(map(tuple, neardup.deduplicated(df).collect())) == [(1, text, "x", 5, 6), (3, "other words", "z", 9, 1)]
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     got = neardup.groups(odd, 4).collect()
     by = {}
