@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names and all executors see; one of its own only where none is named, as in tests on one machine."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='skysift-')}")
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once: in the shared checkpoint folder if the session names one, else kept in memory and on disk."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if folder and not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df computed once, in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()

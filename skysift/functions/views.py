@@ -27,8 +27,8 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(mt, mdt, mwidth, msnr) from selected lineitems, for stress on clustering."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 48 and l_discount >= 0.09")
+    """(mt, mdt, mwidth, msnr) from all lineitems, for stress on clustering."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return items.select(F.col("l_orderkey").alias("mt"), F.col("l_partkey").alias("mdt"), F.col("l_linenumber").cast("long").alias("mwidth"), F.col("l_extendedprice").alias("msnr"))
 
 

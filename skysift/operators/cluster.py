@@ -6,56 +6,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions.lineage import cut
+from skysift.operators.tiles import before, numbered, tile_of, tile_size
 
-#: Values of an axis in one tile.
-TILE = 4096
 
-
-def gap_groups(cand: DataFrame, group: list[str], axis: str, gap: int, name: str, tile: int = TILE) -> DataFrame:
+def gap_groups(cand: DataFrame, group: list[str], axis: str, gap: int, name: str, tile: int | None = None) -> DataFrame:
     """Adds the number (from 0) of each row's subgroup, which begins where the axis rises by more than gap.
 
     A group may hold all candidates: distinct values are dealt to tiles, a tile
     sees the largest value before it, and numbers count on from tile to tile.
+    cand is read twice.
     """
-    values = cand.select(*group, axis).distinct().withColumn("_tile", F.floor(F.col(axis) / tile))
+    values = cand.select(*group, axis).distinct().withColumn("_tile", tile_of(axis, tile or tile_size(cand, axis)))
     inner = Window.partitionBy(*group, "_tile").orderBy(axis)
-    outer = Window.partitionBy(*group).orderBy("_tile")
-    tiles = values.groupBy(*group, "_tile").agg(F.max(axis).alias("_max")).withColumn("_before", F.lag("_max").over(outer)).drop("_max")
+    tiles = values.groupBy(*group, "_tile").agg(F.max(axis).alias("_max")).withColumn("_before", F.max("_max").over(before(group))).drop("_max")
     keys = [*group, "_tile"]
     flagged = values.join(tiles, keys).withColumn("_new", (F.col(axis) - F.coalesce(F.lag(axis).over(inner), F.col("_before")) > gap).cast("long"))
     flagged = flagged.withColumn("_new", F.coalesce("_new", F.lit(0)))
     sums = flagged.groupBy(*keys).agg(F.sum("_new").alias("_sum"))
-    start = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    numbered = flagged.join(start, keys).withColumn(name, F.col("_start") + F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    return cand.join(numbered.select(*group, axis, name), [*group, axis])
+    start = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before(group)), F.lit(0))).drop("_sum")
+    count = F.col("_start") + F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return cand.join(flagged.join(start, keys).withColumn(name, count).select(*group, axis, name), [*group, axis])
 
 
-def clusters(cand: DataFrame, gaps: tuple[int, int, int] = (2, 1, 2)) -> DataFrame:
-    """Candidates with g1, g2, g3: split by time, then row, then width.
+def clusters(cand: DataFrame, gaps: tuple[int, int, int] = (2, 1, 2), keys: list[str] | None = None) -> DataFrame:
+    """Candidates with g1, g2, g3: split by time, then row, then width, within each of the keys (blocks, chunks, trials).
 
     A pass reads its input twice, so inputs are computed once beforehand.
     """
-    one = cut(gap_groups(cut(cand).withColumn("_all", F.lit(0)), ["_all"], "mt", gaps[0], "g1"))
-    two = cut(gap_groups(one, ["_all", "g1"], "mdt", gaps[1], "g2"))
-    return gap_groups(two, ["_all", "g1", "g2"], "mwidth", gaps[2], "g3").select("mt", "mdt", "mwidth", "msnr", "g1", "g2", "g3")
+    keys = keys or []
+    one = cut(gap_groups(cut(cand), keys, "mt", gaps[0], "g1"))
+    two = cut(gap_groups(one, [*keys, "g1"], "mdt", gaps[1], "g2"))
+    return gap_groups(two, [*keys, "g1", "g2"], "mwidth", gaps[2], "g3").select(*keys, "mt", "mdt", "mwidth", "msnr", "g1", "g2", "g3")
 
 
 def subgroup_counts(grouped: DataFrame, group: str, sub: str) -> DataFrame:
     return grouped.groupBy(group).agg(F.countDistinct(sub).alias("n"))
 
 
-def delegates(grouped: DataFrame) -> DataFrame:
+def delegates(grouped: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The strongest candidate of each cluster (ties: earliest, then lowest row and width) and the cluster's size."""
+    keys = keys or []
     key = F.struct(F.col("msnr"), (-F.col("mt")).alias("a"), (-F.col("mdt")).alias("b"), (-F.col("mwidth")).alias("c"))
-    best = grouped.groupBy("g1", "g2", "g3").agg(F.max(key).alias("m"), F.count("*").alias("num"))
-    return best.select((-F.col("m.a")).alias("mt"), (-F.col("m.b")).alias("mdt"), (-F.col("m.c")).alias("mwidth"), F.col("m.msnr").alias("msnr"), "num")
+    best = grouped.groupBy(*keys, "g1", "g2", "g3").agg(F.max(key).alias("m"), F.count("*").alias("num"))
+    return best.select(*keys, (-F.col("m.a")).alias("mt"), (-F.col("m.b")).alias("mdt"), (-F.col("m.c")).alias("mwidth"), F.col("m.msnr").alias("msnr"), "num")
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    """Delegates numbered from 1 by time; there are few, one per cluster."""
-    return found.withColumn("n", F.row_number().over(Window.orderBy("mt", "mdt", "mwidth")).cast("long"))
+def ranked(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Delegates numbered from 1 by time, in each of the keys; found is read three times, so it is computed once beforehand."""
+    return numbered(cut(found), keys or [], "mt", ["mdt", "mwidth"], "n").withColumn("n", F.col("n") + 1)
 
 
-def segment_rank(cand: DataFrame, segment: str, axis: str, ties: list[str]) -> DataFrame:
-    """Each row's place (from 0) within its segment."""
-    return cand.withColumn("rank", (F.row_number().over(Window.partitionBy(segment).orderBy(axis, *ties)) - 1).cast("long"))
+def segment_rank(cand: DataFrame, segment: list[str], axis: str, ties: list[str]) -> DataFrame:
+    """Each row's place (from 0) within its segment; a segment may hold all rows."""
+    return numbered(cand, segment, axis, ties, "rank")

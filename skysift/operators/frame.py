@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 def overlap_frames(samples: DataFrame, nbin: int, nfft: int, overlap: int, keys: list[str], values: list[str]) -> DataFrame:
     """Frames of nbin samples that overlap by ``overlap`` on each side: (keys, fft, bin, values), 0 outside the samples.
 
-    samples: (keys, isamp, values); their number must be (nbin - 2 overlap) nfft.
+    samples: (keys, isamp, values), one for each isamp below (nbin - 2 overlap) nfft.
+    Each goes to the few frames that hold it; only the edges before the first and
+    after the last sample are made up, 2 overlap rows for each of the keys.
     """
     step = nbin - 2 * overlap
-    grid = samples.select(*keys).distinct().crossJoin(F.broadcast(samples.sparkSession.range(nfft * nbin).select((F.col("id") / nbin).cast("long").alias("fft"), (F.col("id") % nbin).alias("bin"))))
-    grid = grid.withColumn("isamp", F.col("bin") + step * F.col("fft") - overlap)
-    return grid.join(samples, [*keys, "isamp"], "left").select(*keys, "fft", "bin", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
+    if step < overlap:
+        raise ValueError("a frame must hold more than three overlaps")
+    last = f"least(floor((isamp + {overlap}) / {step}), {nfft - 1})"
+    first = f"greatest(ceil((isamp + {overlap - nbin + 1}) / {step}), 0)"
+    inner = samples.select(*keys, "isamp", *values, F.explode(F.expr(f"sequence(cast({first} as bigint), cast({last} as bigint))")).alias("fft"))
+    inner = inner.select(*keys, "fft", (F.col("isamp") + overlap - step * F.col("fft")).alias("bin"), *values)
+    if not overlap:
+        return inner
+    edge = F.explode(F.expr(f"flatten(transform(sequence(0, {overlap - 1}), i -> array(struct(0L as fft, cast(i as bigint) as bin), struct({nfft - 1}L as fft, cast({nbin - overlap} + i as bigint) as bin))))"))
+    outer = samples.select(*keys).distinct().select(*keys, edge.alias("e")) if keys else samples.limit(1).select(edge.alias("e"))
+    return inner.unionByName(outer.select(*keys, "e.fft", "e.bin", *[F.lit(0).cast(samples.schema[v].dataType).alias(v) for v in values]))
 
 
 def fft_shift(df: DataFrame, index: str, n: int, values: list[str], scale: float = 1.0) -> DataFrame:
@@ -68,8 +78,12 @@ def cut(df: DataFrame, row: int, column: int, rows: int, columns: int, dim: int)
     return df.where(inside).withColumns({"r": F.col("r") - r0, "c": F.col("c") - c0})
 
 
-def image_levels(df: DataFrame, rows: int) -> DataFrame:
+def image_levels(df: DataFrame) -> DataFrame:
     """Flipped upside down and scaled to whole numbers of 255 over the largest magnitude."""
-    top = df.agg(F.max(F.abs("x")).alias("_max"))
+    top = df.agg(F.max(F.abs("x")).alias("_max"), F.max("r").alias("_last"))  # one row
     level = F.abs(F.col("x")) * 255.0 / F.col("_max")
-    return df.crossJoin(F.broadcast(top)).select((rows - 1 - F.col("r")).alias("r"), "c", (F.floor(level) * F.when(F.col("x") < 0, -1).otherwise(1)).cast("long").alias("level"))
+    return df.crossJoin(F.broadcast(top)).select((F.col("_last") - F.col("r")).alias("r"), "c", (F.floor(level) * F.when(F.col("x") < 0, -1).otherwise(1)).cast("long").alias("level"))
+
+
+def floored(df: DataFrame, value: str) -> DataFrame:
+    return df.withColumn(value, F.floor(value).cast("double"))

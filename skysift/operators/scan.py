@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 4096
+from skysift.operators.tiles import before, tile_of, tile_size
 
 
-def prefix_sum(df: DataFrame, index: str, value: str, exclusive: bool = False, tile: int = TILE) -> DataFrame:
+def prefix_sum(df: DataFrame, index: str, value: str, exclusive: bool = False, tile: int | None = None) -> DataFrame:
     """(index, total): running sums in index order; exclusive ones leave the row itself out.
 
     Each tile of the index is summed on its own and starts after those before it.
     """
-    rows = df.select(index, value).withColumn("_tile", F.floor(F.col(index) / tile))
-    before = Window.orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    start = rows.groupBy("_tile").agg(F.sum(value).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    rows = df.select(index, value).withColumn("_tile", tile_of(index, tile or tile_size(df, index)))
+    start = rows.groupBy("_tile").agg(F.sum(value).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(before([])), F.lit(0))).drop("_s")
     inner = Window.partitionBy("_tile").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("_start") + F.sum(value).over(inner) - (F.col(value) if exclusive else F.lit(0))
     return rows.join(start, "_tile").select(index, total.alias("total"))

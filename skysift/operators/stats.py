@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 EXCISE = 4.0
 
 
-def row_stats(w: DataFrame) -> DataFrame:
-    """(chan, mean, var): population variance as E[x^2] - E[x]^2."""
+def row_stats(w: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, chan, mean, var): population variance as E[x^2] - E[x]^2."""
+    keys = keys or []
     n, s, q = F.count("*"), F.sum("x"), F.sum(F.col("x") * F.col("x"))
-    return w.groupBy("chan").agg(n.alias("n"), s.alias("s"), q.alias("q")).select("chan", (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))).alias("var"))
+    return w.groupBy(*keys, "chan").agg(n.alias("n"), s.alias("s"), q.alias("q")).select(*keys, "chan", (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))).alias("var"))
 
 
 def _global() -> list[Column]:
@@ -34,9 +35,11 @@ def variance_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(*_variances())
 
 
-def row_table(w: DataFrame) -> DataFrame:
-    """Row statistics beside the global ones: as many rows as channels."""
-    rows = row_stats(w)
+def row_table(w: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Row statistics beside the global ones of their waterfall: as many rows as channels."""
+    rows = row_stats(w, keys)
+    if keys:
+        return rows.join(rows.groupBy(*keys).agg(*_global(), *_variances()), keys)
     return rows.crossJoin(F.broadcast(rows.agg(*_global(), *_variances())))  # one row
 
 
@@ -44,10 +47,14 @@ def _bad():
     return F.abs(F.col("var") - F.col("mean_var")) > EXCISE * F.col("std_var")
 
 
-def excise_zscore(w: DataFrame) -> DataFrame:
-    """(chan, t, x, mask): x in standard deviations from the global mean; disturbed channels 0 with mask 0."""
-    joined = w.join(row_table(w), "chan")
-    return joined.select("chan", "t", F.when(_bad(), 0.0).otherwise((F.col("x") - F.col("g_mean")) / F.col("g_std")).alias("x"), F.when(_bad(), 0.0).otherwise(1.0).alias("mask"))
+def excise_zscore(w: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, chan, t, x, mask): x in standard deviations from the global mean; disturbed channels 0 with mask 0.
+
+    keys: blocks, chunks or trials, each a waterfall of its own.
+    """
+    keys = keys or []
+    joined = w.join(row_table(w, keys), [*keys, "chan"])
+    return joined.select(*keys, "chan", "t", F.when(_bad(), 0.0).otherwise((F.col("x") - F.col("g_mean")) / F.col("g_std")).alias("x"), F.when(_bad(), 0.0).otherwise(1.0).alias("mask"))
 
 
 def clean(w: DataFrame) -> DataFrame:
@@ -66,6 +73,11 @@ def dispersion_about(w: DataFrame, center: float) -> DataFrame:
     return w.groupBy("chan").agg((F.sum(d * d) / F.count("*")).alias("disp"))
 
 
+def largest(df: DataFrame, value: str) -> DataFrame:
+    """One row with the largest value, whatever its sign."""
+    return df.agg(F.max(value).alias(f"max_{value}"))
+
+
 def moments(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, min, max, mean, var, var_n, skew and kurtosis (not the excess), all mergeable."""
     v = F.col(value)
@@ -74,6 +86,7 @@ def moments(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def ratio(signal: DataFrame, norm: DataFrame) -> DataFrame:
-    """(k, t, x): signal over the root of what a transform of ones gives."""
-    return signal.join(norm.withColumnRenamed("x", "n"), ["k", "t"]).select("k", "t", (F.col("x") / F.sqrt(F.col("n") + 1e-8)).alias("x"))
+def ratio(signal: DataFrame, norm: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, k, t, x): signal over the root of what a transform of ones gives."""
+    by = [*(keys or []), "k", "t"]
+    return signal.join(norm.withColumnRenamed("x", "n"), by).select(*by, (F.col("x") / F.sqrt(F.col("n") + 1e-8)).alias("x"))

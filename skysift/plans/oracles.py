@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from skysift.plans import grids
 from skysift.plans import queries as q
 
 W = """W AS (SELECT g.chan, g.t, coalesce(e.x, 0.0) AS x FROM (SELECT c.chan, h.t FROM range(32) c(chan) CROSS JOIN range(720) h(t)) g
@@ -14,16 +13,16 @@ BASE = f"{W}, {RS}, {G}, {Z}"
 E = """E AS (SELECT vec_id AS r, CAST(u.c - 1 AS BIGINT) AS c, floor(CAST(embedding[u.c] AS DOUBLE) * 1000 + 0.5) AS x FROM embeddings CROSS JOIN range(1, 65) u(c))"""
 S = """S AS (SELECT r // 4 AS fft, (r // 2) % 2 AS chan, r % 2 AS pol, c // 2 AS bin, sum(CASE WHEN c % 2 = 0 THEN x END) AS re, sum(CASE WHEN c % 2 = 1 THEN x END) AS im FROM E GROUP BY 1, 2, 3, 4)"""
 P = "P AS (SELECT fft, chan, bin, sum(re * re + im * im) AS x FROM S GROUP BY 1, 2, 3)"
-L = """L AS (SELECT l_orderkey AS mt, l_partkey AS mdt, CAST(l_linenumber AS BIGINT) AS mwidth, l_extendedprice AS msnr FROM lineitem WHERE l_quantity >= 48 AND l_discount >= 0.09)"""
+L = """L AS (SELECT l_orderkey AS mt, l_partkey AS mdt, CAST(l_linenumber AS BIGINT) AS mwidth, l_extendedprice AS msnr FROM lineitem)"""
 
 
-def boxes(source: str, widths: list[int], by: str = "chan", x: str = "x") -> str:
-    """All windows that fit: (chan, t, width, s)."""
-    return " UNION ALL ".join(f"SELECT chan, t, CAST({n} AS BIGINT) AS width, s FROM (SELECT chan, t, sum({x}) OVER v AS s, count(*) OVER v AS n FROM {source} WINDOW v AS (PARTITION BY {by} ORDER BY t ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) b WHERE n = {n}" for n in widths)
+def boxes(source: str, widths: list[int], by: str = "chan", x: str = "x", keys: str = "") -> str:
+    """All windows that fit: (keys, chan, t, width, s)."""
+    return " UNION ALL ".join(f"SELECT {keys}chan, t, CAST({n} AS BIGINT) AS width, s FROM (SELECT {keys}chan, t, sum({x}) OVER v AS s, count(*) OVER v AS n FROM {source} WINDOW v AS (PARTITION BY {by} ORDER BY t ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) b WHERE n = {n}" for n in widths)
 
 
-def cand(widths: list[int], name: str = "C") -> str:
-    return f"{name} AS (SELECT t AS mt, chan AS mdt, width AS mwidth, round(s / sqrt(width), 6) AS msnr FROM ({boxes('Z', widths)}) a WHERE round(s / sqrt(width), 6) > {q.THRESHOLD})"
+def cand(widths: list[int], name: str = "C", threshold: float = q.THRESHOLD, source: str = "Z", keys: str = "") -> str:
+    return f"{name} AS (SELECT {keys}t AS mt, chan AS mdt, width AS mwidth, round(s / sqrt(width), 6) AS msnr FROM ({boxes(source, widths, keys + 'chan', keys=keys)}) a WHERE s / sqrt(width) > {threshold})"
 
 
 def gap(source: str, group: str, axis: str, by: int, name: str, out: str) -> str:
@@ -31,8 +30,8 @@ def gap(source: str, group: str, axis: str, by: int, name: str, out: str) -> str
     return f"{out} AS (SELECT * EXCLUDE (nw), CAST(sum(nw) OVER ({part}ORDER BY {axis} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS {name} FROM (SELECT *, CASE WHEN {axis} - lag({axis}) OVER ({part}ORDER BY {axis}) > {by} THEN 1 ELSE 0 END AS nw FROM {source}) i)"
 
 
-def grouped(source: str, gaps: tuple[int, int, int]) -> str:
-    return ", ".join([gap(source, "", "mt", gaps[0], "g1", "G1"), gap("G1", "g1", "mdt", gaps[1], "g2", "G2"), gap("G2", "g1, g2", "mwidth", gaps[2], "g3", "G3")])
+def grouped(source: str, gaps: tuple[int, int, int], keys: str = "") -> str:
+    return ", ".join([gap(source, keys.rstrip(", "), "mt", gaps[0], "g1", "G1"), gap("G1", keys + "g1", "mdt", gaps[1], "g2", "G2"), gap("G2", keys + "g1, g2", "mwidth", gaps[2], "g3", "G3")])
 
 
 D = "D AS (SELECT mt, mdt, mwidth, msnr, num FROM (SELECT *, row_number() OVER (PARTITION BY g1, g2, g3 ORDER BY msnr DESC, mt, mdt, mwidth) AS rn, count(*) OVER (PARTITION BY g1, g2, g3) AS num FROM G3) i WHERE rn = 1)"
@@ -44,25 +43,56 @@ def r(x: str, digits: int = 6, name: str | None = None) -> str:
     return f"round({x}, {digits}) + 0.0 AS {name or x}"
 
 
-def fdmt(parts, digits: int | None, ones: bool = False) -> list[str]:
-    """CTEs of a transform; the last is named K0 or K1 (k, t, x)."""
+def fdmt(parts, tag: str = "0", source: str = "W", x: str = "x", keys: str = "") -> list[str]:
+    """CTEs of a transform; the last is named K and the tag: (keys, k, t, x)."""
     delays, plan = parts
-    tag = int(ones)
     rows = ", ".join(f"({c}, {k}, {d})" for c, grid in delays.items() for k, d in enumerate(grid))
-    x = "1.0" if ones else "x"
+    names = keys.replace(" ", "").split(",")[:-1]
+    own, same = "".join(f"a.{n}, " for n in names), "".join(f" AND b.{n} = a.{n}" for n in names)
     out = [
         f"I{tag}(chan, k, d) AS (VALUES {rows})",
-        f"Q{tag} AS (SELECT chan, t, sum({x}) OVER (PARTITION BY chan ORDER BY t ROWS UNBOUNDED PRECEDING) AS p FROM W WHERE chan < {q.BANDS})",
-        f"A{tag}_0 AS (SELECT a.chan AS sub, i.k, a.t, CASE WHEN a.t >= i.d THEN (a.p - coalesce(b.p, 0.0)) / (i.d + 1) ELSE 0.0 END AS x FROM Q{tag} a JOIN I{tag} i ON i.chan = a.chan LEFT JOIN Q{tag} b ON b.chan = a.chan AND b.t = a.t - i.d - 1)",
+        f"Q{tag} AS (SELECT {keys}chan, t, sum({x}) OVER (PARTITION BY {keys}chan ORDER BY t ROWS UNBOUNDED PRECEDING) AS p FROM {source})",
+        f"A{tag}_0 AS (SELECT {own}a.chan AS sub, i.k, a.t, CASE WHEN a.t >= i.d THEN (a.p - coalesce(b.p, 0.0)) / (i.d + 1) ELSE 0.0 END AS x FROM Q{tag} a JOIN I{tag} i ON i.chan = a.chan LEFT JOIN Q{tag} b ON b.chan = a.chan AND b.t = a.t - i.d - 1{same})",
     ]
     for n, nodes in enumerate(plan, 1):
         rows = ", ".join(f"({v.sub}, {v.k}, {v.tail_sub}, {v.tail_k}, {-1 if v.head_sub is None else v.head_sub}, {-1 if v.head_k is None else v.head_k}, {v.offset})" for v in nodes)
         out.append(f"N{tag}_{n}(sub, k, ts, tk, hs, hk, o) AS (VALUES {rows})")
-        out.append(f"A{tag}_{n} AS (SELECT n.sub, n.k, a.t, a.x + coalesce(b.x, 0.0) AS x FROM N{tag}_{n} n JOIN A{tag}_{n - 1} a ON a.sub = n.ts AND a.k = n.tk LEFT JOIN A{tag}_{n - 1} b ON b.sub = n.hs AND b.k = n.hk AND b.t = a.t - n.o)")
-    out.append(f"K{tag} AS (SELECT CAST(k AS BIGINT) AS k, CAST(t AS BIGINT) AS t, x FROM A{tag}_{len(plan)})")
+        out.append(f"A{tag}_{n} AS MATERIALIZED (SELECT {own}n.sub, n.k, a.t, a.x + coalesce(b.x, 0.0) AS x FROM N{tag}_{n} n JOIN A{tag}_{n - 1} a ON a.sub = n.ts AND a.k = n.tk LEFT JOIN A{tag}_{n - 1} b ON b.sub = n.hs AND b.k = n.hk AND b.t = a.t - n.o{same})")
+    out.append(f"K{tag} AS (SELECT {keys}CAST(k AS BIGINT) AS k, CAST(t AS BIGINT) AS t, x FROM A{tag}_{len(plan)})")
     return out
 
 
+def coherent() -> list[str]:
+    """CTEs from complex samples to the images (chunk, trial, k, t, x) in CR."""
+    p, pi = q.SEARCH, "3.141592653589793"
+    mbin, step, pad = p.nbin // p.subs, p.nbin - 2 * p.overlap, p.overlap // p.subs
+    bw = (p.f_max - p.f_min) / p.channels
+    band, width, n = bw / p.subs, (p.f_max - p.f_min) / p.rows, p.samples
+    fb = f"(-{band} / 2 + (b.bin + 0.5) * {band} / {mbin}.0)"
+    fc = f"({p.f_min} + {bw} * (0.5 + c.chan) + {band} * (s.sub - {p.subs / 2} + 0.5))"
+    phase = f"(d.dm * ({fb} / {fc}) * ({fb} / {fc}) / ({fc} + {fb}) * 4.148808e9)"
+    trials = ", ".join(f"({i}, {dm})" for i, dm in enumerate(p.dms))
+    f = f"({p.rows - 1} - r.row) * {width} + {p.f_min}"
+    lag = f"4148.808 * d.dm * (1 / ({p.f_min} * {p.f_min}) - 1 / (({f}) * ({f}))) / {p.t_sample * p.subs}"
+    by = "chunk, trial, "
+    return [
+        f"CS AS (SELECT (fft * 32 + bin) // {q.CHUNK} AS chunk, chan, pol, (fft * 32 + bin) % {q.CHUNK} AS isamp, re, im FROM S)",
+        f"CX AS MATERIALIZED (SELECT chunk, chan, pol, f.fft, (k.q + {p.nbin // 2}) % {p.nbin} AS n, sum(re * cos(k.q * (isamp - {step} * f.fft + {p.overlap}) % {p.nbin} * 2 * {pi} / {p.nbin}) + im * sin(k.q * (isamp - {step} * f.fft + {p.overlap}) % {p.nbin} * 2 * {pi} / {p.nbin})) AS re, sum(im * cos(k.q * (isamp - {step} * f.fft + {p.overlap}) % {p.nbin} * 2 * {pi} / {p.nbin}) - re * sin(k.q * (isamp - {step} * f.fft + {p.overlap}) % {p.nbin} * 2 * {pi} / {p.nbin})) AS im FROM CS CROSS JOIN range({p.nfft}) f(fft) CROSS JOIN range({p.nbin}) k(q) WHERE isamp - {step} * f.fft + {p.overlap} BETWEEN 0 AND {p.nbin - 1} GROUP BY 1, 2, 3, 4, 5)",
+        f"CD(trial, dm) AS (VALUES {trials})",
+        f"CH AS (SELECT trial, chan, sub, bin, cos(turn) * taper AS re, -sin(turn) * taper AS im FROM (SELECT d.trial, c.chan, s.sub, b.bin, ({phase} - floor({phase})) * 2 * {pi} AS turn, 1 / sqrt(1 + pow({fb} / {0.47 * band}, 80.0)) AS taper FROM CD d CROSS JOIN range({p.channels}) c(chan) CROSS JOIN range({p.subs}) s(sub) CROSS JOIN range({mbin}) b(bin)) i)",
+        f"CP AS MATERIALIZED (SELECT x.chunk, h.trial, x.chan, x.pol, x.fft, h.sub, h.bin, x.re * h.re - x.im * h.im AS re, x.re * h.im + x.im * h.re AS im FROM CX x JOIN CH h ON h.chan = x.chan AND h.sub = x.n // {mbin} AND h.bin = x.n % {mbin})",
+        f"CY AS (SELECT chunk, trial, chan, pol, fft, sub, m.m, sum(re * cos(bin * m.m % {mbin} * 2 * {pi} / {mbin}) - im * sin(bin * m.m % {mbin} * 2 * {pi} / {mbin})) / {p.nbin} AS re, sum(im * cos(bin * m.m % {mbin} * 2 * {pi} / {mbin}) + re * sin(bin * m.m % {mbin} * 2 * {pi} / {mbin})) / {p.nbin} AS im FROM CP CROSS JOIN range({mbin}) m(m) GROUP BY 1, 2, 3, 4, 5, 6, 7)",
+        f"CT AS (SELECT d.trial, r.row, CAST(sign({lag}) * floor(abs({lag}) + 0.5) AS BIGINT) % {n} AS shift FROM CD d CROSS JOIN range({p.rows}) r(row))",
+        f"CW AS (SELECT y.chunk, y.trial, row AS chan, (t + shift) % {n} AS t, x FROM (SELECT chunk, trial, ({p.channels - 1} - chan) * {p.subs} + {p.subs - 1} - sub AS r, m - {pad} + {mbin - 2 * pad} * fft AS t, sum(re * re + im * im) AS x FROM CY WHERE m >= {pad} AND m < {mbin - pad} GROUP BY 1, 2, 3, 4) y JOIN CT c ON c.trial = y.trial AND c.row = y.r)",
+        "CV AS (SELECT chunk, trial, chan, avg(x) AS mean, avg(x * x) - avg(x) * avg(x) AS var FROM CW GROUP BY 1, 2, 3)",
+        "CG AS (SELECT chunk, trial, avg(mean) AS g_mean, sqrt(avg(var + mean * mean) - avg(mean) * avg(mean)) AS g_std, avg(var) AS mean_var, stddev_pop(var) AS std_var FROM CV GROUP BY 1, 2)",
+        "CZ AS MATERIALIZED (SELECT w.chunk, w.trial, w.chan, w.t, CASE WHEN abs(var - mean_var) > 4.0 * std_var THEN 0.0 ELSE (x - g_mean) / g_std END AS x, CASE WHEN abs(var - mean_var) > 4.0 * std_var THEN 0.0 ELSE 1.0 END AS mask FROM CW w JOIN CV v ON v.chunk = w.chunk AND v.trial = w.trial AND v.chan = w.chan JOIN CG g ON g.chunk = w.chunk AND g.trial = w.trial)",
+        *fdmt(q.search_parts(), "8", "CZ", "x", by),
+        *fdmt(q.search_parts(), "9", "CZ", "mask", by),
+        "CR AS (SELECT a.chunk, CAST(a.trial AS BIGINT) AS trial, a.k, a.t, a.x / sqrt(b.x + 1e-8) AS x FROM K8 a JOIN K9 b ON b.chunk = a.chunk AND b.trial = a.trial AND b.k = a.k AND b.t = a.t)",
+    ]
+
+
 def _chirp(subs: int, channels: int = 2) -> str:
     bw = q.CHAN_BW
     fb = f"(-{bw / subs} / 2 + (b.bin + 0.5) * {bw / subs} / {q.MBIN}.0)"
@@ -77,12 +107,13 @@ def _chirp(subs: int, channels: int = 2) -> str:
 def _dft(sign: str, scale: str, digits: int) -> str:
     # The angle uses the product modulo 64, which keeps it small.
     angle = "2 * pi() * ((k.k * E.c) % 64) / 64.0"
-    return f"WITH {E} SELECT E.r, k.k AS c, {r(f'sum(E.x * cos({angle})){scale}', digits, 're')}, {r(f'sum({sign}E.x * sin({angle})){scale}', digits, 'im')} FROM E CROSS JOIN range(64) k(k) WHERE E.r < 200 GROUP BY 1, 2"
+    return f"WITH {E} SELECT E.r, k.k AS c, {r(f'sum(E.x * cos({angle})){scale}', digits, 're')}, {r(f'sum({sign}E.x * sin({angle})){scale}', digits, 'im')} FROM E CROSS JOIN range(64) k(k) GROUP BY 1, 2"
 
 
 def oracle_sql() -> dict[str, str]:
-    z, shift = f"WITH {BASE}", ", ".join(f"({c}, {s})" for c, s in _shifts())
-    dm = ", ".join(f"({i})" for i in range(len(grids.dm_grid(30.0, 600.0, 40))))
+    z = f"WITH {BASE}"
+    width = (q.F_MAX - q.F_MIN) / 32
+    lag = f"4148.808 * {q.DM} * (1 / ({q.F_MIN} * {q.F_MIN}) - 1 / (((31 - chan) * {width} + {q.F_MIN}) * ((31 - chan) * {width} + {q.F_MIN}))) / {q.T_SAMPLE}"
     step = q.NBIN - 2 * q.OVERLAP
     o = {
         "row_stats": f"WITH {W}, {RS} SELECT chan, {r('mean', 3)}, {r('var', 3)} FROM RS",
@@ -97,11 +128,11 @@ b AS (SELECT a.l_returnflag, n, lo, hi, m, sum((l_quantity - m) ** 2) AS m2, sum
 SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2 / (n - 1)', 5, 'var_v')}, {r('m2 / n', 5, 'var_n')}, {r('sqrt(n) * m3 / pow(m2, 1.5)', 5, 'skew')}, {r('n * m4 / (m2 * m2)', 5, 'kurt')} FROM b""",
         "max_element": f"WITH {W} SELECT max(x) AS max_x FROM W",
         "boxcar_pow2": f"{z}, {cand(q.POW2)} SELECT mt, mdt, CAST(round(log2(mwidth)) AS BIGINT) AS mwidth, msnr FROM C",
-        "boxcar_plan": f"{z} SELECT chan AS mdt, t AS mt, CAST(sum(CASE WHEN round(s / sqrt(width), 6) > {q.THRESHOLD} THEN 1 ELSE 0 END) AS BIGINT) AS n FROM ({boxes('Z', q.WIDTHS)}) a GROUP BY 1, 2",
+        "boxcar_plan": f"{z} SELECT chan AS mdt, t AS mt, CAST(sum(CASE WHEN s / sqrt(width) > {q.THRESHOLD} THEN 1 ELSE 0 END) AS BIGINT) AS n FROM ({boxes('Z', q.WIDTHS)}) a GROUP BY 1, 2",
         "boxcar_linear": f"{z}, {cand(q.WIDTHS)} SELECT * FROM C",
         "below_threshold": f"{z}, {cand(q.WIDTHS)} SELECT * FROM C WHERE msnr < 6.0",
         "best_detection": f"{z}, V AS (SELECT chan, t, x / sqrt(mask + 1e-7) AS x FROM Z) SELECT chan AS irow, t AS icol, width AS iwidth, round(s / sqrt(width), 6) AS snr FROM ({boxes('V', list(range(1, 11)), 'chan, t // 256')}) a ORDER BY snr DESC, chan, t, width LIMIT 1",
-        "energy_ratio": f"{z}, V AS (SELECT chan, t, x * x AS x FROM Z) SELECT chan, t, width, round(sqrt(s / width), 6) AS snr FROM ({boxes('V', [1, 2, 3])}) a WHERE round(sqrt(s / width), 6) >= 3.0",
+        "energy_ratio": f"{z}, V AS (SELECT chan, t, x * x AS x, CAST((1 + t % 3) * (1 + t % 3) AS DOUBLE) AS n FROM Z) SELECT a.chan, a.t, a.width, round(sqrt(a.s / b.s), 6) AS snr FROM ({boxes('V', [1, 2, 3])}) a JOIN ({boxes('V', [1, 2, 3], x='n')}) b ON b.chan = a.chan AND b.t = a.t AND b.width = a.width WHERE sqrt(a.s / b.s) >= 1.5",
         "gap_split_mt": f"WITH {L}, {gap('L', 'mwidth', 'mt', q.GAPS[0], 'g1', 'G1')} SELECT mt, mdt, mwidth, msnr, g1 FROM G1",
         "split_plan": f"WITH {L}, {gap('L', 'mwidth', 'mt', q.GAPS[0], 'g1', 'G1')} SELECT mwidth AS g, max(g1) + 1 AS n FROM G1 GROUP BY 1",
         "cluster_3axis": f"{z}, {cand(q.WIDTHS)}, {grouped('C', q.GAPS)} SELECT * FROM G3",
@@ -113,7 +144,7 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "index_sort": f"{z}, {cand(q.WIDTHS)} SELECT *, row_number() OVER (ORDER BY mt, mdt, mwidth) - 1 AS rank FROM C",
         "inclusive_scan": "SELECT o_orderkey AS i, CAST(sum(o_custkey) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM orders",
         "exclusive_scan": "SELECT o_orderkey AS i, CAST(coalesce(sum(o_custkey) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS total FROM orders",
-        "permuted_scan": "WITH h AS (SELECT o_orderkey * 7 % 1000 AS pos, max(o_custkey) AS v FROM orders GROUP BY 1), s AS (SELECT i.i + 1 AS i, coalesce(h.v, 0) AS v FROM range(1200) i(i) LEFT JOIN h ON h.pos = 1199 - i.i UNION ALL SELECT 0, 0) SELECT i, CAST(sum(v) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM s",
+        "permuted_scan": "WITH s AS (SELECT (SELECT max(o_orderkey) FROM orders) - o_orderkey + 1 AS i, o_custkey AS v FROM orders UNION ALL SELECT 0, 0) SELECT i, CAST(sum(v) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM s",
         "overlap_frames": f"WITH {W} SELECT c.chan, f.fft, b.bin, coalesce(W.x, 0.0) AS x FROM range(32) c(chan) CROSS JOIN range({q.NFFT}) f(fft) CROSS JOIN range({q.NBIN}) b(bin) LEFT JOIN W ON W.chan = c.chan AND W.t = b.bin + {step} * f.fft - {q.OVERLAP}",
         "fftshift": f"WITH {E} SELECT r, (c + 32) % 64 AS c, x / 64 AS x FROM E",
         "circular_roll": f"WITH {E} SELECT r, (c + 67) % 64 AS c, x FROM E",
@@ -125,16 +156,18 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "digitize_floor": f"{z}, {cand(q.WIDTHS)} SELECT mt, mdt, mwidth, floor(msnr) AS msnr FROM C",
         "scale_complex": f"WITH {E}, {S} SELECT fft, chan, pol, bin, re / 32 AS re, im / 32 AS im FROM S",
         "quadratic_cut": f"WITH {E} SELECT r - 62 AS r, c - 48 AS c, x FROM E WHERE r BETWEEN 62 AND 77 AND c BETWEEN 48 AND 63",
-        "image_scale": f"WITH {E}, I AS (SELECT * FROM E WHERE r < 200) SELECT 199 - r AS r, c, CAST(trunc(x * 255.0 / (SELECT max(abs(x)) FROM I)) AS BIGINT) AS level FROM I",
-        "subchan_freqs": f"SELECT c.chan, s.sub, {r(f'{q.F_MIN} + {q.CHAN_BW} * (0.5 + c.chan) + {q.CHAN_BW / q.SUBS} * (s.sub - {q.SUBS / 2} + 0.5)', 6, 'f')} FROM range({q.BANDS}) c(chan) CROSS JOIN range({q.SUBS}) s(sub)",
+        "image_scale": f"WITH {E} SELECT (SELECT max(r) FROM E) - r AS r, c, CAST(trunc(x * 255.0 / (SELECT max(abs(x)) FROM E)) AS BIGINT) AS level FROM E",
+        "subchan_freqs": f"SELECT c.chan, s.sub, {r(f'{q.F_MIN} + {q.CHAN_BW} * (0.5 + c.chan) + {q.CHAN_BW / q.SUBS} * (s.sub - {q.SUBS / 2} + 0.5)', 6, 'f')} FROM range(8) c(chan) CROSS JOIN range({q.SUBS}) s(sub)",
         "taper_table": f"SELECT bin, {r('f')}, {r(f'1 / sqrt(1 + pow(f / {0.47 * q.CHAN_BW}, 80.0))', 6, 'taper')} FROM (SELECT bin, -{q.CHAN_BW / 2} + (bin + 0.5) * {q.CHAN_BW} / {q.MBIN}.0 AS f FROM range({q.MBIN}) b(bin)) i",
         "chirp_table": f"WITH {_chirp(q.SUBS)} SELECT chan, sub, bin, {r('re', 5)}, {r('im', 5)} FROM H",
         "complex_mul": f"WITH {E}, {S}, {_chirp(1)} SELECT S.fft, S.chan, S.pol, S.bin, {r('S.re * H.re - S.im * H.im', 3, 're')}, {r('S.re * H.im + S.im * H.re', 3, 'im')} FROM S JOIN H ON H.chan = S.chan AND H.bin = S.bin",
         "dft64": _dft("-", "", 3),
         "idft64": _dft("", " / 64.0", 6),
-        "dm_grid": f"SELECT CAST(i AS BIGINT) AS i, {r('30.0 + i * (600.0 / 40)', 6, 'dm')} FROM (VALUES {dm}) v(i)",
+        "dm_grid": f"SELECT CAST(i AS BIGINT) AS i, {r('30.0 + i * (600.0 / 40)', 6, 'dm')} FROM range(CAST(floor((600.0 - 30.0) / (600.0 / 40)) AS BIGINT)) v(i)",
+        "chunk_cut": f"WITH {W}, C AS (SELECT c.c AS chunk, greatest(0, least(c.c * {step}, {q.HOURS - q.NBIN})) AS first FROM range({(q.HOURS - 2 * q.OVERLAP - 1) // step + 1}) c(c)) SELECT chan % 2 AS block, chunk, chan, t - first AS t, x FROM W JOIN C ON t >= first AND t < first + {q.NBIN}",
+        "dft_round_trip": f"WITH {E} SELECT r, c, x AS re, 0.0 AS im FROM E",
         "chunk_ranges": f"SELECT c.c AS chunk, greatest(0, least(c.c * {step}, n - {q.NBIN})) AS start FROM (SELECT count(*) AS n FROM orders) i CROSS JOIN range(1000000) c(c) WHERE c.c <= (n - {2 * q.OVERLAP} - 1) // {step}",
-        "dedisperse_shift": f"WITH {W}, T(chan, s) AS (VALUES {shift}) SELECT W.chan, (W.t + T.s) % 720 AS t, W.x FROM W JOIN T ON T.chan = W.chan",
+        "dedisperse_shift": f"WITH {W}, T AS (SELECT chan, CAST(sign({lag}) * floor(abs({lag}) + 0.5) AS BIGINT) AS s FROM range(32) c(chan)) SELECT W.chan, (W.t + T.s) % 720 AS t, W.x FROM W JOIN T ON T.chan = W.chan",
         "flagship_search": f"{CLUSTERED} SELECT *, {RANKED} AS n FROM D",
         "cand_log_lines": f"{CLUSTERED}, N AS (SELECT *, {RANKED} AS n FROM D) SELECT n, lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') || lpad(CAST(num AS VARCHAR), 10, ' ') AS line FROM N",
         "cand_csv_lines": f"{z}, {cand(q.WIDTHS)} SELECT concat_ws(',', mt, mdt, mwidth, printf('%.6f', msnr)) AS line FROM C",
@@ -143,16 +176,17 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "report_parse": "SELECT o_orderkey % 7 AS block, o_custkey AS chunk, o_orderkey % 256 AS suc_row, o_custkey % 4096 AS suc_col, o_orderkey % 9 AS wind_width FROM orders",
         "header_normalise": "SELECT c_custkey AS k, abs(c_acctbal) AS chan_bw, c_acctbal >= 0 AS straight_order FROM customer",
     }
-    a, b, one = fdmt(q.truncating(), 4), fdmt(q.rounding(), 4), fdmt(q.truncating(), None, ones=True)
+    a, b, one, odd = fdmt(q.truncating()), fdmt(q.rounding()), fdmt(q.truncating(), "1", x="1.0"), fdmt(q.truncating(q.ODD))
     o["fdmt_init"] = f"WITH {W}, {', '.join(a[:3])} SELECT CAST(sub AS BIGINT) AS sub, CAST(k AS BIGINT) AS k, CAST(t AS BIGINT) AS t, {r('x')} FROM A0_0"
     o["fdmt_a"] = f"WITH {W}, {', '.join(a)} SELECT k, t, {r('x', 4)} FROM K0"
     o["fdmt_b"] = f"WITH {W}, {', '.join(b)} SELECT k, t, {r('x', 4)} FROM K0"
+    o["fdmt_odd"] = f"WITH {W.replace('% 32', f'% {q.ODD}').replace('range(32)', f'range({q.ODD})')}, {', '.join(odd)} SELECT k, t, {r('x', 4)} FROM K0"
     o["fdmt_ones"] = f"WITH {W}, {', '.join(one)} SELECT k, t, {r('x')} FROM K1"
     o["fdmt_ratio"] = f"WITH {W}, {', '.join(a + one)} SELECT K0.k, K0.t, {r('K0.x / sqrt(K1.x + 1e-8)', 4, 'x')} FROM K0 JOIN K1 ON K1.k = K0.k AND K1.t = K0.t"
+    image = ", ".join([E, S, *coherent()])
+    o["coherent_images"] = f"WITH {image} SELECT chunk, trial, k, t, {r('x', 4)} FROM CR"
+    found = cand(list(q.SEARCH.widths), threshold=q.SEARCH.threshold, source="CI", keys="chunk, ")
+    best = D.replace("PARTITION BY g1", "PARTITION BY chunk, g1").replace("SELECT mt", "SELECT chunk, mt")
+    o["coherent_search"] = f"WITH {image}, CI AS (SELECT chunk, trial * {q.SEARCH.subs} + k AS chan, t, x FROM CR), {found}, CL AS (SELECT chunk, mt, mdt, CAST(round(log2(mwidth)) AS BIGINT) AS mwidth, msnr FROM C), {grouped('CL', q.SEARCH.gaps, 'chunk, ')}, {best} SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY mt, mdt, mwidth) AS n FROM D"
     return o
 
-
-def _shifts() -> list[tuple[int, int]]:
-    from skysift.operators.dedisp import shifts
-
-    return shifts(q.CHANNELS, q.DM, q.F_MIN, (q.F_MAX - q.F_MIN) / q.CHANNELS, q.T_SAMPLE, q.HOURS)

@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions.views import CHANNELS, HOURS, matrix, raw_candidates, rounded, waterfall
-from skysift.operators import cluster, dedisp, detect, frame, scan, spectral, stats
+from skysift.operators import cluster, coherent, dedisp, detect, frame, scan, spectral, stats
 from skysift.plans import grids
-from skysift.sources import files
+from skysift.sources import files, raw
+from skysift.streaming import chunks
 
 # Parameters that queries and SQL share.
 THRESHOLD, WIDTHS, POW2, GAPS = 4.0, [1, 2, 3, 4], [1, 2, 4, 8], (2, 1, 2)
 F_MIN, F_MAX, T_SAMPLE, DM = 1000.0, 1500.0, 1e-3, 25.0
-BANDS, ROWS, DT_MAX = 8, 16, 12
+BANDS, ROWS, DT_MAX = CHANNELS, 16, 12
+ODD = 11
 SUBS, MBIN, CHAN_BW = 4, 32, 16.0
 NBIN, OVERLAP, NFFT = 96, 8, 9
+SEARCH = coherent.SearchPlan(f_min=1000.0, f_max=1032.0, t_sample=2.5e-4, channels=2, subs=4, nbin=32, nfft=10, overlap=8, dms=(5.0, 10.0, 15.0), threshold=2.0)
+CHUNK = (SEARCH.nbin - 2 * SEARCH.overlap) * SEARCH.nfft
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,11 +41,7 @@ def _z(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cand(spark: SparkSession, d: str) -> DataFrame:
-    return detect.boxcar(_z(spark, d), WIDTHS, THRESHOLD)
-
-
-def _bands(spark: SparkSession, d: str) -> DataFrame:
-    return waterfall(spark, d).where(F.col("chan") < BANDS)
+    return _r(detect.boxcar(_z(spark, d), WIDTHS, THRESHOLD), "msnr")
 
 
 def _spectrum(spark: SparkSession, d: str) -> DataFrame:
@@ -94,12 +94,12 @@ def summary_moments(spark, d):
 
 @query
 def max_element(spark, d):
-    return waterfall(spark, d).agg(F.max("x").alias("max_x"))
+    return stats.largest(waterfall(spark, d), "x")
 
 
 @query
 def boxcar_pow2(spark, d):
-    return detect.boxcar(_z(spark, d), POW2, THRESHOLD, log_index=True)
+    return _r(detect.boxcar(_z(spark, d), POW2, THRESHOLD, log_index=True), "msnr")
 
 
 @query
@@ -114,19 +114,20 @@ def boxcar_linear(spark, d):
 
 @query
 def below_threshold(spark, d):
-    return _cand(spark, d).where(F.col("msnr") < 6.0)
+    return detect.below(_cand(spark, d), 6.0)
 
 
 @query
 def best_detection(spark, d):
     z = _z(spark, d)
-    return detect.best_detection(z.select("chan", "t", "x"), z.select("chan", "t", F.col("mask").alias("x")), list(range(1, 11)), 0.0)
+    return _r(detect.best_detection(z.select("chan", "t", "x"), z.select("chan", "t", F.col("mask").alias("x")), list(range(1, 11)), 0.0), "snr")
 
 
 @query
 def energy_ratio(spark, d):
     z = _z(spark, d)
-    return detect.energy_ratio(z.select("chan", "t", "x"), z.select("chan", "t", F.lit(1.0).alias("x")), [1, 2, 3], 3.0)
+    norm = z.select("chan", "t", (1 + F.col("t") % 3).cast("double").alias("x"))
+    return _r(detect.energy_ratio(z.select("chan", "t", "x"), norm, [1, 2, 3], 1.5), "snr")
 
 
 @query
@@ -168,12 +169,12 @@ def cluster_sizes(spark, d):
 
 @query
 def segmented_sort_rank(spark, d):
-    return cluster.segment_rank(raw_candidates(spark, d), "mwidth", "mt", ["mdt", "msnr"])
+    return cluster.segment_rank(raw_candidates(spark, d), ["mwidth"], "mt", ["mdt", "msnr"])
 
 
 @query
 def index_sort(spark, d):
-    return cluster.segment_rank(_cand(spark, d).withColumn("s", F.lit(0)), "s", "mt", ["mdt", "mwidth"]).drop("s")
+    return cluster.segment_rank(_cand(spark, d), [], "mt", ["mdt", "mwidth"])
 
 
 def _indexed(spark, d):
@@ -192,8 +193,9 @@ def exclusive_scan(spark, d):
 
 @query
 def permuted_scan(spark, d):
-    heap = _indexed(spark, d).select((F.col("i") * 7 % 1000).alias("pos"), "v").groupBy("pos").agg(F.max("v").alias("v"))
-    order = spark.range(1200).select(F.col("id").alias("i"), (1199 - F.col("id")).alias("pos"))
+    heap = _indexed(spark, d).withColumnRenamed("i", "pos")
+    last = heap.agg(F.max("pos").alias("last"))
+    order = heap.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("pos")).alias("i"), "pos")  # one row
     return scan.permuted_prefix_sum(order, heap, "v")
 
 
@@ -241,7 +243,7 @@ def digitize(spark, d):
 
 @query
 def digitize_floor(spark, d):
-    return _cand(spark, d).select("mt", "mdt", "mwidth", F.floor("msnr").cast("double").alias("msnr"))
+    return frame.floored(_cand(spark, d), "msnr")
 
 
 @query
@@ -256,12 +258,12 @@ def quadratic_cut(spark, d):
 
 @query
 def image_scale(spark, d):
-    return frame.image_levels(matrix(spark, d).where("r < 200"), 200)
+    return frame.image_levels(matrix(spark, d))
 
 
 @query
 def subchan_freqs(spark, d):
-    return _r(spectral.subchannel_frequencies(spark, BANDS, SUBS, F_MIN, BANDS * CHAN_BW), "f")
+    return _r(spectral.subchannel_frequencies(spark, 8, SUBS, F_MIN, 8 * CHAN_BW), "f")
 
 
 @query
@@ -282,13 +284,13 @@ def complex_mul(spark, d):
 
 @query
 def dft64(spark, d):
-    z = matrix(spark, d).where("r < 200").select("r", "c", F.col("x").alias("re"), F.lit(0.0).alias("im"))
+    z = matrix(spark, d).select("r", "c", F.col("x").alias("re"), F.lit(0.0).alias("im"))
     return _r(spectral.transformed(z, ["r"], "c"), "re", "im", digits=3)
 
 
 @query
 def idft64(spark, d):
-    z = matrix(spark, d).where("r < 200").select("r", "c", F.col("x").alias("re"), F.lit(0.0).alias("im"))
+    z = matrix(spark, d).select("r", "c", F.col("x").alias("re"), F.lit(0.0).alias("im"))
     return _r(spectral.transformed(z, ["r"], "c", inverse=True), "re", "im", digits=6)
 
 
@@ -300,8 +302,15 @@ def dm_grid(spark, d):
 
 @query
 def chunk_ranges(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet").agg(F.count("*").alias("n")).select(F.explode(F.expr(f"sequence(0, cast((n - {2 * OVERLAP} - 1) div {NBIN - 2 * OVERLAP} as bigint))")).alias("chunk"), "n")
-    return rows.select("chunk", F.greatest(F.lit(0), F.least(F.col("chunk") * (NBIN - 2 * OVERLAP), F.col("n") - NBIN)).cast("long").alias("start"))
+    n = spark.read.parquet(f"{d}/orders.parquet").count()
+    return spark.createDataFrame([(c.index, c.start) for c in grids.chunks(n, NBIN, OVERLAP)], "chunk long, start long")
+
+
+@query
+def chunk_cut(spark, d):
+    """Every waterfall sample in the chunks that hold it."""
+    w = waterfall(spark, d).withColumn("block", F.col("chan") % 2)
+    return chunks.cut_chunks(w, HOURS, NBIN, OVERLAP)
 
 
 @query
@@ -310,9 +319,9 @@ def dedisperse_shift(spark, d):
     return dedisp.dedisperse(waterfall(spark, d), table, HOURS)
 
 
-def truncating():
-    first, plan = grids.truncating_plan(BANDS, F_MIN, F_MAX, ROWS)
-    return {c: list(range(first + 1)) for c in range(BANDS)}, plan
+def truncating(bands: int = BANDS):
+    first, plan = grids.truncating_plan(bands, F_MIN, F_MAX, ROWS)
+    return {c: list(range(first + 1)) for c in range(bands)}, plan
 
 
 def rounding():
@@ -320,35 +329,73 @@ def rounding():
     return dict(enumerate(first)), plan
 
 
-def _fdmt(w: DataFrame, parts, ones: bool = False) -> DataFrame:
-    delays, plan = parts
-    return dedisp.transform(dedisp.as_arrays(dedisp.init_depth(w, delays, ones)), plan)
+def search_parts():
+    first, plan = grids.truncating_plan(SEARCH.rows, SEARCH.f_min, SEARCH.f_max, SEARCH.subs)
+    return {c: list(range(first + 1)) for c in range(SEARCH.rows)}, plan
+
+
+def _image(w: DataFrame, parts) -> DataFrame:
+    return dedisp.image_of(dedisp.transform(w, *parts))
+
+
+def _ones(w: DataFrame) -> DataFrame:
+    return w.withColumn("x", F.lit(1.0))
 
 
 @query
 def fdmt_init(spark, d):
-    return _r(dedisp.init_depth(_bands(spark, d), truncating()[0]), "x")
+    return _r(dedisp.transform(waterfall(spark, d), truncating()[0], []), "x")
 
 
 @query
 def fdmt_a(spark, d):
-    return _r(_fdmt(_bands(spark, d), truncating()), "x", digits=4)
+    return _r(_image(waterfall(spark, d), truncating()), "x", digits=4)
 
 
 @query
 def fdmt_b(spark, d):
-    return _r(_fdmt(_bands(spark, d), rounding()), "x", digits=4)
+    return _r(_image(waterfall(spark, d), rounding()), "x", digits=4)
+
+
+@query
+def fdmt_odd(spark, d):
+    """Bands that do not halve evenly: the last one is copied in some iterations."""
+    return _r(_image(waterfall(spark, d, channels=ODD), truncating(ODD)), "x", digits=4)
 
 
 @query
 def fdmt_ones(spark, d):
-    return _r(_fdmt(_bands(spark, d), truncating(), ones=True), "x")
+    return _r(_image(_ones(waterfall(spark, d)), truncating()), "x")
 
 
 @query
 def fdmt_ratio(spark, d):
-    w = _bands(spark, d)
-    return _r(stats.ratio(_fdmt(w, truncating()), _fdmt(w, truncating(), ones=True)), "x", digits=4)
+    w = waterfall(spark, d)
+    return _r(stats.ratio(_image(w, truncating()), _image(_ones(w), truncating())), "x", digits=4)
+
+
+@query
+def dft_round_trip(spark, d):
+    z = matrix(spark, d).select("r", "c", F.col("x").alias("re"), F.lit(0.0).alias("im"))
+    return _r(spectral.transformed(spectral.transformed(z, ["r"], "c"), ["r"], "c", inverse=True), "re", "im")
+
+
+def _samples(spark, d):
+    """Embeddings as complex samples of two channels and polarisations, cut to chunks: (chunk, chan, pol, isamp, re, im)."""
+    s = _spectrum(spark, d).withColumn("s", F.col("fft") * 32 + F.col("bin"))
+    return s.select((F.col("s") / CHUNK).cast("long").alias("chunk"), "chan", "pol", (F.col("s") % CHUNK).alias("isamp"), "re", "im")
+
+
+@query
+def coherent_images(spark, d):
+    return _r(coherent.images(_samples(spark, d), SEARCH, ["chunk"]), "x", digits=4)
+
+
+@query
+def coherent_search(spark, d):
+    """The whole search: frames, coherent filters over a grid, transform, detection and clustering of every chunk."""
+    cand = _r(coherent.candidates(coherent.images(_samples(spark, d), SEARCH, ["chunk"]), SEARCH, ["chunk"]), "msnr")
+    return cluster.ranked(cluster.delegates(cluster.clusters(cand, SEARCH.gaps, ["chunk"]), ["chunk"]), ["chunk"])
 
 
 def _flagship(spark, d):
@@ -393,4 +440,4 @@ def report_parse(spark, d):
 @query
 def header_normalise(spark, d):
     s = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bw"))
-    return s.select("k", F.abs("bw").alias("chan_bw"), (F.col("bw") >= 0).alias("straight_order"))
+    return s.select("k", *raw.normalised_width(F.col("bw")))

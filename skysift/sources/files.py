@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skysift.sources.raw import open_file
+
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(path, shape, data): whole arrays of .npy files, in C order."""
@@ -89,6 +91,31 @@ def delegate_line(t0: float, dt: float) -> Column:
     return F.concat(_padded(F.col("n")), _padded(F.col("mt")), F.lpad(F.format_string("%.6f", seconds), 10, " "), _padded(F.col("mdt")), _padded(F.col("mwidth")), F.lpad(F.format_string("%.6f", F.col("msnr")), 10, " "), _padded(F.col("num")))
 
 
+def candidate_line(t0: float, dt: float) -> Column:
+    """As a delegate's line, but without a size, for candidates that are no clusters."""
+    seconds = F.lit(t0) + F.col("mt") * F.lit(dt)
+    return F.concat(_padded(F.col("n")), _padded(F.col("mt")), F.lpad(F.format_string("%.6f", seconds), 10, " "), _padded(F.col("mdt")), _padded(F.col("mwidth")), F.lpad(F.format_string("%.6f", F.col("msnr")), 10, " "))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (line) as text files in a folder."""
+    lines.select("line").write.mode("overwrite").text(path)
+
+
+def run_log(path: str, project: str, chunk: int, found: list[int], seconds: int, measures: list[float] | None = None) -> list[str]:
+    """Lines of a run's log; found: numbers of the chunks with detections, and with measures the dispersion of each."""
+    out = [f"Pass to Data File: {path}", f"Project Name: {project}", f"Length of Chunk: {chunk}", f"Quant of Successful Chunks: {len(found)}", f"Numbers of Successful Chunks: [{', '.join(map(str, found))}]"]
+    if measures is not None:
+        out.append(f"Successfull coherentD Array: [{', '.join(f'{m:g}' for m in measures)}]")
+    return [*out, f"Running Time (seconds): {seconds}"]
+
+
+def count_candidates(spark: SparkSession, path: str) -> int:
+    """Lines of candidate files but for each file's first, which is its header."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("f"))
+    return lines.count() - lines.distinct().count()
+
+
 def csv_line() -> Column:
     return F.concat_ws(",", "mt", "mdt", "mwidth", F.format_string("%.6f", F.col("msnr")))
 
@@ -127,16 +154,40 @@ def read_sidecar_header(text: str) -> dict:
     return {"nbits": 8, "npol": 4, "nchan": nchan, "chan_bw": bw, "cent_freq": float(h["fcen"]) * scale, "obs_bw": nchan * bw, "block_size": int(h["nsamp"]) * 4 * nchan, "t_resolution": float(h["tsamp"]), "tstart": float(h["tstart"])}
 
 
-def read_planes(spark: SparkSession, paths: list[str], nchan: int) -> DataFrame:
-    """(plane, chan, isamp, v) of parallel files of 8-bit samples that interleave channels."""
+def sibling_planes(path: str) -> list[str]:
+    """The four files of a recording, from the first one's path: the part S0 of its name counts up."""
+    head, found, tail = path.rpartition("_S0_")
+    if not found:
+        raise ValueError("the first file's name has no part _S0_")
+    return [f"{head}_S{i}_{tail}" for i in range(4)]
+
+
+def plane_shift(chunk_bytes: int, npol: int = 4) -> int:
+    """Bytes by which each of the parallel files moves on for a chunk of so many bytes in all."""
+    return chunk_bytes // npol
+
+
+def read_planes(spark: SparkSession, paths: list[str], nchan: int, each: int = 1 << 22) -> DataFrame:
+    """(plane, chan, isamp, v) of parallel files of 8-bit samples that interleave channels, read in ranges of about so many bytes."""
+    step = max(1, each // nchan) * nchan
+    ranges = []
+    for plane, path in enumerate(paths):
+        with open_file(path) as f:
+            ranges += [(plane, path, at, min(step, f.size() - at)) for at in range(0, f.size(), step)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, x in zip(b["path"], b["content"], strict=True):
-                v = np.frombuffer(x, np.int8).astype(float)
-                i = np.arange(len(v))
-                yield pd.DataFrame({"path": path, "chan": i % nchan, "isamp": i // nchan, "v": v})
-
-    got = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, chan long, isamp long, v double")
-    names = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)], "name string, plane int")
-    return got.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(names), "name").select("plane", "chan", "isamp", "v")
+            for r in b.itertuples():
+                with open_file(r.path) as f:
+                    v = np.frombuffer(f.read_at(r.size, r.first), np.int8).astype(float)
+                i = np.arange(r.first, r.first + len(v))
+                yield pd.DataFrame({"plane": r.plane, "chan": i % nchan, "isamp": i // nchan, "v": v})
+
+    table = spark.createDataFrame(ranges, "plane int, path string, first long, size long").repartition(max(1, len(ranges)))
+    return table.mapInPandas(run, "plane int, chan long, isamp long, v double")
+
+
+def plane_samples(planes: DataFrame) -> DataFrame:
+    """(chan, pol, isamp, re, im): even planes are real parts, odd ones imaginary parts of their polarisation."""
+    part = F.col("plane") % 2
+    return planes.groupBy("chan", F.floor(F.col("plane") / 2).cast("int").alias("pol"), "isamp").agg(F.sum(F.when(part == 0, F.col("v")).otherwise(0.0)).alias("re"), F.sum(F.when(part == 1, F.col("v")).otherwise(0.0)).alias("im"))

@@ -10,10 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CARD = 80
+#: Samples of a batch.
+CELLS = 1 << 16
 SCHEMA = "block long, chan long, nbits int, npol int, nchan int, chan_bw double, obs_freq double, obs_bw double, tbin double, telescope string, data binary"
 TELESCOPES = ("GBT", "PARKES")
 
@@ -45,26 +51,48 @@ def normalised(h: dict[str, str]) -> dict:
     }
 
 
+def normalised_width(bw) -> list:
+    """Columns chan_bw and straight_order of a signed channel width, as normalised() has them."""
+    return [F.abs(bw).alias("chan_bw"), (bw >= 0).alias("straight_order")]
+
+
 class Block(InputPartition):
     def __init__(self, path: str, block: int, offset: int, header: dict):
         super().__init__(block)
         self.path, self.block, self.offset, self.header = path, block, offset, header
 
 
+#: Bytes within which a header must end.
+HEADER = 1 << 20
+
+
+def open_file(path: str):
+    """A file of any store that has a URI, or a local path, for random reads."""
+    if "://" in path:
+        fs, inner = pafs.FileSystem.from_uri(path)
+        return fs.open_input_file(inner)
+    return pa.OSFile(path)
+
+
 def plan_blocks(path: str, wanted: set[int] | None = None) -> list[Block]:
+    """Blocks of a recording; it ends after a whole block, else it is damaged and that is an error."""
     out, at, n = [], 0, 0
-    with open(path, "rb") as f:
-        while True:
-            f.seek(at)
-            found = parse_header(f.read(64 * 1024))
+    with open_file(path) as f:
+        end = f.size()
+        while at < end:
+            head = f.read_at(min(64 * 1024, end - at), at)
+            found = parse_header(head) or parse_header(f.read_at(min(HEADER, end - at), at))
             if found is None:
-                return out
+                raise ValueError(f"{path}: no header at byte {at}")
             header = normalised(found[0])
             size = header["block_size"]
+            if at + found[1] + size > end:
+                raise ValueError(f"{path}: block {n} is cut short")
             if wanted is None or n in wanted:
                 out.append(Block(path, n, at + found[1], header))
             at += found[1] + (-(-size // 512) * 512 if header["direct_io"] else size)
             n += 1
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -78,11 +106,10 @@ class _Reader(DataSourceReader):
     def read(self, partition: Block) -> Iterator[tuple]:
         h = partition.header
         each = h["block_size"] // h["nchan"]
-        with open(partition.path, "rb") as f:
+        with open_file(partition.path) as f:
             for i in range(h["nchan"]):
-                f.seek(partition.offset + i * each)
                 chan = h["nchan"] - 1 - i if h["descending"] else i
-                yield partition.block, chan, h["nbits"], h["npol"], h["nchan"], h["chan_bw"], h["obs_freq"], h["obs_bw"], h["tbin"], h["telescope"], f.read(each)
+                yield partition.block, chan, h["nbits"], h["npol"], h["nchan"], h["chan_bw"], h["obs_freq"], h["obs_bw"], h["tbin"], h["telescope"], f.read_at(each, partition.offset + i * each)
 
 
 class RawVoltage(DataSource):
@@ -101,13 +128,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RawVoltage)
 
 
-def samples(raw):
+def samples(raw: DataFrame) -> DataFrame:
     """(block, chan, pol, isamp, re, im) of 8-bit data that interleave time, polarisation, and real and imaginary part."""
-    from pyspark.sql import functions as F
-
-    pairs = (F.col("npol") / 2).cast("int")
-    byte = F.expr("transform(sequence(1, length(data)), i -> cast(conv(hex(substring(data, i, 1)), 16, 10) as int))")
-    rows = raw.select("block", "chan", pairs.alias("pairs"), F.posexplode(byte).alias("at", "u"))
-    signed = F.when(F.col("u") > 127, F.col("u") - 256).otherwise(F.col("u")).cast("double")
-    rows = rows.select("block", "chan", ((F.col("at") / 2).cast("int") % F.col("pairs")).alias("pol"), ((F.col("at") / 2).cast("int") / F.col("pairs")).cast("long").alias("isamp"), (F.col("at") % 2).alias("part"), signed.alias("v"))
-    return rows.groupBy("block", "chan", "pol", "isamp").agg(F.sum(F.when(F.col("part") == 0, F.col("v"))).alias("re"), F.sum(F.when(F.col("part") == 1, F.col("v"))).alias("im"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, chan, npol, data in zip(*(batch.column(c) for c in ("block", "chan", "npol", "data")), strict=True):
+                pairs = npol.as_py() // 2
+                v = np.frombuffer(data.as_buffer(), np.int8).astype(float).reshape(-1, 2)
+                for first in range(0, len(v), CELLS):
+                    part = v[first : first + CELLS]
+                    at = np.arange(first, first + len(part))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(block, len(part)), pa.repeat(chan, len(part)), pa.array((at % pairs).astype(np.int32)), pa.array(at // pairs), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["block", "chan", "pol", "isamp", "re", "im"])
+
+    return raw.select("block", "chan", "npol", "data").mapInArrow(run, "block long, chan long, pol int, isamp long, re double, im double")

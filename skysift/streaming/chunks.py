@@ -26,20 +26,22 @@ def cut_chunks(samples: DataFrame, block: int, chunk: int, overlap: int) -> Data
     return samples.withColumn("chunk", F.explode(near)).join(F.broadcast(table), "chunk").where("t >= first and t < past").select("block", "chunk", "chan", (F.col("t") - F.col("first")).alias("t"), "x")
 
 
-def search(w: DataFrame, widths: list[int], threshold: float, gaps: tuple[int, int, int]) -> DataFrame:
-    """Delegates of one waterfall (chan, t, x), with their clusters' sizes."""
-    return cluster.delegates(cluster.clusters(detect.boxcar(stats.excise_zscore(w), widths, threshold), gaps))
+def search(w: DataFrame, widths: list[int], threshold: float, gaps: tuple[int, int, int], keys: list[str] | None = None) -> DataFrame:
+    """Delegates of waterfalls (keys, chan, t, x), with their clusters' sizes; keys tell the waterfalls apart."""
+    found = detect.boxcar(stats.excise_zscore(w, keys), widths, threshold, keys=keys)
+    return cluster.delegates(cluster.clusters(found, gaps, keys), keys)
 
 
 def search_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, widths: list[int], threshold: float, gaps: tuple[int, int, int] = (2, 1, 2)) -> StreamingQuery:
-    """Searches every chunk that arrives as Parquet in a folder; one row per delegate, partitioned by block and chunk."""
+    """Searches every chunk that arrives as Parquet in a folder; one row per delegate, partitioned by block and chunk.
+
+    All chunks of a micro-batch go through together.  A micro-batch that is done
+    again writes the same files' partitions over.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        for key in batch.select("block", "chunk").distinct().collect():  # as many as files in a micro-batch
-            w = batch.where((F.col("block") == key.block) & (F.col("chunk") == key.chunk)).select("chan", "t", "x")
-            search(w, widths, threshold, gaps).write.mode("overwrite").parquet(f"{sink}/block={key.block}/chunk={key.chunk}")
-        batch.unpersist()
+        found = search(batch, widths, threshold, gaps, ["block", "chunk"])
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block", "chunk").parquet(sink)
 
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 8).parquet(source)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -138,8 +138,11 @@ def test_transforms_equal_numpy(spark, kind):
         depth, plan = grids.truncating_plan(6, 1000, 1500, 9)
         delays = {c: list(range(depth + 1)) for c in range(6)}
     want = reference_transform(x, delays, plan)
-    got = rows(dedisp.transform(dedisp.as_arrays(dedisp.init_depth(w, delays)), plan))
-    assert np.allclose(np.array([v for _, _, v in got]).reshape(want.shape), want)
+    for cells in (dedisp.CELLS, 30):
+        got = rows(dedisp.image_of(dedisp.transform(w, delays, plan, cells=cells)))
+        assert np.allclose(np.array([v for _, _, v in got]).reshape(want.shape), want)
+    both = w.withColumn('key', F.lit('a')).union(w.withColumn('key', F.lit('b')))
+    assert rows(dedisp.image_of(dedisp.transform(both, delays, plan, ['key'], cells=30), ['key']).where("key = 'b'").drop('key')) == got
 
 
 def test_plan_ties_and_rounding():
@@ -183,6 +186,49 @@ def test_raw_recording(spark, tmp_path):
     assert one[0].chan_bw == 0.5 and one[0].obs_freq == 1400.0 and one[0].telescope == "GBT"
     cells = raw.samples(got.where("block = 0 and chan = 1"))
     assert rows(cells.select("pol", "isamp", "re", "im"))[:2] == [(0, 0, 0.0, 1.0), (0, 1, 4.0, 5.0)]
+    for damaged in ((header() + payload) * 2 + b"x" * 90, header() + payload[:-1]):
+        path.write_bytes(damaged)
+        with pytest.raises(ValueError):
+            raw.plan_blocks(str(path))
+    path.write_bytes(header().replace(b"DIRECTIO= 0", b"DIRECTIO= 1").ljust(1024) + payload.ljust(512) + header() + payload)
+    assert [b.offset for b in raw.plan_blocks(f"file://{path}")] == [1024, 1536 + 960]
+
+
+def test_command_line_searches_a_recording(spark, tmp_path):
+    from skysift import __main__ as cli
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(-20, 21, (4, 64 * 4, 4)).astype(np.int8)
+    data[:, 100:104] = 120
+    cards = {"NBITS": 8, "CHAN_BW": 4.0, "OBSFREQ": 1016.0, "OBSNCHAN": 4, "OBSBW": 16.0, "BLOCSIZE": data.size, "TELESCOP": "'GBT'", "NPOL": 4, "TBIN": 1e-3, "DIRECTIO": 0}
+    (tmp_path / "x.raw").write_bytes("".join(f"{k:<8}= {v}".ljust(80) for k, v in cards.items()).encode() + b"END".ljust(80) + data.tobytes())
+    plan = cli.run(spark, cli.options(["-n", str(tmp_path / "x.raw"), "-N", str(tmp_path / "out"), "-P", "2e-3", "-b", "3", "-k", "0.02", "-d", "5", "--d-min", "0.01", "--nbin", "64", "--nfft", "2"]))
+    assert plan.rows == 8 and plan.widths == (1, 2, 4)
+    got = spark.read.text(str(tmp_path / "out"))
+    assert got.count() > 0 and set(got.columns) == {"value", "block", "chunk"}
+
+
+def test_chunk_search_equals_numpy(spark):
+    """One chunk and trial through frames, filter, power and statistics against plain numpy."""
+    from skysift.operators import coherent
+
+    plan = coherent.SearchPlan(1000.0, 1032.0, 2.5e-4, 2, 4, 32, 3, 8, (5.0,), 1.0)
+    rng = np.random.default_rng(5)
+    n = (plan.nbin - 2 * plan.overlap) * plan.nfft
+    z = rng.integers(-9, 10, (2, 2, n)) + 1j * rng.integers(-9, 10, (2, 2, n))
+    df = spark.createDataFrame([(7, c, p, i, float(z[c, p, i].real), float(z[c, p, i].imag)) for c in range(2) for p in range(2) for i in range(n)], "chunk long, chan long, pol long, isamp long, re double, im double")
+    power = np.zeros((8, 4 * plan.nfft))
+    for c in range(2):
+        for p in range(2):
+            padded = np.concatenate([np.zeros(8), z[c, p], np.zeros(8)])
+            for f in range(plan.nfft):
+                s = np.fft.fftshift(np.fft.fft(padded[16 * f : 16 * f + 32]))
+                for k in range(4):
+                    y = np.fft.ifft(s[8 * k : 8 * k + 8] * coherent.chirp_of(plan, c, 5.0)[k]) / 4
+                    power[(1 - c) * 4 + 3 - k, 4 * f : 4 * f + 4] += np.abs(y[2:6]) ** 2
+    frames = frame.overlap_frames(df, 32, 3, 8, ["chunk", "chan", "pol"], ["re", "im"])
+    got = rows(coherent.coherent_power(frames, plan, ["chunk"]))
+    assert np.allclose(np.array([r[-1] for r in got]).reshape(power.shape), power) and got[0][:4] == (7, 0, 0, 0)
 
 
 def test_npy_round_trip(spark, tmp_path):
@@ -204,6 +250,14 @@ def test_small_readers(spark, tmp_path):
     assert rows(files.read_candidates(spark, str(tmp_path / "c.txt"))) == [(10, 3, 2, 5.5)]
     (tmp_path / "f.bin").write_bytes(np.array([1, 2.5], "<f4").tobytes())
     assert rows(files.read_floats(spark, str(tmp_path / "f.bin"))) == [(0, 1.0), (1, 2.5)]
+    assert files.count_candidates(spark, str(tmp_path / "c.txt")) == 2
+    log = files.run_log("x.raw", "p", 64, [3, 5], 9, [30.5, 40])
+    assert log[4] == "Numbers of Successful Chunks: [3, 5]" and log[5] == "Successfull coherentD Array: [30.5, 40]"
+    files.write_lines(spark.createDataFrame([(x,) for x in log], "line string"), str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == 7 and files.log_values(spark.read.text(str(tmp_path / "log")), "Length of Chunk:").first()[0] == [64.0]
+    line = spark.createDataFrame([(1, 10, 3, 2, 5.5)], "n long, mt long, mdt long, mwidth long, msnr double").select(files.candidate_line(1.0, 0.5)).first()[0]
+    assert line == "         1        10  6.000000         3         2  5.500000"
+    assert files.sibling_planes("a/L1_S0_P0.raw")[3] == "a/L1_S3_P0.raw" and files.plane_shift(4096) == 1024
     assert files.read_packed_header(struct.pack("<iiffff", 7, 2, 50, 100, 200, 4))["samples"] == 7
     log = spark.createDataFrame([("widths: 1, 2 4",), ("other",)], "value string")
     assert files.log_values(log, "widths:").first()[0] == [1.0, 2.0, 4.0]
@@ -211,7 +265,9 @@ def test_small_readers(spark, tmp_path):
     assert h["cent_freq"] == 150.0 and h["block_size"] == 120
     for i in range(2):
         (tmp_path / f"p{i}.raw").write_bytes(bytes([i, 255, 2, 3]))
-    assert rows(files.read_planes(spark, [str(tmp_path / f"p{i}.raw") for i in range(2)], 2))[:2] == [(0, 0, 0, 0.0), (0, 0, 1, 2.0)]
+    planes = files.read_planes(spark, [str(tmp_path / f"p{i}.raw") for i in range(2)], 2, each=2)
+    assert rows(planes)[:2] == [(0, 0, 0, 0.0), (0, 0, 1, 2.0)]
+    assert rows(files.plane_samples(planes))[:2] == [(0, 0, 0, 0.0, 1.0), (0, 0, 1, 2.0, 2.0)]
 
 
 def test_scalar_plans():
