@@ -100,15 +100,15 @@ def gapless(df: DataFrame, group: str, order: list[str], name: str, rows_each: i
     """
     n = df.count()
     buckets = max(1, -(-n // rows_each))
-    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(F.col(group).alias("_group"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    at = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1
+    bucket, key, b, first, at = (free(df, x) for x in ("_bucket", "_group", "_b", "_first", "_at"))
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = df.groupBy(group, bucket).agg(F.count("*").alias(at))
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias(key), F.col(bucket).alias(b), F.coalesce(F.sum(at).over(before), F.lit(0)).alias(first))
+    place = F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)) - 1
     return (
-        df.withColumn("_at", at)
-        .join(small(first), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_b")), "left")
-        .withColumn(name, (F.col("_first") + F.col("_at")).cast("long"))
-        .drop("_bucket", "_group", "_b", "_first", "_at")
+        df.withColumn(at, place)
+        .join(small(starts), F.col(group).eqNullSafe(F.col(key)) & (F.col(bucket) == F.col(b)), "left")
+        .withColumn(name, (F.col(first) + F.col(at)).cast("long"))
+        .drop(bucket, key, b, first, at)
     )

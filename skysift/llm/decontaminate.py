@@ -5,8 +5,8 @@ documents are looked up once among those of the windows; what is found is small
 and kept.  Shingles are ordered by how often the documents have them: a window
 can stand in a document only where its rarest shingle does, so that one is its
 necessary prefix.  A candidate's start follows from the shingle's offset; it
-must lie in the document (positional and length bounds), and then the window's
-first and last shingles, which together cover all its words, must stand there.
+must lie in the document (positional and length bounds), and then as many of the
+window's shingles as together cover all its words must stand there.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.llm.common import lowered, small, written
+from skysift.llm.common import free, lowered, small, written
 
 #: Words of a shingle, fewer only for items of fewer words.
 SHINGLE = 5
@@ -70,11 +70,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
     rank = Window.partitionBy("window").orderBy("often", "shingle", "offset")
     prefix = pairs.join(often, "shingle").withColumn("r", F.row_number().over(rank)).where("r = 1").select("window", "n", "offset", "shingle")
     candidates = at.join(prefix, "shingle").withColumn("start", F.col("at") - F.col("offset")).where("start >= 1 and start + n - 1 <= n_words").select("_row", "window", "n", "start")
-    ends = parts.select("window", F.expr("array_join(slice(w, 1, k), ' ')").alias("first"), F.expr("n - k").alias("last_at"), F.expr("array_join(slice(w, n - k + 1, k), ' ')").alias("last"))
     spots = at.select("_row", "at", "shingle")
-    checked = candidates.join(ends, "window")
-    checked = checked.join(spots.select("_row", F.col("at").alias("start"), F.col("shingle").alias("first")), ["_row", "start", "first"])
-    checked = checked.withColumn("end_at", F.col("start") + F.col("last_at")).join(spots.select("_row", F.col("at").alias("end_at"), F.col("shingle").alias("last")), ["_row", "end_at", "last"])
+    # Shingles side by side, the last one moved back to end with the window.
+    cover = range(-(-window // SHINGLE))
+    offsets = {j: F.expr(f"least({j} * k, n - k)") for j in cover}
+    checked = candidates.join(parts.select("window", *[o.alias(f"o{j}") for j, o in offsets.items()], *[F.expr(f"array_join(slice(w, least({j} * k, n - k) + 1, k), ' ')").alias(f"s{j}") for j in cover]), "window")
+    for j in cover:
+        checked = checked.withColumn("at", F.col("start") + F.col(f"o{j}")).join(spots.withColumnRenamed("shingle", f"s{j}"), ["_row", "at", f"s{j}"])
     places = written(checked.select("_row", "window", "n", "start"), "places")
 
     covered = (
@@ -91,6 +93,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without those in which hits() found a window, by doc_id; all rows of such a doc_id go."""
-    bad = small(written(found.where("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct(), "contaminated"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """docs without those in which hits() found a window, by doc_id; all rows of such a doc_id go, null ones alike; columns may have any names."""
+    i = free(docs, "_id")
+    bad = small(written(found.where("n_hit > 0").select(F.col("doc_id").alias(i)).distinct(), "contaminated"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(i)), "left_anti")

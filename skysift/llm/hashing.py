@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a worker remembers.
-WORDS = 1_000_000
+WORDS = 400_000
 
 
 class _Words(dict):

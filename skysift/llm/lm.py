@@ -37,8 +37,10 @@ from skysift.llm.hashing import mixed, word_hashes
 
 #: Scale of the levels, whose first ones are the whole numbers, and the discount of a bigram's count.
 BASE, DISCOUNT = 1.25, 0.75
-#: Bits of the filter that are broadcast at most (64 MB), bits per entry and probes.
-FILTER_BITS, ENTRY_BITS, PROBES = 1 << 29, 12, 6
+#: Bits of the filter that are broadcast at most (168 MB), bits per entry and probes; one in 77 missing entries seems to be there.
+FILTER_BITS, ENTRY_BITS, PROBES = 5 << 28, 9, 6
+#: Levels that a task remembers.
+REMEMBERED = 1 << 20
 #: Frequent words whose exact count is broadcast, at most (12 bytes each).
 TOP = 2_000_000
 #: Tokens counted in memory at once, and tokens of the corpus per bucket.
@@ -53,6 +55,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
 _MASS = np.uint64(xxhash.xxh3_64_intdigest(b" mass"))
+_LAST = np.uint64(0xFFFFFFFF)
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFE)
 
 _COUNTED = "bucket int, uni binary, uni_n binary, bi binary, bi_n binary, tokens long, words long, uni_ge array<long>, entries long"
@@ -105,25 +108,69 @@ class Filter:
     def places(keys: np.ndarray, level: int | np.ndarray, size: int) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             x = mixed(keys + np.asarray(level, np.uint64) * _LEVEL)
-            a, b = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
-            return [(a + np.uint64(i) * b) % np.uint64(size) for i in range(PROBES)]
+            a, b = x >> np.uint64(32), x & _LAST | np.uint64(1)
+            return [(a + np.uint64(i) * b & _LAST) * np.uint64(size) >> np.uint64(32) for i in range(PROBES)]
 
     def levels(self, keys: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
-        """Levels read back by probing one after the other; by: where the segment's number is, if not in keys."""
+        """Levels read back by probing; by: where the segment's number is, if not in keys.
+
+        A key has all levels up to its own, so levels are probed in doubling steps
+        and then between the last two.  A level that only seems to be there shows
+        in the one below it, which is missing; such a key is probed level by level.
+        """
         by = keys if by is None else by
-        out, live, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         start = (by >> self.shift if self.shift < 64 else by * np.uint64(0)) * np.uint64(self.size)
+        low, high = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        live, level = np.arange(len(keys)), 1
         while len(live):
-            with np.errstate(over="ignore"):
-                x = mixed(keys[live] + np.uint64(level) * _LEVEL)
-            a, b = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
-            for i in range(PROBES):
-                with np.errstate(over="ignore"):
-                    at = start[live] + (a + np.uint64(i) * b) % np.uint64(self.size)
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                live, a, b = live[hit], a[hit], b[hit]
-            out[live] = level
+            there = self._there(keys[live], start[live], level)
+            high[live[~there]] = level
+            live = live[there]
+            low[live] = level
+            level *= 2
+        while len(live := np.flatnonzero(high - low > 1)):
+            middle = (low[live] + high[live]) // 2
+            there = self._there(keys[live], start[live], middle)
+            low[live[there]], high[live[~there]] = middle[there], middle[~there]
+        live = np.flatnonzero(low > 2)
+        live = live[~self._there(keys[live], start[live], low[live] - 1)]
+        low[live], level = 0, 1
+        while len(live):
+            live = live[self._there(keys[live], start[live], level)]
+            low[live] = level
             level += 1
+        return low
+
+    def _there(self, keys: np.ndarray, start: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+        """Whether each key has the level; probing ends with the first bit that is off."""
+        with np.errstate(over="ignore"):
+            x = mixed(keys + np.asarray(level, np.uint64) * _LEVEL)
+        a, b, size = x >> np.uint64(32), x & _LAST | np.uint64(1), np.uint64(self.size)
+        on, live = np.zeros(len(keys), bool), np.arange(len(keys))
+        for i in range(PROBES):
+            with np.errstate(over="ignore"):
+                at = start[live] + ((a + np.uint64(i) * b & _LAST) * size >> np.uint64(32))
+            hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            live, a, b = live[hit], a[hit], b[hit]
+        on[live] = True
+        return on
+
+
+class Remembering:
+    """A filter's levels, those of keys that occurred more than once kept at hand."""
+
+    def __init__(self, model: Filter):
+        self.model, self.keys, self.found = model, np.zeros(REMEMBERED, np.uint64), np.zeros(REMEMBERED, np.uint8)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        slot = (mixed(keys) & np.uint64(REMEMBERED - 1)).astype(np.int64)
+        out = self.found[slot].astype(np.int64)
+        new = np.flatnonzero((self.keys[slot] != keys) | (keys == 0))
+        # Segment by segment, so that probes stay close together.
+        new = new[np.argsort((keys[new] >> np.uint64(48)).astype(np.uint16), kind="stable")]
+        out[new] = self.model.levels(keys[new])
+        often = new[out[new] > 1]
+        self.keys[slot[often]], self.found[slot[often]] = keys[often], out[often]
         return out
 
 
@@ -225,26 +272,37 @@ def masses(counted: DataFrame, buckets: int) -> DataFrame:
 
 
 def build(counted: DataFrame, mass: DataFrame, size: int) -> DataFrame:
-    """Segments (bucket, bits) of the filter: all unigrams, bigrams and histories' masses."""
-    entry = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("levels", pa.binary())])
+    """Segments (bucket, bits) of the filter: all unigrams, bigrams and histories' masses.
+
+    Both tables have a bucket in a row, so only bits meet, never n-grams.
+    """
+
+    def entered(rows: Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]) -> Iterator[pa.RecordBatch]:
+        for bucket, entries in rows:
+            on = np.zeros(size, bool)
+            for keys, top in entries:
+                for level in range(1, int(top.max(initial=0)) + 1):
+                    keys, top = keys[top >= level], top[top >= level]
+                    for at in Filter.places(keys, level, size):
+                        on[at] = True
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
 
     def of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names in (("uni", "uni_n"), ("bi", "bi_n")):
-                for bucket, keys, n in _arrays(batch, *names):
-                    yield pa.RecordBatch.from_pylist([{"bucket": bucket, "keys": keys.tobytes(), "levels": levels(n, 1).astype(np.uint8).tobytes()}], schema=entry)
+            rows = ((r["bucket"], [(np.frombuffer(r[k], np.uint64), levels(np.frombuffer(r[n], np.int64), 1)) for k, n in (("uni", "uni_n"), ("bi", "bi_n"))]) for r in batch.to_pylist())
+            yield from entered(rows)
 
-    def segment(group: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
-        top = np.frombuffer(b"".join(group.column("levels").to_pylist()), np.uint8)
-        on = np.zeros(size, bool)
-        for level in range(1, int(top.max(initial=0)) + 1):
-            for at in Filter.places(keys[top >= level], level, size):
-                on[at] = True
-        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+    def of_masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from entered((r["bucket"], [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["levels"], np.uint8))]) for r in batch.to_pylist())
+
+    def united(group: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("bits")])
+        return pa.table({"bucket": group.column("bucket").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    entries = mass.select("bucket", "keys", "levels").union(counted.select("bucket", "uni", "uni_n", "bi", "bi_n").mapInArrow(of_counts, "bucket int, keys binary, levels binary"))
-    return entries.groupBy("bucket").applyInArrow(segment, "bucket int, bits binary")
+    ddl = "bucket int, bits binary"
+    both = counted.select("bucket", "uni", "uni_n", "bi", "bi_n").mapInArrow(of_counts, ddl).union(mass.select("bucket", "keys", "levels").mapInArrow(of_masses, ddl))
+    return both.groupBy("bucket").applyInArrow(united, ddl)
 
 
 def asked(kinds: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,6 +321,8 @@ def logs(level: np.ndarray, kinds: int, before: np.ndarray, of: np.ndarray, of_p
     """Each token's log10 probability, from the levels of what ``asked`` gave."""
     c, mass, both = count_of(level[:kinds], 1), count_of(level[kinds : 2 * kinds], 1 - DISCOUNT), count_of(level[2 * kinds :], 1)[of_pair]
     p = (c + 0.1)[of] / whole
+    # No bigram is more frequent than its words, whatever its probes say.
+    both = np.where(mass[before] > 0, np.minimum(both, np.minimum(c[before], c[of])), 0)
     seen = np.maximum(c[before], np.maximum(mass[before] + DISCOUNT, both))
     follows = (mass[before] > 0) & (c[before] > 0)
     return np.log10(np.where(follows, np.maximum(both - DISCOUNT, 0) / seen + (1 - mass[before] / seen) * p, p))
@@ -329,10 +389,11 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     buckets = 1 << max(3, math.ceil(math.log2(max(1, tokens / BUCKET))))
     counted = written(counts(train, buckets), "counts")
     mass = written(masses(counted, buckets), "masses")
-    total = counted.agg(F.sum("tokens"), F.sum("words"), F.sum("entries"), *[F.sum(F.col("uni_ge")[i]) for i in range(STEPS)]).first()
-    n_all, n_words, uni_ge = total[0] or 0, total[1] or 0, [x or 0 for x in total[3:]]
-    entries = (total[2] or 0) + (mass.agg(F.sum("entries")).first()[0] or 0)
-    size = -(-max(1024, entries * ENTRY_BITS) // buckets // 64 + 1) * 64
+    total = counted.agg(F.sum("tokens"), F.sum("words"), *[F.sum(F.col("uni_ge")[i]) for i in range(STEPS)]).first()
+    n_all, n_words, uni_ge = total[0] or 0, total[1] or 0, [x or 0 for x in total[2:]]
+    # All segments are as large as the fullest one needs.
+    entries = counted.select("bucket", "entries").union(mass.select("bucket", "entries")).groupBy("bucket").agg(F.sum("entries").alias("n")).agg(F.max("n")).first()[0] or 0
+    size = -(-max(128, entries * ENTRY_BITS) // 64) * 64
     segments = build(counted, mass, size)
     if buckets * size > FILTER_BITS:
         segments = written(segments, "segments")
@@ -368,7 +429,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, top_keys, top_n = shared.value
-        model = Filter(bits, buckets)
+        model = Remembering(Filter(bits, buckets))
         for batch in batches:
             for part in chunks(batch):
                 hashed = [np.append(word_hashes(t), END) for t in part.column("text").to_pylist()]

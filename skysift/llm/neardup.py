@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ DEPTH, NEAR, BEST = 20, 3, 3
 #: Least share of equal minima for a full check: five standard deviations below 0.8.
 ESTIMATE = 0.6
 #: Cells in which shingles are counted to put rare ones first; any counts give the same links.
-CELLS = 1 << 20
+CELLS, BLOCK = 1 << 20, 1 << 12
 #: Links that one task contracts in memory.
 LINKS = 1_000_000
 _ODD = np.array([xxhash.xxh3_64_intdigest(b"times", seed=i) | 1 for i in range(MINIMA)], np.uint64)
@@ -177,6 +178,27 @@ def needed(p: int, x: Column, y: Column) -> Column:
     return F.ceil(p * (x + y) / (100.0 + p) - 1e-9)
 
 
+_PACKED = "block int, part int, cells binary, n binary"
+
+
+def packed(n: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+    """Counts of cells that aren't 0, a row for each block of them."""
+    for block in range(CELLS // BLOCK):
+        own = n[block * BLOCK : (block + 1) * BLOCK]
+        if len(at := np.flatnonzero(own)):
+            yield pa.RecordBatch.from_pylist([{"block": block, "part": part % 256, "cells": at.astype("<u2").tobytes(), "n": own[at].astype("<u8").tobytes()}], schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())]))
+
+
+def merged(group: pa.Table) -> pa.Table:
+    """The sum of a block's counts, in one row."""
+    n = np.zeros(BLOCK, np.int64)
+    for cells, more in zip(group.column("cells"), group.column("n"), strict=True):
+        n[np.frombuffer(cells.as_buffer(), "<u2").astype(np.int64)] += np.frombuffer(more.as_buffer(), "<u8").astype(np.int64)
+    at = np.flatnonzero(n)
+    row = {"block": group.column("block")[0].as_py(), "part": group.column("part")[0].as_py(), "cells": at.astype("<u2").tobytes(), "n": n[at].astype("<u8").tobytes()}
+    return pa.Table.from_pylist([row], schema=group.schema)
+
+
 def crowded(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of classes of different components that can be linked, by a set join with prefix, length and positional bounds.
 
@@ -192,12 +214,14 @@ def crowded(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for x in batch.column("items"):
                 np.add.at(n, (np.frombuffer(x.as_buffer(), np.uint64) >> shift).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+        yield from packed(n, TaskContext.get().partitionId())
 
-    counted = sets.select("items").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # at most CELLS rows
+    counted = sets.select("items").mapInArrow(count, _PACKED)
+    for by in (["block", "part"], ["block"]):
+        counted = counted.groupBy(*by).applyInArrow(merged, _PACKED)
     often = np.ones(CELLS, np.int64)
-    often[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    for r in counted.collect():  # CELLS numbers in all
+        often[r.block * BLOCK + np.frombuffer(r.cells, "<u2").astype(np.int64)] = np.frombuffer(r.n, "<u8")
     shared = spark.sparkContext.broadcast(often)
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("first", pa.bool_())])
 

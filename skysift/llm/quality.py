@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs bound how many good documents they reject.
 
-Each rule is a measure of a text; a document is rejected where a measure
-exceeds its stratum's cutoff.  Labelled documents serve as holdout: for each
-stratum and rule, cutoffs are tested from the loosest on, and a cutoff stands if
-the exact binomial probability of so few rejected good documents, were their
-share ``risk``, is at most ``delta`` over the number of tested sequences
-(Bonferroni over strata and rules; a sequence in fixed order stops at its first
-failure and needs no further correction).  Then, with probability 1 - delta, no
-rule rejects more than ``risk`` of the good documents of any stratum.
+Each rule is a measure of a text; a document is rejected where any measure
+exceeds its stratum's cutoff.  Labelled documents are dealt to two halves by
+their id.  The first half's histograms give each stratum a path of cutoffs, all
+rules together, from the loosest on: each step tightens the rule that catches
+most bad documents for the good ones it costs.  The second half tests the path:
+a step stands if the exact binomial probability of so few rejected good
+documents, were their share ``risk``, is at most ``delta`` over the number of
+strata (Bonferroni; steps are tested in their order and the first failure ends
+them, which needs no further correction).  Then, with probability 1 - delta, the
+rules together reject at most ``risk`` of the good documents of every stratum.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import SPACES, map_rows, written
+from skysift.llm.common import SPACES, crc_mod, map_rows, written
 
 SYMBOLS = b"#*$%&|<>"
 #: Measures, each a share or ratio of which more is worse.
@@ -102,41 +104,65 @@ def tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def choose(counts: dict[tuple[str, str], list[tuple[int, int, int]]], risk: float, delta: float) -> dict[tuple[str, str], float]:
-    """Cutoffs by (stratum, rule), from (bin, good, bad); a bin's documents exceed the cutoffs from CUTOFFS[bin] on."""
-    out = {}
-    level = delta / max(1, len(counts))
-    for key, rows in counts.items():
-        total = sum(g for _, g, _ in rows)
+def path_of(counts: dict[str, list[tuple[int, int, int]]]) -> list[tuple[str, int]]:
+    """Steps (rule, index of the cutoff), from each rule's rows (bin, good, bad); a bin's documents exceed the cutoffs from CUTOFFS[bin] on."""
+    gains = {rule: {i: (sum(x for b, _, x in rows if b == i), sum(g for b, g, _ in rows if b == i)) for i in range(len(CUTOFFS))} for rule, rows in counts.items()}
+    at, path = dict.fromkeys(sorted(gains), -1), []
+    while True:
+        # A rule's next step goes as far as its best ratio of bad to good.
         best = None
-        for i, cut in enumerate(CUTOFFS):
-            good = sum(g for b, g, _ in rows if b <= i)
-            bad = sum(x for b, _, x in rows if b <= i)
-            if not total or tail(good, total, risk) > level:
-                break
-            if best is None or bad - GOOD_WEIGHT * good > best[0]:
-                best = (bad - GOOD_WEIGHT * good, cut)
-        if best is not None and best[0] > 0:
-            out[key] = best[1]
-    return out
+        for rule, last in at.items():
+            bad = good = 0
+            for i in range(last + 1, len(CUTOFFS)):
+                bad, good = bad + gains[rule][i][0], good + gains[rule][i][1]
+                if bad and (best is None or (bad + 1) / (good + 1) > best[0]):
+                    best = ((bad + 1) / (good + 1), rule, i)
+        if best is None:
+            return path
+        at[best[1]] = best[2]
+        path.append(best[1:])
+
+
+def choose(tested: list[tuple[int, int]], total: int, risk: float, level: float) -> int:
+    """How many steps of a path to take; tested: good and bad documents that each step is the first to reject, total: good ones in all."""
+    good = bad = 0
+    best, steps = 0, 0
+    for i, (g, x) in enumerate(tested, 1):
+        good, bad = good + g, bad + x
+        if not total or tail(good, total, risk) > level:
+            break
+        if bad - GOOD_WEIGHT * good > best:
+            best, steps = bad - GOOD_WEIGHT * good, i
+    return steps
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> dict[tuple[str, str], float]:
-    """Cutoffs from all labelled documents that pass the plain rule."""
+    """Cutoffs by (stratum, rule) from all labelled documents that pass the plain rule."""
     marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_good")).withColumnRenamed("doc_id", "_id")
     held = measured.where(~base_failed()).join(marks, F.col("doc_id") == F.col("_id"))
     grid = ", ".join(f"{c}D" for c in CUTOFFS)
-    bins = F.array(*[F.struct(F.lit(name).alias("rule"), F.expr(f"size(filter(array({grid}), c -> {value} <= c))").alias("bin")) for name, value in RULES.items()])
-    rows = (
-        held.select(F.coalesce(stratum, F.lit("")).alias("s"), "_good", F.explode(bins).alias("r"))
-        .groupBy("s", "r.rule", "r.bin")
-        .agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad"))
-        .collect()  # strata x rules x cutoffs rows
-    )
-    counts: dict[tuple[str, str], list[tuple[int, int, int]]] = {}
-    for r in rows:
-        counts.setdefault((r.s, r.rule), []).append((r.bin, r.good, r.bad))
-    return choose(counts, risk, delta)
+    bins = {name: F.expr(f"size(filter(array({grid}), c -> {value} <= c))") for name, value in RULES.items()}
+    held = written(held.select(F.coalesce(stratum, F.lit("")).alias("s"), "_good", crc_mod(F.col("doc_id"), 2).alias("half"), *[b.alias(f"b_{n}") for n, b in bins.items()]), "held")
+    both = [F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"b_{n}").alias("bin")) for n in RULES]))
+    counts: dict[str, dict[str, list[tuple[int, int, int]]]] = {}
+    for r in held.where("half = 0").select("s", "_good", each.alias("r")).groupBy("s", "r.rule", "r.bin").agg(*both).collect():  # strata x rules x cutoffs rows
+        counts.setdefault(r.s, {}).setdefault(r.rule, []).append((r.bin, r.good, r.bad))
+    paths = {s: path_of(c) for s, c in counts.items()}
+    # The first step that rejects a document: the first of each rule's steps that goes to its bin.
+    first = F.lit(None).cast("int")
+    for s, path in paths.items():
+        of = [F.when(F.col(f"b_{rule}") <= i, F.lit(at)) for at, (rule, i) in enumerate(path)]
+        first = F.when(F.col("s") == s, F.array_min(F.array_compact(F.array(*of)))).otherwise(first) if of else first
+    tested: dict[str, dict[int | None, tuple[int, int]]] = {}
+    for r in held.where("half = 1").groupBy("s", first.alias("first")).agg(*both).collect():  # strata x steps rows
+        tested.setdefault(r.s, {})[r.first] = (r.good, r.bad)
+    out = {}
+    for s, path in paths.items():
+        got = tested.get(s, {})
+        steps = choose([got.get(i, (0, 0)) for i in range(len(path))], sum(g for g, _ in got.values()), risk, delta / len(paths))
+        out |= {(s, rule): CUTOFFS[i] for rule, i in path[:steps]}
+    return out
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, delta: float = 0.05, keep: list[str] | None = None) -> DataFrame:

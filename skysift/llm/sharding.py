@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from skysift.llm.common import gapless, written
+from skysift.llm.common import free, gapless, written
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -53,6 +53,7 @@ def assign(docs: DataFrame, shards: int = 16, grow_to: int | None = None, keep:
     own, repeated rows too; an empty table gives no row.
     """
     keep = keep or []
+    row = free(docs, "_row")
     rows = docs.select(
         "doc_id",
         *keep,
@@ -60,9 +61,9 @@ def assign(docs: DataFrame, shards: int = 16, grow_to: int | None = None, keep:
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         shard_of(F.col("doc_id"), shards).alias("shard"),
         shard_of(F.col("doc_id"), grow_to or shards + 1).alias("grown_shard"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.monotonically_increasing_id().alias(row),
     )
-    return gapless(written(rows, "shards"), "shard", ["_row"], "slot").drop("_row")
+    return gapless(written(rows, "shards"), "shard", [row], "slot").drop(row)
 
 
 def write_sharded(docs: DataFrame, path: str, shards: int = 16) -> None:

@@ -93,7 +93,12 @@ class ShardWriter:
         """ids: as little-endian unsigned 32-bit bytes."""
         if self.hashes and key < self.last:
             raise ValueError("keys must ascend")
-        value = ids if self.id_bytes == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        value = ids
+        if self.id_bytes == 2:
+            wide = np.frombuffer(ids, "<u4")
+            if len(wide) and wide.max() > 0xFFFF:
+                raise ValueError("an id does not fit in two bytes")
+            value = wide.astype("<u2").tobytes()
         shared = 0
         if self.in_block:
             top = min(len(key), len(self.last))
@@ -191,13 +196,14 @@ def open_shard(uri: str) -> Shard:
     return Shard(fs.open_input_file(path))
 
 
-def write_shards(docs: DataFrame, out_uri: str, vocab: str, end_id: int, id_bytes: int = 2, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, out_uri: str, vocab: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Encodes documents' whole texts and writes them as shards in ascending doc_id order.
 
     Texts are dealt by ranges of (doc_id, hash of text) before they are encoded,
     so each is encoded once, by the task that writes its shard; a key that holds
     many rows is split between shards.  A shard gets its name only when it is
-    complete, so tasks may be repeated.  Null doc_ids come first; a null text is
+    complete, so tasks may be repeated.  Ids take two bytes if all of the
+    vocabulary's fit, else four.  Null doc_ids come first; a null text is
     empty; repeated doc_ids are kept, by hash of text.  Other columns don't
     matter.  An empty table gives no shard.
 
@@ -214,6 +220,7 @@ def write_shards(docs: DataFrame, out_uri: str, vocab: str, end_id: int, id_byte
         part, name = task.partitionId(), None
         fs, root = pafs.FileSystem.from_uri(out_uri)
         enc = encoder(vocab)
+        id_bytes = 2 if max(len(enc.edge), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 if name is None:

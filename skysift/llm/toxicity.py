@@ -27,7 +27,7 @@ from skysift.llm.licenses import words_of
 
 #: Labelled texts that the model is fitted to, at most; those of each class with the smallest hash of their id.
 SAMPLE = 6000
-#: Bytes of text in that sample, at most: longer texts than four times the mean that this allows are left out of the sample, never cut.
+#: Bytes of text in that sample, at most: it ends, in the order of the hashes, before the text that would exceed them.
 SAMPLE_BYTES = 24_000_000
 BUCKETS, WIDE, FILTERS, WIDTHS = 1 << 16, 16, 12, (1, 2, 3)
 #: A word's embedding is the sum of its own and those of its beginnings of so many bytes, as languages build words from stems.
@@ -175,28 +175,27 @@ class Model:
 
 
 def calibrate(counted: list, least: int = 20) -> dict[str, float]:
-    """Per language the threshold with the best F1 on unseen texts, drawn half-way to 0.5; 0.5 for languages with few toxic texts.
+    """Per language the threshold with the best F1 on unseen texts; that of all languages together (under None) for those with fewer than ``least`` of a class.
 
-    counted: rows (lang, toxic, short, bin, unseen, n), where n counts all texts of
-    a language, label and length, and unseen those in the bin that the fit has
-    not seen; these stand for all of theirs.
+    counted: rows (lang, toxic, bin, unseen, n), where n counts all texts of a
+    language and label, and unseen those in the bin that the fit has not seen;
+    these stand for all of theirs.
     """
     out = {}
-    for name in sorted({r.lang for r in counted}):
-        seen_as = np.zeros((2, len(CUTS) + 1))
-        of = [r for r in counted if r.lang == name]
+    for name in [None, *sorted({r.lang for r in counted})]:
+        of = [r for r in counted if name is None or r.lang == name]
         if any(sum(r.unseen for r in of if r.toxic == t) < least for t in (0, 1)):
             continue
-        for key in {(r.toxic, r.short) for r in of}:
-            rows = [r for r in of if (r.toxic, r.short) == key]
+        seen_as = np.zeros((2, len(CUTS) + 1))
+        for key in {(r.lang, r.toxic) for r in of}:
+            rows = [r for r in of if (r.lang, r.toxic) == key]
             unseen = sum(r.unseen for r in rows)
             for r in rows:
                 if unseen:
-                    seen_as[key[0], r.bin] += r.unseen * r.n / unseen
+                    seen_as[key[1], r.bin] += r.unseen * r.n / unseen
         over = seen_as[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]  # texts that reach each cut
         f1 = 2 * over[1] / np.maximum(1e-9, over.sum(axis=0) + seen_as[1].sum())
-        best = max(range(len(CUTS)), key=lambda i: (f1[i], -abs(CUTS[i] - 0.5)))
-        out[name] = float((CUTS[best] + 0.5) / 2)
+        out[name] = float(CUTS[max(range(len(CUTS)), key=lambda i: (f1[i], -abs(CUTS[i] - 0.5)))])
     return out
 
 
@@ -208,8 +207,7 @@ def counted(docs: DataFrame, labels: DataFrame, folds: int, model: Model, seen:
     """Rows for ``calibrate``, of all labelled texts outside fold 0; seen: hashes of id and text that the model was fitted to."""
     spark = docs.sparkSession
     marks = marked(labels)
-    short = F.coalesce(F.octet_length("text") <= SAMPLE_BYTES // SAMPLE * 4, F.lit(False))
-    texts = docs.where(crc_mod(F.col("doc_id"), folds) != 0).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), short.alias("short"), F.xxhash64("doc_id", F.xxhash64("text")).alias("o"))
+    texts = docs.where(crc_mod(F.col("doc_id"), folds) != 0).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("doc_id", F.xxhash64("text")).alias("o"))
     few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
         texts = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).drop("_id")
@@ -220,23 +218,30 @@ def counted(docs: DataFrame, labels: DataFrame, folds: int, model: Model, seen:
     found = with_scores(texts, model).withColumn("bin", bins).drop("text", "score")
     if not few:
         found = found.join(marks, F.col("doc_id") == F.col("_id")).drop("_id")
-    by = ["lang", F.col("_toxic").alias("toxic"), "short"]
+    by = ["lang", F.col("_toxic").alias("toxic")]
     rows = found.groupBy(*by, "bin").agg(F.count(F.when(F.col("fresh"), 1)).alias("unseen"), F.count("*").alias("m")).collect()  # a few for each language
     total: dict[tuple, int] = {}
     for r in rows:
-        total[r.lang, r.toxic, r.short] = total.get((r.lang, r.toxic, r.short), 0) + r.m
-    return [Row(lang=r.lang, toxic=r.toxic, short=r.short, bin=r.bin, unseen=r.unseen, n=total[r.lang, r.toxic, r.short]) for r in rows]
+        total[r.lang, r.toxic] = total.get((r.lang, r.toxic), 0) + r.m
+    return [Row(lang=r.lang, toxic=r.toxic, bin=r.bin, unseen=r.unseen, n=total[r.lang, r.toxic]) for r in rows]
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int) -> list:
     """Labelled texts to learn from: of each class up to SAMPLE / 2 by the hash of their id, none from fold 0."""
     marks = marked(labels)
-    short = SAMPLE_BYTES // SAMPLE * 4
-    texts = docs.where(F.octet_length("text") <= short).where(crc_mod(F.col("doc_id"), folds) != 0)
+    texts = docs.where(F.col("text").isNotNull()).where(crc_mod(F.col("doc_id"), folds) != 0)
     texts = texts.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("h"))
     # Chosen without their texts, which then come for the chosen alone.
-    ids = texts.select("doc_id", "h").join(marks, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "h").agg(F.max("_toxic").alias("_toxic")).withColumn("o", F.xxhash64("doc_id", "h"))
-    take = [tuple(r) for t in (0, 1) for r in ids.where(F.col("_toxic") == t).orderBy("o", "doc_id").limit(SAMPLE // 2).collect()]
+    ids = texts.select("doc_id", "h", F.octet_length("text").alias("size")).join(marks, F.col("doc_id") == F.col("_id"))
+    ids = ids.groupBy("doc_id", "h").agg(F.max("_toxic").alias("_toxic"), F.max("size").alias("size")).withColumn("o", F.xxhash64("doc_id", "h"))
+    take = []
+    for t in (0, 1):
+        room = SAMPLE_BYTES // 2
+        for r in ids.where(F.col("_toxic") == t).orderBy("o", "doc_id").limit(SAMPLE // 2).collect():
+            room -= r["size"]
+            if room < 0:
+                break
+            take.append((r.doc_id, r.h, r["_toxic"], r.o))
     chosen = docs.sparkSession.createDataFrame(take, "_id long, _h long, _toxic int, o long")  # SAMPLE rows
     rows = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
     rows = rows.groupBy("o", "doc_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("t")).select("o", "doc_id", "_toxic", "t.text", "t.lang").collect()
@@ -254,7 +259,7 @@ class Classifier:
             n[np.unique(parts_of([t])[0])] += 1
         known = n >= SEEN_IN
         known[RARE] = False
-        self.thresholds: dict[str, float] = {}
+        self.thresholds: dict[str | None, float] = {}
         self.trial: Model | None = None
         self.seen: list[int] = []
         self.model = Model(known)
@@ -300,13 +305,13 @@ def scored(docs: DataFrame, classifier: Classifier, folds: int = 5) -> DataFrame
     """docs with held_out, score, threshold (by language) and toxic (score reaches it).
 
     The score depends on the text alone; a null text counts as empty.  A null or
-    unknown language has the threshold 0.5.  Repeated rows are scored each
+    unknown language has the threshold of all languages together, or 0.5 if there are too few labels for that.  Repeated rows are scored each
     alike; an empty table gives no row; columns of docs named like the new ones
     are replaced.
     """
     kept = docs.drop("score", "held_out", "threshold", "toxic")
-    threshold = F.lit(0.5)
+    threshold = F.lit(classifier.thresholds.get(None, 0.5))
     for lang, cut in classifier.thresholds.items():
-        threshold = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(threshold)
+        threshold = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(threshold) if lang is not None else threshold
     out = with_scores(kept, classifier.model)
     return out.withColumn("held_out", crc_mod(F.col("doc_id"), folds) == 0).withColumn("threshold", threshold).withColumn("toxic", F.col("score") >= F.col("threshold"))

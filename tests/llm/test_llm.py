@@ -82,6 +82,10 @@ def test_chat_odd_rows(spark):
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chat.prefix_trees(df)).collect()}
     assert got == brute.turns([tuple(r) for r in df.collect()])
     assert chat.digests(chat.prefix_trees(df.limit(0))).collect() == []
+    long = [(5, t, "user" if t % 2 else "assistant", "x" * 20 + str(t % 3)) for t in range(2000)] + [(6, 0, "user", "long <turn> \\ " * 20000), (7, 0, "user", "long <turn> \\ " * 20000), (7, 1, "assistant", None)]
+    wide = spark.createDataFrame([(*r, "p", 1, "s", 2) for r in long], "conv_id long, turn long, role string, text string, path string, part long, tree_id string, start long")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chat.prefix_trees(wide)).collect()}
+    assert got == brute.turns(long)
 
 
 def test_chat_escapes_are_reversible():
@@ -110,6 +114,22 @@ def test_decontamination_short_items_and_ties(spark, odd, bound, monkeypatch):
     assert decontaminate.clean(odd, got).where("text = 'one'").count() == 0
 
 
+@pytest.mark.parametrize("window", [4, 7, 10, 13, 20])
+def test_decontamination_of_any_window(spark, window):
+    """Texts that hold an item whole, without its middle words, with other ones there, and in part."""
+    rng = random.Random(window)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(rng.randint(3, 30)))) for i in range(30)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        m = len(w) // 2
+        for k, x in enumerate([w, w[: m - 1] + [word(), word()] + w[m + 1 :], w[:m] + w[m + 1 :], w[: m + 3], w[1:] + w]):
+            docs.append((10 * i + k, " ".join([word(), word(), *x, word()])))
+    got = decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=window)
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()) == sorted(w[:4] for w in brute.contamination(docs, items, window))
+
+
 def test_decontamination_empty_tables(spark, odd, none):
     bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert decontaminate.hits(none, bench).count() == 0
@@ -150,6 +170,8 @@ def test_shard_blocks_and_damage(tmp_path):
             w.add(sstable.key_of(i * 3), np.arange(i % 7, dtype="<u4").tobytes())
         with pytest.raises(ValueError):
             w.add(sstable.key_of(0), b"")
+        with pytest.raises(ValueError):
+            w.add(sstable.key_of(9999), np.array([1 << 16], "<u4").tobytes())
         w.close()
     shard = sstable.Shard(pafs.LocalFileSystem().open_input_file(str(tmp_path / "s")))
     assert len(shard.blocks) > 10 and all(len(shard.get(sstable.key_of(i))) == (i % 3 == 0) for i in range(1500))
@@ -163,9 +185,17 @@ def test_shard_blocks_and_damage(tmp_path):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_cached_encoding_is_exact(name):
     e, rng = Encoder(path(name)), random.Random(5)
-    parts = [" ", "  ", "\n", "\t", "a", "B.", "'s", "é", "É", "日本", " ", "\x1c", "<|endoftext|>", "12", "Σ", "é", "ab", "ſ", "İ", ""]
+    parts = [" ", "  ", "\n", "\t", "a", "B.", "'s", "é", "É", "日本", " ", "\x1c", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "12", "it's", "dont'T", "Ünïcö", "word", "ÀÿÖ", "Σ", "é", "ab", "ſ", "İ", ""]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
-    assert e.encode([*texts, None]) == [*map(e.whole, texts), b""]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path(name))
+    direct = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode([*texts, None]) == [*direct, b""] == e.encode([*texts, None])
+    control = e.encode(["a<|endoftext|>b"])[0]
+    assert np.frombuffer(control, "<u4")[1] == tok.token_to_id("<|endoftext|>")
+    plain = Encoder(path(name), ordinary=True)
+    assert tok.token_to_id("<|endoftext|>") not in np.frombuffer(plain.encode(["a<|endoftext|>b"])[0], "<u4") and plain.encode(texts) == [*map(plain.whole, texts)]
 
 
 # 4: near-duplicates
@@ -262,6 +292,25 @@ def test_toxicity_learns_and_keeps_to_the_text(spark, odd, none):
     assert toxicity.scored(odd, toxicity.train(odd, labels.limit(0))).where("toxic").count() == 0
 
 
+@pytest.mark.parametrize("text", ["", None, "one", "a b c d e f", "word " * 40])
+def test_toxicity_scores_equal_a_plain_convolution(text):
+    """Scores from tables against sums of embeddings, window by window."""
+    rng = np.random.default_rng(2)
+    known = rng.random(toxicity.BUCKETS) < 0.7
+    known[toxicity.RARE] = False
+    m = toxicity.Model(known)
+    m.p["out"] += 1
+    m.ready()
+    words = [w for w in licenses.words_of(text)]
+    rows = [[toxicity._buckets.rows[toxicity._buckets[w]].tolist()] for w in words]
+    e = [sum(m.p["e"][b] for b in r[0] if known[b]) + 0 * m.p["e"][0] for r in rows] + [0 * m.p["e"][0]] * 3
+    z = float(m.p["bias"][0])
+    for n, w in enumerate(toxicity.WIDTHS):
+        tops = [max(max(sum(e[i + j] @ m.p[f"w{w}"][j][:, f] for j in range(w)) for i in range(len(e) - w + 1)) + m.p[f"b{w}"][f], 0) for f in range(toxicity.FILTERS)]
+        z += float(np.dot(tops, m.p["out"][n * toxicity.FILTERS : (n + 1) * toxicity.FILTERS]))
+    assert math.isclose(m.score([text, "other text"])[0], 1 / (1 + math.exp(-z)), rel_tol=1e-4)
+
+
 def test_toxicity_query(spark):
     got = queries.op5_toxicity(spark, SF)
     assert got.count() == 200 and got.where("predicted <> int(score >= 0.5)").count() == 0
@@ -279,10 +328,50 @@ def test_quality_measures_equal_brute_force(spark, docs, odd):
 
 def test_quality_cutoffs_hold_their_risk():
     assert math.isclose(quality.tail(0, 100, 0.05), 0.95**100) and quality.tail(5, 5, 0.1) == 1
-    rows = [(48, 3000, 0), (20, 2, 50), (0, 0, 40)]
-    cuts = quality.choose({("en", "symbols"): rows, ("fr", "symbols"): [(48, 30, 0), (0, 0, 30)]}, 0.005, 0.05)
-    assert ("fr", "symbols") not in cuts  # too few good documents to vouch for any cutoff
-    assert cuts["en", "symbols"] in quality.CUTOFFS
+    rows = {"symbols": [(48, 3000, 0), (20, 2, 50), (0, 0, 40)], "capitals": [(48, 3000, 60), (10, 2, 30)]}
+    path = quality.path_of(rows)
+    assert path[0] == ("symbols", 0) and {r for r, _ in path} == set(rows) and [i for r, i in path if r == "symbols"] == [0, 20]
+    assert quality.choose([(0, 40), (2, 30), (2, 50)], 3000, 0.005, 0.05) == 3
+    assert quality.choose([(0, 40), (2, 30), (50, 50)], 3000, 0.005, 0.05) == 2
+    assert quality.choose([(0, 40)], 30, 0.005, 0.05) == 0  # too few good documents to vouch for any step
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """Cutoffs and verdicts from scratch, on documents where two rules tell good from bad."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(5000):
+        good = int(rng.random() < 0.8)
+        w = ["word"[: 1 + (k * 7 + i) % 4] + str(k * i % 97) for k in range(60)]
+        for k in range(0 if good and rng.random() < 0.999 else rng.randint(0, 25)):
+            w[k] = rng.choice(["#$%&", "LOUD"])
+        rows.append((i, " ".join(w), "en" if i % 2 else None, good))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = {r.doc_id: (r.kept, r.reasons) for r in quality.verdicts(df.drop("quality"), df.select("doc_id", "quality")).collect()}
+    measures, value = {i: dict(zip([n for n, _ in quality._MEASURES], quality.measures_of(t))) for i, t, _, _ in rows}, {}
+    for i, m in measures.items():
+        n = max(1, m["n_words"])
+        value[i] = {"symbols": m["n_symbols"] / n, "repeats": m["n_repeat_words"] / n, "duplicate_lines": m["n_dup_lines"] / max(1, m["n_lines"]), "capitals": m["n_upper_words"] / n, "single_letters": m["n_bare_words"] / n}
+    passing = {i for i, m in measures.items() if m["n_words"] >= 50 and 100 * m["n_repeat_words"] <= 50 * m["n_words"]}
+    binom = lambda k, n, p: sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+    cuts = {}
+    for lang in ("en", None):
+        own = [(i, g) for i, _, l, g in rows if l == lang and i in passing]
+        half = {h: [(i, g) for i, g in own if zlib.crc32(str(i).encode()) % 2 == h] for h in (0, 1)}
+        counts = {r: [(sum(value[i][r] <= c for c in quality.CUTOFFS), g, 1 - g) for i, g in half[0]] for r in quality.RULES}
+        path, best, cut, total = quality.path_of(counts), 0, {}, sum(g for _, g in half[1])
+        for at in range(1, len(path) + 1):
+            now = {r: quality.CUTOFFS[c] for r, c in path[:at]}
+            out = [g for i, g in half[1] if any(value[i][r] > c for r, c in now.items())]
+            if binom(sum(out), total, 0.005) > 0.05 / 2:
+                break
+            if (gain := len(out) - sum(out) - quality.GOOD_WEIGHT * sum(out)) > best:
+                best, cut = gain, now
+        cuts[lang] = cut
+    assert cuts["en"] and cuts[None]
+    for i, _, lang, _ in rows:
+        reasons = sorted(r for r, c in cuts[lang].items() if value[i][r] > c)
+        assert got[i] == (i in passing and not reasons, reasons)
 
 
 def test_quality_odd_rows(spark, odd, none):
@@ -333,7 +422,7 @@ def test_toxicity_thresholds_come_from_all_labelled_texts(spark, monkeypatch):
     rows = [(i, " ".join(rng.choices(["good", "day", "tea", "walk"], k=6) + rng.choices(["foul", "day"], [4, 1] if i % 5 == 0 else [1, 40])), "ab"[i % 2], int(i % 5 == 0)) for i in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
     model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
-    assert set(model.thresholds) == {"a", "b"}
+    assert set(model.thresholds) == {None, "a", "b"}
     found = toxicity.counted(df.drop("toxic"), df.select("doc_id", "toxic"), 5, model.trial, model.seen)
     kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
     assert sum(r.unseen for r in found) == len(kept) - len(model.seen) and len(model.seen) < 60
@@ -421,6 +510,30 @@ def test_jump_hash_moves_only_into_the_new_shard():
         assert abs((a != b).mean() - 1 / (n + 1)) < 0.02 and np.bincount(a, minlength=n).min() > 0.8 * len(keys) / n
 
 
+def test_jump_hash_equals_the_published_loop():
+    def one(key, n):
+        b, j = -1, 0
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) & (1 << 64) - 1
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    rng = random.Random(1)
+    keys = np.array([rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)] + [0, -1, 1, -(1 << 63)], np.int64)
+    for n in (1, 2, 16, 17, 1000):
+        assert sharding.jump_hash(keys, n).tolist() == [one(int(k) & (1 << 64) - 1, n) for k in keys]
+
+
+def test_sharded_files_and_helper_names(spark, docs, tmp_path):
+    df = spark.createDataFrame([(i, t, i * 2) for i, t in docs[:50]], "doc_id long, text string, _row long")
+    got = sharding.assign(df, 4, keep=["_row"]).collect()
+    assert all(r["_row"] == 2 * r.doc_id for r in got) and len(got) == 50
+    sharding.write_sharded(df, f"file://{tmp_path}/out", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in got}
+
+
 def test_sharding_query(spark, docs, odd, none):
     got = queries.op9_sharding(spark, SF).collect()
     text = dict(docs)
@@ -509,3 +622,26 @@ def test_pipeline_stages_equal_brute_force(spark):
             assert gone == {r[0] for r in brute.contamination(list(before.items()), bench) if r[5]}
         elif name == "packing":
             assert {r.doc_id for r in out.collect()} == set(before)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none, docs):
+    """Nulls, repeats, empties and columns named like the stages' own; then empty tables."""
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    more = spark.createDataFrame([(100 + i, t) for i, t in docs[:40]], "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "null source", "0L n_chars", "0D score", "'h' h", "1L h0")
+    table = odd.union(more).union(more.where("doc_id < 103"))
+    for x in ("_id", "_hash", "_row", "toxic", "kept", "node"):
+        table = table.withColumn(x, F.lit(1))
+    for start in (table, none):
+        now = start
+        for name, stage in p.STAGES:
+            # Each stage meets the odd rows themselves, not only what the one before kept.
+            out = stage(spark, start, SF)
+            assert name == "packing" or out.columns == p.COLUMNS
+            n = out.count()
+            assert n <= start.count() or name == "packing"
+            assert (n == 0) == (start is none) or name == "quality"
+            now = stage(spark, now, SF)
+            if name != "packing":
+                now = spark.createDataFrame(now.collect(), now.schema)
