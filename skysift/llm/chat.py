@@ -177,7 +177,7 @@ def prefix_trees(conversations: DataFrame, trained: str = "assistant") -> DataFr
     convs = written(map_rows(grouped, shape, _CONV, "conv_id long, path binary, turns array<struct<text:string,a:long,b:long>>"), "conversations")
     parts = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = checkpointed(convs.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id"))
-    # One row per range comes to the driver, and each task gets only where it enters.
+    # One row per range comes to the driver, and goes to every task: a path of digests and places for each range.
     enter = _enter(ordered.mapInArrow(_summary, "part long, first binary, lengths array<long>, last binary, starts array<long>, segments array<long>, cursor long").collect())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,11 @@ def prefix_trees(conversations: DataFrame, trained: str = "assistant") -> DataFr
 
 
 def read_back(trees: DataFrame) -> DataFrame:
-    """Conversations from prefix trees: conv_id, formatted, trained (the unescaped trained texts, joined)."""
+    """Conversations from prefix trees: conv_id, formatted, trained (the unescaped trained texts, joined).
+
+    A segment is one row on the right side of the join, so where most
+    conversations share one, adaptive execution may split the left side.
+    """
     own = F.struct(F.col("start").alias("segment"), F.col("start"), (F.col("start") + F.length("text")).alias("end"))
     parts = trees.select("conv_id", "tree_id", F.posexplode(F.concat("attends", F.array(own))).alias("at", "part"))
     parts = parts.select("conv_id", "tree_id", "at", F.col("part.segment").alias("segment"), F.col("part.start").alias("from"), F.col("part.end").alias("to"))

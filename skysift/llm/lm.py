@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.common import ROWS, crc_mod, written
-from skysift.llm.hashing import mixed, word_hashes
+from skysift.llm.hashing import hashed, mixed
 
 #: Scale of the levels, whose first ones are the whole numbers, and the discount of a bigram's count.
 BASE, DISCOUNT = 1.25, 0.75
@@ -45,7 +45,7 @@ REMEMBERED = 1 << 20
 TOP = 2_000_000
 #: Tokens counted in memory at once, and tokens of the corpus per bucket.
 CHUNK, BUCKET = 3_000_000, 500_000
-#: Bytes of text whose n-grams are looked up together in segments that are not broadcast, and bytes of such segments in a task.
+#: Bytes of text whose n-grams are looked up together, and bytes in a task of segments that are not broadcast.
 ASKED, HELD = 2_000_000, 8_000_000
 #: The least count of a frequent word is 2 to the power of one of these.
 STEPS = 24
@@ -56,6 +56,7 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
 _MASS = np.uint64(xxhash.xxh3_64_intdigest(b" mass"))
 _LAST = np.uint64(0xFFFFFFFF)
+_BIT = np.left_shift(np.uint8(1), np.arange(8, dtype=np.uint8))
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFE)
 
 _COUNTED = "bucket int, uni binary, uni_n binary, bi binary, bi_n binary, tokens long, words long, uni_ge array<long>, entries long"
@@ -148,11 +149,12 @@ class Filter:
         a, b, size = x >> np.uint64(32), x & _LAST | np.uint64(1), np.uint64(self.size)
         on, live = np.zeros(len(keys), bool), np.arange(len(keys))
         for i in range(PROBES):
-            with np.errstate(over="ignore"):
-                at = start[live] + ((a + np.uint64(i) * b & _LAST) * size >> np.uint64(32))
-            hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            live, a, b = live[hit], a[hit], b[hit]
-        on[live] = True
+            at = start + ((a & _LAST) * size >> np.uint64(32))
+            hit = np.flatnonzero(self.bits[at >> np.uint64(3)] & _BIT[at & np.uint64(7)])
+            if i + 1 < PROBES and len(hit) < len(at):
+                live, a, b, start = live[hit], a[hit], b[hit], start[hit]
+            a = a + b
+        on[live if len(hit) == len(live) else live[hit]] = True
         return on
 
 
@@ -181,6 +183,12 @@ def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     return ((b, at[b], at[b + 1]) for b in range(buckets) if at[b] < at[b + 1])
 
 
+def ended(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens, each text with its end, and each text's number of tokens."""
+    w, sizes = hashed(texts)
+    return np.insert(w, np.cumsum(sizes), END), sizes + 1
+
+
 def counts(docs: DataFrame, buckets: int) -> DataFrame:
     """Counts of all unigrams and bigrams, a row per bucket.
 
@@ -200,10 +208,9 @@ def counts(docs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_pylist(rows, schema=part_schema)
 
         for batch in batches:
-            for text in batch.column("text"):
-                w = word_hashes(text.as_py())
-                held += [w, np.array([END])]
-                size += len(w) + 1
+            for at in range(0, batch.num_rows, ROWS):
+                held.append(ended(batch.column("text").slice(at, ROWS).to_pylist())[0])
+                size += len(held[-1])
                 if size >= CHUNK:
                     yield flush()
                     held, size = [], 0
@@ -420,9 +427,6 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("held_outs", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())), ("rest", pa.list_(pa.list_(pa.int64()))), ("kinds", pa.binary()), ("of", pa.binary())])
 
     def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if whole_filter:
-            yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
-            return
         ends = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")]) // ASKED
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
         yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if i < j)
@@ -432,9 +436,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
         model = Remembering(Filter(bits, buckets))
         for batch in batches:
             for part in chunks(batch):
-                hashed = [np.append(word_hashes(t), END) for t in part.column("text").to_pylist()]
-                sizes = np.array([len(x) for x in hashed])
-                w = np.concatenate(hashed)
+                w, sizes = ended(part.column("text").to_pylist())
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 kinds, of = np.unique(w, return_inverse=True)
                 keys = unigram_keys(kinds)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.common import free, map_rows, small, written
-from skysift.llm.hashing import mixed, word_hashes
+from skysift.llm.hashing import hashed, mixed
 
 ORDERS, LEAST = 24, 4
 MINIMA = ORDERS * LEAST
@@ -55,17 +55,21 @@ _XOR = np.array([xxhash.xxh3_64_intdigest(b"xor", seed=i) for i in range(MINIMA)
 _PLACE = np.array([xxhash.xxh3_64_intdigest(b"place", seed=i) | 1 for i in range(64)], np.uint64)
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's k-word shingles; of all its words if they are fewer."""
-    w = word_hashes(text)
-    if not len(w):
-        return np.empty(0, np.uint64)
-    n = min(k, len(w))
-    with np.errstate(over="ignore"):
-        h = np.full(len(w) - n + 1, n, np.uint64)
-        for j in range(n):
-            h += w[j : j + len(h)] * _PLACE[j]
-        return np.unique(mixed(h))
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its k-word shingles; of all its words if they are fewer."""
+    words, sizes = hashed(texts)
+    out = []
+    for w in np.split(words, np.cumsum(sizes)[:-1]):
+        n = min(k, len(w))
+        if not n:
+            out.append(np.empty(0, np.uint64))
+            continue
+        with np.errstate(over="ignore"):
+            h = np.full(len(w) - n + 1, n, np.uint64)
+            for j in range(n):
+                h += w[j : j + len(h)] * _PLACE[j]
+            out.append(np.unique(mixed(h)))
+    return out
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -94,7 +98,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("heads", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        sets = [shingle_set(t, k) for t in rows["text"]]
+        sets = shingle_sets(rows["text"], k)
         full = [i for i, s in enumerate(sets) if len(s)]
         hashes, tops, sigs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
         if full:
@@ -256,7 +260,7 @@ def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> Da
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(small(need), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
 
     def sets(rows: dict[str, list]) -> dict[str, list]:
-        return {"node": rows["node"], "items": [shingle_set(t, k).tobytes() for t in rows["text"]]}
+        return {"node": rows["node"], "items": [s.tobytes() for s in shingle_sets(rows["text"], k)]}
 
     return written(map_rows(texts.select("node", "text"), sets, pa.schema([("node", pa.int64()), ("items", pa.binary())]), "node long, items binary").dropDuplicates(["node"]), "sets")
 

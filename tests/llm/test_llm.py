@@ -201,6 +201,19 @@ def test_cached_encoding_is_exact(name):
 # 4: near-duplicates
 
 
+def test_word_hashes_tell_words_apart(docs):
+    from skysift.llm.hashing import hashed
+
+    texts = [t for _, t in docs[:80]] + [None, "", " \t\n", "A a Ä ä", "\x1cx\x00", "x" * 70000 + " " + "x" * 70001, "a b\x0bc\x0cd\re"]
+    h, sizes = hashed(texts)
+    words = [brute.RUN.findall(brute.low(t)) for t in texts]
+    assert sizes.tolist() == [len(w) for w in words] and len(h) == sum(sizes)
+    by = {}
+    for w, x in zip([x for w in words for x in w], h.tolist()):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_duplicates_equal_brute_force(spark, docs, k):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string"), k).collect()}
@@ -340,7 +353,7 @@ def test_quality_verdicts_equal_brute_force(spark):
     """Cutoffs and verdicts from scratch, on documents where two rules tell good from bad."""
     rng = random.Random(8)
     rows = []
-    for i in range(5000):
+    for i in range(8000):
         good = int(rng.random() < 0.8)
         w = ["word"[: 1 + (k * 7 + i) % 4] + str(k * i % 97) for k in range(60)]
         for k in range(0 if good and rng.random() < 0.999 else rng.randint(0, 25)):
