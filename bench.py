@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from skysift.plans.queries import QUERIES
 
-HEADLINE = ["row_stats", "rfi_excise_zscore", "boxcar_linear", "cluster_3axis", "delegates_sorted", "segmented_sort_rank", "inclusive_scan", "overlap_frames", "power_polsum", "dedisperse_shift", "dft64", "fdmt_a", "fdmt_b", "fdmt_ratio", "flagship_search"]
+HEADLINE = ["row_stats", "rfi_excise_zscore", "boxcar_linear", "cluster_3axis", "delegates_sorted", "segmented_sort_rank", "inclusive_scan", "overlap_frames", "power_polsum", "dedisperse_shift", "dft64", "fdmt_a", "fdmt_b", "fdmt_ratio", "flagship_search", "coherent_search"]
 
 
 def main() -> None:

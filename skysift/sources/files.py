@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +28,35 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, shape array<long>, data array<double>")
 
 
-def write_npy(rows: DataFrame, path: str) -> None:
-    """One .npy file per row (name, shape, data), in a folder that all executors share."""
+def write_files(rows: DataFrame, folder: str) -> None:
+    """One file per row (name, content), in a folder that all executors share; written under another name first, so tasks may be repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         for b in batches:
             for r in b.itertuples():
-                np.save(f"{path}/{r.name}.npy", np.asarray(r.data, np.float32).reshape(tuple(r.shape)))
+                part = f"{root}/.{r.name}.{TaskContext.get().taskAttemptId()}"
+                with fs.open_output_stream(part) as out:
+                    out.write(r.content)
+                fs.move(part, f"{root}/{r.name}")
             yield pd.DataFrame({"n": [len(b)]})
 
-    rows.select("name", "shape", "data").mapInPandas(run, "n long").count()
+    rows.select("name", "content").mapInPandas(run, "n long").count()
+
+
+def write_npy(rows: DataFrame, folder: str) -> None:
+    """One .npy file per row (name, shape, data)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                buffer = io.BytesIO()
+                np.save(buffer, np.asarray(r.data, np.float32).reshape(tuple(r.shape)))
+                out.append(buffer.getvalue())
+            yield pd.DataFrame({"name": b["name"] + ".npy", "content": out})
+
+    write_files(rows.select("name", "shape", "data").mapInPandas(run, "name string, content binary"), folder)
 
 
 def is_image_shape(rows: int, cols: int) -> bool:

@@ -8,6 +8,7 @@ some blocks alone.  Planning walks the headers and skips the payloads.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,8 +76,22 @@ def open_file(path: str):
 
 
 def plan_blocks(path: str, wanted: set[int] | None = None) -> list[Block]:
-    """Blocks of a recording; it ends after a whole block, else it is damaged and that is an error."""
-    out, at, n = [], 0, 0
+    """Blocks of a recording, or of all in a folder, counted on in the order of their names."""
+    fs, inner = pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    if fs.get_file_info(inner).type != pafs.FileType.Directory:
+        return blocks_of(path, 0, wanted)
+    out: list[Block] = []
+    first = 0
+    for f in sorted((f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.is_file and not f.base_name.startswith("."))):
+        every = blocks_of(f"{path.rstrip('/')}/{f}", first)
+        first += len(every)
+        out += [b for b in every if wanted is None or b.block in wanted]
+    return out
+
+
+def blocks_of(path: str, n: int, wanted: set[int] | None = None) -> list[Block]:
+    """Blocks of one recording, counted from n; it ends after a whole block, else it is damaged and that is an error."""
+    out, at = [], 0
     with open_file(path) as f:
         end = f.size()
         while at < end:

@@ -151,6 +151,44 @@ def test_plan_ties_and_rounding():
     assert grids.dm_grid(30, 50, 5) == [30, 40]
 
 
+def test_input_checks():
+    grids.check_inputs(4, 10, 40, 3, 30)
+    for wrong in ((4, 10, 41, 3, 30), (4, 10, 40, 3, 31)):
+        with pytest.raises(ValueError):
+            grids.check_inputs(*wrong)
+
+
+def published_plan(channels, f_min, f_max, rows):
+    """The truncating plan written down once more, with plain loops: rows of each band pair take so much of either half."""
+    f = np.float32
+    bands = [(f(f_min) + f(i) * (f(f_max) - f(f_min)) / f(channels)) for i in range(channels)] + [f(f_max)]
+    share = lambda a, b, c, d: (float(a) ** -2 - float(b) ** -2) / (float(c) ** -2 - float(d) ** -2)
+    depth = [math.ceil(share(bands[0], bands[0] + (f(f_max) - f(f_min)) / f(channels), f_min, f_max) * (rows - 1.0)) + 1] * channels
+    out = []
+    while len(depth) > 1:
+        step, now, cut = [], [], []
+        for i in range(0, len(depth), 2):
+            cut.append(bands[i])
+            if i + 1 == len(depth):
+                now.append(depth[i])
+                step += [(i // 2, k, i, k, None, None, 0) for k in range(depth[i])]
+            else:
+                n = math.ceil(share(bands[i], bands[i + 2], f_min, f_max) * (rows - 1.0)) + 1
+                low, high = f(share(bands[i], bands[i + 1], bands[i], bands[i + 2])), f(share(bands[i + 1], bands[i + 2], bands[i], bands[i + 2]))
+                now.append(n)
+                step += [(i // 2, k, i, min(int(low * f(k)), depth[i] - 1), i + 1, min(int(high * f(k)), depth[i + 1] - 1), int(low * f(k))) for k in range(n)]
+        depth, bands = now, [*cut, bands[-1]]
+        out.append(step)
+    return out
+
+
+@pytest.mark.parametrize("channels", [2, 7, 8, 11, 32])
+def test_truncating_plan_equals_plain_loops(channels):
+    plan = grids.truncating_plan(channels, 1000.0, 1500.0, 16)[1]
+    got = [[(n.sub, n.k, n.tail_sub, n.tail_k, n.head_sub, n.head_k, n.offset) for n in nodes] for nodes in plan]
+    assert got == published_plan(channels, 1000.0, 1500.0, 16)
+
+
 def test_chunks_end_with_the_block(spark):
     got = grids.chunks(100, 40, 5)
     assert [(c.start, c.start + c.length) for c in got] == [(0, 40), (30, 70), (60, 100)]
