@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces and parts kept per worker; a full cache starts afresh.
-CACHE_PIECES, CACHE_PARTS = 300_000, 1_200_000
+CACHE_PIECES, CACHE_PARTS = 100_000, 450_000
 #: Parts are encoded in texts of about so many.
 JOIN = 500
 

@@ -39,7 +39,7 @@ EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-4
 #: Thresholds to choose from.
 CUTS = np.round(np.arange(0.2, 0.96, 0.05), 2)
 #: Words whose buckets a worker remembers.
-WORDS = 500_000
+WORDS = 250_000
 
 
 class _Buckets(dict):
