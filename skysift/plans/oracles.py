@@ -113,20 +113,20 @@ def _dft(sign: str, scale: str, digits: int) -> str:
 
 def _files(z: str) -> dict[str, str]:
     v = "V AS (SELECT r, c, CAST(((CAST(x AS BIGINT) % 256) + 256) % 256 - 128 AS DOUBLE) AS v FROM E)"
-    cells = f"{E}, {v}, M AS (SELECT r // 4 AS block, (r // 2) % 2 AS chan, (r % 2) * 64 + c AS at, v FROM V), N AS (SELECT block, chan, CAST((at // 2) % 2 AS INTEGER) AS pol, at // 4 AS isamp, sum(CASE WHEN at % 2 = 0 THEN v END) AS re, sum(CASE WHEN at % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3, 4)"
+    cells = f"{E}, {v}, M AS (SELECT r // 4 AS block, (r // 2) % 2 AS chan, (r % 2) * 64 + c AS pl, v FROM V), N AS (SELECT block, chan, CAST((pl // 2) % 2 AS INTEGER) AS pol, pl // 4 AS isamp, sum(CASE WHEN pl % 2 = 0 THEN v END) AS re, sum(CASE WHEN pl % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3, 4)"
     frames = "coalesce(n.re, 0.0) AS re, coalesce(n.im, 0.0) AS im"
     rows = ", ".join(f"({i}, {', '.join(map(str, c))})" for i, c in enumerate(fq.CASES))
     lag = "(1 / (lo * lo) - 1 / (hi * hi))"
     tel = "(1e-6 / (hi - lo))"
     ratio = f"((4148.8 * dm * {lag} / {tel}) / ((pulse / {tel}) * (pulse / {tel})))"
     return {
-        "raw_headers": "SELECT b.block, c.chan, CAST(8 AS INTEGER) AS nbits, CAST(4 AS INTEGER) AS npol, CAST(2 AS INTEGER) AS nchan, 0.5 AS chan_bw, 1400.0 AS obs_freq, 'GBT' AS telescope, CAST(128 AS INTEGER) AS bytes FROM (SELECT DISTINCT vec_id // 4 AS block FROM embeddings) b CROSS JOIN range(2) c(chan)",
+        "raw_headers": "SELECT b.block, c.chan, CAST(8 AS INTEGER) AS nbits, CAST(4 AS INTEGER) AS npol, CAST(2 AS INTEGER) AS nchan, CAST(0.5 AS DOUBLE) AS chan_bw, CAST(1400 AS DOUBLE) AS obs_freq, 'GBT' AS telescope, CAST(128 AS INTEGER) AS bytes FROM (SELECT DISTINCT vec_id // 4 AS block FROM embeddings) b CROSS JOIN range(2) c(chan)",
         "raw_samples": f"WITH {cells} SELECT * FROM N",
         "raw_blocks": f"WITH {cells} SELECT * FROM N WHERE block IN (1, 3, 7)",
         "raw_frames": f"WITH {cells}, K AS (SELECT DISTINCT block, chan, pol FROM N) SELECT k.block, k.chan, k.pol, f.fft, b.bin, {frames} FROM K k CROSS JOIN range(4) f(fft) CROSS JOIN range(12) b(bin) LEFT JOIN N n ON n.block = k.block AND n.chan = k.chan AND n.pol = k.pol AND n.isamp = b.bin + 8 * f.fft - 2",
-        "plane_frames": f"WITH {E}, {v}, M AS (SELECT c % 4 AS plane, r * 16 + c // 4 AS at, v FROM V), N AS (SELECT at % 8 AS chan, CAST(plane // 2 AS INTEGER) AS pol, at // 8 AS isamp, sum(CASE WHEN plane % 2 = 0 THEN v END) AS re, sum(CASE WHEN plane % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3), K AS (SELECT DISTINCT chan, pol FROM N) SELECT k.chan, k.pol, f.fft, b.bin, {frames} FROM K k CROSS JOIN (SELECT unnest(range((SELECT (max(isamp) + 1) // 10 FROM N))) AS fft) f CROSS JOIN range(14) b(bin) LEFT JOIN N n ON n.chan = k.chan AND n.pol = k.pol AND n.isamp = b.bin + 10 * f.fft - 2",
+        "plane_frames": f"WITH {E}, {v}, M AS (SELECT c % 4 AS plane, r * 16 + c // 4 AS pl, v FROM V), N AS (SELECT pl % 8 AS chan, CAST(plane // 2 AS INTEGER) AS pol, pl // 8 AS isamp, sum(CASE WHEN plane % 2 = 0 THEN v END) AS re, sum(CASE WHEN plane % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3), K AS (SELECT DISTINCT chan, pol FROM N) SELECT k.chan, k.pol, f.fft, b.bin, {frames} FROM K k CROSS JOIN (SELECT unnest(range((SELECT (max(isamp) + 1) // 10 FROM N))) AS fft) f CROSS JOIN range(14) b(bin) LEFT JOIN N n ON n.chan = k.chan AND n.pol = k.pol AND n.isamp = b.bin + 10 * f.fft - 2",
         "npy_round_trip": f"WITH {E} SELECT r, c, x FROM E",
-        "report_file": "SELECT o_orderkey % 7 AS block, o_custkey AS chunk, CAST(256 AS BIGINT) AS rows, CAST(4096 AS BIGINT) AS cols, o_orderkey % 256 AS suc_row, o_custkey % 4096 AS suc_col, 30.5 AS coh_disp, o_orderkey % 9 AS wind_width FROM orders",
+        "report_file": "SELECT o_orderkey % 7 AS block, o_custkey AS chunk, CAST(256 AS BIGINT) AS rows, CAST(4096 AS BIGINT) AS cols, o_orderkey % 256 AS suc_row, o_custkey % 4096 AS suc_col, CAST(30.5 AS DOUBLE) AS coh_disp, o_orderkey % 9 AS wind_width FROM orders",
         "candidate_log": f"{z}, {cand(q.WIDTHS)}, N AS (SELECT *, row_number() OVER (ORDER BY mt, mdt, mwidth) AS n FROM C) SELECT lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') AS line FROM N",
         "scalar_plans": f"WITH p(i, dm, lo, hi, bw, t, pulse) AS (VALUES {rows}), s AS (SELECT *, floor(4148.808 * dm * (1 / (lo * lo) - 1 / ((lo + bw) * (lo + bw))) / t + 0.5) / 2 AS n FROM p) SELECT CAST(i AS BIGINT) AS i, CASE WHEN n > 0 THEN CAST(pow(2, floor(log2(n) + 0.5)) AS BIGINT) ELSE 0 END AS overlap, CAST(ceil(4148.808 * dm * {lag} * t / (pulse * pulse)) AS BIGINT) AS trials, CAST(ceil(pulse / t) AS BIGINT) AS subs, greatest(1, CAST(floor(4148.8 * dm * {lag} / {ratio} / pulse) AS BIGINT)) AS max_dt FROM s",
         "final_measures": f"SELECT CAST(i AS BIGINT) AS i, {r(f'i * {q.T_SAMPLE} / (4149.3774 * (1 / ({q.F_MIN} * {q.F_MIN}) - 1 / ({q.F_MAX} * {q.F_MAX})))', 6, 'dm')} FROM range({q.DT_MAX + 1}) d(i)",
@@ -188,7 +188,7 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "idft64": _dft("", " / 64.0", 6),
         "dm_grid": f"SELECT CAST(i AS BIGINT) AS i, {r('30.0 + i * (600.0 / 40)', 6, 'dm')} FROM range(CAST(floor((600.0 - 30.0) / (600.0 / 40)) AS BIGINT)) v(i)",
         "chunk_cut": f"WITH {W}, C AS (SELECT c.c AS chunk, greatest(0, least(c.c * {step}, {q.HOURS - q.NBIN})) AS first FROM range({(q.HOURS - 2 * q.OVERLAP - 1) // step + 1}) c(c)) SELECT chan % 2 AS block, chunk, chan, t - first AS t, x FROM W JOIN C ON t >= first AND t < first + {q.NBIN}",
-        "dft_round_trip": f"WITH {E} SELECT r, c, x AS re, 0.0 AS im FROM E",
+        "dft_round_trip": f"WITH {E} SELECT r, c, x AS re, CAST(0 AS DOUBLE) AS im FROM E",
         "chunk_ranges": f"SELECT c.c AS chunk, greatest(0, least(c.c * {step}, n - {q.NBIN})) AS start FROM (SELECT count(*) AS n FROM orders) i CROSS JOIN range(1000000) c(c) WHERE c.c <= (n - {2 * q.OVERLAP} - 1) // {step}",
         "dedisperse_shift": f"WITH {W}, T AS (SELECT chan, CAST(sign({lag}) * floor(abs({lag}) + 0.5) AS BIGINT) AS s FROM range(32) c(chan)) SELECT W.chan, (W.t + T.s) % 720 AS t, W.x FROM W JOIN T ON T.chan = W.chan",
         "flagship_search": f"{CLUSTERED} SELECT *, {RANKED} AS n FROM D",
