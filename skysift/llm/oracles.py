@@ -48,6 +48,49 @@ g AS (SELECT v, min(m) AS component FROM r GROUP BY v)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component AS component_id, d.doc_id = component AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN g ON g.v = d.doc_id
 """
 
+LINE_DEDUP = """
+WITH l AS (SELECT doc_id, unnest(w) AS line, unnest(range(len(w))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents) d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, k.line, k.pos, s.holder IS NOT NULL AND s.holder <> k.doc_id AS gone FROM k LEFT JOIN s ON s.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+RESAMPLING = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT i, c AS x FROM bits WHERE k = 8),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT {WORDS} AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(list_concat(w, [w[p] || ' ' || w[p + 1] for p in range(1, len(w))])) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, [w[p] || ' ' || w[p + 1] for p in range(1, len(w))])) AS f FROM b),
+names AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf) u),
+steps AS (SELECT f, hex(f) AS h, 4294967295 AS c FROM names
+    UNION ALL SELECT f, substr(h, 3), xor(c // 256, x) FROM steps JOIN crc ON crc.i = xor(c % 256, 16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1) WHERE h <> ''),
+bucket AS (SELECT f, xor(c, 4294967295) % 10000 AS k FROM steps WHERE h = ''),
+s AS (SELECT k, count(*) AS n FROM df JOIN bucket USING (f) GROUP BY 1),
+t AS (SELECT k, count(*) AS n FROM bf JOIN bucket USING (f) GROUP BY 1),
+gain AS (SELECT k.k, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM df) + 10000.0::DOUBLE) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM bf) + 10000.0::DOUBLE)))) AS g FROM range(10000) k(k) LEFT JOIN s ON s.k = k.k LEFT JOIN t ON t.k = k.k),
+mean AS (SELECT doc_id, floor(sum(g) / count(*)) AS weight FROM df JOIN bucket USING (f) JOIN gain ON gain.k = bucket.k GROUP BY 1),
+scored AS (SELECT d.doc_id, len(w) AS n_words, len(w) + greatest(len(w) - 1, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN mean ON mean.doc_id = d.doc_id),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_words >= 20)
+SELECT scored.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, place AS rank
+FROM scored LEFT JOIN placed ON placed.doc_id = scored.doc_id AND place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100
+"""
+
+SEARCH = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+it AS (SELECT DISTINCT item_id, unnest({WORDS}) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) x WHERE term IN (SELECT term FROM it) GROUP BY 1, 2, 3),
+a AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM a) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf GROUP BY 1),
+i AS (SELECT doc_id, tf.term, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS impact FROM tf JOIN w ON w.term = tf.term CROSS JOIN a),
+s AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM it JOIN i ON i.term = it.term GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM r WHERE place <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_tree": CHAT, "op2_decontamination": DECONTAMINATION, "op4_near_duplicates": NEAR_DUPLICATES}
+    return {"op1_chat_prefix_tree": CHAT, "op2_decontamination": DECONTAMINATION, "op4_near_duplicates": NEAR_DUPLICATES, "op11_line_dedup": LINE_DEDUP, "op12_importance_resampling": RESAMPLING, "op13_ranked_search": SEARCH}

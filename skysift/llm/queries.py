@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import chat, decontaminate, licenses, lm, neardup, packing, quality, sharding, sstable, toxicity
+from skysift.llm import chat, decontaminate, licenses, linededup, lm, neardup, packing, quality, resample, search, sharding, sstable, toxicity
 from skysift.llm.common import shared_dir, table
 from skysift.llm.oracles import oracle_sql  # noqa: F401  registered beside queries()
 
@@ -71,6 +71,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), least=40, documents=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), share=25, least=20, seed=7)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_prefix_tree": op1_chat_prefix_tree,
@@ -83,4 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_ranked_search": op13_ranked_search,
     }
