@@ -28,13 +28,40 @@ def gap_groups(cand: DataFrame, group: list[str], axis: str, gap: int, name: str
     return cand.join(flagged.join(start, keys).withColumn(name, count).select(*group, axis, name), [*group, axis])
 
 
-def clusters(cand: DataFrame, gaps: tuple[int, int, int] = (2, 1, 2), keys: list[str] | None = None) -> DataFrame:
+def keyed_clusters(cand: DataFrame, gaps: tuple[int, int, int], keys: list[str]) -> DataFrame:
+    """Candidates with g1, g2, g3, as clusters() has them, each of the keys sorted in one task; one shuffle for all three."""
+    out, within = cand, list(keys)
+    for axis, gap, name in zip(("mt", "mdt", "mwidth"), gaps, ("g1", "g2", "g3"), strict=True):
+        order = Window.partitionBy(*within).orderBy(axis)
+        rises = F.coalesce(F.col(axis) - F.lag(axis).over(order) > gap, F.lit(False)).cast("long")
+        counted = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("_new", rises).withColumn(name, counted).drop("_new")
+        within.append(name)
+    return out.select(*keys, "mt", "mdt", "mwidth", "msnr", "g1", "g2", "g3")
+
+
+def numbered_delegates(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """delegates() numbered from 1 by time in each of the keys, in the task that has them."""
+    at = Window.partitionBy(*keys).orderBy("mt", "mdt", "mwidth")
+    return delegates(grouped, keys).withColumn("n", F.row_number().over(at).cast("long"))
+
+
+#: Candidates that one task may cluster.
+FEW = 200_000
+
+
+def clusters(cand: DataFrame, gaps: tuple[int, int, int] = (2, 1, 2), keys: list[str] | None = None, few: int = FEW) -> DataFrame:
     """Candidates with g1, g2, g3: split by time, then row, then width, within each of the keys (blocks, chunks, trials).
 
-    A pass reads its input twice, so inputs are computed once beforehand.
+    They are computed once and counted.  A few of them are clustered in one task;
+    of more, each pass deals them to tiles, and its input is computed beforehand
+    because it is read twice.
     """
     keys = keys or []
-    one = cut(gap_groups(cut(cand), keys, "mt", gaps[0], "g1"))
+    cand = cut(cand)
+    if cand.limit(few + 1).count() <= few:
+        return keyed_clusters(cand.withColumn("_all", F.lit(0)), gaps, ["_all", *keys]).drop("_all")
+    one = cut(gap_groups(cand, keys, "mt", gaps[0], "g1"))
     two = cut(gap_groups(one, [*keys, "g1"], "mdt", gaps[1], "g2"))
     return gap_groups(two, [*keys, "g1", "g2"], "mwidth", gaps[2], "g3").select(*keys, "mt", "mdt", "mwidth", "msnr", "g1", "g2", "g3")
 

@@ -69,6 +69,20 @@ def reach(delays: dict[int, list[int]], plan: list[list[Node]]) -> int:
     return max(d for grid in delays.values() for d in grid) + sum(max(n.offset for n in nodes) for nodes in plan)
 
 
+def final_rows(image: np.ndarray, delays: dict[int, list[int]], plan: list[list[Node]], cells: int = CELLS) -> np.ndarray:
+    """(row, sample) after all iterations of a plan that ends in one band, tile by tile of time."""
+    halo, n = reach(delays, plan), image.shape[1]
+    tile = max(halo, cells // len(image), 1)
+    out = []
+    for at in range(0, n, tile):
+        first = max(0, at - halo)
+        state = trailing_means(image[:, first : at + tile], delays)
+        for nodes in plan:
+            state = iterated(state, nodes)
+        out.append(np.array([state[k][at - first :] for k in sorted(state)]))
+    return np.concatenate(out, axis=1)
+
+
 def transform(w: DataFrame, delays: dict[int, list[int]], plan: list[list[Node]], keys: list[str] | None = None, value: str = "x", cells: int = CELLS) -> DataFrame:
     """(keys, sub, k, t, x): the state after all iterations of the plan; without any, the trailing means.
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions.lineage import scratch
 from skysift.functions.views import matrix
-from skysift.operators import cluster, frame
+from skysift.operators import cluster, coherent, frame
 from skysift.plans import grids
-from skysift.plans.queries import BANDS, DT_MAX, F_MAX, F_MIN, T_SAMPLE, _cand, _r, _reports, query
+from skysift.plans.queries import BANDS, DT_MAX, F_MAX, F_MIN, SEARCH, T_SAMPLE, _cand, _r, _reports, query
 from skysift.sources import files, raw
 
 #: Rows of a block's channel, and blocks of a recording.
 EACH, BLOCKS = 2, 5
+#: Rows of a channel in a block that holds several chunks, and the search of these; the last chunk ends with the block.
+LONG, CHUNKED = 10, replace(SEARCH, nfft=4)
 #: Parameters of the scalar plans: longest dispersion measure, lowest and highest frequency, channel width, sample time, pulse.
 CASES = [(50.0, 100.0, 120.0, 0.2, 5e-6, 1.1e-4), (600.0, 1000.0, 1500.0, 0.5, 1e-6, 2.3e-5), (30.0, 400.0, 800.0, 0.39, 2.56e-6, 7e-4)]
 
@@ -30,10 +35,16 @@ def _joined(df: DataFrame, keys: list[str], order: list[str], name: str) -> Data
     return rows.select(*keys, F.unhex(F.array_join(F.col("p.h"), "")).alias(name))
 
 
-def recordings(spark: SparkSession, d: str) -> str:
-    """Embeddings as recordings of two channels and polarisations; the folder."""
-    cells = _bytes(spark, d).select((F.col("r") / (2 * EACH)).cast("long").alias("block"), ((F.col("r") / EACH).cast("long") % 2).alias("chan"), (F.col("r") % EACH * 64 + F.col("c")).alias("at"), "v")
-    cards = {"BACKEND": "'RAW'", "NBITS": 8, "CHAN_BW": 0.5, "OBSFREQ": 1400.0, "OBSNCHAN": 2, "OBSBW": 1.0, "BLOCSIZE": 2 * EACH * 64, "TELESCOP": "'GBT'", "NPOL": 4, "TBIN": 1e-6, "DIRECTIO": 0}
+def recordings(spark: SparkSession, d: str, each: int = EACH) -> str:
+    """Embeddings as recordings of two channels and polarisations, so many rows of a channel in a block; the folder.
+
+    The last block is filled up with zeros.
+    """
+    cells = _bytes(spark, d).select((F.col("r") / (2 * each)).cast("long").alias("block"), ((F.col("r") / each).cast("long") % 2).alias("chan"), (F.col("r") % each * 64 + F.col("c")).alias("at"), "v")
+    if each != EACH:
+        grid = cells.select("block").distinct().select("block", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("chan")).select("block", F.col("chan").cast("long").alias("chan"), F.explode(F.sequence(F.lit(0), F.lit(each * 64 - 1))).alias("at"))
+        cells = grid.withColumn("at", F.col("at").cast("long")).join(cells, ["block", "chan", "at"], "left").fillna(0, ["v"])
+    cards = {"BACKEND": "'RAW'", "NBITS": 8, "CHAN_BW": 0.5, "OBSFREQ": 1400.0, "OBSNCHAN": 2, "OBSBW": 1.0, "BLOCSIZE": 2 * each * 64, "TELESCOP": "'GBT'", "NPOL": 4, "TBIN": 1e-6, "DIRECTIO": 0}
     header = "".join(f"{k:<8}= {v}".ljust(80) for k, v in cards.items()) + "END".ljust(80)
     blocks = _joined(cells, ["block"], ["chan", "at"], "data").withColumn("content", F.concat(F.lit(header).cast("binary"), "data"))
     group = (F.col("block") / BLOCKS).cast("long")
@@ -71,11 +82,64 @@ def raw_frames(spark, d):
 
 
 @query
-def plane_frames(spark, d):
-    """Four planes side by side, read in ranges, and framed."""
+def raw_where(spark, d):
+    """A filter on block and channel, which the reader takes."""
+    raw.register(spark)
+    return raw.samples(spark.read.format("raw_voltage").load(recordings(spark, d)).where("block between 2 and 9 and chan = 1"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """The block's number in its file and the file's number as one, as recordings() has counted them."""
+    return df.withColumn("block", F.regexp_extract("file", "[0-9]+", 0).cast("long") * BLOCKS + F.col("block")).drop("file")
+
+
+@query
+def raw_chunks(spark, d):
+    """Overlapping chunks of every block, where they lie and what they own."""
+    blocks = raw.index(spark, recordings(spark, d, LONG))
+    return _numbered(raw.chunk_table(blocks, CHUNKED.length, CHUNKED.overlap)).select("block", "chunk", "first", "taken", "own_from", "own_to", "samples", "nchan", "nbits", "obs_freq")
+
+
+@query
+def recording_search(spark, d):
+    """The whole search over recordings, whose overlapping chunks are read by range in the tasks that search them."""
+    chunks = raw.chunk_table(raw.index(spark, recordings(spark, d, LONG)), CHUNKED.length, CHUNKED.overlap)
+    cand = _r(_numbered(coherent.chunk_candidates(raw.dealt(chunks), CHUNKED)), "msnr")
+    return coherent.found_in(cand, CHUNKED, ["block", "chunk"])
+
+
+@query
+def recording_search_once(spark, d):
+    """The same with each time searched in the one chunk that owns it, and clusters of whole blocks."""
+    chunks = raw.chunk_table(raw.index(spark, recordings(spark, d, LONG)), CHUNKED.length, CHUNKED.overlap)
+    cand = _r(_numbered(coherent.chunk_candidates(raw.dealt(chunks), CHUNKED, once=True)).drop("chunk"), "msnr")
+    return coherent.found_in(cand, CHUNKED, ["block"])
+
+
+def planes(spark: SparkSession, d: str) -> str:
+    """Embeddings as four files of planes; the first one's path."""
     cells = _bytes(spark, d).select((F.col("c") % 4).cast("int").alias("plane"), F.col("r"), (F.col("c") / 4).cast("long").alias("i"), "v")
     out = scratch(spark, "planes")
     files.write_files(_joined(cells, ["plane"], ["r", "i"], "content").select(F.format_string("L_S%d_P0.raw", "plane").alias("name"), "content"), out)
+    return f"{out}/L_S0_P0.raw"
+
+
+@query
+def plane_search(spark, d):
+    """The whole search over a four-file recording, chunk by chunk."""
+    first = planes(spark, d)
+    with raw.open_file(first) as f:
+        samples = f.size() // SEARCH.channels
+    header = files.read_sidecar_header(json.dumps({"tstart": 59000.5, "nsamp": samples, "fcen": 1.016e9, "bwchan": 1.6e7, "tsamp": 2.5e-4, "nsub": SEARCH.channels, "unit": "Hz"}))
+    chunks = raw.chunk_table(files.plane_block(spark, first, header), SEARCH.length, SEARCH.overlap)
+    cand = _r(coherent.chunk_candidates(raw.dealt(chunks), SEARCH), "msnr").drop("file")
+    return coherent.found_in(cand, SEARCH, ["block", "chunk"])
+
+
+@query
+def plane_frames(spark, d):
+    """Four planes side by side, read in ranges, and framed."""
+    out = planes(spark, d).rsplit("/", 1)[0]
     cells = files.plane_samples(files.read_planes(spark, files.sibling_planes(f"{out}/L_S0_P0.raw"), 8, each=1024))
     n = cells.agg(F.max("isamp")).first()[0] + 1
     return frame.overlap_frames(cells, 14, n // 10, 2, ["chan", "pol"], ["re", "im"])

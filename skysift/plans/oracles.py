@@ -63,9 +63,10 @@ def fdmt(parts, tag: str = "0", source: str = "W", x: str = "x", keys: str = "")
     return out
 
 
-def coherent() -> list[str]:
+def coherent(p=q.SEARCH, samples: str = f"SELECT (fft * 32 + bin) // {q.CHUNK} AS chunk, chan, pol, (fft * 32 + bin) % {q.CHUNK} AS isamp, re, im FROM S", circular: bool = True) -> list[str]:
     """CTEs from complex samples to the images (chunk, trial, k, t, x) in CR."""
-    p, pi = q.SEARCH, "3.141592653589793"
+    round_ = "" if circular else " OR w.t < w.shift"
+    pi = "3.141592653589793"
     mbin, step, pad = p.nbin // p.subs, p.nbin - 2 * p.overlap, p.overlap // p.subs
     bw = (p.f_max - p.f_min) / p.channels
     band, width, n = bw / p.subs, (p.f_max - p.f_min) / p.rows, p.samples
@@ -77,23 +78,61 @@ def coherent() -> list[str]:
     lag = f"4148.808 * d.dm * (1 / ({p.f_min} * {p.f_min}) - 1 / (({f}) * ({f}))) / {p.t_sample * p.subs}"
     by = "chunk, trial, "
     return [
-        f"CS AS (SELECT (fft * 32 + bin) // {q.CHUNK} AS chunk, chan, pol, (fft * 32 + bin) % {q.CHUNK} AS isamp, re, im FROM S)",
+        f"CS AS ({samples})",
         f"CX AS MATERIALIZED (SELECT chunk, chan, pol, f.fft, (k.q + {p.nbin // 2}) % {p.nbin} AS n, sum(re * cos(k.q * (isamp - {step} * f.fft + {p.overlap}) % {p.nbin} * 2 * {pi} / {p.nbin}) + im * sin(k.q * (isamp - {step} * f.fft + {p.overlap}) % {p.nbin} * 2 * {pi} / {p.nbin})) AS re, sum(im * cos(k.q * (isamp - {step} * f.fft + {p.overlap}) % {p.nbin} * 2 * {pi} / {p.nbin}) - re * sin(k.q * (isamp - {step} * f.fft + {p.overlap}) % {p.nbin} * 2 * {pi} / {p.nbin})) AS im FROM CS CROSS JOIN range({p.nfft}) f(fft) CROSS JOIN range({p.nbin}) k(q) WHERE isamp - {step} * f.fft + {p.overlap} BETWEEN 0 AND {p.nbin - 1} GROUP BY 1, 2, 3, 4, 5)",
         f"CD(trial, dm) AS (VALUES {trials})",
         f"CH AS (SELECT trial, chan, sub, bin, cos(turn) * taper AS re, -sin(turn) * taper AS im FROM (SELECT d.trial, c.chan, s.sub, b.bin, ({phase} - floor({phase})) * 2 * {pi} AS turn, 1 / sqrt(1 + pow({fb} / {0.47 * band}, 80.0)) AS taper FROM CD d CROSS JOIN range({p.channels}) c(chan) CROSS JOIN range({p.subs}) s(sub) CROSS JOIN range({mbin}) b(bin)) i)",
         f"CP AS MATERIALIZED (SELECT x.chunk, h.trial, x.chan, x.pol, x.fft, h.sub, h.bin, x.re * h.re - x.im * h.im AS re, x.re * h.im + x.im * h.re AS im FROM CX x JOIN CH h ON h.chan = x.chan AND h.sub = x.n // {mbin} AND h.bin = x.n % {mbin})",
         f"CY AS (SELECT chunk, trial, chan, pol, fft, sub, m.m, sum(re * cos(bin * m.m % {mbin} * 2 * {pi} / {mbin}) - im * sin(bin * m.m % {mbin} * 2 * {pi} / {mbin})) / {p.nbin} AS re, sum(im * cos(bin * m.m % {mbin} * 2 * {pi} / {mbin}) + re * sin(bin * m.m % {mbin} * 2 * {pi} / {mbin})) / {p.nbin} AS im FROM CP CROSS JOIN range({mbin}) m(m) GROUP BY 1, 2, 3, 4, 5, 6, 7)",
         f"CT AS (SELECT d.trial, r.row, CAST(sign({lag}) * floor(abs({lag}) + 0.5) AS BIGINT) % {n} AS shift FROM CD d CROSS JOIN range({p.rows}) r(row))",
-        f"CW AS (SELECT y.chunk, y.trial, row AS chan, (t + shift) % {n} AS t, x FROM (SELECT chunk, trial, ({p.channels - 1} - chan) * {p.subs} + {p.subs - 1} - sub AS r, m - {pad} + {mbin - 2 * pad} * fft AS t, sum(re * re + im * im) AS x FROM CY WHERE m >= {pad} AND m < {mbin - pad} GROUP BY 1, 2, 3, 4) y JOIN CT c ON c.trial = y.trial AND c.row = y.r)",
+        f"CW AS (SELECT y.chunk, y.trial, row AS chan, (t + shift) % {n} AS t, shift, x FROM (SELECT chunk, trial, ({p.channels - 1} - chan) * {p.subs} + {p.subs - 1} - sub AS r, m - {pad} + {mbin - 2 * pad} * fft AS t, sum(re * re + im * im) AS x FROM CY WHERE m >= {pad} AND m < {mbin - pad} GROUP BY 1, 2, 3, 4) y JOIN CT c ON c.trial = y.trial AND c.row = y.r)",
         "CV AS (SELECT chunk, trial, chan, avg(x) AS mean, avg(x * x) - avg(x) * avg(x) AS var FROM CW GROUP BY 1, 2, 3)",
         "CG AS (SELECT chunk, trial, avg(mean) AS g_mean, sqrt(avg(var + mean * mean) - avg(mean) * avg(mean)) AS g_std, avg(var) AS mean_var, stddev_pop(var) AS std_var FROM CV GROUP BY 1, 2)",
-        "CZ AS MATERIALIZED (SELECT w.chunk, w.trial, w.chan, w.t, CASE WHEN abs(var - mean_var) > 4.0 * std_var THEN 0.0 ELSE (x - g_mean) / g_std END AS x, CASE WHEN abs(var - mean_var) > 4.0 * std_var THEN 0.0 ELSE 1.0 END AS mask FROM CW w JOIN CV v ON v.chunk = w.chunk AND v.trial = w.trial AND v.chan = w.chan JOIN CG g ON g.chunk = w.chunk AND g.trial = w.trial)",
-        *fdmt(q.search_parts(), "8", "CZ", "x", by),
-        *fdmt(q.search_parts(), "9", "CZ", "mask", by),
+        f"CZ AS MATERIALIZED (SELECT w.chunk, w.trial, w.chan, w.t, CASE WHEN abs(var - mean_var) > 4.0 * std_var{round_} THEN 0.0 ELSE (x - g_mean) / g_std END AS x, CASE WHEN abs(var - mean_var) > 4.0 * std_var THEN 0.0 ELSE 1.0 END AS mask FROM CW w JOIN CV v ON v.chunk = w.chunk AND v.trial = w.trial AND v.chan = w.chan JOIN CG g ON g.chunk = w.chunk AND g.trial = w.trial)",
+        *fdmt(q.search_parts(p), "8", "CZ", "x", by),
+        *fdmt(q.search_parts(p), "9", "CZ", "mask", by),
         "CR AS (SELECT a.chunk, CAST(a.trial AS BIGINT) AS trial, a.k, a.t, a.x / sqrt(b.x + 1e-8) AS x FROM K8 a JOIN K9 b ON b.chunk = a.chunk AND b.trial = a.trial AND b.k = a.k AND b.t = a.t)",
     ]
 
 
+def searched(p, own: str = "SELECT * FROM C") -> str:
+    """CTEs from images to the delegates (chunk, mt, mdt, mwidth, msnr, num) in D; own: which candidates of C take part."""
+    found = cand(list(p.widths), threshold=p.threshold, source="CI", keys="chunk, ")
+    best = D.replace("PARTITION BY g1", "PARTITION BY chunk, g1").replace("SELECT mt", "SELECT chunk, mt")
+    return f"CI AS (SELECT chunk, trial * {p.subs} + k AS chan, t, x FROM CR), {found}, CO AS ({own}), {grouped('CO', p.gaps, 'chunk, ')}, {best}"
+
+
+def _recorded() -> dict[str, str]:
+    """Searches of recordings; a chunk's number there is 1000 times its block's and its own."""
+    p, n = fq.CHUNKED, fq.LONG * 16
+    step, length, ov = p.length - 2 * p.overlap, p.length, p.overlap
+    many = max(0, (n - 2 * ov - 1) // step)
+    v = "V AS (SELECT r, c, CAST(((CAST(x AS BIGINT) % 256) + 256) % 256 - 128 AS DOUBLE) AS v FROM E)"
+    firsts = f"J AS (SELECT j.j AS chunk, greatest(0, least(j.j * {step}, {n - length})) AS first FROM range({many + 1}) j(j))"
+    full = f"B AS (SELECT b.block, c.chan, i.pl FROM (SELECT DISTINCT r // {2 * fq.LONG} AS block FROM V) b CROSS JOIN range(2) c(chan) CROSS JOIN range({fq.LONG * 64}) i(pl))"
+    m = f"M AS (SELECT B.block, B.chan, B.pl, coalesce(V.v, 0) AS v FROM B LEFT JOIN V ON V.r = B.block * {2 * fq.LONG} + B.chan * {fq.LONG} + B.pl // 64 AND V.c = B.pl % 64)"
+    cells = "N AS (SELECT block, chan, (pl // 2) % 2 AS pol, pl // 4 AS isamp, sum(CASE WHEN pl % 2 = 0 THEN v END) AS re, sum(CASE WHEN pl % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3, 4)"
+    base = f"{E}, {v}, {firsts}, {full}, {m}, {cells}"
+    samples = f"SELECT block * 1000 + chunk AS chunk, chan, pol, isamp - first AS isamp, re, im FROM N JOIN J ON isamp >= first AND isamp < first + {length}"
+    own_from = f"CASE WHEN j.chunk = 0 THEN 0 ELSE i.first + {length - ov} - j.first END"
+    own_to = f"CASE WHEN j.chunk = {many} THEN {length} ELSE {length - ov} END"
+    own = f"O AS (SELECT j.chunk, j.first, CAST({own_from} AS BIGINT) AS own_from, CAST({own_to} AS BIGINT) AS own_to FROM J j LEFT JOIN J i ON i.chunk = j.chunk - 1)"
+    image = f"{base}, {', '.join(coherent(p, samples))}"
+    mine = f"SELECT C.chunk // 1000 AS chunk, mt + first // {p.subs} AS mt, mdt, mwidth, msnr FROM C JOIN O ON O.chunk = C.chunk % 1000 WHERE mt * {p.subs} >= own_from AND mt * {p.subs} < own_to"
+    s = q.SEARCH
+    plane = "P0 AS (SELECT c % 4 AS plane, r * 16 + c // 4 AS pl, v FROM V), N AS (SELECT pl % 2 AS chan, plane // 2 AS pol, pl // 2 AS isamp, sum(CASE WHEN plane % 2 = 0 THEN v END) AS re, sum(CASE WHEN plane % 2 = 1 THEN v END) AS im FROM P0 GROUP BY 1, 2, 3)"
+    sizes = f"Y AS (SELECT max(isamp) + 1 AS n FROM N), J AS (SELECT j.j AS chunk, greatest(0, least(j.j * {s.length - 2 * s.overlap}, n - {s.length})) AS first FROM Y CROSS JOIN range(1000000) j(j) WHERE j.j <= greatest(0, (n - {2 * s.overlap + 1}) // {s.length - 2 * s.overlap}))"
+    each = f"SELECT chunk, chan, pol, isamp - first AS isamp, re, im FROM N JOIN J ON isamp >= first AND isamp < first + {s.length}"
+    numbered = "row_number() OVER (PARTITION BY chunk ORDER BY mt, mdt, mwidth) AS n"
+    return {
+        "raw_where": f"WITH {E}, {v}, M AS (SELECT r // 4 AS block, (r // 2) % 2 AS chan, (r % 2) * 64 + c AS pl, v FROM V) SELECT block, chan, CAST((pl // 2) % 2 AS INTEGER) AS pol, pl // 4 AS isamp, sum(CASE WHEN pl % 2 = 0 THEN v END) AS re, sum(CASE WHEN pl % 2 = 1 THEN v END) AS im FROM M WHERE block BETWEEN 2 AND 9 AND chan = 1 GROUP BY 1, 2, 3, 4",
+        "raw_chunks": f"WITH {base}, {own} SELECT block, chunk, first, CAST({length} AS BIGINT) AS taken, own_from, own_to, CAST({n} AS BIGINT) AS samples, CAST(2 AS INTEGER) AS nchan, CAST(8 AS INTEGER) AS nbits, CAST(1400 AS DOUBLE) AS obs_freq FROM (SELECT DISTINCT block FROM N) b CROSS JOIN O",
+        "recording_search": f"WITH {image}, {searched(p)} SELECT chunk // 1000 AS block, chunk % 1000 AS chunk, mt, mdt, mwidth, msnr, num, {numbered} FROM D",
+        "recording_search_once": f"WITH {base}, {', '.join(coherent(p, samples, circular=False))}, {own}, {searched(p, mine)} SELECT chunk AS block, mt, mdt, mwidth, msnr, num, {numbered} FROM D",
+        "plane_search": f"WITH {E}, {v}, {plane}, {sizes}, {', '.join(coherent(s, each))}, {searched(s)} SELECT CAST(0 AS BIGINT) AS block, chunk, mt, mdt, mwidth, msnr, num, {numbered} FROM D",
+    }
+
+
 def _chirp(subs: int, channels: int = 2) -> str:
     bw = q.CHAN_BW
     fb = f"(-{bw / subs} / 2 + (b.bin + 0.5) * {bw / subs} / {q.MBIN}.0)"
@@ -199,7 +238,7 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "report_parse": "SELECT o_orderkey % 7 AS block, o_custkey AS chunk, o_orderkey % 256 AS suc_row, o_custkey % 4096 AS suc_col, o_orderkey % 9 AS wind_width FROM orders",
         "header_normalise": "SELECT c_custkey AS k, abs(c_acctbal) AS chan_bw, c_acctbal >= 0 AS straight_order FROM customer",
     }
-    o |= _files(z)
+    o |= _files(z) | _recorded()
     a, b, one, odd = fdmt(q.truncating()), fdmt(q.rounding()), fdmt(q.truncating(), "1", x="1.0"), fdmt(q.truncating(q.ODD))
     o["fdmt_init"] = f"WITH {W}, {', '.join(a[:3])} SELECT CAST(sub AS BIGINT) AS sub, CAST(k AS BIGINT) AS k, CAST(t AS BIGINT) AS t, {r('x')} FROM A0_0"
     o["fdmt_a"] = f"WITH {W}, {', '.join(a)} SELECT k, t, {r('x', 4)} FROM K0"
@@ -209,8 +248,6 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
     o["fdmt_ratio"] = f"WITH {W}, {', '.join(a + one)} SELECT K0.k, K0.t, {r('K0.x / sqrt(K1.x + 1e-8)', 4, 'x')} FROM K0 JOIN K1 ON K1.k = K0.k AND K1.t = K0.t"
     image = ", ".join([E, S, *coherent()])
     o["coherent_images"] = f"WITH {image} SELECT chunk, trial, k, t, {r('x', 4)} FROM CR"
-    found = cand(list(q.SEARCH.widths), threshold=q.SEARCH.threshold, source="CI", keys="chunk, ")
-    best = D.replace("PARTITION BY g1", "PARTITION BY chunk, g1").replace("SELECT mt", "SELECT chunk, mt")
-    o["coherent_search"] = f"WITH {image}, CI AS (SELECT chunk, trial * {q.SEARCH.subs} + k AS chan, t, x FROM CR), {found}, CL AS (SELECT chunk, mt, mdt, CAST(round(log2(mwidth)) AS BIGINT) AS mwidth, msnr FROM C), {grouped('CL', q.SEARCH.gaps, 'chunk, ')}, {best} SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY mt, mdt, mwidth) AS n FROM D"
+    o["coherent_search"] = f"WITH {image}, {searched(q.SEARCH)} SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY mt, mdt, mwidth) AS n FROM D"
     return o
 

@@ -329,9 +329,9 @@ def rounding():
     return dict(enumerate(first)), plan
 
 
-def search_parts():
-    first, plan = grids.truncating_plan(SEARCH.rows, SEARCH.f_min, SEARCH.f_max, SEARCH.subs)
-    return {c: list(range(first + 1)) for c in range(SEARCH.rows)}, plan
+def search_parts(p: coherent.SearchPlan = SEARCH):
+    first, plan = grids.truncating_plan(p.rows, p.f_min, p.f_max, p.subs)
+    return {c: list(range(first + 1)) for c in range(p.rows)}, plan
 
 
 def _image(w: DataFrame, parts) -> DataFrame:
@@ -394,8 +394,8 @@ def coherent_images(spark, d):
 @query
 def coherent_search(spark, d):
     """The whole search: frames, coherent filters over a grid, transform, detection and clustering of every chunk."""
-    cand = _r(coherent.candidates(coherent.images(_samples(spark, d), SEARCH, ["chunk"]), SEARCH, ["chunk"]), "msnr")
-    return cluster.ranked(cluster.delegates(cluster.clusters(cand, SEARCH.gaps, ["chunk"]), ["chunk"]), ["chunk"])
+    cand = _r(coherent.candidates(_samples(spark, d), SEARCH, ["chunk"]), "msnr")
+    return coherent.found_in(cand, SEARCH, ["chunk"])
 
 
 def _flagship(spark, d):

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.sources.raw import open_file
+from skysift.sources.raw import BLOCKS, open_file
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +124,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def run_log(path: str, project: str, chunk: int, found: list[int], seconds: int, measures: list[float] | None = None) -> list[str]:
-    """Lines of a run's log; found: numbers of the chunks with detections, and with measures the dispersion of each."""
+    """Lines of a run's log, whose wording is a fixed format; found: numbers of the chunks with detections, and with measures the dispersion of each."""
     out = [f"Pass to Data File: {path}", f"Project Name: {project}", f"Length of Chunk: {chunk}", f"Quant of Successful Chunks: {len(found)}", f"Numbers of Successful Chunks: [{', '.join(map(str, found))}]"]
     if measures is not None:
         out.append(f"Successfull coherentD Array: [{', '.join(f'{m:g}' for m in measures)}]")
@@ -183,6 +183,18 @@ def sibling_planes(path: str) -> list[str]:
     return [f"{head}_S{i}_{tail}" for i in range(4)]
 
 
+def plane_block(spark: SparkSession, first: str, header: dict) -> DataFrame:
+    """BLOCKS of a four-file recording: its one block, whose four files move on together."""
+    h, paths = header, sibling_planes(first)
+    samples = h["block_size"] // (h["npol"] * h["nchan"] * h["nbits"] // 8)
+    for p in paths:
+        with open_file(p) as f:
+            if f.size() < samples * h["nchan"]:
+                raise ValueError(f"{p} is cut short")
+    row = (first.rsplit("/", 1)[-1], paths, "planes", 0, 0, 0, samples, h["npol"], h["nbits"], h["nchan"], False, h["chan_bw"], h["cent_freq"], h["obs_bw"], h["t_resolution"], "OTHER")
+    return spark.createDataFrame([row], BLOCKS)
+
+
 def plane_shift(chunk_bytes: int, npol: int = 4) -> int:
     """Bytes by which each of the parallel files moves on for a chunk of so many bytes in all."""
     return chunk_bytes // npol

@@ -1,9 +1,14 @@
-"""Raw voltage recordings of the text-header kind, as a Python data source.
+"""Raw voltage recordings of the text-header kind.
 
 ``spark.read.format("raw_voltage").load(path)`` gives a row per block and
 channel: block, chan, nbits, npol, nchan, chan_bw, obs_freq, obs_bw, tbin,
-telescope, data.  One partition per block; ``option("blocks", "0,3")`` reads
-some blocks alone.  Planning walks the headers and skips the payloads.
+telescope, data.  One partition per block; filters on block and chan, and
+``option("blocks", "0,3")``, are taken before anything but headers is read.
+
+A search reads overlapping chunks instead: ``index()`` walks the headers of many
+files in tasks, ``chunk_table()`` cuts their blocks to chunks, and a task reads
+each channel's bytes of a chunk with ``Voltages``.  ``raw_chunks`` is the same
+table as a stream over the files of a folder.
 """
 
 from __future__ import annotations
@@ -16,13 +21,17 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from skysift.functions.lineage import cut
 
 CARD = 80
 #: Samples of a batch.
 CELLS = 1 << 16
 SCHEMA = "block long, chan long, nbits int, npol int, nchan int, chan_bw double, obs_freq double, obs_bw double, tbin double, telescope string, data binary"
 TELESCOPES = ("GBT", "PARKES")
+#: Bits of a number and how it is stored; other depths are refused.
+DEPTHS = {8: "i1", 16: "<i2"}
 
 
 def parse_header(raw: bytes) -> tuple[dict[str, str], int] | None:
@@ -42,7 +51,14 @@ def parse_header(raw: bytes) -> tuple[dict[str, str], int] | None:
 
 
 def normalised(h: dict[str, str]) -> dict:
-    """Typed header: bandwidths and frequency positive; a negative channel width means channels run downwards."""
+    """Typed header: bandwidths and frequency positive; a negative channel width means channels run downwards.
+
+    A header that nowhere says RAW is of another mode, and that is an error, as is a depth that can't be read.
+    """
+    if not any("RAW" in x for pair in h.items() for x in pair):
+        raise ValueError("not a header of raw mode")
+    if int(h.get("NBITS", 8)) not in DEPTHS:
+        raise ValueError(f"samples of {h['NBITS']} bits cannot be read")
     bw = float(h["CHAN_BW"])
     name = h.get("TELESCOP", "")
     return {
@@ -75,56 +91,87 @@ def open_file(path: str):
     return pa.OSFile(path)
 
 
-def plan_blocks(path: str, wanted: set[int] | None = None) -> list[Block]:
-    """Blocks of a recording, or of all in a folder, counted on in the order of their names."""
+def files_of(path: str) -> list[str]:
+    """A recording, or all in a folder in the order of their names."""
     fs, inner = pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
     if fs.get_file_info(inner).type != pafs.FileType.Directory:
-        return blocks_of(path, 0, wanted)
+        return [path]
+    names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.is_file and not f.base_name.startswith("."))
+    return [f"{path.rstrip('/')}/{n}" for n in names]
+
+
+def plan_blocks(path: str, wanted: set[int] | None = None) -> list[Block]:
+    """Blocks of a recording, or of all in a folder, counted on in the order of their names."""
     out: list[Block] = []
     first = 0
-    for f in sorted((f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.is_file and not f.base_name.startswith("."))):
-        every = blocks_of(f"{path.rstrip('/')}/{f}", first)
+    for f in files_of(path):
+        every = blocks_of(f, first)
         first += len(every)
         out += [b for b in every if wanted is None or b.block in wanted]
     return out
 
 
-def blocks_of(path: str, n: int, wanted: set[int] | None = None) -> list[Block]:
-    """Blocks of one recording, counted from n; it ends after a whole block, else it is damaged and that is an error."""
+def blocks_of(path: str, n: int = 0, growing: bool = False) -> list[Block]:
+    """Blocks of one recording, counted from n; it ends after a whole block, else it is damaged and that is an error.
+
+    A growing recording may end anywhere: its whole blocks are taken.
+    """
     out, at = [], 0
     with open_file(path) as f:
         end = f.size()
         while at < end:
             head = f.read_at(min(64 * 1024, end - at), at)
             found = parse_header(head) or parse_header(f.read_at(min(HEADER, end - at), at))
-            if found is None:
+            if found is None and not growing:
                 raise ValueError(f"{path}: no header at byte {at}")
-            header = normalised(found[0])
-            size = header["block_size"]
-            if at + found[1] + size > end:
+            header = normalised(found[0]) if found else None
+            if header is None or at + found[1] + header["block_size"] > end:
+                if growing:
+                    break
                 raise ValueError(f"{path}: block {n} is cut short")
-            if wanted is None or n in wanted:
-                out.append(Block(path, n, at + found[1], header))
+            out.append(Block(path, n, at + found[1], header))
+            size = header["block_size"]
             at += found[1] + (-(-size // 512) * 512 if header["direct_io"] else size)
             n += 1
     return out
 
 
+#: Filters that a reader takes, and what they say of a value.
+COMPARED = {
+    EqualTo: lambda v, x: v == x, EqualNullSafe: lambda v, x: v == x, In: lambda v, x: v in x,
+    GreaterThan: lambda v, x: v > x, GreaterThanOrEqual: lambda v, x: v >= x, LessThan: lambda v, x: v < x, LessThanOrEqual: lambda v, x: v <= x,
+}
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.wanted = {int(x) for x in options["blocks"].split(",")} if options.get("blocks") else None
+        self.filters: list[tuple[str, type, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in COMPARED and f.attribute in (("block",), ("chan",)) and f.value is not None:
+                self.filters.append((f.attribute[0], type(f), f.value))
+            else:
+                yield f
+
+    def _passes(self, name: str, value: int) -> bool:
+        return all(COMPARED[kind](value, x) for n, kind, x in self.filters if n == name)
 
     def partitions(self) -> list[Block]:
-        return plan_blocks(self.path, self.wanted)
+        return [b for b in plan_blocks(self.path, self.wanted) if self._passes("block", b.block)] or [Block("", -1, 0, {})]
 
     def read(self, partition: Block) -> Iterator[tuple]:
         h = partition.header
+        if not h:
+            return
         each = h["block_size"] // h["nchan"]
         with open_file(partition.path) as f:
             for i in range(h["nchan"]):
                 chan = h["nchan"] - 1 - i if h["descending"] else i
-                yield partition.block, chan, h["nbits"], h["npol"], h["nchan"], h["chan_bw"], h["obs_freq"], h["obs_bw"], h["tbin"], h["telescope"], f.read_at(each, partition.offset + i * each)
+                if self._passes("chan", chan):
+                    yield partition.block, chan, h["nbits"], h["npol"], h["nchan"], h["chan_bw"], h["obs_freq"], h["obs_bw"], h["tbin"], h["telescope"], f.read_at(each, partition.offset + i * each)
 
 
 class RawVoltage(DataSource):
@@ -139,21 +186,170 @@ class RawVoltage(DataSource):
         return _Reader(self.options)
 
 
+#: A block of a recording: where its payload lies, how long it is, and its header.
+BLOCKS = "file string, paths array<string>, layout string, block long, offset long, stride long, samples long, npol int, nbits int, nchan int, descending boolean, chan_bw double, obs_freq double, obs_bw double, tbin double, telescope string"
+#: A chunk of it: its first sample, its samples, and the part of them that no neighbour has too.
+CHUNKS = f"{BLOCKS}, chunk long, first long, taken long, own_from long, own_to long"
+
+
+def _row(b: Block) -> tuple:
+    h = b.header
+    stride = h["block_size"] // h["nchan"]
+    samples = stride * 8 // (h["npol"] * h["nbits"])
+    return (b.path.rsplit("/", 1)[-1], [b.path], "channels", b.block, b.offset, stride, samples, h["npol"], h["nbits"], h["nchan"], h["descending"], h["chan_bw"], h["obs_freq"], h["obs_bw"], h["tbin"], h["telescope"])
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """BLOCKS of a recording or of all in a folder; each file's headers are walked in a task, and blocks count from 0 in each file."""
+    paths = files_of(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column("path").to_pylist():
+                rows = [_row(b) for b in blocks_of(p)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=kinds)
+
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    types = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+    kinds = pa.schema([(x.split()[0], types[x.split()[1]]) for x in BLOCKS.split(", ")])
+    table = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return cut(table.mapInArrow(run, BLOCKS))
+
+
+def chunk_table(blocks: DataFrame, length: int, overlap: int) -> DataFrame:
+    """CHUNKS of the blocks: so many samples each, two overlaps more than the step, the last one ending with its block.
+
+    A sample in two chunks is owned by the one in which it lies further from the edge.
+    """
+    if length <= 2 * overlap:
+        raise ValueError("a chunk must be longer than its overlaps")
+    step = length - 2 * overlap
+    last = F.expr(f"greatest(0L, (samples - {2 * overlap + 1}) div {step})")
+    start = lambda c: F.greatest(F.lit(0), F.least(c * step, F.col("samples") - length)).cast("long")
+    rows = blocks.withColumn("last", last).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    rows = rows.withColumn("first", start(F.col("chunk"))).withColumn("taken", F.least(F.lit(length), F.col("samples")).cast("long"))
+    own_from = F.when(F.col("chunk") == 0, 0).otherwise(start(F.col("chunk") - 1) + length - overlap - F.col("first"))
+    own_to = F.when(F.col("chunk") == F.col("last"), F.col("taken")).otherwise(F.col("taken") - overlap)
+    return rows.withColumns({"own_from": own_from.cast("long"), "own_to": own_to.cast("long")}).drop("last")
+
+
+def dealt(chunks: DataFrame) -> DataFrame:
+    """Every chunk a task of its own, if there are not very many; rows are only places in files."""
+    return chunks.repartition(max(1, min(100_000, chunks.count())))
+
+
+class Voltages:
+    """The samples of one chunk, as they lie in the file; a row of CHUNKS."""
+
+    def __init__(self, row: dict):
+        self.row, kind = row, np.dtype(DEPTHS[row["nbits"]])
+        nchan, taken, first = row["nchan"], row["taken"], row["first"]
+        self.parts = []
+        if row["layout"] == "planes":
+            for p in row["paths"]:
+                with open_file(p) as f:
+                    self.parts.append(np.frombuffer(f.read_at(taken * nchan * kind.itemsize, row["offset"] + first * nchan * kind.itemsize), kind).reshape(taken, nchan))
+            return
+        each = row["npol"] * kind.itemsize
+        with open_file(row["paths"][0]) as f:
+            for i in range(nchan):
+                raw = f.read_at(taken * each, row["offset"] + i * row["stride"] + first * each)
+                self.parts.append(np.frombuffer(raw, kind).reshape(taken, row["npol"] // 2, 2))
+
+    def channel(self, chan: int) -> np.ndarray:
+        """(polarisation, sample) of a channel, complex."""
+        if self.row["layout"] == "planes":
+            v = [p[:, chan].astype(float) for p in self.parts]
+            return np.array([v[i] + 1j * v[i + 1] for i in range(0, len(v), 2)])
+        v = self.parts[self.row["nchan"] - 1 - chan if self.row["descending"] else chan]
+        return (v[..., 0] + 1j * v[..., 1]).T
+
+
+class _Places(InputPartition):
+    def __init__(self, rows: list[tuple]):
+        super().__init__(0)
+        self.rows = rows
+
+
+class _Stream(DataSourceStreamReader):
+    """Chunks of the recordings of a folder, in the order of files' names, blocks and chunks.
+
+    An offset is the file, block and chunk that come next.  Only whole blocks
+    count, so a recording may still grow; new files must come later in the order
+    of names.
+    """
+
+    def __init__(self, options: dict):
+        self.path, self.length, self.overlap = options["path"], int(options["length"]), int(options["overlap"])
+
+    def _rows(self, start: dict) -> Iterator[tuple[tuple, tuple]]:
+        """(place, row) of all chunks from a place on."""
+        step, place = self.length - 2 * self.overlap, (start["file"], start["block"], start["chunk"])
+        for f in files_of(self.path):
+            if f.rsplit("/", 1)[-1] < place[0]:
+                continue
+            for b in blocks_of(f, growing=True):
+                row = _row(b)
+                n = row[6]
+                last = max(0, (n - 2 * self.overlap - 1) // step)
+                firsts = [max(0, min(j * step, n - self.length)) for j in range(last + 1)]
+                for j, first in enumerate(firsts):
+                    taken = min(self.length, n)
+                    own = (0 if j == 0 else firsts[j - 1] + self.length - self.overlap - first, taken if j == last else taken - self.overlap)
+                    if (row[0], b.block, j) >= place:
+                        yield (row[0], b.block, j), (*row, j, first, taken, *own)
+
+    def initialOffset(self) -> dict:
+        return {"file": "", "block": 0, "chunk": 0}
+
+    def latestOffset(self) -> dict:
+        files = files_of(self.path)
+        for f in reversed(files):  # the last file that has a whole block
+            if blocks := blocks_of(f, growing=True):
+                return {"file": f.rsplit("/", 1)[-1], "block": blocks[-1].block + 1, "chunk": 0}
+        return self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[_Places]:
+        stop = (end["file"], end["block"], end["chunk"])
+        return [_Places([row]) for place, row in self._rows(start) if place < stop] or [_Places([])]
+
+    def read(self, partition: _Places) -> Iterator[tuple]:
+        yield from partition.rows
+
+
+class RawChunks(DataSource):
+    """``readStream.format("raw_chunks").option("length", ...).option("overlap", ...).load(folder)``: CHUNKS as files arrive."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "raw_chunks"
+
+    def schema(self) -> str:
+        return CHUNKS
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(self.options)
+
+
 def register(spark: SparkSession) -> None:
+    """Makes the sources known to a session, and lets it hand them filters."""
     spark.dataSource.register(RawVoltage)
+    spark.dataSource.register(RawChunks)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def samples(raw: DataFrame) -> DataFrame:
-    """(block, chan, pol, isamp, re, im) of 8-bit data that interleave time, polarisation, and real and imaginary part."""
+    """(block, chan, pol, isamp, re, im) of data that interleave time, polarisation, and real and imaginary part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, chan, npol, data in zip(*(batch.column(c) for c in ("block", "chan", "npol", "data")), strict=True):
+            for block, chan, npol, nbits, data in zip(*(batch.column(c) for c in ("block", "chan", "npol", "nbits", "data")), strict=True):
                 pairs = npol.as_py() // 2
-                v = np.frombuffer(data.as_buffer(), np.int8).astype(float).reshape(-1, 2)
+                v = np.frombuffer(data.as_buffer(), DEPTHS[nbits.as_py()]).astype(float).reshape(-1, 2)
                 for first in range(0, len(v), CELLS):
                     part = v[first : first + CELLS]
                     at = np.arange(first, first + len(part))
                     yield pa.RecordBatch.from_arrays([pa.repeat(block, len(part)), pa.repeat(chan, len(part)), pa.array((at % pairs).astype(np.int32)), pa.array(at // pairs), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["block", "chan", "pol", "isamp", "re", "im"])
 
-    return raw.select("block", "chan", "npol", "data").mapInArrow(run, "block long, chan long, pol int, isamp long, re double, im double")
+    return raw.select("block", "chan", "npol", "nbits", "data").mapInArrow(run, "block long, chan long, pol int, isamp long, re double, im double")

@@ -1,4 +1,4 @@
-"""Blocks cut to overlapping chunks, and the search over a stream of chunks.
+"""Blocks cut to overlapping chunks, and searches over streams of chunks and of recordings.
 
 Chunks do not depend on one another, so a stream needs no state: each micro-batch
 brings whole chunks as files of (block, chunk, chan, t, x), and its candidates are
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skysift.operators import cluster, detect, stats
+from skysift.operators import cluster, coherent, detect, stats
 from skysift.plans.grids import chunks
+from skysift.sources import raw
 
 SCHEMA = "block long, chunk long, chan long, t long, x double"
 
@@ -45,3 +46,21 @@ def search_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
 
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 8).parquet(source)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def search_recordings_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str, plan: coherent.SearchPlan) -> StreamingQuery:
+    """The whole search of every chunk of the recordings that arrive in a folder; one row per delegate, partitioned by file, block and chunk.
+
+    A micro-batch is a table of places; each chunk is read by the task that
+    searches it.  A chunk lies in one micro-batch, and one that is done again
+    writes the same partitions over, so a restart repeats nothing.
+    """
+    raw.register(spark)
+    keys = ["file", "block", "chunk"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        found = coherent.found_in(coherent.chunk_candidates(batch, plan), plan, keys)
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(sink)
+
+    stream = spark.readStream.format("raw_chunks").option("length", plan.length).option("overlap", plan.overlap).load(folder)
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

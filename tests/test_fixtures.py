@@ -238,12 +238,24 @@ def test_command_line_searches_a_recording(spark, tmp_path):
     rng = np.random.default_rng(3)
     data = rng.integers(-20, 21, (4, 64 * 4, 4)).astype(np.int8)
     data[:, 100:104] = 120
-    cards = {"NBITS": 8, "CHAN_BW": 4.0, "OBSFREQ": 1016.0, "OBSNCHAN": 4, "OBSBW": 16.0, "BLOCSIZE": data.size, "TELESCOP": "'GBT'", "NPOL": 4, "TBIN": 1e-3, "DIRECTIO": 0}
+    cards = {"BACKEND": "'RAW'", "NBITS": 8, "CHAN_BW": 4.0, "OBSFREQ": 1016.0, "OBSNCHAN": 4, "OBSBW": 16.0, "BLOCSIZE": data.size, "TELESCOP": "'GBT'", "NPOL": 4, "TBIN": 1e-3, "DIRECTIO": 0}
     (tmp_path / "x.raw").write_bytes("".join(f"{k:<8}= {v}".ljust(80) for k, v in cards.items()).encode() + b"END".ljust(80) + data.tobytes())
     plan = cli.run(spark, cli.options(["-n", str(tmp_path / "x.raw"), "-N", str(tmp_path / "out"), "-P", "2e-3", "-b", "3", "-k", "0.02", "-d", "5", "--d-min", "0.01", "--nbin", "64", "--nfft", "2"]))
-    assert plan.rows == 8 and plan.widths == (1, 2, 4)
-    got = spark.read.text(str(tmp_path / "out"))
+    assert plan.rows == 8 and plan.widths == (1, 2, 3, 4, 5)
+    got = spark.read.text(str(tmp_path / "out" / "delegates"))
     assert got.count() > 0 and set(got.columns) == {"value", "block", "chunk"}
+    chunks_ = sorted(r.chunk for r in got.select("chunk").distinct().collect())
+    log = [r.value for r in spark.read.text(str(tmp_path / "out" / "run")).collect()]
+    assert f"Numbers of Successful Chunks: {chunks_}" in log and f"Length of Chunk: {plan.length}" in log
+
+
+def test_a_frame_too_short_for_its_overlap_is_an_error():
+    from skysift import __main__ as cli
+
+    o = cli.options(["-n", "x", "-N", "y", "-P", "2e-6", "-k", "600", "--nbin", "4096"])
+    header = {"obs_freq": 1400.0, "obs_bw": 400.0, "chan_bw": 50.0, "tbin": 2e-6, "nchan": 8}
+    with pytest.raises(ValueError, match="overlaps"):
+        cli.plan_of(o, header | {"obs_freq": 400.0})
 
 
 def test_chunk_search_equals_numpy(spark):
@@ -264,9 +276,10 @@ def test_chunk_search_equals_numpy(spark):
                 for k in range(4):
                     y = np.fft.ifft(s[8 * k : 8 * k + 8] * coherent.chirp_of(plan, c, 5.0)[k]) / 4
                     power[(1 - c) * 4 + 3 - k, 4 * f : 4 * f + 4] += np.abs(y[2:6]) ** 2
-    frames = frame.overlap_frames(df, 32, 3, 8, ["chunk", "chan", "pol"], ["re", "im"])
-    got = rows(coherent.coherent_power(frames, plan, ["chunk"]))
-    assert np.allclose(np.array([r[-1] for r in got]).reshape(power.shape), power) and got[0][:4] == (7, 0, 0, 0)
+    spectra = {c: coherent.spectrum_of(z[c], plan) for c in range(2)}
+    assert np.allclose(coherent.power_of(spectra.__getitem__, plan, 5.0), power)
+    got = coherent.images(df, plan, ["chunk"])
+    assert got.count() == 4 * 12 and got.select("chunk", "trial").distinct().collect() == [(7, 0)]
 
 
 def test_npy_round_trip(spark, tmp_path):
@@ -326,3 +339,128 @@ def test_without_the_training_data_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert run.returncode == 0 and int(run.stdout.split()[0]) > 50, run.stderr
+
+
+def voltages(tmp_path, n=480, at=None, name="a.raw", nbits=8, channels=4, blocks=1, seed=11):
+    """A recording of noise with a dispersed impulse that leaves the highest frequency at a sample; (file, plan)."""
+    from skysift.operators.coherent import SearchPlan
+
+    plan = SearchPlan(f_min=400.0, f_max=416.0, t_sample=2.5e-7, channels=channels, subs=2, nbin=64, nfft=4, overlap=16, dms=(0.002,), threshold=9.0)
+    rng = np.random.default_rng(seed)
+    kind = {8: np.int8, 16: np.dtype("<i2")}[nbits]
+    out = b""
+    for _ in range(blocks):
+        data = np.clip(rng.normal(0, 6, (channels, n, 4)), -127, 127)
+        if at is not None:
+            for c in range(channels):
+                f = plan.f_min + (c + 0.5) * (plan.f_max - plan.f_min) / channels
+                lag = 4148.808 * 0.002 * (1 / f**2 - 1 / plan.f_max**2) / plan.t_sample
+                data[c, int(round(at + lag)) :][:2] = 90
+        cards = {"BACKEND": "'RAW'", "NBITS": nbits, "CHAN_BW": 4.0, "OBSFREQ": 408.0, "OBSNCHAN": channels, "OBSBW": 16.0, "BLOCSIZE": data.size * nbits // 8, "TELESCOP": "'GBT'", "NPOL": 4, "TBIN": plan.t_sample, "DIRECTIO": 0}
+        out += "".join(f"{k:<8}= {v}".ljust(80) for k, v in cards.items()).encode() + b"END".ljust(80) + np.round(data).astype(kind).tobytes()
+    (tmp_path / name).write_bytes(out)
+    return tmp_path / name, plan
+
+
+def strongest(found):
+    return max(found.collect(), key=lambda r: r.msnr)
+
+
+def test_a_pulse_at_a_chunk_edge_keeps_its_power_and_is_found_once(spark, tmp_path):
+    from skysift.operators import coherent
+
+    powers = []
+    # Chunks of 128 samples begin every 96; 60 lies within the first one, 100 to 124 where two meet.
+    for at in (60, 92, 100, 108, 116, 124):
+        path, plan = voltages(tmp_path, at=at)
+        found = coherent.search_recordings(raw.index(spark, str(path)), plan, once=True)
+        best = strongest(found)
+        near = [r for r in found.collect() if abs(r.mt - best.mt) <= 4 and r.msnr > 0.7 * best.msnr]
+        assert len(near) == 1 and abs(best.mt * plan.subs - at) < 45
+        powers.append(best.msnr)
+    assert min(powers) > 0.85 * max(powers)
+
+
+def test_recordings_are_searched_in_tasks_without_a_shuffle_of_samples(spark, tmp_path, monkeypatch):
+    from skysift.operators import coherent
+
+    path, plan = voltages(tmp_path, at=150, blocks=3)
+    voltages(tmp_path, name="b.raw", nbits=16, at=40)
+    opened = []
+    monkeypatch.setattr(raw, "open_file", lambda p: opened.append(p))
+    blocks = raw.index(spark, str(tmp_path))
+    assert not opened and blocks.count() == 4
+    found = coherent.search_recordings(blocks, plan)
+    assert {(r.file, r.block) for r in found.collect()} == {("a.raw", 0), ("a.raw", 1), ("a.raw", 2), ("b.raw", 0)}
+    physical = found._jdf.queryExecution().toString()
+    assert physical.count("Exchange hashpartitioning") == 2  # the same one in the first and the final plan
+    parts = coherent.search_recordings(blocks, replace_dms(plan, (0.001, 0.002, 0.003)), parts=2)
+    assert rows(parts) == rows(coherent.search_recordings(blocks, replace_dms(plan, (0.001, 0.002, 0.003))))
+
+
+def replace_dms(plan, dms):
+    from dataclasses import replace
+
+    return replace(plan, dms=dms)
+
+
+def test_stream_over_recordings_gives_the_batch_and_repeats_nothing(spark, tmp_path):
+    from skysift.operators import coherent
+
+    into, out = tmp_path / "in", tmp_path / "out"
+    into.mkdir()
+    path, plan = voltages(into, at=150, blocks=2)
+    whole = path.read_bytes()
+    path.write_bytes(whole[: len(whole) - 100])  # still growing: its second block is not whole
+    start = lambda: chunks.search_recordings_stream(spark, str(into), str(out), str(tmp_path / "cp"), plan).awaitTermination()
+    start()
+    assert {r.block for r in spark.read.parquet(str(out)).select("block").distinct().collect()} == {0}
+    first = {p: p.stat().st_mtime_ns for p in out.rglob("*.parquet")}
+    path.write_bytes(whole)
+    voltages(into, name="b.raw", at=40, seed=4)
+    start()
+    want = coherent.search_recordings(raw.index(spark, str(into)), plan)
+    names = want.columns
+    got = spark.read.schema(want.schema).parquet(str(out))
+    assert rows(got.select(names)) == rows(want) and len({r.file for r in want.collect()}) == 2
+    assert all(p.stat().st_mtime_ns == t for p, t in first.items())  # what was done was not done again
+    start()
+    assert rows(spark.read.schema(want.schema).parquet(str(out)).select(names)) == rows(want)
+
+
+def test_filters_reach_the_reader(spark, tmp_path):
+    path, plan = voltages(tmp_path, blocks=5)
+    raw.register(spark)
+    got = spark.read.format("raw_voltage").load(str(tmp_path)).where("block = 3 and chan >= 2")
+    assert got.rdd.getNumPartitions() == 1
+    assert "Filter" not in got._jdf.queryExecution().executedPlan().toString().replace("PushedFilters", "").replace("isnotnull", "") or got.count() == 2
+    assert rows(got.select("block", "chan")) == [(3, 2), (3, 3)]
+    assert spark.read.format("raw_voltage").load(str(tmp_path)).where("block > 7").count() == 0
+
+
+def test_headers_of_other_modes_and_depths_are_refused(tmp_path):
+    path, _ = voltages(tmp_path)
+    good = path.read_bytes()
+    for old, new in ((b"'RAW'", b"'PSR'"), (b"NBITS   = 8", b"NBITS   = 2")):
+        path.write_bytes(good.replace(old, new))
+        with pytest.raises(ValueError):
+            raw.plan_blocks(str(path))
+
+
+def test_four_planes_are_searched_like_one_recording(spark, tmp_path):
+    """The same samples, interleaved in one file and in four planes."""
+    from skysift.operators import coherent
+
+    path, plan = voltages(tmp_path, at=150)
+    data = np.frombuffer(path.read_bytes()[-4 * 480 * 4 :], np.int8).reshape(4, 480, 4)
+    planes = tmp_path / "planes"
+    planes.mkdir()
+    for i in range(4):
+        (planes / f"L1_S{i}_P0.raw").write_bytes(data[:, :, i].T.tobytes())
+    header = {"nbits": 8, "npol": 4, "nchan": 4, "chan_bw": 4.0, "cent_freq": 408.0, "obs_bw": 16.0, "block_size": data.size, "t_resolution": plan.t_sample}
+    block = files.plane_block(spark, str(planes / "L1_S0_P0.raw"), header)
+    one, four = (coherent.search_recordings(b, plan).drop("file") for b in (raw.index(spark, str(path)), block))
+    assert rows(one) and rows(one) == rows(four)
+    header["block_size"] *= 2
+    with pytest.raises(ValueError):
+        files.plane_block(spark, str(planes / "L1_S0_P0.raw"), header)
