@@ -1,10 +1,10 @@
 """Importance resampling towards a target's distribution of hashed n-grams.
 
-Each text is turned to numbers once: distinct words get numbers from a
-dictionary, an n-gram is the tuple of its words' numbers, and only distinct
-tuples are spelt out as bytes and hashed to a bucket.  The dictionary and the
-buckets of tuples live in the worker and are bounded; a full one starts afresh,
-which changes no result.  A task gives its counts of the buckets, so what is
+Texts are turned to numbers: distinct words get numbers from a dictionary, an
+n-gram is the tuple of its words' numbers, and only distinct tuples are hashed,
+as the bytes of their words and spaces, and their hashes joined back to all
+their places.  The dictionary lives in the worker and is bounded; a full one
+starts afresh, which changes no result.  A task gives its counts of the buckets, so what is
 shuffled and collected is one number for each bucket, whatever the corpus.
 
 Nulls and edges: a null or empty text has no features and weight 0; a null
@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from skysift.llm.common import checkpointed, free, written
 
 #: Words of lower-cased UTF-8: digits, letters and all bytes of other code points.
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
-#: Words and tuples that a worker remembers.
-WORDS, TUPLES = 500_000, 600_000
+#: Words that a worker remembers.
+WORDS = 500_000
 #: Bytes of text turned to numbers at once.
 AT_ONCE = 1 << 22
 #: Rows of a range of the order, about.
@@ -39,53 +40,80 @@ RANGE = 1_000_000
 
 
 class Dictionary(dict):
-    """Distinct words' numbers, and what a hash needs of each word."""
+    """Distinct words' numbers, and what a hash needs of each word: its crc32, that of a space and the word, and the bytes of both."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.words: list[bytes] = []
-        self.tuples: dict[tuple[int, ...], int] = {}
+        self.fresh: list[bytes] = []
+        self.bare = np.empty(0, np.uint32)
+        self.crc = np.empty(0, np.uint32)
+        self.size = np.empty(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.words)
-        self.words.append(word)
+        self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
-    def buckets(self, rows: np.ndarray, buckets: int) -> np.ndarray:
-        """The bucket of each row's tuple of numbers; a tuple that is known is not hashed again."""
-        out = np.empty(len(rows), np.int64)
-        if len(self.tuples) + len(rows) > TUPLES:
-            self.tuples.clear()
-        known, words = self.tuples, self.words
-        for i, t in enumerate(map(tuple, rows.tolist())):
-            if (b := known.get(t)) is None:
-                b = known[t] = zlib.crc32(b" ".join([words[j] for j in t])) % buckets
-            out[i] = b
-        return out
+    def restart(self) -> None:
+        self.clear()
+        self.__init__()
+
+    def learn(self) -> None:
+        """Hashes the words met since the last time, each once."""
+        if self.fresh:
+            self.bare = np.concatenate([self.bare, np.array([zlib.crc32(w) for w in self.fresh], np.uint32)])
+            self.crc = np.concatenate([self.crc, np.array([zlib.crc32(b" " + w) for w in self.fresh], np.uint32)])
+            self.size = np.concatenate([self.size, np.array([len(w) + 1 for w in self.fresh], np.int64)])
+            self.fresh = []
+
+
+@lru_cache(maxsize=256)
+def _tables(size: int) -> np.ndarray:
+    """What becomes of each byte of a checksum when so many bytes follow it: four tables of 256, one after the other."""
+    zeros = bytes(size)
+    none = zlib.crc32(zeros)
+    return np.array([zlib.crc32(zeros, b << shift) ^ none for shift in (0, 8, 16, 24) for b in range(256)], np.uint32)
+
+
+def tuple_hashes(rows: np.ndarray, seen: Dictionary) -> np.ndarray:
+    """crc32 of each tuple's words joined by spaces, from those of the words; rows: numbers of words.
+
+    A checksum with more bytes behind it is what it becomes after as many zeros,
+    exclusive-or the checksum of those bytes.
+    """
+    crc = seen.bare[rows[:, 0]]
+    for j in range(1, rows.shape[1]):
+        sizes, which = np.unique(seen.size[rows[:, j]], return_inverse=True)
+        table = np.concatenate([_tables(int(n)) for n in sizes])
+        at = which * 1024
+        moved = table[at + (crc & 255)]
+        for k, shift in ((256, 8), (512, 16), (768, 24)):
+            moved ^= table[at + k + (crc >> np.uint32(shift) & np.uint32(255))]
+        crc = moved ^ seen.crc[rows[:, j]]
+    return crc
 
 
 def features(texts: list[str | None], seen: Dictionary, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and text of every run of 1 to ``most`` words of the texts, with repeats, and each text's number of words."""
     if len(seen) > WORDS:
-        seen.clear()
-        seen.words.clear()
-        seen.tuples.clear()
+        seen.restart()
     cut = [_WORDS(t.encode().lower()) if t else [] for t in texts]
     sizes = np.array([len(c) for c in cut], np.int64)
-    number = seen.__getitem__
-    ids = np.fromiter((number(w) for c in cut for w in c), np.int64, int(sizes.sum()))
+    ids = np.fromiter(map(seen.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+    seen.learn()
     owner = np.repeat(np.arange(len(texts)), sizes)
     at, of, code = [], [], ids
     for n in range(1, min(most, len(ids)) + 1):
         if n > 1:
             # Distinct shorter tuples get small numbers again, so that a longer one is a pair of numbers.
             head = code[: len(ids) - n + 1] if n == 2 else np.unique(code[: len(ids) - n + 1], return_inverse=True)[1]
-            code = head * np.int64(len(seen.words)) + ids[n - 1 :]
+            code = head * np.int64(len(seen)) + ids[n - 1 :]
         places = np.flatnonzero(owner[: len(ids) - n + 1] == owner[n - 1 :])
         if len(places):
+            # Each distinct tuple is hashed once, and goes back to all its places.
             _, first, back = np.unique(code[places], return_index=True, return_inverse=True)
-            rows = ids[places[first][:, None] + np.arange(n)]
-            at.append(seen.buckets(rows, buckets)[back])
+            hashes = tuple_hashes(ids[places[first][:, None] + np.arange(n)], seen)
+            at.append((hashes % np.uint32(buckets)).astype(np.int64)[back])
             of.append(owner[places])
     if not at:
         return np.empty(0, np.int64), np.empty(0, np.int64), sizes
