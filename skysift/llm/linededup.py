@@ -7,7 +7,7 @@ them, and a hash that is in most documents is never one task's load: counts are
 taken by hash and document first, and joins send hot hashes to all tasks.
 
 Nulls and edges: a null or empty text is one empty line; a null doc_id is a
-document of its own id, smaller than all others; rows that repeat a doc_id are
+document of its own id, smaller than all others; rows that share a doc_id are
 one document when lines are counted, and each of them is returned; an empty
 table gives no row; other columns stay as they are, whatever their names.
 """
@@ -31,10 +31,10 @@ def line_key(line: Column) -> Column:
 
 
 def long_lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(who, at, h, g): each line of at least so many code points, its number, and 128 bits of hash of its normal form."""
-    lines = docs.select(F.col(key).alias("who"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("at", "line"))
+    """(who, of, at, h, g): each line of at least so many code points, its text's hash, its number, and 128 bits of hash of its normal form."""
+    lines = docs.select(F.col(key).alias("who"), F.xxhash64(text).alias("of"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("at", "line"))
     lines = lines.where(F.char_length("line") >= least).withColumn("bare", line_key(F.col("line"))).where(F.char_length("bare") >= least)
-    return lines.select("who", "at", F.xxhash64("bare").alias("h"), F.xxhash64(F.lit(1), "bare").alias("g"))
+    return lines.select("who", "of", "at", F.xxhash64("bare").alias("h"), F.xxhash64(F.lit(1), "bare").alias("g"))
 
 
 def frequent(lines: DataFrame, documents: int) -> DataFrame:
@@ -71,12 +71,12 @@ def deduplicated(docs: DataFrame, least: int = 40, documents: int = 5, key: str
     lines = long_lines(docs, key, text, least)
     shared = written(frequent(lines, documents), "lines")
     found = _matched(lines, shared, most).where(~F.col("who").eqNullSafe(F.col("holder")))
-    drops = found.groupBy("who").agg(F.collect_set("at").alias("drops"))
-    who, gone, cut, n, lost = (free(docs, x) for x in ("_who", "_drops", "_lines", "n_lines", "n_dropped"))
-    drops = drops.select(F.col("who").alias(who), F.col("drops").alias(gone))
-    split = docs.withColumn(cut, F.split(F.coalesce(text, F.lit("")), "\n", -1))
-    both = split.join(drops, F.col(key).eqNullSafe(F.col(who)), "left")
+    drops = found.groupBy("who", "of").agg(F.collect_set("at").alias("drops"))  # line numbers of one text
+    who, of, own, gone, cut, n, lost = (free(docs, x) for x in ("_who", "_of", "_own", "_drops", "_lines", "n_lines", "n_dropped"))
+    drops = drops.select(F.col("who").alias(who), F.col("of").alias(of), F.col("drops").alias(gone))
+    split = docs.withColumns({own: F.xxhash64(text), cut: F.split(F.coalesce(text, F.lit("")), "\n", -1)})
+    both = split.join(drops, F.col(key).eqNullSafe(F.col(who)) & (F.col(own) == F.col(of)), "left")
     places = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))
     kept = F.when(F.col(gone).isNull(), F.col(cut)).otherwise(F.transform(places, lambda i: F.col(cut)[i]))
     out = both.withColumns({n: F.size(cut).cast("long"), lost: F.coalesce(F.size(gone), F.lit(0)).cast("long"), text: F.array_join(kept, "\n")})
-    return out.drop(who, gone, cut)
+    return out.drop(who, of, own, gone, cut)
