@@ -18,6 +18,8 @@ from skysift.llm.common import free, lowered, small, written
 
 #: Words of a shingle, fewer only for items of fewer words.
 SHINGLE = 5
+#: A document finds its own row under one of so many marks, which no word has in it, so that no mark has many rows.
+MARK, MARKS = "\x01", 1024
 #: Shingles of the windows are broadcast up to this many rows (some 50 bytes each); beyond it the lookup is a shuffled join.
 BROADCAST_SHINGLES = 400_000
 
@@ -50,8 +52,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
     sizes = sorted(r.k for r in distinct.select("k").distinct().collect())  # at most SHINGLE numbers
     parts = distinct.withColumn("w", F.split("window", " "))
     pairs = parts.select("window", "n", F.posexplode(F.expr(f"transform(sequence(1, n - k + 1), i -> array_join(slice(w, i, k), ' '))")).alias("offset", "shingle"))
-    wanted = pairs.select("shingle").distinct().union(docs.sparkSession.sql("select '' as shingle"))  # the empty one finds each document's own row
-    of = F.concat(F.array(F.lit("")), *[F.expr(_shingles("w", k)) for k in sizes])
+    marks = docs.sparkSession.range(MARKS).select(F.concat(F.lit(MARK), "id").alias("shingle"))
+    wanted = pairs.select("shingle").distinct().union(marks)
+    mark = F.concat(F.lit(MARK), F.pmod(F.xxhash64("_row"), F.lit(MARKS)).cast("string"))
+    of = F.concat(F.array(mark), *[F.expr(_shingles("w", k)) for k in sizes])
     if len(sizes) > 1:
         # Places begin anew with each length of shingles.
         place = F.flatten(F.array(F.array(F.lit(0)), *[F.expr(f"if(size(w) < {k}, cast(array() as array<int>), sequence(1, size(w) - {k} + 1))") for k in sizes]))
@@ -64,12 +68,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
     split = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *keep, words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
     found = written(split.select(*ids, each).select(*ids, *take).join(small(wanted, BROADCAST_SHINGLES), "shingle"), "shingles")
 
-    own = found.where("shingle = ''").select(*ids)
-    at = found.where("shingle <> ''").select("_row", "n_words", "at", "shingle")
+    marked = F.col("shingle").startswith(MARK)
+    own = found.where(marked).select(*ids)
+    at = found.where(~marked).select("_row", "n_words", "at", "shingle")
     often = at.groupBy("shingle").agg(F.count("*").alias("often"))
     rank = Window.partitionBy("window").orderBy("often", "shingle", "offset")
-    prefix = pairs.join(often, "shingle").withColumn("r", F.row_number().over(rank)).where("r = 1").select("window", "n", "offset", "shingle")
-    candidates = at.join(prefix, "shingle").withColumn("start", F.col("at") - F.col("offset")).where("start >= 1 and start + n - 1 <= n_words").select("_row", "window", "n", "start")
+    prefix = written(pairs.join(often, "shingle").withColumn("r", F.row_number().over(rank)).where("r = 1").select("window", "n", "offset", "shingle"), "prefix")
+    candidates = at.join(small(prefix, BROADCAST_SHINGLES), "shingle").withColumn("start", F.col("at") - F.col("offset")).where("start >= 1 and start + n - 1 <= n_words").select("_row", "window", "n", "start")
     spots = at.select("_row", "at", "shingle")
     # Shingles side by side, the last one moved back to end with the window.
     cover = range(-(-window // SHINGLE))
