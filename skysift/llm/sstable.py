@@ -41,6 +41,8 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 ENTRY = struct.Struct("<QIQI")
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS, BLOOM_PROBES = 10, 7
+#: Bytes of text that a shard is made for, at most on average.
+SHARD_BYTES = 256 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -74,10 +76,16 @@ def _read_varint(buf: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & (1 << 64) - 1, h >> 64 | 1
-    return [(a + i * b) % bits for i in range(BLOOM_PROBES)]
+def _digest(key: bytes) -> bytes:
+    """Start and step of a key's probes."""
+    return xxhash.xxh3_128_digest(key)
+
+
+def _probes(digests: bytes | bytearray, bits: int) -> np.ndarray:
+    """(probe, key) places of keys in a filter of so many bits."""
+    pair = np.frombuffer(digests, ">u8").reshape(-1, 2)
+    start, step = (pair[:, 1] % bits).astype(np.int64), ((pair[:, 0] | np.uint64(1)) % np.uint64(bits)).astype(np.int64)
+    return np.array([(start + i * step) % bits for i in range(BLOOM_PROBES)])
 
 
 class ShardWriter:
@@ -87,11 +95,11 @@ class ShardWriter:
         self.out, self.id_bytes, self.block_bytes = out, id_bytes, block_bytes
         self.block, self.in_block, self.last, self.first = bytearray(), 0, b"", b""
         self.index, self.offset, self.docs, self.tokens, self.block_token = bytearray(), 0, 0, 0, 0
-        self.hashes: list[bytes] = []
+        self.digests = bytearray()  # 16 bytes for each key
 
     def add(self, key: bytes, ids: bytes) -> None:
         """ids: as little-endian unsigned 32-bit bytes."""
-        if self.hashes and key < self.last:
+        if self.docs and key < self.last:
             raise ValueError("keys must ascend")
         value = ids
         if self.id_bytes == 2:
@@ -111,7 +119,7 @@ class ShardWriter:
         self.last = key
         self.docs += 1
         self.tokens += len(ids) // 4
-        self.hashes.append(key)
+        self.digests += _digest(key)
         if len(self.block) >= self.block_bytes:
             self._flush()
 
@@ -125,10 +133,10 @@ class ShardWriter:
     def close(self) -> None:
         self._flush()
         bits = max(64, -(-BLOOM_BITS * self.docs // 8) * 8)
-        bloom = bytearray(bits // 8)
-        for key in self.hashes:
-            for p in _probes(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        on = np.zeros(bits, bool)
+        for places in _probes(self.digests, bits):
+            on[places] = True
+        bloom = np.packbits(on, bitorder="little").tobytes()
         index = bytes(self.index)
         self.out.write(index + bloom)
         self.out.write(FOOTER.pack(self.offset, len(index), self.offset + len(index), len(bloom), self.docs, self.tokens, self.id_bytes, zlib.crc32(index + bloom), MAGIC))
@@ -177,7 +185,7 @@ class Shard:
 
     def may_have(self, key: bytes) -> bool:
         bits = 8 * len(self.bloom)
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, bits))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(_digest(key), bits).ravel().tolist())
 
     def get(self, key: bytes) -> list[bytes]:
         """The ids of every document with the key, in file order."""
@@ -201,7 +209,9 @@ def write_shards(docs: DataFrame, out_uri: str, vocab: str, end_id: int, shards:
 
     Texts are dealt by ranges of (doc_id, hash of text) before they are encoded,
     so each is encoded once, by the task that writes its shard; a key that holds
-    many rows is split between shards.  A shard gets its name only when it is
+    many rows is split between shards.  Their number is that of the shuffle's
+    partitions, or more if they would hold over ``SHARD_BYTES`` of text each.  A
+    shard gets its name only when it is
     complete, so tasks may be repeated.  Ids take two bytes if all of the
     vocabulary's fit, else four.  Null doc_ids come first; a null text is
     empty; repeated doc_ids are kept, by hash of text.  Other columns don't
@@ -210,7 +220,10 @@ def write_shards(docs: DataFrame, out_uri: str, vocab: str, end_id: int, shards:
     Returns one row per shard: path, docs, tokens, start (tokens in the shards before it).
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    n = shards
     dealt = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").repartitionByRange(n, F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h")
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
