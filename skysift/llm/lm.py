@@ -177,10 +177,11 @@ class Remembering:
 
 
 def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted keys."""
-    shift = 64 - int(math.log2(buckets))
-    at = np.searchsorted(keys, np.array([b << shift for b in range(buckets)], np.uint64)).tolist() + [len(keys)]
-    return ((b, at[b], at[b + 1]) for b in range(buckets) if at[b] < at[b + 1])
+    """(bucket, from, to) of sorted keys, for the buckets that have any."""
+    bits = int(math.log2(buckets))
+    own = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    at = np.flatnonzero(np.diff(own, prepend=-1))
+    return zip(own[at].tolist(), at.tolist(), np.append(at[1:], len(keys)).tolist(), strict=True)
 
 
 def ended(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
