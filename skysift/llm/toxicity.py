@@ -227,7 +227,12 @@ def counted(docs: DataFrame, labels: DataFrame, folds: int, model: Model, seen:
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int) -> list:
-    """Labelled texts to learn from: of each class up to SAMPLE / 2 by the hash of their id, none from fold 0."""
+    """Labelled texts to learn from: of each class up to SAMPLE / 2 by the hash of their id, none from fold 0.
+
+    They are the first SAMPLE / 2 that together have at most SAMPLE_BYTES / 2: a
+    text for which there is no room is passed over, and the next ones are tried,
+    up to SAMPLE in all.
+    """
     marks = marked(labels)
     texts = docs.where(F.col("text").isNotNull()).where(crc_mod(F.col("doc_id"), folds) != 0)
     texts = texts.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("h"))
@@ -236,12 +241,11 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int) -> list:
     ids = ids.groupBy("doc_id", "h").agg(F.max("_toxic").alias("_toxic"), F.max("size").alias("size")).withColumn("o", F.xxhash64("doc_id", "h"))
     take = []
     for t in (0, 1):
-        room = SAMPLE_BYTES // 2
-        for r in ids.where(F.col("_toxic") == t).orderBy("o", "doc_id").limit(SAMPLE // 2).collect():
-            room -= r["size"]
-            if room < 0:
-                break
-            take.append((r.doc_id, r.h, r["_toxic"], r.o))
+        room, left = SAMPLE_BYTES // 2, SAMPLE // 2
+        for r in ids.where(F.col("_toxic") == t).orderBy("o", "doc_id").limit(SAMPLE).collect():
+            if left and r["size"] <= room:
+                room, left = room - r["size"], left - 1
+                take.append((r.doc_id, r.h, r["_toxic"], r.o))
     chosen = docs.sparkSession.createDataFrame(take, "_id long, _h long, _toxic int, o long")  # SAMPLE rows
     rows = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
     rows = rows.groupBy("o", "doc_id", "_toxic").agg(F.min(F.struct("text", "lang")).alias("t")).select("o", "doc_id", "_toxic", "t.text", "t.lang").collect()
