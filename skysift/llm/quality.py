@@ -137,12 +137,17 @@ def choose(tested: list[tuple[int, int]], total: int, risk: float, level: float)
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> dict[tuple[str, str], float]:
-    """Cutoffs by (stratum, rule) from all labelled documents that pass the plain rule."""
+    """Cutoffs by (stratum, rule) from all labelled documents that pass the plain rule.
+
+    Rows that repeat a document's id and measures are one document: the bounds
+    are of independent ones.
+    """
     marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_good")).withColumnRenamed("doc_id", "_id")
     held = measured.where(~base_failed()).join(marks, F.col("doc_id") == F.col("_id"))
     grid = ", ".join(f"{c}D" for c in CUTOFFS)
     bins = {name: F.expr(f"size(filter(array({grid}), c -> {value} <= c))") for name, value in RULES.items()}
-    held = written(held.select(F.coalesce(stratum, F.lit("")).alias("s"), "_good", crc_mod(F.col("doc_id"), 2).alias("half"), *[b.alias(f"b_{n}") for n, b in bins.items()]), "held")
+    held = held.select("doc_id", F.coalesce(stratum, F.lit("")).alias("s"), "_good", crc_mod(F.col("doc_id"), 2).alias("half"), *[b.alias(f"b_{n}") for n, b in bins.items()])
+    held = written(held.distinct().drop("doc_id"), "held")
     both = [F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")]
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"b_{n}").alias("bin")) for n in RULES]))
     counts: dict[str, dict[str, list[tuple[int, int, int]]]] = {}
