@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         root = f"file://{tempfile.mkdtemp(prefix='skysift-')}"
         sc.setCheckpointDir(root)
     jvm = sc._jvm
