@@ -12,7 +12,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the session names and all executors see; one of its own only where none is named, as in tests on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='skysift-')}")
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(root or f"file://{tempfile.mkdtemp(prefix='skysift-')}")
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 

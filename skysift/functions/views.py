@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHANNELS, HOURS = 32, 720
+CHANNELS = 32
 
 
-def waterfall(spark: SparkSession, sf_dir: str, channels: int = CHANNELS, hours: int = HOURS) -> DataFrame:
-    """(chan, t, x): events summed by channel and hour on a dense grid, 0 where nothing is.
+def waterfall(spark: SparkSession, sf_dir: str, channels: int = CHANNELS, multiple: int = 1) -> DataFrame:
+    """(chan, t, x): events summed by channel and hour on a dense grid from the first hour to the last, 0 where nothing is.
 
-    Sums are of whole numbers, so they do not depend on the order of the rows.
+    The grid may go on to a multiple of so many hours.  Sums are of whole numbers,
+    so they do not depend on the order of the rows.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / 3600000000).cast("long")
-    sums = events.groupBy((F.col("user_id") % channels).alias("chan"), hour.alias("t")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).cast("double").alias("x"))
-    grid = spark.range(channels * hours).select((F.col("id") / hours).cast("long").alias("chan"), (F.col("id") % hours).alias("t"))
-    return grid.join(sums, ["chan", "t"], "left").select("chan", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).cast("long")
+    sums = events.groupBy((F.col("user_id") % channels).alias("chan"), hour.alias("hour")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).cast("double").alias("x"))
+    ends = sums.agg(F.min("hour").alias("first"), F.max("hour").alias("last"))  # one row
+    grid = spark.range(channels).crossJoin(F.broadcast(ends)).select(F.col("id").alias("chan"), "first", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("last") - F.col("first") + 1) / multiple).cast("long") * multiple - 1)).alias("t"))
+    return grid.join(sums.withColumnRenamed("chan", "_chan"), (F.col("chan") == F.col("_chan")) & (F.col("t") + F.col("first") == F.col("hour")), "left").select("chan", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
+def hours(w: DataFrame) -> int:
+    """Samples of a waterfall's rows."""
+    last = w.agg(F.max("t")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,12 +48,12 @@ def rolled_power(df: DataFrame, nbin: int) -> DataFrame:
     return power(half, ["fft", "chan", "bin"]).withColumn("x", F.col("x") / float(nbin * nbin))
 
 
-def unpad_transpose(df: DataFrame, mbin: int, overlap: int, subs: int, channels: int, value: str) -> DataFrame:
-    """(fft, sub, chan, bin, value) without the overlap, frequencies reversed, as (row, t, value)."""
+def unpad_transpose(df: DataFrame, mbin: int, overlap: int, subs: int, channels: int, *values: str) -> DataFrame:
+    """(fft, sub, chan, bin, values) without the overlap, frequencies reversed, as (row, t, values); complex samples are two values."""
     kept = mbin - 2 * overlap
     row = F.col("sub") * channels + channels - 1 - F.col("chan")
     inner = df.where((F.col("bin") >= overlap) & (F.col("bin") < mbin - overlap)).withColumn("sub", subs - 1 - F.col("sub"))
-    return inner.select(row.alias("row"), (F.col("bin") - overlap + kept * F.col("fft")).alias("t"), value)
+    return inner.select(row.alias("row"), (F.col("bin") - overlap + kept * F.col("fft")).alias("t"), *values)
 
 
 def transpose(df: DataFrame, row: str, column: str) -> DataFrame:

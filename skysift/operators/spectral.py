@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -43,26 +43,28 @@ def transformed(df: DataFrame, keys: list[str], index: str, inverse: bool = Fals
     return z.select(*keys, F.posexplode(F.arrays_zip(F.col("z.re").alias("re"), F.col("z.im").alias("im"))).alias(index, "p")).select(*keys, F.col(index).cast("long").alias(index), "p.re", "p.im")
 
 
-def subchannel_frequencies(spark: SparkSession, channels: int, subs: int, f_min: float, bandwidth: float) -> DataFrame:
-    """(chan, sub, f): centres of sub-channels."""
-    bw = bandwidth / channels
-    grid = spark.range(channels * subs).select((F.col("id") / subs).cast("long").alias("chan"), (F.col("id") % subs).alias("sub"))
-    return grid.withColumn("f", F.lit(f_min) + F.lit(bw) * (0.5 + F.col("chan")) + F.lit(bw / subs) * (F.col("sub") - F.lit(subs / 2) + 0.5))
+def subchannel_frequencies(bands: DataFrame, channels: int, subs: int) -> DataFrame:
+    """(bands, chan, sub, f): centres of the sub-channels of each band; bands: f_min, bandwidth and any others."""
+    bw = F.col("bandwidth") / channels
+    chan, sub = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(channels - 1).cast("long"))), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(subs - 1).cast("long")))
+    grid = bands.withColumn("chan", chan).withColumn("sub", sub)
+    return grid.withColumn("f", F.col("f_min") + bw * (0.5 + F.col("chan")) + bw / subs * (F.col("sub") - F.lit(subs / 2) + 0.5))
 
 
-def taper(spark: SparkSession, mbin: int, bw: float) -> DataFrame:
-    """(bin, f, taper): offsets of bins from the centre of a band and the filter that damps its edges."""
-    f = F.lit(-bw / 2) + (F.col("id") + 0.5) * F.lit(bw) / F.lit(float(mbin))
-    return spark.range(mbin).select(F.col("id").alias("bin"), f.alias("f")).withColumn("taper", 1 / F.sqrt(1 + F.pow(F.col("f") / F.lit(0.47 * bw), F.lit(80.0))))
+def taper(bands: DataFrame, mbin: int, bw: Column) -> DataFrame:
+    """(bands, bin, f, taper): offsets of bins from the centre of a sub-channel as wide as bw, and the filter that damps its edges."""
+    f = -bw / 2 + (F.col("bin") + 0.5) * bw / F.lit(float(mbin))
+    grid = bands.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mbin - 1).cast("long"))))
+    return grid.withColumn("f", f).withColumn("taper", 1 / F.sqrt(1 + F.pow(F.col("f") / (F.lit(0.47) * bw), F.lit(80.0))))
 
 
-def chirp(spark: SparkSession, channels: int, subs: int, mbin: int, f_min: float, bandwidth: float, dm: float) -> DataFrame:
-    """(chan, sub, bin, re, im): the filter that undoes dispersion; phases are reduced to a turn before the trigonometry."""
-    centres = subchannel_frequencies(spark, channels, subs, f_min, bandwidth).withColumnRenamed("f", "fc")
-    grid = centres.crossJoin(F.broadcast(taper(spark, mbin, bandwidth / channels / subs)))
-    phase = F.lit(dm) * (F.col("f") / F.col("fc")) * (F.col("f") / F.col("fc")) / (F.col("fc") + F.col("f")) * F.lit(K_CHIRP)
+def chirp(bands: DataFrame, channels: int, subs: int, mbin: int) -> DataFrame:
+    """(bands, chan, sub, bin, re, im): the filter that undoes the dispersion of each band's dm; phases are reduced to a turn before the trigonometry."""
+    centres = subchannel_frequencies(bands, channels, subs).withColumnRenamed("f", "fc")
+    grid = taper(centres, mbin, F.col("bandwidth") / channels / subs)
+    phase = F.col("dm") * (F.col("f") / F.col("fc")) * (F.col("f") / F.col("fc")) / (F.col("fc") + F.col("f")) * F.lit(K_CHIRP)
     turn = (phase - F.floor(phase)) * F.lit(2 * np.pi)
-    return grid.select("chan", "sub", "bin", (F.cos(turn) * F.col("taper")).alias("re"), (-F.sin(turn) * F.col("taper")).alias("im"))
+    return grid.withColumns({"re": F.cos(turn) * F.col("taper"), "im": -F.sin(turn) * F.col("taper")}).drop("fc", "f", "taper")
 
 
 def multiply(spectrum: DataFrame, by: DataFrame, on: list[str]) -> DataFrame:

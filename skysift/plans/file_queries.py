@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 from skysift.functions.lineage import scratch
 from skysift.functions.views import matrix
 from skysift.operators import cluster, coherent, frame
-from skysift.plans import grids
-from skysift.plans.queries import BANDS, DT_MAX, F_MAX, F_MIN, SEARCH, T_SAMPLE, _cand, _r, _reports, query
-from skysift.sources import files, raw
+from skysift.plans import columns
+from skysift.plans.queries import DT_MAX, SEARCH, _cand, _r, _reports, observations, query
+from skysift.sources import arrays, files, raw, sinks
 
 #: Rows of a block's channel, and blocks of a recording.
 EACH, BLOCKS = 2, 5
 #: Rows of a channel in a block that holds several chunks, and the search of these; the last chunk ends with the block.
 LONG, CHUNKED = 10, replace(SEARCH, nfft=4)
-#: Parameters of the scalar plans: longest dispersion measure, lowest and highest frequency, channel width, sample time, pulse.
-CASES = [(50.0, 100.0, 120.0, 0.2, 5e-6, 1.1e-4), (600.0, 1000.0, 1500.0, 0.5, 1e-6, 2.3e-5), (30.0, 400.0, 800.0, 0.39, 2.56e-6, 7e-4)]
 
 
 def _bytes(spark: SparkSession, d: str) -> DataFrame:
@@ -171,14 +169,54 @@ def candidate_log(spark, d):
 
 @query
 def scalar_plans(spark, d):
-    rows = []
-    for i, (dm, lo, hi, bw, t, pulse) in enumerate(CASES):
-        rows.append((i, grids.optimal_overlap(dm, lo, bw, 1, t), grids.coherent_count(dm, lo, hi, t, pulse), grids.sub_channels(pulse, t), grids.max_dt(lo, hi, pulse, dm)))
-    return spark.createDataFrame(rows, "i long, overlap long, trials long, subs long, max_dt long")
+    """Overlap, trials, sub-channels and rows of the transform for each observation."""
+    dm, lo, hi, bw, t, pulse = (F.col(c) for c in ("dm", "f_min", "f_max", "chan_bw", "t_sample", "pulse"))
+    n = {"overlap": columns.optimal_overlap(dm, lo, bw, F.lit(1), t), "trials": columns.coherent_count(dm, lo, hi, t, pulse), "subs": columns.sub_channels(pulse, t), "max_dt": columns.max_dt(lo, hi, pulse, dm)}
+    return observations(spark, d).select("obs", *[c.alias(k) for k, c in n.items()])
 
 
 @query
 def final_measures(spark, d):
-    values = grids.delay_measures(grids.rounding_plan(BANDS, F_MIN, F_MAX, DT_MAX)[2], F_MIN, F_MAX, T_SAMPLE)
-    return _r(spark.createDataFrame(list(enumerate(values)), "i long, dm double"), "dm")
+    rows = observations(spark, d).withColumn("dt", F.col("obs") % DT_MAX)
+    return _r(columns.delay_measures(rows, "f_min", "f_max", "t_sample", "dt").select("obs", "i", "dm"), "dm")
 
+
+@query
+def array_ranges(spark, d):
+    """Arrays ordered by rows and by columns, each read in many ranges."""
+    m = matrix(spark, d).withColumn("g", F.pmod(F.col("r"), F.lit(2)))
+    out = scratch(spark, "arrays")
+    for g, order in ((0, ["row", "c"]), (1, ["c", "row"])):
+        rows = m.where(F.col("g") == g).withColumn("row", (F.col("r") / 2).cast("long"))
+        n = rows.agg(F.max("row")).first()[0] + 1
+        files.write_array(rows.select(*order, "x"), order, f"{out}/{'rc'[g]}.npy", (n, 64), by_columns=g == 1)
+    got = arrays.read_matrix(spark, out, each=700)
+    return got.select((F.col("r") * 2 + F.when(F.col("path").endswith("c.npy"), 1).otherwise(0)).alias("r"), "c", "x")
+
+
+@query
+def float_dump(spark, d):
+    """A dump of 32-bit floats, read in ranges."""
+    out = scratch(spark, "dump")
+    files.write_array(matrix(spark, d), ["r", "c"], f"{out}/x.bin", None)
+    return arrays.read_dump(spark, out, each=1000).select("i", "x")
+
+
+@query
+def chunk_logs(spark, d):
+    """Delegates of every chunk as logs, one for each, written as a whole and read back."""
+    sinks.register(spark)
+    found = cluster.ranked(_cand(spark, d)).select(F.col("mdt").alias("block"), (F.col("mt") / 100).cast("long").alias("chunk"), "n", "mt", "mdt", "mwidth", "msnr", F.lit(1).alias("num"))
+    out = scratch(spark, "logs")
+    sinks.log_lines(found, files.delegate_line(0.0, 0.001), ["n"]).write.format("chunk_logs").mode("append").save(out)
+    lines = spark.read.text(out).withColumn("name", F.regexp_replace(F.input_file_name(), "%20", " "))
+    part = lambda i: F.regexp_extract("name", "output_([0-9]+)_ ([0-9]+)[.]log", i).cast("long")
+    return lines.select(part(1).alias("block"), part(2).alias("chunk"), F.col("value").alias("line"))
+
+
+@query
+def image_files(spark, d):
+    """Levels of an image, written as pictures of tiles and read back."""
+    out = scratch(spark, "images")
+    sinks.write_images(frame.image_levels(matrix(spark, d)), out, side=60)
+    return sinks.read_images(spark, out)

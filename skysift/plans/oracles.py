@@ -5,8 +5,9 @@ from __future__ import annotations
 from skysift.plans import file_queries as fq
 from skysift.plans import queries as q
 
-W = """W AS (SELECT g.chan, g.t, coalesce(e.x, 0.0) AS x FROM (SELECT c.chan, h.t FROM range(32) c(chan) CROSS JOIN range(720) h(t)) g
-LEFT JOIN (SELECT user_id % 32 AS chan, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000000.0) AS BIGINT) AS t, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS x FROM events GROUP BY 1, 2) e ON e.chan = g.chan AND e.t = g.t)"""
+W = """HR AS (SELECT user_id % 32 AS chan, CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) AS h, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS x FROM events GROUP BY 1, 2),
+HE AS (SELECT min(h) AS first, max(h) - min(h) + 1 AS n FROM HR),
+W AS (SELECT c.chan, g.t, coalesce(e.x, 0.0) AS x FROM range(32) c(chan) CROSS JOIN (SELECT unnest(range(n)) AS t, first FROM HE) g LEFT JOIN HR e ON e.chan = c.chan AND e.h = g.t + g.first)"""
 RS = """RS AS (SELECT chan, s / n AS mean, qq / n - (s / n) * (s / n) AS var FROM (SELECT chan, count(*) AS n, sum(x) AS s, sum(x * x) AS qq FROM W GROUP BY chan) i)"""
 G = """G AS (SELECT avg(mean) AS g_mean, sqrt(avg(var + mean * mean) - avg(mean) * avg(mean)) AS g_std, avg(var) AS mean_var, stddev_pop(var) AS std_var FROM RS)"""
 Z = """Z AS (SELECT W.chan, W.t, CASE WHEN abs(var - mean_var) > 4.0 * std_var THEN 0.0 ELSE (x - g_mean) / g_std END AS x, CASE WHEN abs(var - mean_var) > 4.0 * std_var THEN 0.0 ELSE 1.0 END AS mask FROM W JOIN RS ON W.chan = RS.chan CROSS JOIN G)"""
@@ -133,17 +134,20 @@ def _recorded() -> dict[str, str]:
     }
 
 
-def _chirp(subs: int, channels: int = 2) -> str:
-    bw = q.CHAN_BW
-    fb = f"(-{bw / subs} / 2 + (b.bin + 0.5) * {bw / subs} / {q.MBIN}.0)"
-    fc = f"({q.F_MIN} + {bw} * (0.5 + c.chan) + {bw / subs} * (s.sub - {subs / 2} + 0.5))"
-    phase = f"({q.DM} * ({fb} / {fc}) * ({fb} / {fc}) / ({fc} + {fb}) * 4.148808e9)"
+def _chirp(subs: int, channels: int = 2, bands: str = f"SELECT 0 AS obs, {q.F_MIN}::DOUBLE AS f_min, {2 * q.CHAN_BW}::DOUBLE AS bandwidth, {q.DM}::DOUBLE AS dm") -> str:
+    bw = f"(o.bandwidth / {channels})"
+    fb = f"(-({bw} / {subs}) / 2 + (b.bin + 0.5::DOUBLE) * ({bw} / {subs}) / {q.MBIN}.0::DOUBLE)"
+    fc = f"(o.f_min + {bw} * (0.5::DOUBLE + c.chan) + {bw} / {subs} * (s.sub - {subs / 2}::DOUBLE + 0.5::DOUBLE))"
+    phase = f"(o.dm * ({fb} / {fc}) * ({fb} / {fc}) / ({fc} + {fb}) * 4.148808e9::DOUBLE)"
     return (
-        f"H AS (SELECT chan, sub, bin, cos(turn) * taper AS re, -sin(turn) * taper AS im FROM (SELECT c.chan, s.sub, b.bin, ({phase} - floor({phase})) * {2 * 3.141592653589793} AS turn, "
-        f"1 / sqrt(1 + pow({fb} / {0.47 * bw / subs}, 80.0)) AS taper FROM range({channels}) c(chan) CROSS JOIN range({subs}) s(sub) CROSS JOIN range({q.MBIN}) b(bin)) i)"
+        f"H AS (SELECT obs, chan, sub, bin, cos(turn) * taper AS re, -sin(turn) * taper AS im FROM (SELECT o.obs, c.chan, s.sub, b.bin, ({phase} - floor({phase})) * {2 * 3.141592653589793} AS turn, "
+        f"1 / sqrt(1 + pow({fb} / (0.47::DOUBLE * ({bw} / {subs})), 80.0::DOUBLE)) AS taper FROM ({bands}) o CROSS JOIN range({channels}) c(chan) CROSS JOIN range({subs}) s(sub) CROSS JOIN range({q.MBIN}) b(bin)) i)"
     )
 
 
+OBS = "SELECT *, f_min + bandwidth AS f_max FROM (SELECT s_suppkey AS obs, 20.0::DOUBLE + s_suppkey % 600 AS dm, 400.0::DOUBLE + s_suppkey % 1000 AS f_min, 8.0::DOUBLE * (1 + s_suppkey % 16) AS bandwidth, 0.25::DOUBLE * (1 + s_suppkey % 5) AS chan_bw, 1e-6::DOUBLE * (1 + s_suppkey % 7) AS t_sample, 1e-4::DOUBLE * (1 + s_suppkey % 9) AS pulse FROM supplier) o"
+
+
 def _dft(sign: str, scale: str, digits: int) -> str:
     # The angle uses the product modulo 64, which keeps it small.
     angle = "2 * pi() * ((k.k * E.c) % 64) / 64.0"
@@ -154,10 +158,6 @@ def _files(z: str) -> dict[str, str]:
     v = "V AS (SELECT r, c, CAST(((CAST(x AS BIGINT) % 256) + 256) % 256 - 128 AS DOUBLE) AS v FROM E)"
     cells = f"{E}, {v}, M AS (SELECT r // 4 AS block, (r // 2) % 2 AS chan, (r % 2) * 64 + c AS pl, v FROM V), N AS (SELECT block, chan, CAST((pl // 2) % 2 AS INTEGER) AS pol, pl // 4 AS isamp, sum(CASE WHEN pl % 2 = 0 THEN v END) AS re, sum(CASE WHEN pl % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3, 4)"
     frames = "coalesce(n.re, 0.0) AS re, coalesce(n.im, 0.0) AS im"
-    rows = ", ".join(f"({i}, {', '.join(map(str, c))})" for i, c in enumerate(fq.CASES))
-    lag = "(1 / (lo * lo) - 1 / (hi * hi))"
-    tel = "(1e-6 / (hi - lo))"
-    ratio = f"((4148.8 * dm * {lag} / {tel}) / ((pulse / {tel}) * (pulse / {tel})))"
     return {
         "raw_headers": "SELECT b.block, c.chan, CAST(8 AS INTEGER) AS nbits, CAST(4 AS INTEGER) AS npol, CAST(2 AS INTEGER) AS nchan, CAST(0.5 AS DOUBLE) AS chan_bw, CAST(1400 AS DOUBLE) AS obs_freq, 'GBT' AS telescope, CAST(128 AS INTEGER) AS bytes FROM (SELECT DISTINCT vec_id // 4 AS block FROM embeddings) b CROSS JOIN range(2) c(chan)",
         "raw_samples": f"WITH {cells} SELECT * FROM N",
@@ -167,8 +167,12 @@ def _files(z: str) -> dict[str, str]:
         "npy_round_trip": f"WITH {E} SELECT r, c, x FROM E",
         "report_file": "SELECT o_orderkey % 7 AS block, o_custkey AS chunk, CAST(256 AS BIGINT) AS rows, CAST(4096 AS BIGINT) AS cols, o_orderkey % 256 AS suc_row, o_custkey % 4096 AS suc_col, CAST(30.5 AS DOUBLE) AS coh_disp, o_orderkey % 9 AS wind_width FROM orders",
         "candidate_log": f"{z}, {cand(q.WIDTHS)}, N AS (SELECT *, row_number() OVER (ORDER BY mt, mdt, mwidth) AS n FROM C) SELECT lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') AS line FROM N",
-        "scalar_plans": f"WITH p(i, dm, lo, hi, bw, t, pulse) AS (VALUES {rows}), s AS (SELECT *, floor(4148.808 * dm * (1 / (lo * lo) - 1 / ((lo + bw) * (lo + bw))) / t + 0.5) / 2 AS n FROM p) SELECT CAST(i AS BIGINT) AS i, CASE WHEN n > 0 THEN CAST(pow(2, floor(log2(n) + 0.5)) AS BIGINT) ELSE 0 END AS overlap, CAST(ceil(4148.808 * dm * {lag} * t / (pulse * pulse)) AS BIGINT) AS trials, CAST(ceil(pulse / t) AS BIGINT) AS subs, greatest(1, CAST(floor(4148.8 * dm * {lag} / {ratio} / pulse) AS BIGINT)) AS max_dt FROM s",
-        "final_measures": f"SELECT CAST(i AS BIGINT) AS i, {r(f'i * {q.T_SAMPLE} / (4149.3774 * (1 / ({q.F_MIN} * {q.F_MIN}) - 1 / ({q.F_MAX} * {q.F_MAX})))', 6, 'dm')} FROM range({q.DT_MAX + 1}) d(i)",
+        "scalar_plans": f"WITH s AS (SELECT *, floor(4148.808::DOUBLE * dm * (1 / (f_min * f_min) - 1 / ((f_min + chan_bw) * (f_min + chan_bw))) / t_sample + 0.5::DOUBLE) / 2 AS n, 1 / (f_min * f_min) - 1 / (f_max * f_max) AS lag, 1e-6::DOUBLE / (f_max - f_min) AS tel FROM ({OBS}) p), u AS (SELECT *, (4148.8::DOUBLE * dm * lag / tel) / ((pulse / tel) * (pulse / tel)) AS ratio FROM s) SELECT obs, CASE WHEN n > 0 THEN CAST(pow(2, floor(log2(n) + 0.5)) AS BIGINT) ELSE 0 END AS overlap, CAST(ceil(4148.808::DOUBLE * dm * lag * t_sample / (pulse * pulse)) AS BIGINT) AS trials, CAST(ceil(pulse / t_sample) AS BIGINT) AS subs, greatest(1, CAST(floor(4148.8::DOUBLE * dm * lag / ratio / pulse) AS BIGINT)) AS max_dt FROM u",
+        "final_measures": f"SELECT obs, i.i, {r('i.i * t_sample / (4149.3774::DOUBLE * (1 / (f_min * f_min) - 1 / (f_max * f_max)))', 6, 'dm')} FROM ({OBS}) o CROSS JOIN range({q.DT_MAX}) i(i) WHERE i.i <= obs % {q.DT_MAX}",
+        "array_ranges": f"WITH {E} SELECT r, c, x FROM E",
+        "float_dump": f"WITH {E} SELECT r * 64 + c AS i, x FROM E",
+        "chunk_logs": f"{z}, {cand(q.WIDTHS)}, N AS (SELECT *, row_number() OVER (ORDER BY mt, mdt, mwidth) AS n FROM C), O AS (SELECT DISTINCT mdt AS block, mt // 100 AS chunk FROM N) SELECT mdt AS block, mt // 100 AS chunk, lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') || lpad('1', 10, ' ') AS line FROM N UNION ALL SELECT block, chunk, lpad('N', 10, ' ') || lpad('t, bin', 10, ' ') || lpad('t, sec', 10, ' ') || lpad('dedisp', 10, ' ') || lpad('width', 10, ' ') || lpad('SNR', 10, ' ') || lpad('num', 10, ' ') FROM O",
+        "image_files": f"WITH {E} SELECT (SELECT max(r) FROM E) - r AS r, c, abs(CAST(trunc(x * 255.0 / (SELECT max(abs(x)) FROM E)) AS BIGINT)) AS level FROM E",
     }
 
 
@@ -207,7 +211,7 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "inclusive_scan": "SELECT o_orderkey AS i, CAST(sum(o_custkey) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM orders",
         "exclusive_scan": "SELECT o_orderkey AS i, CAST(coalesce(sum(o_custkey) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS total FROM orders",
         "permuted_scan": "WITH s AS (SELECT (SELECT max(o_orderkey) FROM orders) - o_orderkey + 1 AS i, o_custkey AS v FROM orders UNION ALL SELECT 0, 0) SELECT i, CAST(sum(v) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM s",
-        "overlap_frames": f"WITH {W} SELECT c.chan, f.fft, b.bin, coalesce(W.x, 0.0) AS x FROM range(32) c(chan) CROSS JOIN range({q.NFFT}) f(fft) CROSS JOIN range({q.NBIN}) b(bin) LEFT JOIN W ON W.chan = c.chan AND W.t = b.bin + {step} * f.fft - {q.OVERLAP}",
+        "overlap_frames": f"WITH {W} SELECT c.chan, f.fft, b.bin, coalesce(W.x, 0.0) AS x FROM range(32) c(chan) CROSS JOIN (SELECT unnest(range((n + {step - 1}) // {step})) AS fft FROM HE) f CROSS JOIN range({q.NBIN}) b(bin) LEFT JOIN W ON W.chan = c.chan AND W.t = b.bin + {step} * f.fft - {q.OVERLAP}",
         "fftshift": f"WITH {E} SELECT r, (c + 32) % 64 AS c, x / 64 AS x FROM E",
         "circular_roll": f"WITH {E} SELECT r, (c + 67) % 64 AS c, x FROM E",
         "rolled_power": f"WITH {E}, {S}, {P} SELECT fft, chan, (bin + {q.MBIN // 2}) % {q.MBIN} AS bin, x / {q.MBIN * q.MBIN} AS x FROM P",
@@ -217,19 +221,20 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "digitize": f"WITH {W} SELECT chan, t, x, CAST(trunc(x * 2048.0 / (SELECT max(x) FROM W)) AS BIGINT) AS q FROM W",
         "digitize_floor": f"{z}, {cand(q.WIDTHS)} SELECT mt, mdt, mwidth, floor(msnr) AS msnr FROM C",
         "scale_complex": f"WITH {E}, {S} SELECT fft, chan, pol, bin, re / 32 AS re, im / 32 AS im FROM S",
-        "quadratic_cut": f"WITH {E} SELECT r - 62 AS r, c - 48 AS c, x FROM E WHERE r BETWEEN 62 AND 77 AND c BETWEEN 48 AND 63",
+        "quadratic_cut": f"WITH {E}, Y AS (SELECT max(r) - 15 AS top FROM E) SELECT r - top AS r, c - 48 AS c, x FROM E CROSS JOIN Y WHERE r >= top AND c BETWEEN 48 AND 63",
+        "unpad_transpose_complex": f"WITH {E}, {S} SELECT (1 - fft % 2) * 2 + 1 - chan AS row, bin - 4 + {q.MBIN - 8} * (fft // 2) AS t, re, im FROM S WHERE pol = 0 AND bin >= 4 AND bin < {q.MBIN - 4}",
         "image_scale": f"WITH {E} SELECT (SELECT max(r) FROM E) - r AS r, c, CAST(trunc(x * 255.0 / (SELECT max(abs(x)) FROM E)) AS BIGINT) AS level FROM E",
-        "subchan_freqs": f"SELECT c.chan, s.sub, {r(f'{q.F_MIN} + {q.CHAN_BW} * (0.5 + c.chan) + {q.CHAN_BW / q.SUBS} * (s.sub - {q.SUBS / 2} + 0.5)', 6, 'f')} FROM range(8) c(chan) CROSS JOIN range({q.SUBS}) s(sub)",
-        "taper_table": f"SELECT bin, {r('f')}, {r(f'1 / sqrt(1 + pow(f / {0.47 * q.CHAN_BW}, 80.0))', 6, 'taper')} FROM (SELECT bin, -{q.CHAN_BW / 2} + (bin + 0.5) * {q.CHAN_BW} / {q.MBIN}.0 AS f FROM range({q.MBIN}) b(bin)) i",
-        "chirp_table": f"WITH {_chirp(q.SUBS)} SELECT chan, sub, bin, {r('re', 5)}, {r('im', 5)} FROM H",
+        "subchan_freqs": f"SELECT o.obs, c.chan, s.sub, {r(f'o.f_min + o.bandwidth / 8 * (0.5::DOUBLE + c.chan) + o.bandwidth / 8 / {q.SUBS} * (s.sub - {q.SUBS / 2}::DOUBLE + 0.5::DOUBLE)', 6, 'f')} FROM ({OBS}) o CROSS JOIN range(8) c(chan) CROSS JOIN range({q.SUBS}) s(sub)",
+        "taper_table": f"SELECT obs, bin, {r('f')}, {r('1 / sqrt(1 + pow(f / (0.47::DOUBLE * bandwidth), 80.0::DOUBLE))', 6, 'taper')} FROM (SELECT obs, bandwidth, bin, -bandwidth / 2 + (bin + 0.5::DOUBLE) * bandwidth / {q.MBIN}.0::DOUBLE AS f FROM ({OBS}) o CROSS JOIN range({q.MBIN}) b(bin)) i",
+        "chirp_table": f"WITH {_chirp(q.SUBS, 2, OBS)} SELECT obs, chan, sub, bin, {r('re', 4)}, {r('im', 4)} FROM H",
         "complex_mul": f"WITH {E}, {S}, {_chirp(1)} SELECT S.fft, S.chan, S.pol, S.bin, {r('S.re * H.re - S.im * H.im', 3, 're')}, {r('S.re * H.im + S.im * H.re', 3, 'im')} FROM S JOIN H ON H.chan = S.chan AND H.bin = S.bin",
         "dft64": _dft("-", "", 3),
         "idft64": _dft("", " / 64.0", 6),
-        "dm_grid": f"SELECT CAST(i AS BIGINT) AS i, {r('30.0 + i * (600.0 / 40)', 6, 'dm')} FROM range(CAST(floor((600.0 - 30.0) / (600.0 / 40)) AS BIGINT)) v(i)",
-        "chunk_cut": f"WITH {W}, C AS (SELECT c.c AS chunk, greatest(0, least(c.c * {step}, {q.HOURS - q.NBIN})) AS first FROM range({(q.HOURS - 2 * q.OVERLAP - 1) // step + 1}) c(c)) SELECT chan % 2 AS block, chunk, chan, t - first AS t, x FROM W JOIN C ON t >= first AND t < first + {q.NBIN}",
+        "dm_grid": f"SELECT obs, i.i, {r('10.0 + i.i * (dm / (2 + obs % 50))', 6, 'dm')} FROM ({OBS}) o CROSS JOIN range(60) i(i) WHERE i.i < floor((dm - 10.0) / (dm / (2 + obs % 50)))",
+        "chunk_cut": f"WITH {W}, C AS (SELECT c.c AS chunk, greatest(0, least(c.c * {step}, n - {q.NBIN})) AS first FROM HE CROSS JOIN range(1000000) c(c) WHERE c.c <= (n - {2 * q.OVERLAP} - 1) // {step}) SELECT chan % 2 AS block, chunk, chan, t - first AS t, x FROM W JOIN C ON t >= first AND t < first + {q.NBIN}",
         "dft_round_trip": f"WITH {E} SELECT r, c, x AS re, CAST(0 AS DOUBLE) AS im FROM E",
-        "chunk_ranges": f"SELECT c.c AS chunk, greatest(0, least(c.c * {step}, n - {q.NBIN})) AS start FROM (SELECT count(*) AS n FROM orders) i CROSS JOIN range(1000000) c(c) WHERE c.c <= (n - {2 * q.OVERLAP} - 1) // {step}",
-        "dedisperse_shift": f"WITH {W}, T AS (SELECT chan, CAST(sign({lag}) * floor(abs({lag}) + 0.5) AS BIGINT) AS s FROM range(32) c(chan)) SELECT W.chan, (W.t + T.s) % 720 AS t, W.x FROM W JOIN T ON T.chan = W.chan",
+        "chunk_ranges": f"SELECT block, c.c AS chunk, greatest(0, least(c.c * {step}, n - {q.NBIN})) AS first, least({q.NBIN}, n) AS taken FROM (SELECT o_orderkey % 7 AS block, count(*) AS n FROM orders GROUP BY 1) i CROSS JOIN range(100000) c(c) WHERE c.c <= greatest(0, (n - {2 * q.OVERLAP + 1}) // {step})",
+        "dedisperse_shift": f"WITH {W}, T AS (SELECT chan, CAST(sign({lag}) * floor(abs({lag}) + 0.5) AS BIGINT) AS s FROM range(32) c(chan)) SELECT W.chan, (W.t + T.s % n) % n AS t, W.x FROM W JOIN T ON T.chan = W.chan CROSS JOIN HE",
         "flagship_search": f"{CLUSTERED} SELECT *, {RANKED} AS n FROM D",
         "cand_log_lines": f"{CLUSTERED}, N AS (SELECT *, {RANKED} AS n FROM D) SELECT n, lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') || lpad(CAST(num AS VARCHAR), 10, ' ') AS line FROM N",
         "cand_csv_lines": f"{z}, {cand(q.WIDTHS)} SELECT concat_ws(',', mt, mdt, mwidth, printf('%.6f', msnr)) AS line FROM C",

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.functions.views import CHANNELS, HOURS, matrix, raw_candidates, rounded, waterfall
+from skysift.functions.views import CHANNELS, hours, matrix, raw_candidates, rounded, waterfall
 from skysift.operators import cluster, coherent, dedisp, detect, frame, scan, spectral, stats
-from skysift.plans import grids
+from skysift.plans import columns, grids
 from skysift.sources import files, raw
 from skysift.streaming import chunks
 
@@ -19,7 +19,7 @@ F_MIN, F_MAX, T_SAMPLE, DM = 1000.0, 1500.0, 1e-3, 25.0
 BANDS, ROWS, DT_MAX = CHANNELS, 16, 12
 ODD = 11
 SUBS, MBIN, CHAN_BW = 4, 32, 16.0
-NBIN, OVERLAP, NFFT = 96, 8, 9
+NBIN, OVERLAP = 96, 8
 SEARCH = coherent.SearchPlan(f_min=1000.0, f_max=1032.0, t_sample=2.5e-4, channels=2, subs=4, nbin=32, nfft=10, overlap=8, dms=(5.0, 10.0, 15.0), threshold=2.0)
 CHUNK = (SEARCH.nbin - 2 * SEARCH.overlap) * SEARCH.nfft
 
@@ -201,8 +201,9 @@ def permuted_scan(spark, d):
 
 @query
 def overlap_frames(spark, d):
-    w = waterfall(spark, d).withColumnRenamed("t", "isamp")
-    return frame.overlap_frames(w, NBIN, NFFT, OVERLAP, ["chan"], ["x"])
+    step = NBIN - 2 * OVERLAP
+    w = waterfall(spark, d, multiple=step)
+    return frame.overlap_frames(w.withColumnRenamed("t", "isamp"), NBIN, hours(w) // step, OVERLAP, ["chan"], ["x"])
 
 
 @query
@@ -231,6 +232,12 @@ def unpad_transpose(spark, d):
     return frame.unpad_transpose(p, MBIN, 4, 2, 2, "x")
 
 
+@query
+def unpad_transpose_complex(spark, d):
+    s = _spectrum(spark, d).where("pol = 0").withColumn("sub", F.col("fft") % 2).withColumn("fft", (F.col("fft") / 2).cast("long"))
+    return frame.unpad_transpose(s, MBIN, 4, 2, 2, "re", "im")
+
+
 @query
 def transpose(spark, d):
     return frame.transpose(matrix(spark, d), "r", "c")
@@ -253,7 +260,10 @@ def scale_complex(spark, d):
 
 @query
 def quadratic_cut(spark, d):
-    return frame.cut(matrix(spark, d), 70, 60, 200, 64, 16)
+    """Around a place beyond the last row, moved inside; the height is the table's."""
+    m = matrix(spark, d)
+    height = (m.agg(F.max("r")).first()[0] or 0) + 1
+    return frame.cut(m, height + 3, 60, height, 64, 16)
 
 
 @query
@@ -261,24 +271,32 @@ def image_scale(spark, d):
     return frame.image_levels(matrix(spark, d))
 
 
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as observations (obs, dm, f_min, f_max, bandwidth, chan_bw, t_sample, pulse) with bands of their own."""
+    k = F.col("s_suppkey")
+    o = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("obs"), (20.0 + k % 600).alias("dm"), (400.0 + k % 1000).alias("f_min"), (8.0 * (1 + k % 16)).alias("bandwidth"), (0.25 * (1 + k % 5)).alias("chan_bw"), (F.lit(1e-6) * (1 + k % 7)).alias("t_sample"), (F.lit(1e-4) * (1 + k % 9)).alias("pulse"))
+    return o.withColumn("f_max", F.col("f_min") + F.col("bandwidth"))
+
+
 @query
 def subchan_freqs(spark, d):
-    return _r(spectral.subchannel_frequencies(spark, 8, SUBS, F_MIN, 8 * CHAN_BW), "f")
+    return _r(spectral.subchannel_frequencies(observations(spark, d), 8, SUBS).select("obs", "chan", "sub", "f"), "f")
 
 
 @query
 def taper_table(spark, d):
-    return _r(spectral.taper(spark, MBIN, CHAN_BW), "f", "taper")
+    return _r(spectral.taper(observations(spark, d), MBIN, F.col("bandwidth")).select("obs", "bin", "f", "taper"), "f", "taper")
 
 
 @query
 def chirp_table(spark, d):
-    return _r(spectral.chirp(spark, 2, SUBS, MBIN, F_MIN, 2 * CHAN_BW, DM), "re", "im", digits=5)
+    return _r(spectral.chirp(observations(spark, d), 2, SUBS, MBIN).select("obs", "chan", "sub", "bin", "re", "im"), "re", "im", digits=4)
 
 
 @query
 def complex_mul(spark, d):
-    h = spectral.chirp(spark, 2, 1, MBIN, F_MIN, 2 * CHAN_BW, DM).drop("sub")
+    band = spark.range(1).select(F.lit(F_MIN).alias("f_min"), F.lit(2 * CHAN_BW).alias("bandwidth"), F.lit(DM).alias("dm"))
+    h = spectral.chirp(band, 2, 1, MBIN).select("chan", "bin", "re", "im")
     return _r(spectral.multiply(_spectrum(spark, d), h, ["chan", "bin"]).select("fft", "chan", "pol", "bin", "re", "im"), "re", "im", digits=3)
 
 
@@ -296,27 +314,29 @@ def idft64(spark, d):
 
 @query
 def dm_grid(spark, d):
-    values = grids.dm_grid(30.0, 600.0, 40)
-    return _r(spark.createDataFrame(list(enumerate(values)), "i long, dm double"), "dm")
+    n = observations(spark, d).withColumns({"n": 2 + F.col("obs") % 50, "low": F.lit(10.0)})
+    return _r(columns.dm_grid(n, "low", "dm", "n").select("obs", "i", "dm"), "dm")
 
 
 @query
 def chunk_ranges(spark, d):
-    n = spark.read.parquet(f"{d}/orders.parquet").count()
-    return spark.createDataFrame([(c.index, c.start) for c in grids.chunks(n, NBIN, OVERLAP)], "chunk long, start long")
+    """Overlapping chunks of seven blocks, as long as they have orders."""
+    blocks = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_orderkey") % 7).alias("block")).agg(F.count("*").alias("samples"))
+    return raw.chunk_table(blocks, NBIN, OVERLAP).select("block", "chunk", "first", "taken")
 
 
 @query
 def chunk_cut(spark, d):
     """Every waterfall sample in the chunks that hold it."""
     w = waterfall(spark, d).withColumn("block", F.col("chan") % 2)
-    return chunks.cut_chunks(w, HOURS, NBIN, OVERLAP)
+    return chunks.cut_chunks(w, hours(w), NBIN, OVERLAP)
 
 
 @query
 def dedisperse_shift(spark, d):
-    table = dedisp.shifts(CHANNELS, DM, F_MIN, (F_MAX - F_MIN) / CHANNELS, T_SAMPLE, HOURS)
-    return dedisp.dedisperse(waterfall(spark, d), table, HOURS)
+    w = waterfall(spark, d)
+    n = hours(w)
+    return dedisp.dedisperse(w, dedisp.shifts(CHANNELS, DM, F_MIN, (F_MAX - F_MIN) / CHANNELS, T_SAMPLE, n), n)
 
 
 def truncating(bands: int = BANDS):

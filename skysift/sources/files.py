@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,45 @@ def write_files(rows: DataFrame, folder: str) -> None:
     rows.select("name", "content").mapInPandas(run, "n long").count()
 
 
+def write_array(cells: DataFrame, order: list[str], path: str, shape: tuple[int, ...] | None, by_columns: bool = False, each: int = 1 << 20) -> None:
+    """Values (order, x), dense and unique, in order as one file of 32-bit floats, with an array's header if it has a shape.
+
+    Tasks write ranges of the order beside the file; these are joined to it in
+    streams, so the whole never is in one place but on disk.
+    """
+    fs, root = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    job = f"{root.rsplit('/', 1)[0]}/.array-{uuid.uuid4().hex}"
+    fs.create_dir(job)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get()
+        fs, _ = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        part, n = f"{job}/{task.partitionId():08d}.{task.taskAttemptId()}", 0
+        with fs.open_output_stream(part) as out:
+            for b in batches:
+                out.write(b["x"].to_numpy().astype("<f4").tobytes())
+                n += len(b)
+        yield pd.DataFrame({"part": [task.partitionId()], "at": [part], "n": [n]})
+
+    parts = max(1, cells.count() // each + 1)
+    done = sorted(map(tuple, cells.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("x").mapInPandas(run, "part long, at string, n long").collect()))  # a row for each task
+    head = b""
+    if shape is not None:
+        if sum(n for _, _, n in done) != int(np.prod(shape)):
+            raise ValueError(f"not as many values as {shape} has")
+        buffer = io.BytesIO()
+        np.lib.format.write_array_header_1_0(buffer, {"descr": "<f4", "fortran_order": by_columns, "shape": tuple(int(x) for x in shape)})
+        head = buffer.getvalue()
+    with fs.open_output_stream(f"{job}/whole") as out:
+        out.write(head)
+        for _, at, _ in done:
+            with fs.open_input_stream(at) as part:
+                while piece := part.read(1 << 22):
+                    out.write(piece)
+    fs.move(f"{job}/whole", root)
+    fs.delete_dir(job)
+
+
 def write_npy(rows: DataFrame, folder: str) -> None:
     """One .npy file per row (name, shape, data)."""
 

@@ -464,3 +464,76 @@ def test_four_planes_are_searched_like_one_recording(spark, tmp_path):
     header["block_size"] *= 2
     with pytest.raises(ValueError):
         files.plane_block(spark, str(planes / "L1_S0_P0.raw"), header)
+
+
+def test_logs_appear_as_a_whole_or_not_at_all(spark, tmp_path):
+    from skysift.sources import sinks
+
+    sinks.register(spark)
+    out = tmp_path / "logs"
+    out.mkdir()
+    found = spark.createDataFrame([(b, c, n, 10 * n, 3, 2, 5.5, 4) for b in range(2) for c in range(3) for n in (2, 1)], "block long, chunk long, n long, mt long, mdt long, mwidth long, msnr double, num long")
+    lines = sinks.log_lines(found, files.delegate_line(1.0, 0.5), ["n"])
+    lines.write.format("chunk_logs").mode("append").save(str(out))
+    assert sorted(p.name for p in out.iterdir()) == [f"output_{b}_ {c}.log" for b in range(2) for c in range(3)]
+    assert (out / "output_1_ 2.log").read_text().splitlines() == [
+        "         N    t, bin    t, sec    dedisp     width       SNR       num",
+        "         1        10  6.000000         3         2  5.500000         4",
+        "         2        20 11.000000         3         2  5.500000         4",
+    ]
+    # A task that fails, and lines that do not stand together, leave all as it was.
+    bad = lines.withColumn("line", F.when(F.col("chunk") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    apart = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (0, 0, "c")], "block long, chunk long, line string").coalesce(1)
+    shared = spark.createDataFrame([(0, 0, "a"), (0, 0, "c")], "block long, chunk long, line string").repartition(2)
+    before = {p.name: p.read_text() for p in out.iterdir()}
+    for rows_ in (bad, apart, shared):
+        with pytest.raises(Exception):
+            rows_.write.format("chunk_logs").mode("overwrite").save(str(out))
+        assert {p.name: p.read_text() for p in out.iterdir()} == before
+    lines.where("block = 1 and chunk = 0").write.format("chunk_logs").mode("overwrite").save(str(out))
+    assert [p.name for p in out.iterdir()] == ["output_1_ 0.log"]
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_one_array_is_read_by_many_tasks(spark, tmp_path, order):
+    from skysift.sources import arrays
+
+    a = np.random.default_rng(2).integers(-99, 99, (37, 11, 3)).astype(">i2" if order == "C" else "<f8")
+    np.save(tmp_path / "a.npy", np.asarray(a, order=order))
+    got = arrays.read_arrays(spark, str(tmp_path / "a.npy"), each=100)
+    assert got.rdd.getNumPartitions() == 13
+    assert [x for _, x in rows(got.select("i", "x"))] == a.ravel().astype(float).tolist() and got.first().shape == [37, 11, 3]
+    whole = (tmp_path / "a.npy").read_bytes()
+    for damaged in (whole[:-1], b"other" + whole):
+        (tmp_path / "a.npy").write_bytes(damaged)
+        with pytest.raises(Exception):
+            arrays.read_arrays(spark, str(tmp_path / "a.npy")).count()
+
+
+def test_an_array_is_written_by_many_tasks(spark, tmp_path):
+    from skysift.sources import arrays
+
+    cells = spark.range(1000).select((F.col("id") / 8).cast("long").alias("r"), (F.col("id") % 8).alias("c"), (F.col("id") * 0.5).alias("x")).repartition(3)
+    files.write_array(cells, ["r", "c"], str(tmp_path / "a.npy"), (125, 8), each=100)
+    assert np.array_equal(np.load(tmp_path / "a.npy"), np.arange(1000).reshape(125, 8) * 0.5)
+    files.write_array(cells, ["c", "r"], str(tmp_path / "b.npy"), (125, 8), by_columns=True, each=100)
+    assert np.array_equal(np.load(tmp_path / "b.npy"), np.arange(1000).reshape(125, 8) * 0.5)
+    with pytest.raises(ValueError):
+        files.write_array(cells, ["r", "c"], str(tmp_path / "c.npy"), (125, 9))
+    files.write_array(cells, ["r", "c"], str(tmp_path / "d" / "x.bin"), None, each=300)
+    assert rows(arrays.read_dump(spark, str(tmp_path / "d"), each=64).select("i", "x")) == [(i, i * 0.5) for i in range(1000)]
+
+
+def test_pictures_decode_to_their_levels(spark, tmp_path):
+    from skysift.sources import sinks
+
+    levels = np.random.default_rng(1).integers(-255, 256, (70, 45))
+    assert np.array_equal(sinks.decoded(sinks.encoded(levels)), np.abs(levels))
+    damaged = bytearray(sinks.encoded(levels))
+    damaged[60] ^= 1
+    with pytest.raises(ValueError):
+        sinks.decoded(bytes(damaged))
+    df = spark.createDataFrame([(r, c, int(levels[r, c])) for r in range(70) for c in range(45)], "r long, c long, level long")
+    sinks.write_images(df, str(tmp_path), side=32)
+    assert len(list(tmp_path.glob("r*_c*.png"))) == 6
+    assert rows(sinks.read_images(spark, str(tmp_path))) == [(r, c, abs(int(levels[r, c]))) for r in range(70) for c in range(45)]
