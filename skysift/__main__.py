@@ -1,7 +1,8 @@
 """Command line: searches a recording and writes each chunk's delegates as log lines, and a log of the run.
 
-``python -m skysift -n recording.raw -N out -P 1.6e-4 -b 4 -k 50 -d 4``, or with
-``--sidecar header.json`` for the first of four files of planes.
+``python -m skysift -n recording.raw -N out -P 1.6e-4 -b 4 -k 50 -d 4``; four
+files of planes by the container beside them (``-n ..._S0_....h5``), or by the first
+one and ``--sidecar header.json``.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import SparkSession
 from skysift.functions.lineage import cut
 from skysift.operators import coherent
 from skysift.plans import grids
-from skysift.sources import files, raw
+from skysift.sources import container, files, raw
 
 
 def options(args: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser("skysift")
-    p.add_argument("-n", dest="recording", required=True, help="raw recording, a folder of them, or the first of four planes")
+    p.add_argument("-n", dest="recording", required=True, help="raw recording, a folder of them, the container of four planes, or the first of these")
     p.add_argument("-N", dest="out", required=True, help="folder for the logs")
     p.add_argument("-P", dest="pulse", type=float, default=1.6384e-4, help="length of a pulse in seconds")
     p.add_argument("-b", dest="threshold", type=float, default=4.0, help="least signal to noise")
@@ -47,6 +48,8 @@ def plan_of(o: argparse.Namespace, header: dict) -> coherent.SearchPlan:
 
 
 def blocks_of(spark: SparkSession, o: argparse.Namespace):
+    if o.recording.endswith(".h5"):
+        return files.plane_block(spark, container.planes_of(o.recording), container.read_header(o.recording))
     if not o.sidecar:
         return raw.index(spark, o.recording)
     with raw.open_file(o.sidecar) as f:

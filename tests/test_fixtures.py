@@ -537,3 +537,45 @@ def test_pictures_decode_to_their_levels(spark, tmp_path):
     sinks.write_images(df, str(tmp_path), side=32)
     assert len(list(tmp_path.glob("r*_c*.png"))) == 6
     assert rows(sinks.read_images(spark, str(tmp_path))) == [(r, c, abs(int(levels[r, c]))) for r in range(70) for c in range(45)]
+
+
+@pytest.mark.parametrize("new", [False, True])
+def test_container_gives_the_header(spark, tmp_path, new):
+    from container_fixture import sidecar
+
+    from skysift.sources import container
+
+    want = {"nbits": 8, "npol": 4, "nchan": 4, "chan_bw": 4.0, "cent_freq": 408.0, "obs_bw": 16.0, "block_size": 7680, "t_resolution": 2.5e-7, "tstart": 59000.5, "ra": 53.2, "dec": 54.5, "source": "B0329+54"}
+    name = "L1_SAP002_B001_S0_P000_bf.h5"
+    assert container.header_of(sidecar(new), name) == pytest.approx(want)
+    assert container.header_of(sidecar(new, centre=408.0, unit="MHz", width=4.0), name) == pytest.approx(want)
+    for damaged in (b"", sidecar(new)[:200], b"x" + sidecar(new)):
+        with pytest.raises((ValueError, struct.error, IndexError)):
+            container.header_of(damaged, name)
+    with pytest.raises(ValueError, match="no group"):
+        container.header_of(sidecar(new), name.replace("B001", "B007"))
+    with pytest.raises(ValueError, match="pointing"):
+        container.header_of(sidecar(new), "L1.h5")
+    for i in range(3):
+        (tmp_path / f"L{i}_SAP002_B001_S0_P000_bf.h5").write_bytes(sidecar(new, samples=10 + i))
+    got = container.headers(spark, str(tmp_path))
+    assert rows(got.select("block_size", "source")) == [(16 * (10 + i), "B0329+54") for i in range(3)]
+    assert container.planes_of(f"a/{name}") == "a/L1_SAP002_B001_S0_P000_bf.raw"
+
+
+def test_command_line_searches_four_planes_by_their_container(spark, tmp_path):
+    from container_fixture import sidecar
+
+    from skysift import __main__ as cli
+
+    path, plan = voltages(tmp_path, at=150)
+    data = np.frombuffer(path.read_bytes()[-4 * 480 * 4 :], np.int8).reshape(4, 480, 4)
+    for i in range(4):
+        (tmp_path / f"L1_SAP002_B001_S{i}_P000_bf.raw").write_bytes(data[:, :, i].T.tobytes())
+    (tmp_path / "L1_SAP002_B001_S0_P000_bf.h5").write_bytes(sidecar())
+    given = ["-P", "5e-7", "-b", "9", "-k", "0.002", "-d", "4", "--d-min", "0.001", "--nbin", "64", "--nfft", "4"]
+    outs = []
+    for name, out in (("L1_SAP002_B001_S0_P000_bf.h5", "four"), ("a.raw", "one")):
+        cli.run(spark, cli.options(["-n", str(tmp_path / name), "-N", str(tmp_path / out), *given]))
+        outs.append(rows(spark.read.text(str(tmp_path / out / "delegates"))))
+    assert outs[0] and outs[0] == outs[1]
