@@ -46,11 +46,11 @@ def test_no_candidates_no_delegates(spark):
     assert rows(cluster.delegates(cluster.clusters(detect.boxcar(image(spark), [1], 1e9)))) == []
 
 
-@pytest.mark.parametrize("tile", [2, 7, 4096])
-def test_gap_splits_with_ties_over_tiles(spark, tile):
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_gap_splits_with_ties_over_ranges(spark, parts):
     values = [1, 1, 2, 5, 6, 9, 9, 30, 33, 36, 37, 60]
     df = spark.createDataFrame([(0, v) for v in values], "g long, mt long")
-    got = [r.k for r in cluster.gap_groups(df, ["g"], "mt", 2, "k", tile).orderBy("mt").collect()]
+    got = [r.k for r in cluster.gap_groups(df, ["g"], "mt", 2, "k", parts).orderBy("mt").collect()]
     assert got == [0, 0, 0, 1, 1, 2, 2, 3, 4, 5, 5, 6]
 
 
@@ -579,3 +579,19 @@ def test_command_line_searches_four_planes_by_their_container(spark, tmp_path):
         cli.run(spark, cli.options(["-n", str(tmp_path / name), "-N", str(tmp_path / out), *given]))
         outs.append(rows(spark.read.text(str(tmp_path / out / "delegates"))))
     assert outs[0] and outs[0] == outs[1]
+
+
+@pytest.mark.parametrize("keys", [[], ["file"]])
+def test_clusters_are_the_same_by_ranges_and_in_one_task(spark, keys):
+    rng = np.random.default_rng(8)
+    values = [(f"f{rng.integers(3)}", int(rng.integers(60)) * 2, int(rng.integers(12)), int(rng.integers(1, 5)), float(i)) for i in range(900)]
+    cand = spark.createDataFrame(values, "file string, mt long, mdt long, mwidth long, msnr double").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # numbers go on from batch to batch
+    try:
+        for gaps in ((2, 1, 2), (1, 0, 0), (200, 3, 1)):
+            got, want = (rows(cluster.clusters(cand if keys else cand.drop("file"), gaps, keys, few)) for few in (0, 10_000))
+            assert got == want and len(want) == 900
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = cluster.gap_groups(cand, keys, "mt", 2, "g1")
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()  # what is left after its one shuffle
