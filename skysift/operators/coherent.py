@@ -239,6 +239,10 @@ def candidates(samples: DataFrame, plan: SearchPlan, keys: list[str]) -> DataFra
 def chunk_candidates(chunks: DataFrame, plan: SearchPlan, parts: int = 1, once: bool = False) -> DataFrame:
     """(file, block, chunk, mt, mdt, mwidth, msnr) of raw.CHUNKS, each read by the task that searches it.
 
+    A task holds one chunk as it lies in the file, spectra and filters of at most
+    ``KEPT_BYTES`` each, and the power of one trial, which takes 8 bytes for each
+    of the chunk's samples and channels, a few times over.
+
     parts: rows of each chunk, numbered in a column part, that share its trials,
     for few chunks and many trials; each reads the chunk.  once: of overlapping chunks only the one that
     owns a time reports it, shifts are not circular, and mt counts from the start
@@ -265,6 +269,11 @@ def found_in(cand: DataFrame, plan: SearchPlan, keys: list[str]) -> DataFrame:
     return cluster.numbered_delegates(cluster.keyed_clusters(cand, plan.gaps, keys), keys)
 
 
+def found_across(cand: DataFrame, plan: SearchPlan, keys: list[str]) -> DataFrame:
+    """The same for keys of any length, such as whole blocks: many candidates of one are spread over tasks."""
+    return cluster.ranked(cluster.delegates(cluster.clusters(cand, plan.gaps, keys), keys), keys)
+
+
 def search(samples: DataFrame, plan: SearchPlan, keys: list[str]) -> DataFrame:
     """Delegates of every chunk of a table."""
     return found_in(candidates(samples, plan, keys), plan, keys)
@@ -275,4 +284,4 @@ def search_recordings(blocks: DataFrame, plan: SearchPlan, parts: int = 1, once:
     chunks = raw.chunk_table(blocks, plan.length, plan.overlap)
     chunks = raw.dealt(chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
     cand = chunk_candidates(chunks, plan, parts, once)
-    return found_in(cand, plan, ["file", "block"] if once else ["file", "block", "chunk"])
+    return found_across(cand.drop("chunk"), plan, ["file", "block"]) if once else found_in(cand, plan, ["file", "block", "chunk"])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import struct
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,12 @@ from skysift.operators import cluster, coherent, frame
 from skysift.plans import columns
 from skysift.plans.queries import DT_MAX, SEARCH, _cand, _r, _reports, observations, query
 from skysift.sources import arrays, files, raw, sinks
+from skysift.streaming import chunks
 
 #: Rows of a block's channel, and blocks of a recording.
 EACH, BLOCKS = 2, 5
+#: Bytes of a sector, to which direct recordings are aligned; cards of a header with its end.
+SECTOR, CARDS = 512, 12
 #: Rows of a channel in a block that holds several chunks, and the search of these; the last chunk ends with the block.
 LONG, CHUNKED = 10, replace(SEARCH, nfft=4)
 
@@ -33,18 +38,21 @@ def _joined(df: DataFrame, keys: list[str], order: list[str], name: str) -> Data
     return rows.select(*keys, F.unhex(F.array_join(F.col("p.h"), "")).alias(name))
 
 
-def recordings(spark: SparkSession, d: str, each: int = EACH) -> str:
+def recordings(spark: SparkSession, d: str, each: int = EACH, direct: bool = False) -> str:
     """Embeddings as recordings of two channels and polarisations, so many rows of a channel in a block; the folder.
 
-    The last block is filled up with zeros.
+    The last block is filled up with zeros; with direct, headers and payloads to whole sectors.
     """
     cells = _bytes(spark, d).select((F.col("r") / (2 * each)).cast("long").alias("block"), ((F.col("r") / each).cast("long") % 2).alias("chan"), (F.col("r") % each * 64 + F.col("c")).alias("at"), "v")
     if each != EACH:
         grid = cells.select("block").distinct().select("block", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("chan")).select("block", F.col("chan").cast("long").alias("chan"), F.explode(F.sequence(F.lit(0), F.lit(each * 64 - 1))).alias("at"))
         cells = grid.withColumn("at", F.col("at").cast("long")).join(cells, ["block", "chan", "at"], "left").fillna(0, ["v"])
-    cards = {"BACKEND": "'RAW'", "NBITS": 8, "CHAN_BW": 0.5, "OBSFREQ": 1400.0, "OBSNCHAN": 2, "OBSBW": 1.0, "BLOCSIZE": 2 * each * 64, "TELESCOP": "'GBT'", "NPOL": 4, "TBIN": 1e-6, "DIRECTIO": 0}
+    cards = {"BACKEND": "'RAW'", "NBITS": 8, "CHAN_BW": 0.5, "OBSFREQ": 1400.0, "OBSNCHAN": 2, "OBSBW": 1.0, "BLOCSIZE": 2 * each * 64, "TELESCOP": "'GBT'", "NPOL": 4, "TBIN": 1e-6, "DIRECTIO": int(direct)}
     header = "".join(f"{k:<8}= {v}".ljust(80) for k, v in cards.items()) + "END".ljust(80)
-    blocks = _joined(cells, ["block"], ["chan", "at"], "data").withColumn("content", F.concat(F.lit(header).cast("binary"), "data"))
+    size, fill = cards["BLOCSIZE"], b""
+    if direct:
+        header, fill = header.ljust(-(-len(header) // SECTOR) * SECTOR), bytes(-size % SECTOR)
+    blocks = _joined(cells, ["block"], ["chan", "at"], "data").withColumn("content", F.concat(F.lit(header).cast("binary"), "data", F.lit(bytearray(fill))))
     group = (F.col("block") / BLOCKS).cast("long")
     whole = blocks.groupBy(group.alias("f")).agg(F.array_sort(F.collect_list(F.struct("block", F.hex("content").alias("h")))).alias("p"))  # BLOCKS of them
     out = scratch(spark, "recordings")
@@ -101,17 +109,26 @@ def raw_chunks(spark, d):
 @query
 def recording_search(spark, d):
     """The whole search over recordings, whose overlapping chunks are read by range in the tasks that search them."""
-    chunks = raw.chunk_table(raw.index(spark, recordings(spark, d, LONG)), CHUNKED.length, CHUNKED.overlap)
-    cand = _r(_numbered(coherent.chunk_candidates(raw.dealt(chunks), CHUNKED)), "msnr")
+    places = raw.chunk_table(raw.index(spark, recordings(spark, d, LONG)), CHUNKED.length, CHUNKED.overlap)
+    cand = _r(_numbered(coherent.chunk_candidates(raw.dealt(places), CHUNKED)), "msnr")
     return coherent.found_in(cand, CHUNKED, ["block", "chunk"])
 
 
 @query
 def recording_search_once(spark, d):
     """The same with each time searched in the one chunk that owns it, and clusters of whole blocks."""
-    chunks = raw.chunk_table(raw.index(spark, recordings(spark, d, LONG)), CHUNKED.length, CHUNKED.overlap)
-    cand = _r(_numbered(coherent.chunk_candidates(raw.dealt(chunks), CHUNKED, once=True)).drop("chunk"), "msnr")
-    return coherent.found_in(cand, CHUNKED, ["block"])
+    places = raw.chunk_table(raw.index(spark, recordings(spark, d, LONG)), CHUNKED.length, CHUNKED.overlap)
+    cand = _r(_numbered(coherent.chunk_candidates(raw.dealt(places), CHUNKED, once=True)).drop("chunk"), "msnr")
+    return coherent.found_across(cand, CHUNKED, ["block"])
+
+
+@query
+def recording_stream(spark, d):
+    """The search of a stream that finds the same recordings in a folder."""
+    out = scratch(spark, "stream")
+    chunks.search_recordings_stream(spark, recordings(spark, d, LONG), f"{out}/found", f"{out}/progress", CHUNKED).awaitTermination()
+    found = spark.read.schema("mt long, mdt long, mwidth long, msnr double, num long, n long, file string, block long, chunk long").parquet(f"{out}/found")
+    return _r(_numbered(found), "msnr")
 
 
 def planes(spark: SparkSession, d: str) -> str:
@@ -129,8 +146,8 @@ def plane_search(spark, d):
     with raw.open_file(first) as f:
         samples = f.size() // SEARCH.channels
     header = files.read_sidecar_header(json.dumps({"tstart": 59000.5, "nsamp": samples, "fcen": 1.016e9, "bwchan": 1.6e7, "tsamp": 2.5e-4, "nsub": SEARCH.channels, "unit": "Hz"}))
-    chunks = raw.chunk_table(files.plane_block(spark, first, header), SEARCH.length, SEARCH.overlap)
-    cand = _r(coherent.chunk_candidates(raw.dealt(chunks), SEARCH), "msnr").drop("file")
+    places = raw.chunk_table(files.plane_block(spark, first, header), SEARCH.length, SEARCH.overlap)
+    cand = _r(coherent.chunk_candidates(raw.dealt(places), SEARCH), "msnr").drop("file")
     return coherent.found_in(cand, SEARCH, ["block", "chunk"])
 
 
@@ -220,3 +237,106 @@ def image_files(spark, d):
     out = scratch(spark, "images")
     sinks.write_images(frame.image_levels(matrix(spark, d)), out, side=60)
     return sinks.read_images(spark, out)
+
+
+@query
+def direct_blocks(spark, d):
+    """Where the payloads of recordings lie that are aligned to sectors."""
+    return _numbered(raw.index(spark, recordings(spark, d, direct=True))).select("block", "offset", "stride", "samples", "descending")
+
+
+@query
+def direct_samples(spark, d):
+    raw.register(spark)
+    return raw.samples(spark.read.format("raw_voltage").load(recordings(spark, d, direct=True)))
+
+
+@query
+def sidecar_headers(spark, d):
+    """A header beside each observation, in Hz for every other one."""
+    hz = F.when(F.col("obs") % 2 == 0, 1e6).otherwise(1.0)
+    rows = observations(spark, d).select(F.col("obs").alias("k"), F.lit(59000.5).alias("tstart"), (F.col("obs") * 1000).alias("nsamp"), (F.col("f_min") * hz).alias("fcen"), (F.col("chan_bw") * hz).alias("bwchan"), F.col("t_sample").alias("tsamp"), (1 + F.col("obs") % 8).alias("nsub"), F.when(hz > 1, "Hz").otherwise("MHz").alias("unit"))
+    out = scratch(spark, "sidecars")
+    content = F.to_json(F.struct(*[c for c in rows.columns if c != "k"]))
+    files.write_files(rows.select(F.format_string("%08d.json", "k").alias("name"), content.cast("binary").alias("content")), out)
+    found = files.sidecar_headers(spark, out)
+    return _r(found.withColumn("obs", F.regexp_extract("path", "([0-9]+)[.]json", 1).cast("long")).drop("path"), "chan_bw", "cent_freq", "obs_bw")
+
+
+@query
+def packed_headers(spark, d):
+    """A packed header for each observation."""
+
+    def packed(batches):
+        for b in batches:
+            content = [struct.pack("<iiffff", r.obs, r.n_p, r.dm, r.f_min, r.f_max, r.sigma) + b"rest" for r in b.itertuples()]
+            yield pd.DataFrame({"name": [f"{k:08d}.hdr" for k in b["obs"]], "content": content})
+
+    rows = observations(spark, d).select("obs", (F.col("obs") % 5).alias("n_p"), "dm", "f_min", "f_max", F.lit(4.5).alias("sigma"))
+    out = scratch(spark, "packed")
+    files.write_files(rows.mapInPandas(packed, "name string, content binary"), out)
+    return files.read_packed_headers(spark, out).drop("path")
+
+
+@query
+def image_bundle(spark, d):
+    """Square images of 64 rows each, with shape, band and delays beside them; what the last one lacks is 0."""
+    side = 64
+    cells = matrix(spark, d).select((F.col("r") / side).cast("long").alias("g"), (F.col("r") % side * side + F.col("c")).alias("i"), "x")
+    full = cells.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side * side - 1).cast("long"))).alias("i")).join(cells, ["g", "i"], "left").fillna(0.0, ["x"])
+    rows = full.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))  # side x side cells
+    array = lambda *v: F.array(*[F.lit(x) for x in v])
+    parts = {"XX": (array(side, side), F.col("p.x")), "imaxDT": (array(1), array(float(side))), "iarrShape": (array(2), array(float(side), float(side))), "fmin_max": (array(2), F.array(F.col("g") + 1000.0, F.lit(1500.0)))}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), s.cast("array<long>").alias("shape"), v.alias("data")) for n, (s, v) in parts.items()]))
+    out = scratch(spark, "bundles")
+    files.write_npy(rows.select("g", each.alias("e")).select(F.concat_ws("/", F.col("g").cast("string"), "e.n").alias("name"), "e.shape", "e.data"), out)
+    found = files.read_image_bundles(spark, out)
+    return found.withColumn("bundle", F.col("bundle").cast("long"))
+
+
+@query
+def candidate_counts(spark, d):
+    """Rows of candidate files, one for each supplier's parity and line number, without their headers."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_linenumber") * 2 + F.col("l_suppkey") % 2).alias("g"), F.concat_ws(" ", F.floor("l_extendedprice").cast("long"), "l_orderkey", F.lit("1.5"), "l_linenumber", "l_partkey", F.lit("0.0"), F.lit("1")).alias("value"))
+    rows = items.groupBy("g").agg(F.concat_ws("\n", F.lit("snr sampno secs boxcar idt dm beamno"), F.collect_list("value")).alias("text"))
+    out = scratch(spark, "candidates")
+    files.write_files(rows.select(F.format_string("%04d.cand", "g").alias("name"), F.col("text").cast("binary").alias("content")), out)
+    found = files.candidates_by_file(spark, out)
+    return found.select(F.regexp_extract("path", "([0-9]+)[.]cand", 1).cast("long").alias("g"), "n")
+
+
+@query
+def run_logs(spark, d):
+    """Logs of runs, one for each week of orders: what they list comes back."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") % 50).alias("run"), (F.col("o_custkey") % 40).alias("chunk"))
+    runs = orders.groupBy("run").agg(F.array_sort(F.collect_set("chunk")).alias("found"))  # 40 chunks at most
+    runs = runs.select("run", F.format_string("run%d.raw", "run").alias("path"), F.lit("p").alias("project"), F.lit(64).alias("chunk"), "found", F.lit(9).alias("seconds"))
+    lines = files.run_log_lines(runs)
+    out = scratch(spark, "runs")
+    rows = lines.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("p"))
+    files.write_files(rows.select(F.format_string("%d.log", "run").alias("name"), F.array_join(F.col("p.line"), "\n").cast("binary").alias("content")), out)
+    read = spark.read.text(out)
+    values = files.log_values(read.withColumn("run", F.regexp_extract(F.input_file_name(), "([0-9]+)[.]log", 1).cast("long")), "Numbers of Successful Chunks:", ["run"])
+    return values.select("run", F.explode("values").alias("chunk")).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+#: Options of a search from the command line over recordings with several chunks a block.
+OPTIONS = ["-P", "4e-6", "-b", "2", "-k", "1e-3", "-d", "3", "--d-min", "5e-4", "--nbin", "32", "--nfft", "4"]
+
+
+def command_plan() -> coherent.SearchPlan:
+    from skysift import __main__ as cli
+
+    return cli.plan_of(cli.options(["-n", "", "-N", "", *OPTIONS]), {"obs_freq": 1400.0, "obs_bw": 1.0, "chan_bw": 0.5, "tbin": 1e-6, "nchan": 2})
+
+
+@query
+def command_line(spark, d):
+    """The logs that a search from the command line leaves for each chunk of a folder of recordings."""
+    from skysift import __main__ as cli
+
+    out = scratch(spark, "command")
+    cli.run(spark, cli.options(["-n", recordings(spark, d, LONG), "-N", out, *OPTIONS]))
+    lines = _numbered(spark.read.text(f"{out}/delegates"))
+    part = lambda i: F.trim(F.substring("value", 10 * i + 1, 10))
+    return lines.select("block", F.col("chunk").cast("long").alias("chunk"), *[part(i).cast("long").alias(n) for i, n in ((0, "n"), (1, "mt"), (3, "mdt"), (4, "mwidth"), (6, "num"))], F.round(part(5).cast("double"), 4).alias("msnr"))

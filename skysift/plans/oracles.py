@@ -103,9 +103,9 @@ def searched(p, own: str = "SELECT * FROM C") -> str:
     return f"CI AS (SELECT chunk, trial * {p.subs} + k AS chan, t, x FROM CR), {found}, CO AS ({own}), {grouped('CO', p.gaps, 'chunk, ')}, {best}"
 
 
-def _recorded() -> dict[str, str]:
+def _recorded(p=fq.CHUNKED) -> dict[str, str]:
     """Searches of recordings; a chunk's number there is 1000 times its block's and its own."""
-    p, n = fq.CHUNKED, fq.LONG * 16
+    n = fq.LONG * 16
     step, length, ov = p.length - 2 * p.overlap, p.length, p.overlap
     many = max(0, (n - 2 * ov - 1) // step)
     v = "V AS (SELECT r, c, CAST(((CAST(x AS BIGINT) % 256) + 256) % 256 - 128 AS DOUBLE) AS v FROM E)"
@@ -169,6 +169,13 @@ def _files(z: str) -> dict[str, str]:
         "candidate_log": f"{z}, {cand(q.WIDTHS)}, N AS (SELECT *, row_number() OVER (ORDER BY mt, mdt, mwidth) AS n FROM C) SELECT lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') AS line FROM N",
         "scalar_plans": f"WITH s AS (SELECT *, floor(4148.808::DOUBLE * dm * (1 / (f_min * f_min) - 1 / ((f_min + chan_bw) * (f_min + chan_bw))) / t_sample + 0.5::DOUBLE) / 2 AS n, 1 / (f_min * f_min) - 1 / (f_max * f_max) AS lag, 1e-6::DOUBLE / (f_max - f_min) AS tel FROM ({OBS}) p), u AS (SELECT *, (4148.8::DOUBLE * dm * lag / tel) / ((pulse / tel) * (pulse / tel)) AS ratio FROM s) SELECT obs, CASE WHEN n > 0 THEN CAST(pow(2, floor(log2(n) + 0.5)) AS BIGINT) ELSE 0 END AS overlap, CAST(ceil(4148.808::DOUBLE * dm * lag * t_sample / (pulse * pulse)) AS BIGINT) AS trials, CAST(ceil(pulse / t_sample) AS BIGINT) AS subs, greatest(1, CAST(floor(4148.8::DOUBLE * dm * lag / ratio / pulse) AS BIGINT)) AS max_dt FROM u",
         "final_measures": f"SELECT obs, i.i, {r('i.i * t_sample / (4149.3774::DOUBLE * (1 / (f_min * f_min) - 1 / (f_max * f_max)))', 6, 'dm')} FROM ({OBS}) o CROSS JOIN range({q.DT_MAX}) i(i) WHERE i.i <= obs % {q.DT_MAX}",
+        "direct_blocks": f"SELECT b.block, (b.block % {fq.BLOCKS}) * ({-(-80 * fq.CARDS // fq.SECTOR) * fq.SECTOR} + {-(-2 * fq.EACH * 64 // fq.SECTOR) * fq.SECTOR}) + {-(-80 * fq.CARDS // fq.SECTOR) * fq.SECTOR} AS offset, CAST({fq.EACH * 64} AS BIGINT) AS stride, CAST({fq.EACH * 16} AS BIGINT) AS samples, false AS descending FROM (SELECT DISTINCT vec_id // {2 * fq.EACH} AS block FROM embeddings) b",
+        "direct_samples": f"WITH {cells} SELECT * FROM N",
+        "sidecar_headers": f"SELECT obs, CAST(8 AS INTEGER) AS nbits, CAST(4 AS INTEGER) AS npol, CAST(1 + obs % 8 AS INTEGER) AS nchan, {r('chan_bw')}, {r('f_min', 6, 'cent_freq')}, {r('(1 + obs % 8) * chan_bw', 6, 'obs_bw')}, obs * 4000 * (1 + obs % 8) AS block_size, t_sample AS t_resolution, CAST(59000.5 AS DOUBLE) AS tstart FROM ({OBS}) o",
+        "packed_headers": f"SELECT CAST(obs AS INTEGER) AS samples, CAST(obs % 5 AS INTEGER) AS n_p, dm AS d_max, f_min, f_max, CAST(4.5 AS DOUBLE) AS sigma FROM ({OBS}) o",
+        "image_bundle": f"WITH {E} SELECT g.g AS bundle, r.r, c.c, coalesce(E.x, 0.0) AS x, CAST(64 AS BIGINT) AS max_dt, CAST(1000 + g.g AS DOUBLE) AS f_min, CAST(1500 AS DOUBLE) AS f_max FROM (SELECT DISTINCT r // 64 AS g FROM E) g CROSS JOIN range(64) r(r) CROSS JOIN range(64) c(c) LEFT JOIN E ON E.r = g.g * 64 + r.r AND E.c = c.c",
+        "candidate_counts": "SELECT l_linenumber * 2 + l_suppkey % 2 AS g, count(*) AS n FROM lineitem GROUP BY 1",
+        "run_logs": "SELECT DISTINCT o_orderkey % 50 AS run, o_custkey % 40 AS chunk FROM orders",
         "array_ranges": f"WITH {E} SELECT r, c, x FROM E",
         "float_dump": f"WITH {E} SELECT r * 64 + c AS i, x FROM E",
         "chunk_logs": f"{z}, {cand(q.WIDTHS)}, N AS (SELECT *, row_number() OVER (ORDER BY mt, mdt, mwidth) AS n FROM C), O AS (SELECT DISTINCT mdt AS block, mt // 100 AS chunk FROM N) SELECT mdt AS block, mt // 100 AS chunk, lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') || lpad('1', 10, ' ') AS line FROM N UNION ALL SELECT block, chunk, lpad('N', 10, ' ') || lpad('t, bin', 10, ' ') || lpad('t, sec', 10, ' ') || lpad('dedisp', 10, ' ') || lpad('width', 10, ' ') || lpad('SNR', 10, ' ') || lpad('num', 10, ' ') FROM O",
@@ -244,6 +251,8 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "header_normalise": "SELECT c_custkey AS k, abs(c_acctbal) AS chan_bw, c_acctbal >= 0 AS straight_order FROM customer",
     }
     o |= _files(z) | _recorded()
+    o["recording_stream"] = o["recording_search"]
+    o["command_line"] = f"SELECT block, chunk, n, mt, mdt, mwidth, num, {r('msnr', 4)} FROM ({_recorded(fq.command_plan())['recording_search']}) q"
     a, b, one, odd = fdmt(q.truncating()), fdmt(q.rounding()), fdmt(q.truncating(), "1", x="1.0"), fdmt(q.truncating(q.ODD))
     o["fdmt_init"] = f"WITH {W}, {', '.join(a[:3])} SELECT CAST(sub AS BIGINT) AS sub, CAST(k AS BIGINT) AS k, CAST(t AS BIGINT) AS t, {r('x')} FROM A0_0"
     o["fdmt_a"] = f"WITH {W}, {', '.join(a)} SELECT k, t, {r('x', 4)} FROM K0"

@@ -36,7 +36,9 @@ def write_files(rows: DataFrame, folder: str) -> None:
         fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         for b in batches:
             for r in b.itertuples():
-                part = f"{root}/.{r.name}.{TaskContext.get().taskAttemptId()}"
+                part = f"{root}/.{r.name.replace('/', '-')}.{TaskContext.get().taskAttemptId()}"
+                if "/" in r.name:
+                    fs.create_dir(f"{root}/{r.name.rpartition('/')[0]}")
                 with fs.open_output_stream(part) as out:
                     out.write(r.content)
                 fs.move(part, f"{root}/{r.name}")
@@ -114,11 +116,33 @@ def read_image_bundle(spark: SparkSession, folder: str) -> tuple[DataFrame, dict
     return image, {"rows": rows, "cols": cols, "max_dt": int(part["imaxDT.npy"][0]), "f_min": part["fmin_max.npy"][0], "f_max": part["fmin_max.npy"][1]}
 
 
+def read_image_bundles(spark: SparkSession, root: str) -> DataFrame:
+    """(bundle, r, c, x, max_dt, f_min, f_max) of all image bundles, a folder each; a side that is no power of two of at least 4 is an error."""
+    name = lambda i: F.regexp_extract("path", "([^/]+)/([^/]+)[.]npy$", i)
+    parts = read_npy(spark, f"{root}/*/*.npy").select(name(1).alias("bundle"), name(2).alias("name"), "data")
+    of = lambda n: F.max(F.when(F.col("name") == n, F.col("data")))
+    heads = parts.where("name <> 'XX'").groupBy("bundle").agg(of("iarrShape").alias("sides"), of("imaxDT")[0].cast("long").alias("max_dt"), of("fmin_max")[0].alias("f_min"), of("fmin_max")[1].alias("f_max"))
+    good = F.forall("sides", lambda n: (n >= 4) & (F.bit_count(n.cast("long")) == 1))
+    sides = F.when(good, F.col("sides")).otherwise(F.raise_error(F.lit("both sides must be powers of two of at least 4")))
+    cells = parts.where("name = 'XX'").join(heads.withColumn("sides", sides), "bundle").select("bundle", "max_dt", "f_min", "f_max", F.col("sides")[1].cast("long").alias("cols"), F.posexplode("data").alias("i", "x"))
+    return cells.select("bundle", F.floor(F.col("i") / F.col("cols")).cast("long").alias("r"), (F.col("i") % F.col("cols")).alias("c"), "x", "max_dt", "f_min", "f_max")
+
+
 def read_packed_header(raw: bytes) -> dict:
     """Two 32-bit whole numbers and four floats."""
     return dict(zip(("samples", "n_p", "d_max", "f_min", "f_max", "sigma"), struct.unpack("<iiffff", raw[:24]), strict=True))
 
 
+def read_packed_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, samples, n_p, d_max, f_min, f_max, sigma) of files that begin with a packed header, each read in a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([{"path": p} | read_packed_header(bytes(x)) for p, x in zip(b["path"], b["content"], strict=True)])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, samples int, n_p int, d_max double, f_min double, f_max double, sigma double")
+
+
 def read_floats(spark: SparkSession, path: str) -> DataFrame:
     """(i, x) of a dump of 32-bit floats."""
 
@@ -171,6 +195,18 @@ def run_log(path: str, project: str, chunk: int, found: list[int], seconds: int,
     return [*out, f"Running Time (seconds): {seconds}"]
 
 
+def run_log_lines(runs: DataFrame) -> DataFrame:
+    """(run, at, line): logs of many runs (run, path, project, chunk, found, seconds), as run_log() words them."""
+    listed = F.concat(F.lit("["), F.array_join(F.col("found").cast("array<string>"), ", "), F.lit("]"))
+    named = [("Pass to Data File", F.col("path")), ("Project Name", F.col("project")), ("Length of Chunk", F.col("chunk").cast("string")), ("Quant of Successful Chunks", F.size("found").cast("string")), ("Numbers of Successful Chunks", listed), ("Running Time (seconds)", F.col("seconds").cast("string"))]
+    return runs.select("run", F.posexplode(F.array(*[F.concat(F.lit(f"{n}: "), v) for n, v in named])).alias("at", "line"))
+
+
+def candidates_by_file(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n): rows of each candidate file but for its first line, which is its header."""
+    return spark.read.text(path).groupBy(F.input_file_name().alias("path")).agg((F.count("*") - 1).alias("n"))
+
+
 def count_candidates(spark: SparkSession, path: str) -> int:
     """Lines of candidate files but for each file's first, which is its header."""
     lines = spark.read.text(path).select(F.input_file_name().alias("f"))
@@ -201,10 +237,19 @@ def parse_report(lines: DataFrame) -> DataFrame:
     return lines.select(*[c.alias(n) for n, c in out.items()])
 
 
-def log_values(lines: DataFrame, prefix: str) -> DataFrame:
-    """Numbers of a run log's lines that begin so, as an array."""
-    rest = F.split(F.trim(F.expr(f"substring(value, {len(prefix) + 1})")), "[\\s,;]+")
-    return lines.where(F.col("value").startswith(prefix)).select(F.filter(F.transform(rest, lambda x: x.try_cast("double")), lambda x: x.isNotNull()).alias("values"))
+def log_values(lines: DataFrame, prefix: str, keep: list[str] | None = None) -> DataFrame:
+    """(keep, values): numbers of a run log's lines that begin so, as an array."""
+    rest = F.split(F.trim(F.expr(f"substring(value, {len(prefix) + 1})")), "[\\s,;\\[\\]]+")
+    return lines.where(F.col("value").startswith(prefix)).select(*(keep or []), F.filter(F.transform(rest, lambda x: x.try_cast("double")), lambda x: x.isNotNull()).alias("values"))
+
+
+def sidecar_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path and the header's fields) of many JSON headers, as read_sidecar_header() has them."""
+    h = spark.read.schema("tstart double, nsamp long, fcen double, bwchan double, tsamp double, nsub long, unit string").json(path)
+    scale = F.when(F.col("unit") == "Hz", 1e-6).otherwise(1.0)
+    bw = F.col("bwchan") * scale
+    fields = {"nbits": F.lit(8), "npol": F.lit(4), "nchan": F.col("nsub").cast("int"), "chan_bw": bw, "cent_freq": F.col("fcen") * scale, "obs_bw": F.col("nsub") * bw, "block_size": F.col("nsamp") * 4 * F.col("nsub"), "t_resolution": F.col("tsamp"), "tstart": F.col("tstart")}
+    return h.select(F.input_file_name().alias("path"), *[c.alias(n) for n, c in fields.items()])
 
 
 def read_sidecar_header(text: str) -> dict:

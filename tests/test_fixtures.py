@@ -189,6 +189,54 @@ def test_truncating_plan_equals_plain_loops(channels):
     assert got == published_plan(channels, 1000.0, 1500.0, 16)
 
 
+def exact_rounding_plan(channels, f_min, f_max, dt_max):
+    """The published merge of neighbouring bands in exact fractions: (delays of the first rows, of each merge the rows (delay, tail, head, offset), final delays), and how near to a half any rounding came.
+
+    Written apart from the engine: bands are (first channel, channels) and recursion goes by pairs from the left.
+    """
+    from fractions import Fraction as Q
+
+    width, near = Q(f_max - f_min) / channels, [Q(1)]
+
+    def disp(a, b):
+        return 1 / (a * a) - 1 / (b * b)
+
+    def rounded(x):
+        near.append(abs(abs(x - int(x)) - Q(1, 2)))
+        return int(x + Q(1, 2))
+
+    whole = disp(Q(f_min), Q(f_max))
+    edge = lambda c: Q(f_min) + width * c
+    bands = [(c, 1) for c in range(channels)]
+    depth = lambda band: rounded(dt_max * disp(edge(band[0]), edge(band[0] + band[1])) / whole)
+    first, merges = [list(range(depth(b) + 1)) for b in bands], []
+    while len(bands) > 1:
+        pairs = [bands[i : i + 2] for i in range(0, len(bands), 2)]
+        nodes = []
+        for pair in pairs:
+            lo, n = pair[0][0], sum(b[1] for b in pair)
+            if len(pair) == 1:
+                nodes.append(None)
+                continue
+            # The point in the middle belongs half a channel to either side.
+            middle, own = edge(lo + pair[0][1]), disp(edge(lo), edge(lo + n))
+            for d in range(depth((lo, n)) + 1):
+                tail, offset = rounded(d * disp(edge(lo), middle - width / 2) / own), rounded(d * disp(edge(lo), middle + width / 2) / own)
+                nodes.append((lo, d, min(tail, depth(pair[0])), min(max(d - offset, 0), depth(pair[1])), offset))
+        merges.append(nodes)
+        bands = [(p[0][0], sum(b[1] for b in p)) for p in pairs]
+    return first, merges, list(range(dt_max + 1)), min(near)
+
+
+@pytest.mark.parametrize("channels, f_min, f_max, dt_max", [(8, 1000, 1500, 12), (16, 400, 800, 31), (32, 1000, 1500, 12), (4, 100, 120, 9), (64, 1200, 1600, 100)])
+def test_rounding_plan_equals_exact_fractions(channels, f_min, f_max, dt_max):
+    first, merges, last, near = exact_rounding_plan(channels, f_min, f_max, dt_max)
+    got_first, plan, delays = grids.rounding_plan(channels, float(f_min), float(f_max), dt_max)
+    assert near > 1e-5 and got_first == first and delays == last and len(plan) == len(merges)
+    for nodes, want in zip(plan, merges, strict=True):
+        assert [(n.k, n.tail_k, n.head_k, n.offset) for n in nodes] == [w[1:] for w in want]
+
+
 def test_chunks_end_with_the_block(spark):
     got = grids.chunks(100, 40, 5)
     assert [(c.start, c.start + c.length) for c in got] == [(0, 40), (30, 70), (60, 100)]
