@@ -43,6 +43,22 @@ def transformed(df: DataFrame, keys: list[str], index: str, inverse: bool = Fals
     return z.select(*keys, F.posexplode(F.arrays_zip(F.col("z.re").alias("re"), F.col("z.im").alias("im"))).alias(index, "p")).select(*keys, F.col(index).cast("long").alias(index), "p.re", "p.im")
 
 
+def long_transformed(df: DataFrame, keys: list[str], index: str, n1: int, n2: int, inverse: bool = False) -> DataFrame:
+    """(keys, index, re, im): transforms of series of n1 times n2 samples each, which no task holds whole.
+
+    Samples n2 apart are transformed together, turned by the product of their
+    place and their frequency, and then those of one frequency are; so a task
+    holds n1 or n2 of them, and a series is two shuffles.
+    """
+    i, n = F.col(index), n1 * n2
+    apart = df.select(*keys, (i % n2).alias("_b"), F.floor(i / n2).cast("long").alias("_a"), "re", "im")
+    first = transformed(apart, [*keys, "_b"], "_a", inverse)
+    turn = (F.col("_a") * F.col("_b") % n) * F.lit((2 if inverse else -2) * np.pi / n)
+    c, s = F.cos(turn), F.sin(turn)
+    turned = first.select(*keys, "_a", "_b", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
+    return transformed(turned, [*keys, "_a"], "_b", inverse).select(*keys, (F.col("_a") + n1 * F.col("_b")).alias(index), "re", "im")
+
+
 def subchannel_frequencies(bands: DataFrame, channels: int, subs: int) -> DataFrame:
     """(bands, chan, sub, f): centres of the sub-channels of each band; bands: f_min, bandwidth and any others."""
     bw = F.col("bandwidth") / channels

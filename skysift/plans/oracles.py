@@ -236,6 +236,8 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "chirp_table": f"WITH {_chirp(q.SUBS, 2, OBS)} SELECT obs, chan, sub, bin, {r('re', 4)}, {r('im', 4)} FROM H",
         "complex_mul": f"WITH {E}, {S}, {_chirp(1)} SELECT S.fft, S.chan, S.pol, S.bin, {r('S.re * H.re - S.im * H.im', 3, 're')}, {r('S.re * H.im + S.im * H.re', 3, 'im')} FROM S JOIN H ON H.chan = S.chan AND H.bin = S.bin",
         "dft64": _dft("-", "", 3),
+        "long_dft": f"WITH {E}, L AS (SELECT r // {q.SERIES} AS series, (r % {q.SERIES}) * 64 + c AS i, x FROM E) SELECT series, k.k AS i, {r(f'sum(x * cos(2 * pi() * ((k.k * i) % {q.SERIES * 64}) / {q.SERIES * 64}))', 2, 're')}, {r(f'sum(-x * sin(2 * pi() * ((k.k * i) % {q.SERIES * 64}) / {q.SERIES * 64}))', 2, 'im')} FROM L CROSS JOIN range({q.SERIES * 64}) k(k) GROUP BY 1, 2",
+        "long_round_trip": f"WITH {E} SELECT r * 64 + c AS i, x AS re, CAST(0 AS DOUBLE) AS im FROM E",
         "idft64": _dft("", " / 64.0", 6),
         "dm_grid": f"SELECT obs, i.i, {r('10.0 + i.i * (dm / (2 + obs % 50))', 6, 'dm')} FROM ({OBS}) o CROSS JOIN range(60) i(i) WHERE i.i < floor((dm - 10.0) / (dm / (2 + obs % 50)))",
         "chunk_cut": f"WITH {W}, C AS (SELECT c.c AS chunk, greatest(0, least(c.c * {step}, n - {q.NBIN})) AS first FROM HE CROSS JOIN range(1000000) c(c) WHERE c.c <= (n - {2 * q.OVERLAP} - 1) // {step}) SELECT chan % 2 AS block, chunk, chan, t - first AS t, x FROM W JOIN C ON t >= first AND t < first + {q.NBIN}",

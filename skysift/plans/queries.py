@@ -400,6 +400,27 @@ def dft_round_trip(spark, d):
     return _r(spectral.transformed(spectral.transformed(z, ["r"], "c"), ["r"], "c", inverse=True), "re", "im")
 
 
+#: Rows of the matrix that make a series.
+SERIES = 25
+
+
+@query
+def long_dft(spark, d):
+    """Transforms of series over many rows; what the last one lacks is 0."""
+    m = matrix(spark, d).select((F.col("r") / SERIES).cast("long").alias("series"), (F.col("r") % SERIES * 64 + F.col("c")).alias("i"), "x")
+    full = m.select("series").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SERIES * 64 - 1).cast("long")))).join(m, ["series", "i"], "left")
+    return _r(spectral.long_transformed(full.select("series", "i", F.coalesce("x", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im")), ["series"], "i", SERIES, 64), "re", "im", digits=2)
+
+
+@query
+def long_round_trip(spark, d):
+    """All of the matrix as one series, there and back."""
+    m = matrix(spark, d)
+    n = m.agg(F.max("r")).first()[0] + 1
+    there = spectral.long_transformed(m.select((F.col("r") * 64 + F.col("c")).alias("i"), F.col("x").alias("re"), F.lit(0.0).alias("im")), [], "i", n, 64)
+    return _r(spectral.long_transformed(there, [], "i", 64, n, inverse=True), "re", "im", digits=5)
+
+
 def _samples(spark, d):
     """Embeddings as complex samples of two channels and polarisations, cut to chunks: (chunk, chan, pol, isamp, re, im)."""
     s = _spectrum(spark, d).withColumn("s", F.col("fft") * 32 + F.col("bin"))
