@@ -40,57 +40,30 @@ RANGE = 1_000_000
 
 
 class Dictionary(dict):
-    """Distinct words' numbers, and what a hash needs of each word: its crc32, that of a space and the word, and the bytes of both."""
+    """Distinct words' numbers; by number, each word's crc32 and the word with a space before it."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.fresh: list[bytes] = []
-        self.bare = np.empty(0, np.uint32)
-        self.crc = np.empty(0, np.uint32)
-        self.size = np.empty(0, np.int64)
+        self.crc: list[int] = []
+        self.spaced: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        self.fresh.append(word)
+        self.crc.append(zlib.crc32(word))
+        self.spaced.append(b" " + word)
         return n
 
     def restart(self) -> None:
         self.clear()
         self.__init__()
 
-    def learn(self) -> None:
-        """Hashes the words met since the last time, each once."""
-        if self.fresh:
-            self.bare = np.concatenate([self.bare, np.array([zlib.crc32(w) for w in self.fresh], np.uint32)])
-            self.crc = np.concatenate([self.crc, np.array([zlib.crc32(b" " + w) for w in self.fresh], np.uint32)])
-            self.size = np.concatenate([self.size, np.array([len(w) + 1 for w in self.fresh], np.int64)])
-            self.fresh = []
-
-
-@lru_cache(maxsize=256)
-def _tables(size: int) -> np.ndarray:
-    """What becomes of each byte of a checksum when so many bytes follow it: four tables of 256, one after the other."""
-    zeros = bytes(size)
-    none = zlib.crc32(zeros)
-    return np.array([zlib.crc32(zeros, b << shift) ^ none for shift in (0, 8, 16, 24) for b in range(256)], np.uint32)
-
 
 def tuple_hashes(rows: np.ndarray, seen: Dictionary) -> np.ndarray:
-    """crc32 of each tuple's words joined by spaces, from those of the words; rows: numbers of words.
-
-    A checksum with more bytes behind it is what it becomes after as many zeros,
-    exclusive-or the checksum of those bytes.
-    """
-    crc = seen.bare[rows[:, 0]]
+    """crc32 of the bytes of each tuple, its words joined by spaces, word after word; rows: numbers of words."""
+    crc = map(seen.crc.__getitem__, rows[:, 0].tolist())
     for j in range(1, rows.shape[1]):
-        sizes, which = np.unique(seen.size[rows[:, j]], return_inverse=True)
-        table = np.concatenate([_tables(int(n)) for n in sizes])
-        at = which * 1024
-        moved = table[at + (crc & 255)]
-        for k, shift in ((256, 8), (512, 16), (768, 24)):
-            moved ^= table[at + k + (crc >> np.uint32(shift) & np.uint32(255))]
-        crc = moved ^ seen.crc[rows[:, j]]
-    return crc
+        crc = map(zlib.crc32, map(seen.spaced.__getitem__, rows[:, j].tolist()), crc)
+    return np.fromiter(crc, np.int64, len(rows))
 
 
 def features(texts: list[str | None], seen: Dictionary, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +73,6 @@ def features(texts: list[str | None], seen: Dictionary, most: int, buckets: int)
     cut = [_WORDS(t.encode().lower()) if t else [] for t in texts]
     sizes = np.array([len(c) for c in cut], np.int64)
     ids = np.fromiter(map(seen.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-    seen.learn()
     owner = np.repeat(np.arange(len(texts)), sizes)
     at, of, code = [], [], ids
     for n in range(1, min(most, len(ids)) + 1):
@@ -113,7 +85,7 @@ def features(texts: list[str | None], seen: Dictionary, most: int, buckets: int)
             # Each distinct tuple is hashed once, and goes back to all its places.
             _, first, back = np.unique(code[places], return_index=True, return_inverse=True)
             hashes = tuple_hashes(ids[places[first][:, None] + np.arange(n)], seen)
-            at.append((hashes % np.uint32(buckets)).astype(np.int64)[back])
+            at.append((hashes % buckets)[back])
             of.append(owner[places])
     if not at:
         return np.empty(0, np.int64), np.empty(0, np.int64), sizes
