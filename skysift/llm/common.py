@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,10 @@ ROWS = 256
 BROADCAST_ROWS = 500_000
 
 
+#: Folders made since the innermost passing() began, and those outside it.
+_SCOPES: list[list[str]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +45,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    return str(fs.makeQualified(path).toString()).replace("file:/", "file:///", 1).replace("file://///", "file:///")
+    uri = str(fs.makeQualified(path).toString()).replace("file:/", "file:///", 1).replace("file://///", "file:///")
+    if _SCOPES:
+        _SCOPES[-1].append(uri)
+    return uri
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Folders made within go when it ends, but for the tables written by the function that it gives."""
+    own: list[str] = []
+    _SCOPES.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        own.pop()  # written() made its folder last
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -42,6 +42,19 @@ def path(name):
     return queries.vocabulary(name)
 
 
+def test_tables_of_a_stage_go_with_it(spark, docs):
+    from skysift.llm import common
+
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    with common.passing(spark) as keep:
+        inner = common.written(rows, "inner")
+        kept = keep(inner.where("doc_id > 3"), "kept")
+    assert sorted(kept.collect()) == sorted(r for r in rows.collect() if r.doc_id > 3)
+    with pytest.raises(Exception):
+        spark.read.parquet(inner.inputFiles()[0])
+    assert common.written(rows, "outer").count() == len(docs)
+
+
 # 1: chat
 
 
