@@ -57,17 +57,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, s
 FROM m GROUP BY doc_id
 """
 
-RESAMPLING = f"""
-WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+#: The checksum's table, and one step of it over the text in hexadecimal h.
+CRC = """bits AS (SELECT i, 0 AS k, i AS c FROM range(256) r(i)
     UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
-crc AS (SELECT i, c AS x FROM bits WHERE k = 8),
+crc AS (SELECT i, c AS x FROM bits WHERE k = 8)"""
+STEP = "substr(h, 3), xor(c // 256, x) FROM steps JOIN crc ON crc.i = xor(c % 256, 16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1) WHERE h <> ''"
+
+RESAMPLING = f"""
+WITH RECURSIVE {CRC},
 d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT {WORDS} AS w FROM benchmark),
 df AS (SELECT doc_id, unnest(list_concat(w, [w[p] || ' ' || w[p + 1] for p in range(1, len(w))])) AS f FROM d),
 bf AS (SELECT unnest(list_concat(w, [w[p] || ' ' || w[p + 1] for p in range(1, len(w))])) AS f FROM b),
 names AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf) u),
 steps AS (SELECT f, hex(f) AS h, 4294967295 AS c FROM names
-    UNION ALL SELECT f, substr(h, 3), xor(c // 256, x) FROM steps JOIN crc ON crc.i = xor(c % 256, 16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1) WHERE h <> ''),
+    UNION ALL SELECT f, {STEP}),
 bucket AS (SELECT f, xor(c, 4294967295) % 10000 AS k FROM steps WHERE h = ''),
 s AS (SELECT k, count(*) AS n FROM df JOIN bucket USING (f) GROUP BY 1),
 t AS (SELECT k, count(*) AS n FROM bf JOIN bucket USING (f) GROUP BY 1),
@@ -91,6 +95,37 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM r WHERE place <= 10
 """
 
+MEASURES = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+a AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS p FROM d),
+g AS (SELECT doc_id, p, a || ' ' || lead(a, 1) OVER o || ' ' || lead(a, 2) OVER o AS g FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+o AS (SELECT doc_id, g FROM g WHERE g IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT g.doc_id, unnest([p, p + 1, p + 2]) AS q FROM g JOIN o ON o.doc_id = g.doc_id AND o.g = g.g) x GROUP BY 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) x WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+"""
+
+BASE_SCORES = f"""
+WITH RECURSIVE {CRC},
+steps AS (SELECT doc_id, hex(CAST(doc_id AS VARCHAR)) AS h, 4294967295 AS c FROM documents UNION ALL SELECT doc_id, {STEP}),
+fold AS (SELECT doc_id, xor(c, 4294967295) % 10 = 0 AS held_out FROM steps WHERE h = ''),
+t AS (SELECT d.doc_id, held_out, unnest(list_append({RUNS}, chr(10))) AS token FROM documents d JOIN fold ON fold.doc_id = d.doc_id),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c ON c.token = t.token CROSS JOIN n GROUP BY doc_id, held_out, n
+"""
+
+PHRASES = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+a AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS p FROM d),
+b AS (SELECT doc_id, p, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+l AS (SELECT doc_id, p, CASE WHEN a = 'mit' AND b = 'license' THEN 'mit' WHEN a = 'apache' AND b = 'license' THEN 'apache' WHEN a = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' END AS label FROM b),
+f AS (SELECT doc_id, count(*) AS n, min(p) AS lo, max(p) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM l WHERE label IS NOT NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN f ON f.doc_id = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_tree": CHAT, "op2_decontamination": DECONTAMINATION, "op4_near_duplicates": NEAR_DUPLICATES, "op11_line_dedup": LINE_DEDUP, "op12_importance_resampling": RESAMPLING, "op13_ranked_search": SEARCH}
+    return {"op1_chat_prefix_tree": CHAT, "op2_decontamination": DECONTAMINATION, "op4_near_duplicates": NEAR_DUPLICATES, "op11_line_dedup": LINE_DEDUP, "op12_importance_resampling": RESAMPLING, "op13_ranked_search": SEARCH, "quality_measures": MEASURES, "lm_base_scores": BASE_SCORES, "license_phrases": PHRASES}

@@ -85,6 +85,23 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
 
 
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 measures of every text, before any cutoff."""
+    found = quality.measure(table(spark, sf_dir, "documents"), ["lang"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts behind op7 and its base score."""
+    found = lm.score(table(spark, sf_dir, "documents"), folds=10)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where op8 finds the base phrases."""
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_prefix_tree": op1_chat_prefix_tree,
@@ -100,4 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_line_dedup": op11_line_dedup,
         "op12_importance_resampling": op12_importance_resampling,
         "op13_ranked_search": op13_ranked_search,
+        "quality_measures": quality_measures,
+        "lm_base_scores": lm_base_scores,
+        "license_phrases": license_phrases,
     }
