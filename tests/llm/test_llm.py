@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -337,6 +338,18 @@ def test_toxicity_scores_equal_a_plain_convolution(text):
     assert math.isclose(m.score([text, "other text"])[0], 1 / (1 + math.exp(-z)), rel_tol=1e-4)
 
 
+def test_toxicity_sample_passes_over_a_text_without_room(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    rows = [(i, "x" * (5000 if i % 3 == 0 else 50), "en") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    got = toxicity.sample(df, labels, 5)
+    for t in (0, 1):
+        mine = [r for r in got if r["_toxic"] == t]
+        want = [i for i, x, _ in rows if i % 2 == t and len(x) == 50 and zlib.crc32(str(i).encode()) % 5]
+        assert len(mine) == min(len(want), 40) and all(len(r.text) == 50 for r in mine)
+
+
 def test_toxicity_query(spark):
     got = queries.op5_toxicity(spark, SF)
     assert got.count() == 200 and got.where("predicted <> int(score >= 0.5)").count() == 0
@@ -403,10 +416,24 @@ def test_quality_verdicts_equal_brute_force(spark):
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1)], "doc_id long, quality int")
     got = quality.verdicts(odd, labels)
-    assert got.count() == odd.count() and got.where("kept and base_failed").count() == 0
+    want = sorted((str(r.doc_id), *brute.measures(r.text)) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got.collect()) == want
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed) for r in got.collect())
     assert quality.verdicts(none, labels).count() == 0 and quality.verdicts(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_quality_bounds_count_a_repeated_document_once(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=60)) + (" #$% " * 12 if i % 8 == 0 else ""), "en", int(i % 8 != 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    labels = df.select("doc_id", "quality")
+    once, twice = (quality.calibrate(quality.measure(x, ["lang"]), labels, "lang", 0.005, 0.05) for x in (df, df.unionByName(df).unionByName(df)))
+    assert once and once == twice
+    few = df.where("doc_id < 1200")
+    assert quality.calibrate(quality.measure(few.unionByName(few).unionByName(few).unionByName(few), ["lang"]), labels, "lang", 0.005, 0.05) == quality.calibrate(quality.measure(few, ["lang"]), labels, "lang", 0.005, 0.05)
+
+
 # 7: language model
 
 
@@ -485,9 +512,34 @@ def test_lm_knows_bigrams_that_occur_once(spark):
         assert abs(r.score - want) < 0.12 * r.n_tokens
 
 
+def test_lm_scores_on_documents_equal_exact_counts(spark, docs):
+    """Counts are read back in steps of a quarter, so a token's probability is right within a few hundredths."""
+    tokens = {i: [w.lower() if w.isascii() else w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in brute.RUN.findall(t or "")] for i, t in docs}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    uni = Counter(w for t in train for w in [*t, ""])
+    bi = Counter(p for t in train for p in zip(["", *t], [*t, ""], strict=True))
+    mass = Counter()
+    for (h, _), n in bi.items():
+        mass[h] += n - lm.DISCOUNT
+    total, kinds = sum(uni.values()), len(uni)
+    off, wants, gots = [], [], []
+    for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        t, want = tokens[r.doc_id], 0.0
+        for h, w in zip(["", *t], [*t, ""], strict=True):
+            p = (uni[w] + 0.1) / (total + 0.1 * (kinds + 1))
+            want += math.log10(max(bi[h, w] - lm.DISCOUNT, 0) / uni[h] + (1 - mass[h] / uni[h]) * p if uni[h] else p)
+        off.append(abs(r.score - want) / r.n_tokens)
+        wants.append(want / r.n_tokens)
+        gots.append(r.score / r.n_tokens)
+    assert np.mean(off) < 0.04 and max(off) < 0.15 and np.corrcoef(wants, gots)[0, 1] > 0.99
+
+
 def test_lm_odd_rows(spark, odd, none):
     got = lm.score(odd).collect()
-    assert len(got) == odd.count() and all(r.score < 0 or r.n_tokens for r in got)
+    texts = [(r.doc_id, r.text) for r in odd.collect()]
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(brute.RUN.findall(t or "")) + 1) for i, t in texts)
+    assert all(r.score < 0 and r.base_score < 0 and r.n_known <= r.n_tokens for r in got)
+    assert len({r.score for r in got if r.doc_id == 4}) == 1 and [r.doc_id for r in got].count(4) == 2  # a row each, scored alike
     assert lm.score(none).count() == 0
 
 
