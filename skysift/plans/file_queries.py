@@ -99,6 +99,12 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("block", F.regexp_extract("file", "[0-9]+", 0).cast("long") * BLOCKS + F.col("block")).drop("file")
 
 
+@query
+def indexed_samples(spark, d):
+    """All samples by way of the index, which tasks make of the files' headers."""
+    return raw.samples(_numbered(raw.channels(raw.index(spark, recordings(spark, d)))))
+
+
 @query
 def raw_chunks(spark, d):
     """Overlapping chunks of every block, where they lie and what they own."""

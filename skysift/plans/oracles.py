@@ -161,6 +161,7 @@ def _files(z: str) -> dict[str, str]:
     return {
         "raw_headers": "SELECT b.block, c.chan, CAST(8 AS INTEGER) AS nbits, CAST(4 AS INTEGER) AS npol, CAST(2 AS INTEGER) AS nchan, CAST(0.5 AS DOUBLE) AS chan_bw, CAST(1400 AS DOUBLE) AS obs_freq, 'GBT' AS telescope, CAST(128 AS INTEGER) AS bytes FROM (SELECT DISTINCT vec_id // 4 AS block FROM embeddings) b CROSS JOIN range(2) c(chan)",
         "raw_samples": f"WITH {cells} SELECT * FROM N",
+        "indexed_samples": f"WITH {cells} SELECT * FROM N",
         "raw_blocks": f"WITH {cells} SELECT * FROM N WHERE block IN (1, 3, 7)",
         "raw_frames": f"WITH {cells}, K AS (SELECT DISTINCT block, chan, pol FROM N) SELECT k.block, k.chan, k.pol, f.fft, b.bin, {frames} FROM K k CROSS JOIN range(4) f(fft) CROSS JOIN range(12) b(bin) LEFT JOIN N n ON n.block = k.block AND n.chan = k.chan AND n.pol = k.pol AND n.isamp = b.bin + 8 * f.fft - 2",
         "plane_frames": f"WITH {E}, {v}, M AS (SELECT c % 4 AS plane, r * 16 + c // 4 AS pl, v FROM V), N AS (SELECT pl % 8 AS chan, CAST(plane // 2 AS INTEGER) AS pol, pl // 8 AS isamp, sum(CASE WHEN plane % 2 = 0 THEN v END) AS re, sum(CASE WHEN plane % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3), K AS (SELECT DISTINCT chan, pol FROM N) SELECT k.chan, k.pol, f.fft, b.bin, {frames} FROM K k CROSS JOIN (SELECT unnest(range((SELECT (max(isamp) + 1) // 10 FROM N))) AS fft) f CROSS JOIN range(14) b(bin) LEFT JOIN N n ON n.chan = k.chan AND n.pol = k.pol AND n.isamp = b.bin + 10 * f.fft - 2",

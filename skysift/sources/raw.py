@@ -217,6 +217,21 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return cut(table.mapInArrow(run, BLOCKS))
 
 
+def channels(blocks: DataFrame) -> DataFrame:
+    """(file, block, chan, nbits, npol, data) of index()'s blocks, each read by a task; a filter on the blocks leaves the others unread."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open_file(r["paths"][0]) as f:
+                    for i in range(r["nchan"]):
+                        row = {k: r[k] for k in ("file", "block", "nbits", "npol")} | {"chan": r["nchan"] - 1 - i if r["descending"] else i, "data": f.read_at(r["stride"], r["offset"] + i * r["stride"])}
+                        yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    kinds = pa.schema([("file", pa.string()), ("block", pa.int64()), ("chan", pa.int64()), ("nbits", pa.int32()), ("npol", pa.int32()), ("data", pa.binary())])
+    return dealt(blocks).mapInArrow(run, "file string, block long, chan long, nbits int, npol int, data binary")
+
+
 def chunk_table(blocks: DataFrame, length: int, overlap: int) -> DataFrame:
     """CHUNKS of the blocks: so many samples each, two overlaps more than the step, the last one ending with its block.
 
@@ -234,9 +249,9 @@ def chunk_table(blocks: DataFrame, length: int, overlap: int) -> DataFrame:
     return rows.withColumns({"own_from": own_from.cast("long"), "own_to": own_to.cast("long")}).drop("last")
 
 
-def dealt(chunks: DataFrame) -> DataFrame:
-    """Every chunk a task of its own, if there are not very many; rows are only places in files."""
-    return chunks.repartition(max(1, min(100_000, chunks.count())))
+def dealt(places: DataFrame) -> DataFrame:
+    """Every chunk or block a task of its own, if there are not very many; rows are only places in files."""
+    return places.repartition(max(1, min(100_000, places.count())))
 
 
 class Voltages:
