@@ -154,6 +154,25 @@ def _dft(sign: str, scale: str, digits: int) -> str:
     return f"WITH {E} SELECT E.r, k.k AS c, {r(f'sum(E.x * cos({angle})){scale}', digits, 're')}, {r(f'sum({sign}E.x * sin({angle})){scale}', digits, 'im')} FROM E CROSS JOIN range(64) k(k) GROUP BY 1, 2"
 
 
+def _plans() -> str:
+    """The truncating plan in SQL of its own, in single precision where the results hang on it."""
+    n, rows = q.PLANNED
+    steps = n.bit_length() - 1
+    part = lambda a, b: f"(1 / (CAST({a} AS DOUBLE) * CAST({a} AS DOUBLE)) - 1 / (CAST({b} AS DOUBLE) * CAST({b} AS DOUBLE)))"
+    deep = lambda a, b: f"CAST(ceil({part(a, b)} / {part('lo', 'hi')} * {rows - 1}.0::DOUBLE) AS BIGINT)"
+    ctes = [
+        f"O AS (SELECT obs, CAST(f_min AS FLOAT) AS lo, CAST(f_max AS FLOAT) AS hi FROM ({OBS}) o)",
+        f"X AS (SELECT obs, lo, hi, i.i, CASE WHEN i.i = {n} THEN hi ELSE lo + CAST(i.i AS FLOAT) * (hi - lo) / CAST({n} AS FLOAT) END AS f FROM O CROSS JOIN range({n + 1}) i(i))",
+        f"L0 AS (SELECT obs, i AS sub, first, first + 1 AS n FROM (SELECT obs, i, {deep('lo', f'(lo + (hi - lo) / CAST({n} AS FLOAT))')} AS first FROM X WHERE i < {n}) x)",
+    ]
+    for s in range(1, steps + 1):
+        w = 1 << s
+        ctes.append(f"L{s} AS (SELECT a.obs, a.i // {w} AS sub, {deep('a.f', 'c.f').replace('(lo', '(a.lo').replace('CAST(lo', 'CAST(a.lo').replace('CAST(hi', 'CAST(a.hi')} + 1 AS n, CAST({part('a.f', 'b.f')} / {part('a.f', 'c.f')} AS FLOAT) AS c0, CAST({part('b.f', 'c.f')} / {part('a.f', 'c.f')} AS FLOAT) AS c1 FROM X a JOIN X b ON b.obs = a.obs AND b.i = a.i + {w // 2} JOIN X c ON c.obs = a.obs AND c.i = a.i + {w} WHERE a.i % {w} = 0)")
+        ctes.append(f"S{s} AS (SELECT l.obs, CAST({s} AS BIGINT) AS step, l.sub, k.k, least(CAST(trunc(l.c0 * CAST(k.k AS FLOAT)) AS BIGINT), t.n - 1) AS tail_k, least(CAST(trunc(l.c1 * CAST(k.k AS FLOAT)) AS BIGINT), h.n - 1) AS head_k, CAST(trunc(l.c0 * CAST(k.k AS FLOAT)) AS BIGINT) AS late FROM L{s} l JOIN L{s - 1} t ON t.obs = l.obs AND t.sub = 2 * l.sub JOIN L{s - 1} h ON h.obs = l.obs AND h.sub = 2 * l.sub + 1 CROSS JOIN range({2 * rows}) k(k) WHERE k.k < l.n)")
+    every = " UNION ALL ".join(f"SELECT * FROM S{s}" for s in range(1, steps + 1))
+    return f"WITH {', '.join(ctes)} SELECT e.*, f.first FROM ({every}) e JOIN (SELECT DISTINCT obs, first FROM L0) f ON f.obs = e.obs"
+
+
 def _files(z: str) -> dict[str, str]:
     v = "V AS (SELECT r, c, CAST(((CAST(x AS BIGINT) % 256) + 256) % 256 - 128 AS DOUBLE) AS v FROM E)"
     cells = f"{E}, {v}, M AS (SELECT r // 4 AS block, (r // 2) % 2 AS chan, (r % 2) * 64 + c AS pl, v FROM V), N AS (SELECT block, chan, CAST((pl // 2) % 2 AS INTEGER) AS pol, pl // 4 AS isamp, sum(CASE WHEN pl % 2 = 0 THEN v END) AS re, sum(CASE WHEN pl % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3, 4)"
@@ -254,6 +273,7 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "header_normalise": "SELECT c_custkey AS k, abs(c_acctbal) AS chan_bw, c_acctbal >= 0 AS straight_order FROM customer",
     }
     o |= _files(z) | _recorded()
+    o["transform_plans"] = _plans()
     o["recording_stream"] = o["recording_search"]
     o["command_line"] = f"SELECT block, chunk, n, mt, mdt, mwidth, num, {r('msnr', 4)} FROM ({_recorded(fq.command_plan())['recording_search']}) q"
     a, b, one, odd = fdmt(q.truncating()), fdmt(q.rounding()), fdmt(q.truncating(), "1", x="1.0"), fdmt(q.truncating(q.ODD))

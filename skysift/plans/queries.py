@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -354,6 +355,26 @@ def search_parts(p: coherent.SearchPlan = SEARCH):
     return {c: list(range(first + 1)) for c in range(p.rows)}, plan
 
 
+#: Channels and rows of the plans that observations have.
+PLANNED = (8, 16)
+
+
+@query
+def transform_plans(spark, d):
+    """The transform's plan for every observation: which rows of an iteration are added, and by how much the second is late."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                first, plan = grids.truncating_plan(PLANNED[0], r.f_min, r.f_max, PLANNED[1])
+                rows += [(r.obs, first, step, n.sub, n.k, n.tail_k, n.head_k, n.offset) for step, nodes in enumerate(plan, 1) for n in nodes]
+            yield pd.DataFrame(rows, columns=["obs", "first", "step", "sub", "k", "tail_k", "head_k", "late"])
+
+    o = observations(spark, d).select("obs", "f_min", "f_max")
+    return o.mapInPandas(run, "obs long, first long, step long, sub long, k long, tail_k long, head_k long, late long")
+
+
 def _image(w: DataFrame, parts) -> DataFrame:
     return dedisp.image_of(dedisp.transform(w, *parts))
 
