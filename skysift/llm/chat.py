@@ -32,6 +32,8 @@ from skysift.llm.common import ROWS, checkpointed, map_rows, written
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 DIGEST = 16
+#: Conversations of a range, about.
+RANGE = 100_000
 _BACK = {"\\": "\\", "l": "<", "n": "\n"}
 _ESCAPE = re.compile(r"\\(.)")
 
@@ -155,7 +157,7 @@ def prefix_trees(conversations: DataFrame, trained: str = "assistant") -> DataFr
     Turns are ordered by turn, then role and text; null roles and texts are
     empty, a null turn comes first, rows without conv_id are one conversation;
     a copy of a conversation has no text of its own.  A conversation is one row,
-    so its turns must fit in a task's memory.  Other columns don't matter; an
+    so its turns must fit in a task's memory; a range has about ``RANGE`` of them at most.  Other columns don't matter; an
     empty table gives no row.
     """
     turn = F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -175,7 +177,7 @@ def prefix_trees(conversations: DataFrame, trained: str = "assistant") -> DataFr
         return {"conv_id": rows["conv_id"], "path": paths, "turns": turns}
 
     convs = written(map_rows(grouped, shape, _CONV, "conv_id long, path binary, turns array<struct<text:string,a:long,b:long>>"), "conversations")
-    parts = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions")), convs.count() // RANGE + 1)
     ordered = checkpointed(convs.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id"))
     # One row per range comes to the driver, and goes to every task: a path of digests and places for each range.
     enter = _enter(ordered.mapInArrow(_summary, "part long, first binary, lengths array<long>, last binary, starts array<long>, segments array<long>, cursor long").collect())
