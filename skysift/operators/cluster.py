@@ -136,9 +136,13 @@ def delegates(grouped: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return best.select(*keys, (-F.col("m.a")).alias("mt"), (-F.col("m.b")).alias("mdt"), (-F.col("m.c")).alias("mwidth"), F.col("m.msnr").alias("msnr"), "num")
 
 
-def ranked(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Delegates numbered from 1 by time, in each of the keys; found is read three times, so it is computed once beforehand."""
-    return numbered(cut(found), keys or [], "mt", ["mdt", "mwidth"], "n").withColumn("n", F.col("n") + 1)
+def ranked(found: DataFrame, keys: list[str] | None = None, few: int = FEW) -> DataFrame:
+    """Delegates numbered from 1 by time, in each of the keys; computed once, a few of them numbered in one task, more in tiles."""
+    keys, found = keys or [], cut(found)
+    if found.limit(few + 1).count() <= few:
+        at = Window.partitionBy(F.lit(0), *keys).orderBy("mt", "mdt", "mwidth")
+        return found.withColumn("n", F.row_number().over(at).cast("long"))
+    return numbered(found, keys, "mt", ["mdt", "mwidth"], "n").withColumn("n", F.col("n") + 1)
 
 
 def segment_rank(cand: DataFrame, segment: list[str], axis: str, ties: list[str]) -> DataFrame:

@@ -297,6 +297,27 @@ def test_command_line_searches_a_recording(spark, tmp_path):
     assert f"Numbers of Successful Chunks: {chunks_}" in log and f"Length of Chunk: {plan.length}" in log
 
 
+def test_command_line_reports_once_over_a_folder(spark, tmp_path):
+    """Recordings of a folder are told apart, trials are shared by tasks, and what two chunks see is one line."""
+    from skysift import __main__ as cli
+
+    into = tmp_path / "in"
+    into.mkdir()
+    voltages(into, at=108, blocks=2)
+    voltages(into, name="b.raw", at=108, seed=3)
+    given = ["-n", str(into), "-P", "5e-7", "-b", "9", "-k", "0.002", "-d", "4", "--d-min", "0.0005", "--nbin", "64", "--nfft", "4", "--parts", "2"]
+    for once in (False, True):
+        out = str(tmp_path / f"out{once}")
+        plan = cli.run(spark, cli.options([*given, "-N", out, *(["--once"] if once else [])]))
+        got = spark.read.text(f"{out}/delegates")
+        assert set(got.columns) == {"value", "file", "block"} | (set() if once else {"chunk"})
+        assert {(r.file, r.block) for r in got.collect()} == {("a.raw", 0), ("a.raw", 1), ("b.raw", 0)} and len(plan.dms) > 1
+        found = [int(r.value[10:20]) for r in got.where("file = 'b.raw'").collect()]
+        assert found
+        if once:
+            assert all(abs(t * plan.subs - 108) < 60 for t in found)
+
+
 def test_a_frame_too_short_for_its_overlap_is_an_error():
     from skysift import __main__ as cli
 
@@ -639,6 +660,9 @@ def test_clusters_are_the_same_by_ranges_and_in_one_task(spark, keys):
         for gaps in ((2, 1, 2), (1, 0, 0), (200, 3, 1)):
             got, want = (rows(cluster.clusters(cand if keys else cand.drop("file"), gaps, keys, few)) for few in (0, 10_000))
             assert got == want and len(want) == 900
+        best = cluster.delegates(cluster.clusters(cand, (2, 1, 2), ["file"]), ["file"])
+        numbers = [rows(cluster.ranked(best if keys else best.drop("file").dropDuplicates(["mt", "mdt", "mwidth"]).cache(), keys, few)) for few in (0, 10_000)]
+        assert numbers[0] == numbers[1]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     one = cluster.gap_groups(cand, keys, "mt", 2, "g1")
