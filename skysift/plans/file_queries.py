@@ -229,7 +229,7 @@ def float_dump(spark, d):
 def chunk_logs(spark, d):
     """Delegates of every chunk as logs, one for each, written as a whole and read back."""
     sinks.register(spark)
-    found = cluster.ranked(_cand(spark, d)).select(F.col("mdt").alias("block"), (F.col("mt") / 100).cast("long").alias("chunk"), "n", "mt", "mdt", "mwidth", "msnr", F.lit(1).alias("num"))
+    found = cluster.ranked(_cand(spark, d)).select(F.col("mdt").alias("block"), (F.col("mt") / 240).cast("long").alias("chunk"), "n", "mt", "mdt", "mwidth", "msnr", F.lit(1).alias("num"))
     out = scratch(spark, "logs")
     sinks.log_lines(found, files.delegate_line(0.0, 0.001), ["n"]).write.format("chunk_logs").mode("append").save(out)
     lines = spark.read.text(out).withColumn("name", F.regexp_replace(F.input_file_name(), "%20", " "))

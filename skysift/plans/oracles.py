@@ -173,6 +173,24 @@ def _plans() -> str:
     return f"WITH {', '.join(ctes)} SELECT e.*, f.first FROM ({every}) e JOIN (SELECT DISTINCT obs, first FROM L0) f ON f.obs = e.obs"
 
 
+def _rounded_plans() -> str:
+    """The rounding plan in SQL of its own, in single precision where the results hang on it."""
+    n = q.PLANNED[0]
+    steps = n.bit_length() - 1
+    part = lambda a, b: f"(1 / (CAST({a} AS DOUBLE) * CAST({a} AS DOUBLE)) - 1 / (CAST({b} AS DOUBLE) * CAST({b} AS DOUBLE)))"
+    share = lambda a, b, c, d: f"CAST({part(a, b)} / {part(c, d)} AS FLOAT)"
+    near = lambda x: f"CAST(floor(CAST({x} AS DOUBLE) + 0.5::DOUBLE) AS BIGINT)"
+    ctes = [f"O AS (SELECT obs, lo, hi, (hi - lo) / CAST({n} AS FLOAT) AS w FROM (SELECT obs, CAST(f_min AS FLOAT) AS lo, CAST(f_max AS FLOAT) AS hi FROM ({OBS}) o) p)"]
+    for s in range(steps + 1):
+        wide = f"(w * CAST({1 << s} AS FLOAT))"
+        ctes.append(f"B{s} AS (SELECT *, a + {wide} AS b, a + {wide} / CAST(2 AS FLOAT) AS m FROM (SELECT O.*, i.i AS sub, {wide} * CAST(i.i AS FLOAT) + lo AS a FROM O CROSS JOIN range({n >> s}) i(i)) x)")
+        ctes.append(f"D{s} AS (SELECT *, {near(f'CAST({q.DT_MAX} AS FLOAT) * ' + share('a', 'b', 'lo', 'hi'))} + 1 AS n, {share('a', '(m - w / CAST(2 AS FLOAT))', 'a', 'b')} AS lead, {share('a', '(m + w / CAST(2 AS FLOAT))', 'a', 'b')} AS trail FROM B{s})")
+        if s:
+            ctes.append(f"S{s} AS (SELECT l.obs, CAST({s} AS BIGINT) AS step, l.sub, k.k, least({near('CAST(k.k AS FLOAT) * l.lead')}, t.n - 1) AS tail_k, least(greatest(k.k - {near('CAST(k.k AS FLOAT) * l.trail')}, 0), h.n - 1) AS head_k, {near('CAST(k.k AS FLOAT) * l.trail')} AS late FROM D{s} l JOIN D{s - 1} t ON t.obs = l.obs AND t.sub = 2 * l.sub JOIN D{s - 1} h ON h.obs = l.obs AND h.sub = 2 * l.sub + 1 CROSS JOIN range({q.DT_MAX + 2}) k(k) WHERE k.k < l.n)")
+    every = " UNION ALL ".join(f"SELECT * FROM S{s}" for s in range(1, steps + 1))
+    return f"WITH {', '.join(ctes)} SELECT e.*, f.n AS delays FROM ({every}) e JOIN D{steps} f ON f.obs = e.obs"
+
+
 def _files(z: str) -> dict[str, str]:
     v = "V AS (SELECT r, c, CAST(((CAST(x AS BIGINT) % 256) + 256) % 256 - 128 AS DOUBLE) AS v FROM E)"
     cells = f"{E}, {v}, M AS (SELECT r // 4 AS block, (r // 2) % 2 AS chan, (r % 2) * 64 + c AS pl, v FROM V), N AS (SELECT block, chan, CAST((pl // 2) % 2 AS INTEGER) AS pol, pl // 4 AS isamp, sum(CASE WHEN pl % 2 = 0 THEN v END) AS re, sum(CASE WHEN pl % 2 = 1 THEN v END) AS im FROM M GROUP BY 1, 2, 3, 4)"
@@ -198,7 +216,7 @@ def _files(z: str) -> dict[str, str]:
         "run_logs": "SELECT DISTINCT o_orderkey % 50 AS run, o_custkey % 40 AS chunk FROM orders",
         "array_ranges": f"WITH {E} SELECT r, c, x FROM E",
         "float_dump": f"WITH {E} SELECT r * 64 + c AS i, x FROM E",
-        "chunk_logs": f"{z}, {cand(q.WIDTHS)}, N AS (SELECT *, row_number() OVER (ORDER BY mt, mdt, mwidth) AS n FROM C), O AS (SELECT DISTINCT mdt AS block, mt // 100 AS chunk FROM N) SELECT mdt AS block, mt // 100 AS chunk, lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') || lpad('1', 10, ' ') AS line FROM N UNION ALL SELECT block, chunk, lpad('N', 10, ' ') || lpad('t, bin', 10, ' ') || lpad('t, sec', 10, ' ') || lpad('dedisp', 10, ' ') || lpad('width', 10, ' ') || lpad('SNR', 10, ' ') || lpad('num', 10, ' ') FROM O",
+        "chunk_logs": f"{z}, {cand(q.WIDTHS)}, N AS (SELECT *, row_number() OVER (ORDER BY mt, mdt, mwidth) AS n FROM C), O AS (SELECT DISTINCT mdt AS block, mt // 240 AS chunk FROM N) SELECT mdt AS block, mt // 240 AS chunk, lpad(CAST(n AS VARCHAR), 10, ' ') || lpad(CAST(mt AS VARCHAR), 10, ' ') || lpad(printf('%.6f', mt * 0.001), 10, ' ') || lpad(CAST(mdt AS VARCHAR), 10, ' ') || lpad(CAST(mwidth AS VARCHAR), 10, ' ') || lpad(printf('%.6f', msnr), 10, ' ') || lpad('1', 10, ' ') AS line FROM N UNION ALL SELECT block, chunk, lpad('N', 10, ' ') || lpad('t, bin', 10, ' ') || lpad('t, sec', 10, ' ') || lpad('dedisp', 10, ' ') || lpad('width', 10, ' ') || lpad('SNR', 10, ' ') || lpad('num', 10, ' ') FROM O",
         "image_files": f"WITH {E} SELECT (SELECT max(r) FROM E) - r AS r, c, abs(CAST(trunc(x * 255.0 / (SELECT max(abs(x)) FROM E)) AS BIGINT)) AS level FROM E",
     }
 
@@ -273,7 +291,7 @@ SELECT l_returnflag, n, lo AS min_v, hi AS max_v, {r('m', 5, 'mean_v')}, {r('m2
         "header_normalise": "SELECT c_custkey AS k, abs(c_acctbal) AS chan_bw, c_acctbal >= 0 AS straight_order FROM customer",
     }
     o |= _files(z) | _recorded()
-    o["transform_plans"] = _plans()
+    o["transform_plans"], o["rounding_plans"] = _plans(), _rounded_plans()
     o["recording_stream"] = o["recording_search"]
     o["command_line"] = f"SELECT block, chunk, n, mt, mdt, mwidth, num, {r('msnr', 4)} FROM ({_recorded(fq.command_plan())['recording_search']}) q"
     a, b, one, odd = fdmt(q.truncating()), fdmt(q.rounding()), fdmt(q.truncating(), "1", x="1.0"), fdmt(q.truncating(q.ODD))

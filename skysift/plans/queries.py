@@ -375,6 +375,22 @@ def transform_plans(spark, d):
     return o.mapInPandas(run, "obs long, first long, step long, sub long, k long, tail_k long, head_k long, late long")
 
 
+@query
+def rounding_plans(spark, d):
+    """The same of the plan whose delays are rounded."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                _, plan, last = grids.rounding_plan(PLANNED[0], r.f_min, r.f_max, DT_MAX)
+                rows += [(r.obs, len(last), step, n.sub, n.k, n.tail_k, n.head_k, n.offset) for step, nodes in enumerate(plan, 1) for n in nodes]
+            yield pd.DataFrame(rows, columns=["obs", "delays", "step", "sub", "k", "tail_k", "head_k", "late"])
+
+    o = observations(spark, d).select("obs", "f_min", "f_max")
+    return o.mapInPandas(run, "obs long, delays long, step long, sub long, k long, tail_k long, head_k long, late long")
+
+
 def _image(w: DataFrame, parts) -> DataFrame:
     return dedisp.image_of(dedisp.transform(w, *parts))
 
