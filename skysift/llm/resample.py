@@ -4,8 +4,9 @@ Texts are turned to numbers: distinct words get numbers from a dictionary, an
 n-gram is the tuple of its words' numbers, and only distinct tuples are hashed,
 as the bytes of their words and spaces, and their hashes joined back to all
 their places.  The dictionary lives in the worker and is bounded; a full one
-starts afresh, which changes no result.  A task gives its counts of the buckets, so what is
-shuffled and collected is one number for each bucket, whatever the corpus.
+starts afresh, which changes no result.  A task gives its counts of the buckets,
+so what is shuffled and collected is one number for each bucket, whatever the
+corpus.
 
 Nulls and edges: a null or empty text has no features and weight 0; a null
 doc_id is hashed as empty text and comes last among ties; repeated rows are
@@ -31,8 +32,8 @@ from skysift.llm.common import checkpointed, free, written
 
 #: Words of lower-cased UTF-8: digits, letters and all bytes of other code points.
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
-#: Words that a worker remembers.
-WORDS = 500_000
+#: Words that a worker remembers, and their bytes.
+WORDS, WORD_BYTES = 500_000, 32 << 20
 #: Bytes of text turned to numbers at once.
 AT_ONCE = 1 << 22
 #: Rows of a range of the order, about.
@@ -46,11 +47,13 @@ class Dictionary(dict):
         super().__init__()
         self.crc: list[int] = []
         self.spaced: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.crc.append(zlib.crc32(word))
         self.spaced.append(b" " + word)
+        self.bytes += len(word)
         return n
 
     def restart(self) -> None:
@@ -68,7 +71,7 @@ def tuple_hashes(rows: np.ndarray, seen: Dictionary) -> np.ndarray:
 
 def features(texts: list[str | None], seen: Dictionary, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and text of every run of 1 to ``most`` words of the texts, with repeats, and each text's number of words."""
-    if len(seen) > WORDS:
+    if len(seen) > WORDS or seen.bytes > WORD_BYTES:
         seen.restart()
     cut = [_WORDS(t.encode().lower()) if t else [] for t in texts]
     sizes = np.array([len(c) for c in cut], np.int64)
