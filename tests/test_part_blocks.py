@@ -10,6 +10,7 @@ NAMES = [
     "indexed_samples",
     "raw_blocks",
     "raw_frames",
+    "raw_headers",
 ]
 
 
