@@ -9,21 +9,27 @@ from pyspark.sql import functions as F
 def overlap_frames(samples: DataFrame, nbin: int, nfft: int, overlap: int, keys: list[str], values: list[str]) -> DataFrame:
     """Frames of nbin samples that overlap by ``overlap`` on each side: (keys, fft, bin, values), 0 outside the samples.
 
-    samples: (keys, isamp, values), one for each isamp below (nbin - 2 overlap) nfft.
+    samples: (keys, isamp, values), one for each isamp below (nbin - 2 overlap) nfft,
+    or some more: these end the last frame, as far as it reaches.
     Each goes to the few frames that hold it; only the edges before the first and
-    after the last sample are made up, 2 overlap rows for each of the keys.
+    after the last sample are made up, 2 overlap rows for each of the keys at most.
     """
     step = nbin - 2 * overlap
     if step < overlap:
         raise ValueError("a frame must hold more than three overlaps")
     last = f"least(floor((isamp + {overlap}) / {step}), {nfft - 1})"
     first = f"greatest(ceil((isamp + {overlap - nbin + 1}) / {step}), 0)"
-    inner = samples.select(*keys, "isamp", *values, F.explode(F.expr(f"sequence(cast({first} as bigint), cast({last} as bigint))")).alias("fft"))
+    held = samples.where(f"{first} <= {last}")  # samples after the last frame have none
+    inner = held.select(*keys, "isamp", *values, F.explode(F.expr(f"sequence(cast({first} as bigint), cast({last} as bigint))")).alias("fft"))
     inner = inner.select(*keys, "fft", (F.col("isamp") + overlap - step * F.col("fft")).alias("bin"), *values)
     if not overlap:
         return inner
+    if nfft < 1:
+        return inner
     edge = F.explode(F.expr(f"flatten(transform(sequence(0, {overlap - 1}), i -> array(struct(0L as fft, cast(i as bigint) as bin), struct({nfft - 1}L as fft, cast({nbin - overlap} + i as bigint) as bin))))"))
-    outer = samples.select(*keys).distinct().select(*keys, edge.alias("e")) if keys else samples.limit(1).select(edge.alias("e"))
+    outer = samples.groupBy(*keys).agg(F.max("isamp").alias("_last")).select(*keys, "_last", edge.alias("e"))
+    at = F.col("e.bin") - overlap + step * F.col("e.fft")
+    outer = outer.where((at < 0) | (at > F.col("_last")))
     return inner.unionByName(outer.select(*keys, "e.fft", "e.bin", *[F.lit(0).cast(samples.schema[v].dataType).alias(v) for v in values]))
 
 

@@ -14,6 +14,7 @@ NAMES = [
     "raw_samples",
     "raw_where",
     "direct_samples",
+    "plane_frames",
 ]
 
 
