@@ -15,6 +15,7 @@ NAMES = [
     "raw_where",
     "direct_samples",
     "plane_frames",
+    "coherent_images",
 ]
 
 
