@@ -16,6 +16,7 @@ NAMES = [
     "direct_samples",
     "plane_frames",
     "coherent_images",
+    "coherent_search",
 ]
 
 
