@@ -17,6 +17,7 @@ NAMES = [
     "plane_frames",
     "coherent_images",
     "coherent_search",
+    "recording_search",
 ]
 
 
