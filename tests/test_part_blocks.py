@@ -18,6 +18,7 @@ NAMES = [
     "coherent_images",
     "coherent_search",
     "recording_search",
+    "recording_search_once",
 ]
 
 
