@@ -26,6 +26,8 @@ from skysift.sources import raw
 
 #: Bytes of spectra, and of filters, that a task keeps from trial to trial; beyond them they are made again.
 KEPT_BYTES = 256 << 20
+#: Digits of a signal to noise that count, as in the logs; which of equal ones leads a cluster must not hang on the order of additions.
+DIGITS = 6
 
 
 @dataclass(frozen=True)
@@ -261,6 +263,11 @@ def chunk_candidates(chunks: DataFrame, plan: SearchPlan, parts: int = 1, once:
     return chunks.withColumn("part", F.lit(0) if "part" not in chunks.columns else F.col("part")).mapInArrow(run, f"file string, block long, chunk long, {_candidates(plan)[1]}")
 
 
+def settled(cand: DataFrame) -> DataFrame:
+    """Candidates with the digits of msnr that count."""
+    return cand.withColumn("msnr", F.round("msnr", DIGITS))
+
+
 def found_in(cand: DataFrame, plan: SearchPlan, keys: list[str]) -> DataFrame:
     """Delegates of the clusters of each of the keys, numbered by time; keys without candidates give no row.
 
@@ -283,5 +290,5 @@ def search_recordings(blocks: DataFrame, plan: SearchPlan, parts: int = 1, once:
     """Delegates of every chunk of raw.index()'s or files.plane_block()'s blocks; with once, of every block, as if it had no chunks."""
     chunks = raw.chunk_table(blocks, plan.length, plan.overlap)
     chunks = raw.dealt(chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    cand = chunk_candidates(chunks, plan, parts, once)
+    cand = settled(chunk_candidates(chunks, plan, parts, once))
     return found_across(cand.drop("chunk"), plan, ["file", "block"]) if once else found_in(cand, plan, ["file", "block", "chunk"])

@@ -59,7 +59,7 @@ def search_recordings_stream(spark: SparkSession, folder: str, sink: str, checkp
     keys = ["file", "block", "chunk"]
 
     def each(batch: DataFrame, number: int) -> None:
-        found = coherent.found_in(coherent.chunk_candidates(batch, plan), plan, keys)
+        found = coherent.found_in(coherent.settled(coherent.chunk_candidates(batch, plan)), plan, keys)
         found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(sink)
 
     stream = spark.readStream.format("raw_chunks").option("length", plan.length).option("overlap", plan.overlap).load(folder)

@@ -19,6 +19,7 @@ NAMES = [
     "coherent_search",
     "recording_search",
     "recording_search_once",
+    "recording_stream",
 ]
 
 
