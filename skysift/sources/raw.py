@@ -2,7 +2,7 @@
 
 ``spark.read.format("raw_voltage").load(path)`` gives a row per block and
 channel: block, chan, nbits, npol, nchan, chan_bw, obs_freq, obs_bw, tbin,
-telescope, data.  One partition per block; filters on block and chan, and
+telescope, data.  One partition per block, or per some small ones; filters on block and chan, and
 ``option("blocks", "0,3")``, are taken before anything but headers is read.
 
 A search reads overlapping chunks instead: ``index()`` walks the headers of many
@@ -28,6 +28,8 @@ from skysift.functions.lineage import cut
 CARD = 80
 #: Samples of a batch.
 CELLS = 1 << 16
+#: Bytes of samples that make a task worth while; smaller chunks and blocks share one.
+TASK_BYTES = 1 << 18
 SCHEMA = "block long, chan long, nbits int, npol int, nchan int, chan_bw double, obs_freq double, obs_bw double, tbin double, telescope string, data binary"
 TELESCOPES = ("GBT", "PARKES")
 #: Bits of a number and how it is stored; other depths are refused.
@@ -73,12 +75,29 @@ def normalised_width(bw) -> list:
     return [F.abs(bw).alias("chan_bw"), (bw >= 0).alias("straight_order")]
 
 
-class Block(InputPartition):
+class Block:
     def __init__(self, path: str, block: int, offset: int, header: dict):
-        super().__init__(block)
         self.path, self.block, self.offset, self.header = path, block, offset, header
 
 
+class _Blocks(InputPartition):
+    def __init__(self, blocks: list[Block]):
+        super().__init__(blocks[0].block if blocks else -1)
+        self.blocks = blocks
+
+
+def shared_out(items: list, size) -> list[list]:
+    """Items in order, put together as long as they have no more than TASK_BYTES by size()."""
+    out, full = [], TASK_BYTES
+    for x in items:
+        if full + size(x) > TASK_BYTES:
+            out.append([])
+            full = 0
+        out[-1].append(x)
+        full += size(x)
+    return out
+
+
 #: Bytes within which a header must end.
 HEADER = 1 << 20
 
@@ -159,19 +178,19 @@ class _Reader(DataSourceReader):
     def _passes(self, name: str, value: int) -> bool:
         return all(COMPARED[kind](value, x) for n, kind, x in self.filters if n == name)
 
-    def partitions(self) -> list[Block]:
-        return [b for b in plan_blocks(self.path, self.wanted) if self._passes("block", b.block)] or [Block("", -1, 0, {})]
+    def partitions(self) -> list[_Blocks]:
+        blocks = [b for b in plan_blocks(self.path, self.wanted) if self._passes("block", b.block)]
+        return [_Blocks(x) for x in shared_out(blocks, lambda b: b.header["block_size"])] or [_Blocks([])]
 
-    def read(self, partition: Block) -> Iterator[tuple]:
-        h = partition.header
-        if not h:
-            return
-        each = h["block_size"] // h["nchan"]
-        with open_file(partition.path) as f:
-            for i in range(h["nchan"]):
-                chan = h["nchan"] - 1 - i if h["descending"] else i
-                if self._passes("chan", chan):
-                    yield partition.block, chan, h["nbits"], h["npol"], h["nchan"], h["chan_bw"], h["obs_freq"], h["obs_bw"], h["tbin"], h["telescope"], f.read_at(each, partition.offset + i * each)
+    def read(self, partition: _Blocks) -> Iterator[tuple]:
+        for b in partition.blocks:
+            h = b.header
+            each = h["block_size"] // h["nchan"]
+            with open_file(b.path) as f:
+                for i in range(h["nchan"]):
+                    chan = h["nchan"] - 1 - i if h["descending"] else i
+                    if self._passes("chan", chan):
+                        yield b.block, chan, h["nbits"], h["npol"], h["nchan"], h["chan_bw"], h["obs_freq"], h["obs_bw"], h["tbin"], h["telescope"], f.read_at(each, b.offset + i * each)
 
 
 class RawVoltage(DataSource):
@@ -190,6 +209,7 @@ class RawVoltage(DataSource):
 BLOCKS = "file string, paths array<string>, layout string, block long, offset long, stride long, samples long, npol int, nbits int, nchan int, descending boolean, chan_bw double, obs_freq double, obs_bw double, tbin double, telescope string"
 #: A chunk of it: its first sample, its samples, and the part of them that no neighbour has too.
 CHUNKS = f"{BLOCKS}, chunk long, first long, taken long, own_from long, own_to long"
+NPOL, NBITS, NCHAN, TAKEN = ([c.split()[0] for c in CHUNKS.split(", ")].index(c) for c in ("npol", "nbits", "nchan", "taken"))
 
 
 def _row(b: Block) -> tuple:
@@ -213,7 +233,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     types = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
     kinds = pa.schema([(x.split()[0], types[x.split()[1]]) for x in BLOCKS.split(", ")])
-    table = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    table = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks_of(spark, len(paths), 0))
     return cut(table.mapInArrow(run, BLOCKS))
 
 
@@ -249,9 +269,16 @@ def chunk_table(blocks: DataFrame, length: int, overlap: int) -> DataFrame:
     return rows.withColumns({"own_from": own_from.cast("long"), "own_to": own_to.cast("long")}).drop("last")
 
 
+def tasks_of(spark: SparkSession, n: int, tasks: int) -> int:
+    """So many tasks for n rows that are alike, but a few for each core, if there are rows."""
+    return max(1, min(n, max(tasks, 4 * spark.sparkContext.defaultParallelism)))
+
+
 def dealt(places: DataFrame) -> DataFrame:
-    """Every chunk or block a task of its own, if there are not very many; rows are only places in files."""
-    return places.repartition(max(1, min(100_000, places.count())))
+    """Every chunk or block a task of its own, if it is not small (``TASK_BYTES``) and there are not very many; rows are only places in files."""
+    taken = F.col("taken") if "taken" in places.columns else F.col("samples")
+    n, size = places.agg(F.count("*"), F.sum(taken * F.col("nchan") * F.col("npol") * F.col("nbits") / 8)).first()
+    return places.repartition(tasks_of(places.sparkSession, n, min(100_000, int((size or 0) // TASK_BYTES))))
 
 
 class Voltages:
@@ -327,7 +354,8 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[_Places]:
         stop = (end["file"], end["block"], end["chunk"])
-        return [_Places([row]) for place, row in self._rows(start) if place < stop] or [_Places([])]
+        rows = [row for place, row in self._rows(start) if place < stop]
+        return [_Places(x) for x in shared_out(rows, lambda r: r[TAKEN] * r[NCHAN] * r[NPOL] * r[NBITS] // 8)] or [_Places([])]
 
     def read(self, partition: _Places) -> Iterator[tuple]:
         yield from partition.rows
