@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions.lineage import cut
-from skysift.sources.raw import files_of, open_file
+from skysift.sources.raw import files_of, open_file, tasks_of
 
 MAGIC = b"\x93NUMPY"
 #: Numbers of a range.
@@ -61,9 +61,10 @@ def _ranges(spark: SparkSession, path: str, of, each: int) -> DataFrame:
             rows = [dict(zip(names, (p, *of(p)), strict=True)) for p in batch.column("path").to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("kind", pa.string()), ("by_columns", pa.bool_()), ("shape", pa.list_(pa.int64())), ("offset", pa.int64()), ("n", pa.int64())]))
 
-    found = cut(spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, INDEX))
+    found = cut(spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks_of(spark, len(paths), 0)).mapInArrow(run, INDEX))
     rows = found.where("n > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(each).cast("long"))))
-    return rows.repartition(max(1, min(100_000, rows.count())))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return rows.repartition(tasks_of(spark, rows.count(), min(100_000, total // EACH)))  # short ranges share a task
 
 
 def _numbers(ranges: DataFrame, each: int) -> DataFrame:

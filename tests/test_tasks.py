@@ -1,8 +1,16 @@
 """Many small pieces of files share tasks."""
 
+import numpy as np
 import pytest
 
-from skysift.sources import raw
+from skysift.sources import arrays, raw
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(50_000, dtype=np.float64))
+    got = arrays.read_arrays(spark, str(tmp_path / "a.npy"), each=100)
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.x for r in got.collect()) == list(range(50_000))
 
 
 @pytest.fixture(scope="module")
