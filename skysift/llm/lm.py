@@ -190,8 +190,8 @@ def ended(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w, np.cumsum(sizes), END), sizes + 1
 
 
-def counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Counts of all unigrams and bigrams, a row per bucket.
+def counts(docs: DataFrame, buckets: int, bigrams: bool = True) -> DataFrame:
+    """Counts of all unigrams and bigrams, or of unigrams alone, a row per bucket.
 
     Tasks count in memory first, so that a common n-gram is sent once by each.
     """
@@ -203,7 +203,8 @@ def counts(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             w = np.concatenate(held)
-            keys, n = np.unique(np.concatenate([unigram_keys(w), bigram_keys(np.concatenate([[END], w[:-1]]), w)]), return_counts=True)
+            both = [unigram_keys(w)] + ([bigram_keys(np.concatenate([[END], w[:-1]]), w)] if bigrams else [])
+            keys, n = np.unique(np.concatenate(both), return_counts=True)
             n = n.astype("<u4")
             rows = [{"bucket": b, "keys": keys[i:j].tobytes(), "n": n[i:j].tobytes()} for b, i, j in _slices(keys, buckets)]
             return pa.RecordBatch.from_pylist(rows, schema=part_schema)
@@ -390,25 +391,36 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     text to learn from, all words are unknown and the model is uniform.  Other
     columns don't matter; an empty table gives no row.
     """
+    return _scored(docs, folds, True)
+
+
+def base_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
+    """What score() returns but for the model's score; neither bigrams are counted nor a filter is made."""
+    return _scored(docs, folds, False)
+
+
+def _scored(docs: DataFrame, folds: int, model: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out"))
     train = docs.where(~F.col("held_out"))
     tokens = (train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     buckets = 1 << max(3, math.ceil(math.log2(max(1, tokens / BUCKET))))
-    counted = written(counts(train, buckets), "counts")
-    mass = written(masses(counted, buckets), "masses")
+    counted = written(counts(train, buckets, model), "counts")
     total = counted.agg(F.sum("tokens"), F.sum("words"), *[F.sum(F.col("uni_ge")[i]) for i in range(STEPS)]).first()
     n_all, n_words, uni_ge = total[0] or 0, total[1] or 0, [x or 0 for x in total[2:]]
-    # All segments are as large as the fullest one needs.
-    entries = counted.select("bucket", "entries").union(mass.select("bucket", "entries")).groupBy("bucket").agg(F.sum("entries").alias("n")).agg(F.max("n")).first()[0] or 0
-    size = -(-max(128, entries * ENTRY_BITS) // 64) * 64
-    segments = build(counted, mass, size)
-    if buckets * size > FILTER_BITS:
-        segments = written(segments, "segments")
+    bits, size, whole_filter = np.zeros(0, np.uint8), 0, False
+    if model:
+        mass = written(masses(counted, buckets), "masses")
+        # All segments are as large as the fullest one needs.
+        entries = counted.select("bucket", "entries").union(mass.select("bucket", "entries")).groupBy("bucket").agg(F.sum("entries").alias("n")).agg(F.max("n")).first()[0] or 0
+        size = -(-max(128, entries * ENTRY_BITS) // 64) * 64
+        segments = build(counted, mass, size)
+        whole_filter = buckets * size <= FILTER_BITS
+        if not whole_filter:
+            segments = written(segments, "segments")
     spark._jvm.System.gc()  # lets go of the shuffles behind the tables written
-    whole_filter = buckets * size <= FILTER_BITS
-    bits = np.zeros(buckets * size // 8 if whole_filter else 0, np.uint8)
     if whole_filter:
+        bits = np.zeros(buckets * size // 8, np.uint8)
         for r in segments.toLocalIterator():  # FILTER_BITS in all
             bits[r.bucket * size // 8 : (r.bucket + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
 
@@ -434,7 +446,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, top_keys, top_n = shared.value
-        model = Remembering(Filter(bits, buckets))
+        remembered = Remembering(Filter(bits, buckets)) if whole_filter else None
         for batch in batches:
             for part in chunks(batch):
                 w, sizes = ended(part.column("text").to_pylist())
@@ -449,11 +461,11 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
                 scored = None
                 if whole_filter:
                     before, of_pair, wanted = asked(kinds, of)
-                    scored = np.bincount(doc, logs(model.levels(wanted), len(kinds), before, of, of_pair, whole), len(sizes)).tolist()
+                    scored = np.bincount(doc, logs(remembered.levels(wanted), len(kinds), before, of, of_pair, whole), len(sizes)).tolist()
                 rare = keys[of].view(np.int64) if often else np.empty(0, np.int64)
                 rest = [rare[i:j][n[of[i:j]] == 0].tolist() for i, j in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)] if often else [[]] * len(sizes)
                 row = {"chunk": part.column("row")[0].as_py(), "rows": part.column("row").to_pylist(), "doc_ids": part.column("doc_id").to_pylist(), "held_outs": part.column("held_out").to_pylist(), "sizes": sizes.tolist(), "known": known.tolist(), "base": base.tolist(), "score": scored, "rest": rest}
-                if not whole_filter:
+                if model and not whole_filter:
                     row |= {"kinds": kinds.tobytes(), "of": of.astype(np.int32).tobytes()}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -461,10 +473,10 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     held = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl), "scores")
     fields = ["rows", "doc_ids", "held_outs", "sizes", "known", "base", "rest"] + ["score"] * whole_filter
     scored = held.select(F.explode(F.arrays_zip(*fields)).alias("d")).select(F.col("d.rows").alias("row"), F.col("d.doc_ids").alias("doc_id"), F.col("d.held_outs").alias("held_out"), F.col("d.sizes").alias("n_tokens"), *[f"d.{x}" for x in fields[4:]])
-    if not whole_filter:
+    if model and not whole_filter:
         found = looked_up(held.select("chunk", "rows", "sizes", "kinds", "of"), segments, buckets, size, whole)
         scored = scored.join(written(found, "found"), "row")
-    out = scored.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score")
+    out = scored.select("row", "doc_id", "held_out", "n_tokens", "known", "base", *["score"] * model)
     if often:
 
         def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,4 +488,4 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
         more = scored.select("row", F.explode("rest").alias("k")).groupBy("row", "k").agg(F.count("*").alias("times")).join(rare, "k")
         more = more.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) - F.log10(F.lit(0.1)))).alias("more_base"))
         out = out.join(more, "row", "left").withColumn("known", F.col("known") + F.coalesce("more_known", F.lit(0))).withColumn("base", F.col("base") + F.coalesce("more_base", F.lit(0.0)))
-    return out.select("doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    return out.select("doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), *["score"] * model)

@@ -534,6 +534,18 @@ def test_lm_scores_on_documents_equal_exact_counts(spark, docs):
     assert np.mean(off) < 0.04 and max(off) < 0.15 and np.corrcoef(wants, gots)[0, 1] > 0.99
 
 
+@pytest.mark.parametrize("top", [lm.TOP, 50])
+def test_lm_base_scores_need_no_model(spark, docs, monkeypatch, top):
+    """The same rows as with it, whether all words are frequent or some are joined; no bigram is counted."""
+    monkeypatch.setattr(lm, "TOP", top)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: tuple(r)[:6] for r in lm.score(df).collect()}
+    monkeypatch.setattr(lm, "bigram_keys", None)
+    got = {r.doc_id: tuple(r) for r in lm.base_scores(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][:5] == want[i][:5] and math.isclose(got[i][5], want[i][5], rel_tol=1e-12) for i in want)
+
+
 def test_lm_odd_rows(spark, odd, none):
     got = lm.score(odd).collect()
     texts = [(r.doc_id, r.text) for r in odd.collect()]
