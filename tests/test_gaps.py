@@ -7,7 +7,19 @@ from skysift.plans.oracles import oracle_sql
 from skysift.plans.queries import QUERIES
 
 NAMES = [
+    "indexed_samples",
+    "raw_blocks",
+    "raw_chunks",
+    "raw_frames",
     "raw_headers",
+    "raw_samples",
+    "raw_where",
+    "direct_blocks",
+    "direct_samples",
+    "recording_search",
+    "recording_search_once",
+    "recording_stream",
+    "command_line",
 ]
 GAPS = {
     "within": "vec_id < 131 and vec_id not in (2, 30, 31) and vec_id not between 8 and 15 and vec_id not between 24 and 27",
