@@ -37,13 +37,13 @@ def options(args: list[str] | None = None) -> argparse.Namespace:
 
 
 def plan_of(o: argparse.Namespace, header: dict) -> coherent.SearchPlan:
-    """What the options and a recording's header make together; frames too short for the overlap are an error."""
+    """What the options and a recording's header make together, with trials for all measures asked for; frames too short for the overlap are an error."""
     half = header["obs_bw"] / 2
     f_min, f_max = header["obs_freq"] - half, header["obs_freq"] + half
     subs = 1 << max(0, grids.sub_channels(o.pulse, header["tbin"]) - 1).bit_length()
     overlap = max(subs, grids.optimal_overlap(o.d_max, f_min, header["chan_bw"], subs, header["tbin"]))
     n = max(1, grids.coherent_count(o.d_max, f_min, f_max, header["tbin"], o.pulse))
-    dms = tuple(grids.dm_grid(o.d_min, o.d_max, n)) or (o.d_min,)
+    dms = tuple(grids.covering_grid(o.d_min, o.d_max, n))
     return coherent.SearchPlan(f_min, f_max, header["tbin"], header["nchan"], subs, o.nbin, o.nfft, overlap, dms, o.threshold, tuple(range(1, max(1, o.window) + 1)))
 
 
@@ -67,7 +67,8 @@ def run(spark: SparkSession, o: argparse.Namespace) -> coherent.SearchPlan:
     keys = ["block"] if o.once else ["block", "chunk"]
     if blocks.select("file").distinct().limit(2).count() > 1:
         keys = ["file", *keys]
-    lines = found.select(*keys, files.delegate_line(0.0, plan.t_sample * plan.subs).alias("line"))
+    spread = found.repartition(4 * spark.sparkContext.defaultParallelism, *keys).sortWithinPartitions(*keys, "n")  # a folder costs more than its lines
+    lines = spread.select(*keys, files.delegate_line(0.0, plan.t_sample * plan.subs).alias("line"))
     lines.write.mode("overwrite").partitionBy(*keys).text(f"{o.out}/delegates")
     at = found.select("file", *(["block"] if o.once else ["block", "chunk"])).distinct().orderBy("file", "block", *([] if o.once else ["chunk"]))
     numbers = [r[-1] for r in at.collect()]  # a number for each chunk with detections
